@@ -72,10 +72,17 @@ def is_success(c: Column | str) -> Column:
     return F.coalesce(_col(c).try_cast("double") == SUCCESS_EVENT_ID, F.lit(False)).cast("int")
 
 
-def valid_key(*cols: Column | str) -> Column:
-    """True where every part is present and is not a marker such as ``?`` or ``-``."""
-    parts = [_col(c).isNotNull() & ~strip(c).isin(MARKER_TEXTS) for c in cols]
-    return F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False))
+def valid_key_sql(*names: str) -> str:
+    """SQL text: every named column is present and is not a marker such as ``?`` or ``-``."""
+    space = "".join(f"\\u{ord(c):04x}" for c in _SPACE)
+    markers = ", ".join(f"'{m}'" for m in MARKER_TEXTS)
+    parts = [f"coalesce(btrim(`{n}`, '{space}') not in ({markers}), false)" for n in names]
+    return "(" + " and ".join(parts) + ")"
+
+
+def valid_key(*names: str) -> Column:
+    """True where every named column is present and is not a marker such as ``?`` or ``-``."""
+    return F.expr(valid_key_sql(*names))
 
 
 def coerce_label(c: Column | str) -> Column:

@@ -120,23 +120,30 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
     return confusion_matrix(df, label, prediction).select(F.inline(lines))
 
 
-def ranking_points(df: DataFrame, label: str = "label", probability: str = "probability", ranges: int = RANGES) -> DataFrame:
+def ranking_points(df: DataFrame, label: str = "label", probability: str = "probability", ranges: int = RANGES,
+                   by: str | None = None) -> DataFrame:
     """Per distinct score: its positives and negatives, and how many of both score at least as high.
 
     Scores are cut at quantiles into ``ranges`` ranges of about equal size; a running sum is taken inside each range in
-    parallel, and the totals of the higher ranges (at most ``ranges + 1`` rows) are added.
+    parallel, and the totals of the higher ranges (at most ``ranges`` rows) are added. With ``by``, all of this per value
+    of a column with few values, such as the number of a model.
     """
-    rows = df.select(F.col(probability).cast("double").alias("score"), F.col(label).cast("bigint").alias("y"))
-    cuts = rows.select(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 10 * ranges)).scalar()
-    sums = rows.groupBy("score").agg(F.sum("y").alias("positives"), F.sum(1 - F.col("y")).alias("negatives"))
+    group = [by] if by else []
+    rows = df.select(*group, F.col(probability).cast("double").alias("score"), F.col(label).cast("bigint").alias("y"))
+    quantiles = F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts")
+    sums = rows.groupBy(*group, "score").agg(F.sum("y").alias("positives"), F.sum(1 - F.col("y")).alias("negatives"))
+    if by:
+        placed = sums.join(F.broadcast(rows.groupBy(by).agg(quantiles)), by)
+    else:
+        placed = sums.withColumn("_cuts", rows.select(quantiles).scalar())
     place = F.size(F.filter(F.col("_cuts"), lambda cut: cut < F.col("score")))
-    placed = sums.withColumn("_cuts", cuts).withColumn("_range", place).drop("_cuts")
-    above = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("_range").agg(F.sum("positives").alias("_p"), F.sum("negatives").alias("_n"))
-    totals = totals.select("_range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("_p", "_n")])
-    down = Window.partitionBy("_range").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.join(F.broadcast(totals), "_range").select(
-        "score", "positives", "negatives",
+    placed = placed.withColumn("_range", place).drop("_cuts")
+    above = Window.partitionBy(*group).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*group, "_range").agg(F.sum("positives").alias("_p"), F.sum("negatives").alias("_n"))
+    totals = totals.select(*group, "_range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("_p", "_n")])
+    down = Window.partitionBy(*group, "_range").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.join(F.broadcast(totals), [*group, "_range"]).select(
+        *group, "score", "positives", "negatives",
         (F.col("_p_above") + F.sum("positives").over(down)).alias("cum_positives"),
         (F.col("_n_above") + F.sum("negatives").over(down)).alias("cum_negatives"))
 
@@ -157,9 +164,11 @@ def roc_auc(df: DataFrame, **kw) -> DataFrame:
     return ranking_points(df, **kw).agg(*_ranking_sums()).select(_ranking_figures()["roc_auc"].alias("roc_auc"))
 
 
-def average_precision(df: DataFrame, **kw) -> DataFrame:
+def average_precision(df: DataFrame, by: str | None = None, **kw) -> DataFrame:
     """Step sum of precision over the recall gained at each distinct score; null when only one class occurs."""
-    return ranking_points(df, **kw).agg(*_ranking_sums()).select(_ranking_figures()["pr_auc"].alias("pr_auc"))
+    group = [by] if by else []
+    sums = ranking_points(df, by=by, **kw).groupBy(*group).agg(*_ranking_sums())
+    return sums.select(*group, _ranking_figures()["pr_auc"].alias("pr_auc"))
 
 
 def evaluate_model(df: DataFrame, threshold: float | Column, name: str = "model", label: str = "label",

@@ -22,10 +22,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatewatch.functions.scalar import valid_key
+from gatewatch.functions.scalar import valid_key, valid_key_sql
 from gatewatch.schemas import MISSING_TIME_DELTA
 
 CELL_ROWS = 1_000_000
@@ -64,55 +64,50 @@ class Family:
         return [f.name for f in self.rolling] + [p[0] for p in (*self.pair_counts, *self.first_seen, *self.recency)]
 
 
-def _all_known(keys: Sequence[str]) -> Column:
-    known = F.col(keys[0]).isNotNull()
-    for key in keys[1:]:
-        known = known & F.col(key).isNotNull()
-    return known
+def _names(columns: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`" for c in columns)
 
 
-def _active_minus_expired(by, ts: str, order: Sequence[str], on: Column, off: Column, window: int) -> Column:
-    before = by.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    expired = by.orderBy(ts).rangeBetween(Window.unboundedPreceding, -(window + 1))
-    zero = F.lit(0)
-    return F.coalesce(F.sum(on).over(before), zero) - F.coalesce(F.sum(off).over(expired), zero)
+def _active_minus_expired(by: str, ts: str, order: Sequence[str], on: str, off: str, window: int) -> str:
+    """SQL text of the difference of the two running sums."""
+    before = f"sum({on}) over (partition by {by} order by {_names(order)} rows between unbounded preceding and 1 preceding)"
+    expired = f"sum({off}) over (partition by {by} order by `{ts}` range between unbounded preceding and {window + 1} preceding)"
+    return f"coalesce({before}, 0) - coalesce({expired}, 0)"
 
 
-def _starts(ts: Column, previous: Column, window: int) -> Column:
-    return (previous.isNull() | (ts - previous > window)).cast("int")
+def _starts(ts: str, previous: str, window: int) -> str:
+    return f"cast({previous} is null or `{ts}` - {previous} > {window} as int)"
 
 
-def _ends(ts: Column, following: Column, window: int) -> Column:
-    return (following.isNull() | (following - ts > window)).cast("int")
+def _ends(ts: str, following: str, window: int) -> str:
+    return f"cast({following} is null or {following} - `{ts}` > {window} as int)"
 
 
 def rolling(df: DataFrame, keys: Sequence[str], features: Sequence[Count | Distinct], ts: str = "timestamp",
             seq: str = "seq", cell_rows: int = CELL_ROWS) -> DataFrame:
     """Append every feature in ``features`` over ``keys``; safe for keys of any size. ``seq`` is a unique bigint."""
     keys, columns = list(keys), df.columns
-    sub = F.expr(f"`{seq}` div {int(cell_rows)}")
+    by = _names(keys)
+    sub = f"`{seq}` div {int(cell_rows)} as _sub"
     names = [f.name for f in features]
-    zeros = {name: F.lit(0).cast("bigint") for name in names}
-
-    known = df.filter(_all_known(keys))
-    flags = {f.name: F.coalesce(F.col(f.when).cast("bigint"), F.lit(0).cast("bigint")) if f.when else F.lit(1).cast("bigint")
-             for f in features if isinstance(f, Count)}
+    known = df.filter(" and ".join(f"`{k}` is not null" for k in keys))
+    flags = {f.name: f"coalesce(cast(`{f.when}` as bigint), 0L)" if f.when else "1L" for f in features if isinstance(f, Count)}
 
     # One row per cell: how many rows of it each count takes in. Summed on the map side before the exchange.
-    amounts = known.groupBy(*keys, ts, sub.alias("_sub")).agg(
-        *[F.sum(flags[n]).alias(f"_on_{n}") if n in flags else F.sum(F.lit(0)).cast("bigint").alias(f"_on_{n}") for n in names])
-    amounts = amounts.select("*", *[F.col(f"_on_{n}").alias(f"_off_{n}") for n in names])
+    amounts = (known.selectExpr(*[f"`{c}`" for c in (*keys, ts)], sub, *[f"{flags.get(n, '0L')} as `_on_{n}`" for n in names])
+               .groupBy(*keys, ts, "_sub").agg(*[F.sum(f"_on_{n}").alias(f"_on_{n}") for n in names])
+               .selectExpr("*", *[f"`_on_{n}` as `_off_{n}`" for n in names]))
 
     # One row per key, value and second in which the value starts or stops being active.
     marks = []
     for value in dict.fromkeys(f.value for f in features if isinstance(f, Distinct)):
         own = {f.name: f.window for f in features if isinstance(f, Distinct) and f.value == value}
-        chain = Window.partitionBy(*keys, value).orderBy(ts)
+        chain = f"over (partition by {by}, `{value}` order by `{ts}`)"
         firsts = (known.filter(F.col(value).isNotNull()).groupBy(*dict.fromkeys([*keys, value, ts])).agg(F.min(seq).alias(seq))
-                  .withColumns({"_p": F.lag(ts).over(chain), "_n": F.lead(ts).over(chain)}))
-        ons = [(_starts(F.col(ts), F.col("_p"), own[n]).cast("bigint") if n in own else zeros[n]).alias(f"_on_{n}") for n in names]
-        offs = [(_ends(F.col(ts), F.col("_n"), own[n]).cast("bigint") if n in own else zeros[n]).alias(f"_off_{n}") for n in names]
-        marks.append(firsts.select(*keys, ts, seq, sub.alias("_sub"), *ons, *offs))
+                  .selectExpr("*", f"lag(`{ts}`) {chain} as _p", f"lead(`{ts}`) {chain} as _n"))
+        ons = [f"cast({_starts(ts, '_p', own[n]) if n in own else 0} as bigint) as `_on_{n}`" for n in names]
+        offs = [f"cast({_ends(ts, '_n', own[n]) if n in own else 0} as bigint) as `_off_{n}`" for n in names]
+        marks.append(firsts.selectExpr(*[f"`{c}`" for c in (*keys, ts, seq)], sub, *ons, *offs))
 
     cells = amounts
     for mark in marks:
@@ -121,27 +116,21 @@ def rolling(df: DataFrame, keys: Sequence[str], features: Sequence[Count | Disti
         *[F.sum(f"_{side}_{n}").alias(f"_{side}_{n}") for side in ("on", "off") for n in names])
 
     # State of each key when a cell begins: an ordered pass over its cells only.
-    by_key = Window.partitionBy(*keys)
-    state = cells.select(
-        *keys, ts, "_sub", F.lit(0).alias("_kind"),
-        *[_active_minus_expired(by_key, ts, [ts, "_sub"], F.col(f"_on_{f.name}"), F.col(f"_off_{f.name}"), f.window)
-          .alias(f"_add_{f.name}") for f in features])
-
-    live = _all_known(keys)
-    rows = df.select(
-        "*", sub.alias("_sub"), F.lit(1).alias("_kind"),
-        *[(F.when(live, flags[n]).otherwise(0) if n in flags else zeros[n]).alias(f"_add_{n}") for n in names])
-    stream = rows.unionByName(state, allowMissingColumns=True)
+    opening = [_active_minus_expired(by, ts, [ts, "_sub"], f"`_on_{f.name}`", f"`_off_{f.name}`", f.window) for f in features]
+    state = cells.selectExpr(*[f"`{c}`" for c in (*keys, ts)], "_sub", "0 as _kind",
+                             *[f"{sql} as `_add_{n}`" for sql, n in zip(opening, names)])
+    live = " and ".join(f"`{k}` is not null" for k in keys)
+    stream = df.selectExpr("*", sub, "1 as _kind", *[f"if({live}, {flags.get(n, '0L')}, 0L) as `_add_{n}`" for n in names])
+    stream = stream.unionByName(state, allowMissingColumns=True)
     for mark in marks:
-        stream = stream.unionByName(
-            mark.select(*keys, ts, seq, "_sub", F.lit(2).alias("_kind"), *[F.col(f"_on_{n}").alias(f"_add_{n}") for n in names]),
-            allowMissingColumns=True)
+        entries = mark.selectExpr(*[f"`{c}`" for c in (*keys, ts, seq)], "_sub", "2 as _kind", *[f"`_on_{n}` as `_add_{n}`" for n in names])
+        stream = stream.unionByName(entries, allowMissingColumns=True)
 
     # Within a cell: its opening state, then each row, then the values that this row made active.
-    inside = (Window.partitionBy(*keys, ts, "_sub").orderBy(F.col("_kind") != 0, seq, "_kind")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    out = stream.withColumns({n: F.coalesce(F.sum(f"_add_{n}").over(inside), F.lit(0)).cast("int") for n in names})
-    return out.filter(F.col("_kind") == 1).select(*columns, *names)
+    inside = (f"over (partition by {by}, `{ts}`, _sub order by _kind != 0, `{seq}`, _kind "
+              "rows between unbounded preceding and 1 preceding)")
+    out = stream.selectExpr("*", *[f"cast(coalesce(sum(`_add_{n}`) {inside}, 0) as int) as `{n}`" for n in names])
+    return out.filter("_kind = 1").select(*columns, *names)
 
 
 def rolling_count(df: DataFrame, keys: Sequence[str], window: int, name: str, when: str | None = None, **kw) -> DataFrame:
@@ -181,50 +170,42 @@ def with_family(df: DataFrame, family: Family, skip: DataFrame | None = None, ts
     They are spread over many partitions, so they cost no task more than its share.
     """
     key, columns = family.key, df.columns
-    live = F.col(key).isNotNull()
+    live = f"`{key}` is not null"
     if skip is not None:
-        df = df.join(F.broadcast(skip.select(key).withColumn("_skip", F.lit(True))), key, "left")
-        live = live & F.col("_skip").isNull()
-    salt = F.when(live, F.lit(0)).otherwise(F.pmod(F.xxhash64(seq), F.lit(SALTS)) + 1)
-    df = df.select(*columns, live.alias("_live"), salt.cast("int").alias("_salt")).repartition(key, "_salt")
-
-    group = [key, "_salt"]
-    t = F.col(ts)
-
-    def chain(other: str | None):
-        return Window.partitionBy(*group, *([other] if other else [])).orderBy(ts, seq)
+        df = df.join(F.broadcast(skip.selectExpr(f"`{key}`", "true as _skip")), key, "left")
+        live += " and _skip is null"
+    df = df.selectExpr(*[f"`{c}`" for c in columns], f"{live} as _live",
+                       f"if({live}, 0, cast(pmod(xxhash64(`{seq}`), {SALTS}) + 1 as int)) as _salt").repartition(key, "_salt")
 
+    by = f"`{key}`, _salt"
     others = dict.fromkeys(f.value for f in family.rolling if isinstance(f, Distinct))
     others.update(dict.fromkeys(o for _, o, _ in family.pair_counts))
     others.update(dict.fromkeys(o for _, o in (*family.first_seen, *family.recency) if o))
     # Everything that needs one sort order is computed together: first pair by pair, at last the key alone.
-    neighbours = {None: ("_prev", None)}
-    for i, other in enumerate(others):
-        neighbours[other] = (f"_prev{i}", f"_next{i}")
-        df = df.withColumns({f"_prev{i}": F.lag(ts).over(chain(other)), f"_next{i}": F.lead(ts).over(chain(other))})
-        pair = Window.partitionBy(*group, other)
-        counted = (F.col("_live") & valid_key(key, other)).cast("int")
-        counts = {name: _active_minus_expired(pair, ts, [ts, seq], counted, counted, window).cast("int")
-                  for name, o, window in family.pair_counts if o == other}
-        if counts:
-            df = df.withColumns(counts)
-    df = df.withColumn("_prev", F.lag(ts).over(chain(None)))
-
-    added = {}
+    place = {other: i for i, other in enumerate(others)}
+    for other, i in place.items():
+        pair = f"{by}, `{other}`"
+        chain = f"over (partition by {pair} order by `{ts}`, `{seq}`)"
+        valid = valid_key_sql(key, other)
+        counted = f"cast(_live and {valid} as int)"
+        counts = [f"cast({_active_minus_expired(pair, ts, [ts, seq], counted, counted, window)} as int) as `{name}`"
+                  for name, o, window in family.pair_counts if o == other]
+        df = df.selectExpr("*", f"lag(`{ts}`) {chain} as _prev{i}", f"lead(`{ts}`) {chain} as _next{i}", *counts)
+
+    added = []
     for name, other in family.first_seen:
-        fresh = F.col("_live") & valid_key(key, other) & F.col(neighbours[other][0]).isNull()
-        added[name] = fresh.cast("int")
+        added.append(f"cast(_live and {valid_key_sql(key, other)} and _prev{place[other]} is null as int) as `{name}`")
     for name, other in family.recency:
-        known = F.col("_live") & (valid_key(key, other) if other else valid_key(key))
-        gap = F.when(known, t - F.col(neighbours[other][0]))
-        added[name] = F.coalesce(gap, F.lit(MISSING_TIME_DELTA)).cast("bigint")
+        if other:
+            known, before = valid_key_sql(key, other), f"_prev{place[other]}"
+        else:
+            known, before = valid_key_sql(key), f"lag(`{ts}`) over (partition by {by} order by `{ts}`, `{seq}`)"
+        added.append(f"coalesce(if(_live and {known}, `{ts}` - {before}, null), {MISSING_TIME_DELTA}) as `{name}`")
     for f in family.rolling:
         if isinstance(f, Count):
-            on = (F.col("_live").cast("int") * (F.coalesce(F.col(f.when).cast("int"), F.lit(0)) if f.when else F.lit(1)))
-            off = on
+            on = off = f"if(_live, {f'coalesce(cast(`{f.when}` as int), 0)' if f.when else '1'}, 0)"
         else:
-            prev, following = (F.col(c) for c in neighbours[f.value])
-            present = (F.col("_live") & F.col(f.value).isNotNull()).cast("int")
-            on, off = present * _starts(t, prev, f.window), present * _ends(t, following, f.window)
-        added[f.name] = _active_minus_expired(Window.partitionBy(*group), ts, [ts, seq], on, off, f.window).cast("int")
-    return df.withColumns(added).select(*columns, *family.names())
+            i, present = place[f.value], f"cast(_live and `{f.value}` is not null as int)"
+            on, off = f"{present} * {_starts(ts, f'_prev{i}', f.window)}", f"{present} * {_ends(ts, f'_next{i}', f.window)}"
+        added.append(f"cast({_active_minus_expired(by, ts, [ts, seq], on, off, f.window)} as int) as `{f.name}`")
+    return df.selectExpr(*[f"`{c}`" for c in columns], *[f"`{p[0]}`" for p in family.pair_counts], *added)

@@ -7,7 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewatch.functions.scalar import coerce_label, hour_of_day, is_network_logon, is_success, valid_key
+from gatewatch.functions.scalar import (
+    coerce_label,
+    day_of_week,
+    hour_of_day,
+    is_business_hours,
+    is_network_logon,
+    is_success,
+    valid_key,
+)
 from gatewatch.operators.windows import (
     CELL_ROWS,
     Count,
@@ -18,7 +26,14 @@ from gatewatch.operators.windows import (
     seconds_since_last,
     with_family,
 )
-from gatewatch.schemas import FIVE_MINUTES, ONE_HOUR, OUTPUT_COLUMNS, PARSED_COLUMNS
+from gatewatch.schemas import (
+    FAILURE_EVENT_ID,
+    FIVE_MINUTES,
+    LEGACY_FEATURE_COLUMNS,
+    ONE_HOUR,
+    OUTPUT_COLUMNS,
+    PARSED_COLUMNS,
+)
 
 MAX_GROUP_ROWS = 5_000_000
 MAX_HOT_KEYS = 4096
@@ -107,30 +122,71 @@ def family_by_cells(rows: DataFrame, family: Family, cell_rows: int = CELL_ROWS)
     return merged
 
 
-def build_features(df: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, cell_rows: int = CELL_ROWS,
-                   keep_seq: bool = False, hot: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Parsed events (``PARSED_COLUMNS`` plus a unique bigint ``seq``) to the feature table.
+def add_families(events: DataFrame, families: Sequence[Family], max_group_rows: int = MAX_GROUP_ROWS,
+                 cell_rows: int = CELL_ROWS, hot: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Append all features of ``families``; one exchange per family.
 
     Keys over ``max_group_rows`` are found first, by one narrow pass. Only their rows take the second path, and only
     when there are any does the plan contain it.
     """
-    base = df.select(*PARSED_COLUMNS, "seq")
     if hot is None:
-        hot = hot_keys(base, [f.key for f in FAMILIES], max_group_rows)
-    events = with_context(base)
+        hot = hot_keys(events, [f.key for f in families], max_group_rows)
     out = events
-    for family in FAMILIES:
+    for family in families:
         out = with_family(out, family, hot.get(family.key))
 
-    names = [n for f in FAMILIES if f.key in hot for n in f.names()]
-    if names:
-        found = None
-        for family in FAMILIES:
-            if family.key in hot:
-                rows = events.join(F.broadcast(hot[family.key]), family.key, "left_semi")
-                part = family_by_cells(rows, family, cell_rows)
-                found = part if found is None else found.unionByName(part, allowMissingColumns=True)
-        found = found.groupBy("timestamp", "seq").agg(*[F.max(n).alias(f"_hot_{n}") for n in names])
-        out = out.join(found, ["timestamp", "seq"], "left").withColumns(
-            {n: F.coalesce(F.col(f"_hot_{n}"), F.col(n)) for n in names})
-    return out.select(*OUTPUT_COLUMNS, *(["seq"] if keep_seq else []))
+    names = [n for f in families if f.key in hot for n in f.names()]
+    if not names:
+        return out
+    found = None
+    for family in families:
+        if family.key in hot:
+            rows = events.join(F.broadcast(hot[family.key]), family.key, "left_semi")
+            part = family_by_cells(rows, family, cell_rows)
+            found = part if found is None else found.unionByName(part, allowMissingColumns=True)
+    found = found.groupBy("timestamp", "seq").agg(*[F.max(n).alias(f"_hot_{n}") for n in names])
+    out = out.join(found, ["timestamp", "seq"], "left")
+    return out.withColumns({n: F.coalesce(F.col(f"_hot_{n}"), F.col(n)) for n in names}).drop(*[f"_hot_{n}" for n in names])
+
+
+def build_features(df: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, cell_rows: int = CELL_ROWS,
+                   keep: Sequence[str] = (), hot: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Parsed events (``PARSED_COLUMNS`` plus a unique bigint ``seq``) to the feature table and the columns in ``keep``."""
+    events = with_context(df.select(*dict.fromkeys([*PARSED_COLUMNS, "seq", *keep])))
+    return add_families(events, FAMILIES, max_group_rows, cell_rows, hot).select(*OUTPUT_COLUMNS, *keep)
+
+
+LEGACY_FAMILIES = (
+    Family(
+        key="src_username",
+        rolling=(
+            Count("failed_logins_5m_user", FIVE_MINUTES, "_failed"),
+            Distinct("unique_src_ip_1h", "src_host", ONE_HOUR),
+            Count("_failed_1h", ONE_HOUR, "_failed"),
+            Count("_all_1h", ONE_HOUR),
+        ),
+    ),
+    Family(
+        key="src_host",
+        rolling=(
+            Count("failed_logins_5m_ip", FIVE_MINUTES, "_failed"),
+            Distinct("unique_users_1h_per_ip", "src_username", ONE_HOUR),
+        ),
+    ),
+)
+
+
+def build_legacy_features(df: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, cell_rows: int = CELL_ROWS,
+                          keep: Sequence[str] = ()) -> DataFrame:
+    """The older nine features: failures per user and source, their rate, variety, and the calendar."""
+    events = df.select(*dict.fromkeys([*PARSED_COLUMNS, "seq", *keep])).withColumns({
+        "_failed": (F.col("event_id") == FAILURE_EVENT_ID).cast("int"),
+        "hour_of_day": hour_of_day("timestamp"),
+        "day_of_week": day_of_week("timestamp"),
+        "is_business_hours": is_business_hours("timestamp"),
+        "is_network_logon": is_network_logon("logon_type"),
+        "label": coerce_label("label"),
+    })
+    out = add_families(events, LEGACY_FAMILIES, max_group_rows, cell_rows)
+    rate = F.when(F.col("_all_1h") > 0, F.col("_failed_1h") / F.col("_all_1h")).otherwise(0.0)
+    return out.withColumn("failure_rate_1h", rate).select("timestamp", *LEGACY_FEATURE_COLUMNS, "label", *keep)
