@@ -2,35 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewatch.functions.scalar import with_relative_day
-from gatewatch.operators.quality import check_binary_label, check_three_days, require_columns
-from gatewatch.schemas import FEATURE_SCHEMA_VERSION, OUTPUT_COLUMNS, SPLIT_NAMES
+from gatewatch.operators.quality import require_columns
+from gatewatch.schemas import FEATURE_SCHEMA_VERSION, OUTPUT_COLUMNS, SECONDS_PER_DAY, SPLIT_NAMES
+
+
+def _named(day: Column) -> Column:
+    return F.when(day == 0, SPLIT_NAMES[0]).when(day == 1, SPLIT_NAMES[1]).when(day == 2, SPLIT_NAMES[2])
 
 
 def assign_split(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Append ``split``: train, valid or test for relative day 0, 1 or 2; null for any other day."""
-    day = F.col("_day")
-    name = F.when(day == 0, SPLIT_NAMES[0]).when(day == 1, SPLIT_NAMES[1]).when(day == 2, SPLIT_NAMES[2])
-    return with_relative_day(df, ts, "_day").withColumn("split", name).drop("_day")
+    return with_relative_day(df, ts, "_day").withColumn("split", _named(F.col("_day"))).drop("_day")
 
 
 def chronological_split(features: DataFrame) -> DataFrame:
     """Check the feature table, then assign the splits. Raises unless it spans exactly three non-empty days.
 
-    Time order is a property of the rows' ``seq``: check it where that is known, with ``require_sorted``.
+    One pass over two columns gives the rows and bad labels of each day; the split itself is then a projection. Give it
+    a stored table, not an unfinished plan. Time order is a property of the rows' ``seq``: check it where that is known,
+    with ``require_sorted``.
     """
     require_columns(features, OUTPUT_COLUMNS, exact=True)
-    if check_binary_label(features).limit(1).collect():
-        raise ValueError("labels must be 0 or 1")
-    days = {row["relative_day"]: row["verdict"] for row in check_three_days(features).limit(64).collect()}
-    if all(verdict == "empty" for verdict in days.values()):
+    day = F.floor(F.col("timestamp") / SECONDS_PER_DAY)
+    bad = F.sum((F.col("label").isNull() | ~F.col("label").isin(0, 1)).cast("bigint"))
+    found = features.groupBy(day.alias("day")).agg(bad.alias("bad")).orderBy("day").collect()
+    if not found:
         raise ValueError("the feature table has no rows")
-    if any(verdict != "ok" for verdict in days.values()):
-        raise ValueError(f"expected exactly three consecutive days; found {dict(sorted(days.items()))}")
-    return assign_split(features)
+    if any(row["bad"] for row in found):
+        raise ValueError("labels must be 0 or 1")
+    first = found[0]["day"]
+    relative = [row["day"] - first for row in found]
+    if relative != list(range(len(SPLIT_NAMES))):
+        raise ValueError(f"expected exactly three consecutive days; found relative days {relative[:64]}")
+    return features.withColumn("split", _named(day - F.lit(first)))
 
 
 def split_stats(split: DataFrame) -> DataFrame:
@@ -52,5 +60,5 @@ def split_report(split: DataFrame) -> DataFrame:
         F.lit(FEATURE_SCHEMA_VERSION).alias("feature_schema_version"),
         F.sum("n_rows").alias("total_rows"),
         F.sum("anomaly").alias("total_anomaly"),
-        F.floor(F.min("min_timestamp") / 86_400).alias("first_day_index"),
+        F.floor(F.min("min_timestamp") / SECONDS_PER_DAY).alias("first_day_index"),
         F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("splits"))

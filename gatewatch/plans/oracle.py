@@ -333,8 +333,8 @@ ORACLE: dict[str, str] = {
     "stream_features": _all_features(),
     "stream_dedup": LOG + """select record_id, case when record_id is null then n else 1 end as n_rows from
         (select case when seq % 10 = 0 then null else seq // 3 end as record_id, count(*) as n from log group by 1)""",
-    "stream_sign_ins": EVENTS + """select record_id is null as unnumbered, "timestamp" is null as untimed,
-        case when record_id is not null and "timestamp" is not null then count(distinct record_id) else count(*) end as n_rows
-        from xml group by record_id is null, "timestamp" is null""",
+    "stream_sign_ins": EVENTS + """, g as (select record_id is null as unnumbered, "timestamp" is null as untimed, count(*) as n, count(distinct record_id) as d
+        from xml group by 1, 2)
+        select unnumbered, untimed, case when unnumbered or untimed then n else d end as n_rows from g""",
     "stream_filter": LOG + "select event_id, count(*) as n_rows from log where event_id in (4624, 4625) group by 1",
 }

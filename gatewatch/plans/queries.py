@@ -522,7 +522,9 @@ def check_min_positives(spark, sf):
 
 @query("chronological_split")
 def chronological_split_(spark, sf):
-    return _plain(chronological_split(build_features(_parsed(spark, sf))))
+    path = scratch_dir(spark, "features")
+    T.write_features(_features(spark, sf), path)
+    return _plain(chronological_split(T.load_features(spark, path)))
 
 
 @query("smote")

@@ -11,7 +11,7 @@ from gatewatch.schemas import EVENT_XML_NAMESPACE, EVENT_XML_SCHEMA, FAILURE_EVE
 
 def _data(name: str) -> Column:
     """Text of the last ``Data`` element of that name; ``-`` if absent or empty."""
-    named = F.filter(F.col("_e.EventData.Data"), lambda d: d["_Name"] == name)
+    named = F.filter(F.col("EventData.Data"), lambda d: d["_Name"] == name)
     text = F.try_element_at(named, F.lit(-1))["_VALUE"]
     return F.when(text.isNotNull() & (text != ""), text).otherwise("-")
 
@@ -26,11 +26,12 @@ def parse_event_xml(df: DataFrame, xml: str = "xml") -> DataFrame:
     """
     others = [c for c in df.columns if c != xml]
     options = {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
-    parsed = df.withColumn("_e", F.from_xml(F.col(xml), EVENT_XML_SCHEMA, options))
-    system = F.col("_e.System")
+    # As a generator the document is parsed once per row; as a plain column every filter below would parse it again.
+    parsed = df.select(*others, F.inline(F.array(F.from_xml(F.col(xml), EVENT_XML_SCHEMA, options))))
+    system = F.col("System")
     workstation = _data("WorkstationName")
     record = system["EventRecordID"]
-    events = parsed.filter(F.col("_e._xmlns") == EVENT_XML_NAMESPACE).select(
+    events = parsed.filter(F.col("_xmlns") == EVENT_XML_NAMESPACE).select(
         *others,
         F.trim(record).try_cast("bigint").alias("record_id"),
         parse_event_time(system["TimeCreated"]["_SystemTime"]).alias("timestamp"),

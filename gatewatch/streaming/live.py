@@ -13,7 +13,7 @@ was already given out. They go to the ``late`` output with rows that have no rea
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -100,8 +100,10 @@ def _merge(last: DataFrame) -> DataFrame:
     return last.groupBy(*KEYS).agg(F.max("at").alias("at"))
 
 
-def advance(batch: DataFrame, batch_id: int, state_dir: str, max_group_rows: int = MAX_GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Features of one micro-batch (with ``seq``) and its late rows; writes the state for the next one.
+def advance(batch: DataFrame, batch_id: int, state_dir: str, max_group_rows: int = MAX_GROUP_ROWS,
+            keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Features of one micro-batch (with ``seq`` and the parsed columns in ``keep``) and its late rows; writes the state
+    for the next one.
 
     Nothing but the newest row, the batch's first time and its hours comes to the driver.
     """
@@ -137,7 +139,7 @@ def advance(batch: DataFrame, batch_id: int, state_dir: str, max_group_rows: int
         stand_ins = older.select("at.timestamp", "src_username", "src_host", "destination_host", "at.seq")
         past = history.unionByName(stand_ins, allowMissingColumns=True).withColumn("_own", F.lit(False))
         current = past.unionByName(current).select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in COLUMNS], "_own")
-    features = build_features(current, max_group_rows, keep=["seq", "_own"]).filter("_own").drop("_own")
+    features = build_features(current, max_group_rows, keep=["seq", *keep, "_own"]).filter("_own").drop("_own")
 
     hour = F.floor(F.col("timestamp") / ONE_HOUR).alias("hour")
     (on_time.select(*COLUMNS, hour, F.lit(batch_id).cast("bigint").alias("batch"))
@@ -185,10 +187,8 @@ def stream_score(stream: DataFrame, bundle: Bundle, out_dir: str, max_group_rows
     event_columns = ["src_username", "username", "src_host", "destination_host", "event_id"]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        features, late = advance(batch, batch_id, f"{out_dir}/state", max_group_rows)
-        scored = score_batch(bundle.model, features).join(
-            batch.select("timestamp", "seq", *event_columns), ["timestamp", "seq"])
-        with_alerts(scored, bundle.threshold).write.mode("overwrite").parquet(f"{out_dir}/scored/batch={batch_id}")
+        features, late = advance(batch, batch_id, f"{out_dir}/state", max_group_rows, event_columns)
+        with_alerts(score_batch(bundle.model, features), bundle.threshold).write.mode("overwrite").parquet(f"{out_dir}/scored/batch={batch_id}")
         late.write.mode("overwrite").parquet(f"{out_dir}/late/batch={batch_id}")
 
     return start(stream, handle, f"{out_dir}/checkpoint", **trigger)
