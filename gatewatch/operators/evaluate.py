@@ -69,10 +69,9 @@ def select_threshold(df: DataFrame, bins: int = DEFAULT_BINS, min_recall_target:
         raise ValueError("min_recall_target must be in (0, 1]")
     curve = threshold_curve(df, bins, label, probability)
     everything = Window.partitionBy()
-    positives = F.max(F.col("true_positive")).over(everything)
-    checked = curve.withColumn("true_positive", F.when(positives > 0, F.col("true_positive")).otherwise(
-        F.raise_error(F.lit("at least one positive label is needed")).cast("bigint")))
-    able = checked.filter((F.col("recall") >= min_recall_target) & (F.col("true_positive") >= 0))
+    nothing = F.raise_error(F.lit("at least one positive label is needed")).cast("boolean")
+    reaches = F.when(F.col("_all") > 0, F.col("recall") >= min_recall_target).otherwise(nothing)
+    able = curve.withColumn("_all", F.max("true_positive").over(everything)).filter(reaches)
     for measure in ("precision", "f1"):
         able = able.withColumn("_best", F.max(measure).over(everything)).filter(F.col("_best") - F.col(measure) <= TIE)
     return able.orderBy(F.col("bin").desc()).limit(1).select(
