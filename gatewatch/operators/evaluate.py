@@ -14,7 +14,7 @@ from gatewatch.schemas import SECONDS_PER_DAY
 DEFAULT_BINS = 10_000
 DEFAULT_RECALL = 0.8
 TIE = 1e-12
-RANGES = 256
+RANGES = 4096
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -123,10 +123,12 @@ def ranking_points(df: DataFrame, label: str = "label", probability: str = "prob
                    by: str | None = None) -> DataFrame:
     """Per distinct score: its positives and negatives, and how many of both score at least as high.
 
-    Scores are cut at quantiles into ``ranges`` ranges of about equal size; a running sum is taken inside each range in
-    parallel, and the totals of the higher ranges (at most ``ranges`` rows) are added. With ``by``, all of this per value
-    of a column with few values, such as the number of a model.
+    Scores are cut at quantiles into ``ranges`` ranges (rounded up to a power of two) of about equal size; a running sum is
+    taken inside each range in parallel, and the totals of the higher ranges (at most ``ranges`` rows) are added. With
+    ``by``, all of this per value of a column with few values, such as the number of a model.
     """
+    steps = max(1, (ranges - 1).bit_length())
+    ranges = 1 << steps
     group = [by] if by else []
     rows = df.select(*group, F.col(probability).cast("double").alias("score"), F.col(label).cast("bigint").alias("y"))
     quantiles = F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts")
@@ -135,7 +137,9 @@ def ranking_points(df: DataFrame, label: str = "label", probability: str = "prob
         placed = sums.join(F.broadcast(rows.groupBy(by).agg(quantiles)), by)
     else:
         placed = sums.withColumn("_cuts", rows.select(quantiles).scalar())
-    place = F.size(F.filter(F.col("_cuts"), lambda cut: cut < F.col("score")))
+    # How many cuts lie below the score, by halving: the cuts are sorted and one fewer than a power of two.
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(steps))])
+    place = F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.col("_cuts")[at + half - 1] < F.col("score"), at + half).otherwise(at))
     placed = placed.withColumn("_range", place).drop("_cuts")
     above = Window.partitionBy(*group).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*group, "_range").agg(F.sum("positives").alias("_p"), F.sum("negatives").alias("_n"))

@@ -29,6 +29,7 @@ from gatewatch.operators.evaluate import (
 )
 from gatewatch.operators.quality import require_min_positives, require_no_nan
 from gatewatch.schemas import FEATURE_COLUMNS
+from gatewatch.session import ensure_checkpoint_dir
 from gatewatch.sources.tables import scan_model_matrix
 
 # Settings of the two models.
@@ -54,6 +55,7 @@ class Bundle:
 
 def model_matrix(df: DataFrame) -> DataFrame:
     """Feature vector and label, kept on the executors' disks while a fit reads them repeatedly."""
+    ensure_checkpoint_dir(df.sparkSession)
     matrix = scan_model_matrix(df).withColumn("label", coerce_label("label").cast("double"))
     require_no_nan(matrix, FEATURE_COLUMNS)
     return _assembler().transform(matrix).select("features", "label").persist(StorageLevel.DISK_ONLY)

@@ -75,7 +75,7 @@ def check_three_days(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     """One row per relative day found or expected, with its rows and a verdict: ok, empty or out of range."""
     found = with_relative_day(df.select(ts), ts).groupBy("relative_day").agg(F.count("*").alias("n_rows"))
     wanted = df.sparkSession.range(len(SPLIT_NAMES)).select(F.col("id").cast("int").alias("relative_day"))
-    out = found.join(F.broadcast(wanted).withColumn("_wanted", F.lit(True)), "relative_day", "full")
+    out = found.join(wanted.withColumn("_wanted", F.lit(True)), "relative_day", "full")
     verdict = (F.when(F.col("_wanted").isNull(), "out of range").when(F.col("n_rows").isNull(), "empty").otherwise("ok"))
     return out.select("relative_day", F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"), verdict.alias("verdict"))
 

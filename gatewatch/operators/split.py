@@ -53,7 +53,7 @@ def split_stats(split: DataFrame) -> DataFrame:
 
 def split_report(split: DataFrame) -> DataFrame:
     """One row: totals, and the statistics of every split as a map."""
-    stats = split_stats(split)
+    stats = split_stats(split.filter(F.col("split").isNotNull()))
     entry = F.struct(F.col("split"), F.struct("n_rows", "benign", "anomaly", "min_timestamp", "max_timestamp"))
     return stats.agg(
         F.lit(True).alias("valid"),

@@ -529,7 +529,7 @@ def chronological_split_(spark, sf):
 
 @query("smote")
 def smote(spark, sf):
-    features = stage(_features(spark, sf), "features")
+    features = stage(build_features(_parsed(spark, sf)), "features")
     return R.smote(features)
 
 
@@ -543,13 +543,13 @@ def smote_segments(spark, sf):
 @query("smote_legacy")
 def smote_legacy(spark, sf):
     features = stage(build_legacy_features(_parsed(spark, sf), keep=["seq"]), "legacy")
-    return R.smote(features, spec=R.LEGACY_SPEC)
+    return R.smote(features, "seq", R.LEGACY_SPEC)
 
 
 @query("smote_report")
 def smote_report(spark, sf):
     features = stage(_features(spark, sf), "features")
-    return R.smote_report(features, R.smote(features))
+    return R.smote_report(features, R.smote(features, "seq"))
 
 
 def _days(spark, sf):

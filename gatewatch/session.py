@@ -32,3 +32,9 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Iterative fits cut their lineage by checkpoints. The cluster's folder is kept; one is set only where there is none."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoints"))

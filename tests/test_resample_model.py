@@ -86,7 +86,7 @@ def test_synthetic_rows_lie_between_their_parents(spark, legacy):
 
 def test_oversampling_report_and_edges(spark):
     df = sample_frame(spark)
-    row = R.smote_report(df, R.smote(df, k=10), k=10).first()
+    row = R.smote_report(df, R.smote(df, "seq", k=10), k=10).first()
     assert (row["benign_original"], row["attack_original"], row["synthetic_attack"], row["attack_after"], row["k_neighbors"]) == (295, 5, 95, 100, 4)
     assert row["all_original_train_rows_preserved"]
     assert R.synthetic_rows(df, "seq", multiplier=1) is None and R.smote(df, multiplier=1).count() == 300
@@ -96,6 +96,16 @@ def test_oversampling_report_and_edges(spark):
         R.synthetic_rows(df, "seq", multiplier=0)
 
 
+def test_rows_without_an_id_are_numbered_by_content(spark):
+    df = sample_frame(spark, 60, 12).drop("seq")
+    df = df.unionAll(df)
+    numbered = R.numbered_by_content(df, FEATURE_COLUMNS).orderBy("id").collect()
+    assert [r["id"] for r in numbered] == list(range(120))
+    assert [tuple(r)[1:] for r in numbered] == sorted(tuple(r)[1:] for r in numbered)
+    first, second = (sorted(map(tuple, R.smote(d, multiplier=3).filter("is_synthetic = 1").collect())) for d in (df, df.repartition(7)))
+    assert first == second and len(first) == 48
+
+
 def test_row_index_is_dense(spark):
     df = spark.range(0, 5000, 7).withColumnRenamed("id", "key")
     assert sorted(r[0] for r in R.row_index(df, "key", buckets=16).select("idx").collect()) == list(range(df.count()))
