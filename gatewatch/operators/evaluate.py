@@ -145,7 +145,8 @@ def ranking_points(df: DataFrame, label: str = "label", probability: str = "prob
     totals = placed.groupBy(*group, "_range").agg(F.sum("positives").alias("_p"), F.sum("negatives").alias("_n"))
     totals = totals.select(*group, "_range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("_p", "_n")])
     down = Window.partitionBy(*group, "_range").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.join(F.broadcast(totals), [*group, "_range"]).select(
+    # Every range has a total; a left join keeps its place from being worked out on raw rows as an inferred filter.
+    return placed.join(F.broadcast(totals), [*group, "_range"], "left").select(
         *group, "score", "positives", "negatives",
         (F.col("_p_above") + F.sum("positives").over(down)).alias("cum_positives"),
         (F.col("_n_above") + F.sum("negatives").over(down)).alias("cum_negatives"))

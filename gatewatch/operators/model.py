@@ -88,21 +88,22 @@ def train_baseline(train: DataFrame, **settings) -> Bundle:
     return Bundle(PipelineModel([_assembler(), fitted]), BASELINE_THRESHOLD, {"model": "boosted_baseline"})
 
 
-def prefix_scores(fitted, valid: DataFrame, first: int, last: int) -> dict[int, float]:
-    """Average precision on ``valid`` of the first ``n`` trees, for ``n`` in ``first..last``; one job for all of them."""
+def prefix_scores(fitted, rows: DataFrame, first: int, last: int) -> tuple[dict[int, float], DataFrame]:
+    """Average precision of the first ``n`` trees, for ``n`` in ``first..last``, in one job.
+
+    ``rows`` has ``features``, ``label`` and ``margin``, the weighted sum of the trees before ``first``. Also returns the same
+    rows with the margin after ``last`` trees, so that no tree is evaluated twice.
+    """
     trees, weights = fitted.trees, fitted.treeWeights
-    rows = valid
-    for i in range(last):
-        rows = trees[i].setFeaturesCol("features").setPredictionCol(f"_t{i}").transform(rows)
-    margin = sum((F.col(f"_t{i}") * float(weights[i]) for i in range(first)), F.lit(0.0))
-    steps = []
+    scored, margin, steps = rows, F.col("margin"), []
     for n in range(first, last + 1):
-        if n > first:
-            margin = margin + F.col(f"_t{n - 1}") * float(weights[n - 1])
+        scored = trees[n - 1].setFeaturesCol("features").setPredictionCol(f"_t{n}").transform(scored)
+        margin = margin + F.col(f"_t{n}") * float(weights[n - 1])
         steps.append(F.struct(F.lit(n).alias("trees"), margin.alias("score")))
-    long = rows.select("label", F.inline(F.array(*steps)))
+    kept = scored.select("features", "label", margin.alias("margin"), F.array(*steps).alias("_steps")).persist(StorageLevel.DISK_ONLY)
+    long = kept.select("label", F.inline("_steps"))
     found = average_precision(long, by="trees", label="label", probability="score").collect()
-    return {row["trees"]: row["pr_auc"] or 0.0 for row in found}
+    return {row["trees"]: row["pr_auc"] or 0.0 for row in found}, kept
 
 
 def train_weighted(train: DataFrame, valid: DataFrame, train_source: str = "original", patience: int = PATIENCE,
@@ -124,12 +125,16 @@ def train_weighted(train: DataFrame, valid: DataFrame, train_source: str = "orig
     try:
         weighted = matrix.withColumn("weight", weight)
         best, best_score, seen, size = 0, float("-inf"), 0, min(most, patience + block)
+        rows = held.withColumn("margin", F.lit(0.0))
         while True:
             fitted = GBTClassifier(maxIter=size, weightCol="weight", **settings).fit(weighted)
             stop = False
             while seen < len(fitted.trees) and not stop:
                 upto = min(seen + block, len(fitted.trees))
-                for n, value in sorted(prefix_scores(fitted, held, seen + 1, upto).items()):
+                found, after = prefix_scores(fitted, rows, seen + 1, upto)
+                rows.unpersist()
+                rows = after
+                for n, value in sorted(found.items()):
                     if value > best_score:
                         best, best_score = n, value
                     stop = stop or n - best >= patience
@@ -143,8 +148,8 @@ def train_weighted(train: DataFrame, valid: DataFrame, train_source: str = "orig
         scores = fitted.transform(held).select("label", _probability().alias("probability"))
         chosen = select_threshold(scores, bins, min_recall_target).first().asDict()
     finally:
-        matrix.unpersist()
-        held.unpersist()
+        for frame in (matrix, held, rows):
+            frame.unpersist()
     info = {
         "model": "boosted_weighted" if train_source == "original" else "boosted_smote",
         "validation_precision": chosen["precision"], "validation_recall": chosen["recall"], "validation_f1": chosen["f1"],

@@ -86,10 +86,12 @@ def nearest(df: DataFrame, row_id: str, columns: Sequence[str], k: int, scale: b
     spark = df.sparkSession
     columns = list(columns)
     raw = F.array(*[(F.col(c).cast("double") + F.lit(0.0)) for c in columns])
-    moments = column_moments(df, columns).first()
-    mean = [float(moments[f"mean_{c}"] or 0.0) if scale else 0.0 for c in columns]
-    std = [float(moments[f"std_{c}"] or 1.0) if scale else 1.0 for c in columns]
     rows = stage(df.select(F.col(row_id).cast("bigint").alias("id"), raw.alias("values")), "knn-rows")
+    mean, std = [0.0] * len(columns), [1.0] * len(columns)
+    if scale:
+        # One row per column comes back.
+        for m in rows.select(F.posexplode("values")).groupBy("pos").agg(F.avg("col").alias("mean"), F.stddev_pop("col").alias("std")).collect():
+            mean[m["pos"]], std[m["pos"]] = m["mean"], m["std"] or 1.0
 
     # Distinct points; each keeps the k+1 smallest ids, as no more of them can be anyone's neighbours.
     smallest = Window.partitionBy("values").orderBy("id")

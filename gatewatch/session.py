@@ -9,8 +9,27 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "gatewatch", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the jobs rely on. ``master`` is left to the cluster unless given."""
+PARTITION_BYTES = 256 << 20
+MAX_SHUFFLE_PARTITIONS = 50_000
+
+
+def sized_for(input_bytes: int) -> dict[str, str]:
+    """Shuffle settings for an input of this size: about 256 MiB per partition, at most 50,000 of them.
+
+    The number is where adaptive execution starts from; it merges small neighbours down to the advisory size.
+    """
+    wanted = min(MAX_SHUFFLE_PARTITIONS, max(200, -(-input_bytes // PARTITION_BYTES)))
+    return {
+        "spark.sql.shuffle.partitions": str(wanted),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(PARTITION_BYTES),
+    }
+
+
+def build_session(app: str = "gatewatch", master: str | None = None, input_bytes: int | None = None, **conf: str) -> SparkSession:
+    """A session with the settings the jobs rely on. ``master`` is left to the cluster unless given; ``input_bytes`` sizes
+    the shuffles.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -19,6 +38,7 @@ def build_session(app: str = "gatewatch", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        **(sized_for(input_bytes) if input_bytes else {}),
         **conf,
     }
     for key, value in settings.items():

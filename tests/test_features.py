@@ -51,12 +51,18 @@ HAND = {
 }
 
 
-@pytest.mark.parametrize("name", HAND)
 @pytest.mark.parametrize("hot", [False, True])
-def test_hand_cases(spark, name, hot):
-    rows, feature, want = HAND[name]
+def test_hand_cases(spark, hot):
+    """All cases in one table: ten days apart, each with names of its own."""
+    rows, wanted = [], {}
+    for number, (name, (case, feature, want)) in enumerate(HAND.items()):
+        for r, value in zip(case, want):
+            own = {c: v if v in (None, "?", "-") else f"{v}{number}" for c, v in r.items() if c in ("src_username", "username", "src_host", "destination_host")}
+            seq = len(rows)
+            rows.append({**r, **own, "seq": seq, "timestamp": r["timestamp"] + number * 864_000})
+            wanted[seq] = (name, feature, value)
     got = by_seq(build_features(frame(spark, rows), keep=["seq"], max_group_rows=0 if hot else 10**9, cell_rows=1))
-    assert [got[i][feature] for i in range(len(rows))] == want
+    assert [(n, f, got[s][f]) for s, (n, f, _) in wanted.items()] == list(wanted.values())
 
 
 def test_one_exchange_per_family(spark, tmp_path):

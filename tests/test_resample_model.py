@@ -148,7 +148,10 @@ def test_weighted_stops_early_and_repeats(spark, learnable):
 def test_tree_prefixes_score_like_shorter_fits(spark, learnable):
     matrix = model_matrix(learnable)
     long = train_baseline(learnable, maxIter=6).model.stages[-1]
-    got = prefix_scores(long, matrix, 1, 6)
+    got, rows = prefix_scores(long, matrix.withColumn("margin", F.lit(0.0)), 1, 4)
+    more, rows = prefix_scores(long, rows, 5, 6)
+    got.update(more)
+    rows.unpersist()
     for n in (2, 6):
         short = train_baseline(learnable, maxIter=n)
         want = average_precision(score_batch(short.model, learnable)).first()[0]
