@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from gatewatch.functions.scalar import map_event_id
 from gatewatch.operators.labels import label_join
-from gatewatch.plans.pipeline import to_canonical
+from gatewatch.plans.parsing import to_canonical
 from gatewatch.schemas import EVENT_XML_NAMESPACE
 
 
 def auth_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seq``, the nine raw columns (time as bigint) and ``value``."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    seconds = F.floor(F.unix_micros(F.to_timestamp(F.col("ts"))) / 1_000_000)
+    ts = F.col("ts")
+    seconds = F.unix_date(F.to_date(ts)) * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts)
     k = F.get_json_object("props", "$.k").cast("bigint")
     b = e.select(F.col("event_id").alias("seq"), (F.floor((seconds - 1704067200) / 300) * 30).alias("time"),
                  F.col("user_id").alias("u"), F.col("event_type").alias("y"), k.alias("k"), "value")

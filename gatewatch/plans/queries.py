@@ -34,7 +34,7 @@ from gatewatch.operators.windows import (
 )
 from gatewatch.plans import demo_tables as D
 from gatewatch.plans.features import build_features, build_legacy_features, with_context
-from gatewatch.plans.pipeline import TEXT_COLUMNS, parse, to_canonical
+from gatewatch.plans.parsing import TEXT_COLUMNS, parse, to_canonical
 from gatewatch.schemas import AUTH_COLUMNS, FEATURE_COLUMNS, FIVE_MINUTES, ONE_HOUR, OUTPUT_COLUMNS
 from gatewatch.session import scratch_dir
 from gatewatch.sources import tables as T
@@ -50,9 +50,17 @@ BASELINE_TREES = 20
 WEIGHTED_TREES = 20
 
 
+def _register(name: str, f: Query) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return f(spark, sf_dir)
+
+    QUERIES[name] = run
+
+
 def query(name: str):
     def register(f: Query) -> Query:
-        QUERIES[name] = f
+        _register(name, f)
         return f
 
     return register
@@ -93,7 +101,7 @@ def scan_auth_log_(spark, sf):
 
 @query("scan_attack_labels")
 def scan_attack_labels_(spark, sf):
-    from gatewatch.plans.pipeline import clean_labels
+    from gatewatch.plans.parsing import clean_labels
 
     return clean_labels(scan_attack_labels(spark, _label_files(spark, sf))).withColumn("label", F.lit(1))
 
@@ -331,7 +339,7 @@ def _pair(df):
 
 
 def _w(name, f):
-    QUERIES[name] = lambda spark, sf: f(with_context(_parsed(spark, sf)), name).select("seq", name)
+    _register(name, lambda spark, sf: f(with_context(_parsed(spark, sf)), name).select("seq", name))
 
 
 _w("auth_attempts_5m_per_src_user", lambda d, n: rolling_count(d, ["src_username"], FIVE_MINUTES, n))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,12 @@ def _csv(spark: SparkSession, schema, path, encoding: str) -> DataFrame:
             .option("encoding", encoding).csv(path))
 
 
+def _bytes(setting: str) -> int:
+    """``134217728``, ``134217728b``, ``128m`` or ``128MB`` as a number of bytes."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", setting.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def with_file_order(spark: SparkSession, df: DataFrame, path) -> DataFrame:
     """Append ``seq``, a unique bigint that grows in file order (files by path, then position).
 
@@ -25,8 +33,7 @@ def with_file_order(spark: SparkSession, df: DataFrame, path) -> DataFrame:
     MiB, plus the MiB its split starts at, plus the running number inside the input partition. Splits are never smaller
     than one MiB (the open cost alone is larger), so no two rows share a number. Only file names and sizes are listed.
     """
-    split_floor = int(spark.conf.get("spark.sql.files.openCostInBytes").rstrip("b")), spark.conf.get("spark.sql.files.maxPartitionBytes")
-    if min(split_floor[0], int(split_floor[1].rstrip("b"))) < _UNIT:
+    if min(_bytes(spark.conf.get(f"spark.sql.files.{name}")) for name in ("openCostInBytes", "maxPartitionBytes")) < _UNIT:
         raise ValueError("input splits must be at least 1 MiB: raise spark.sql.files.openCostInBytes / maxPartitionBytes")
     files = (spark.read.format("binaryFile").load(path)
              .select(F.col("_metadata.file_path").alias("_file"), F.ceil(F.greatest(F.col("_metadata.file_size"), F.lit(1)) / _UNIT).alias("_units")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gatewatch.functions import scalar as S
 from gatewatch.operators.labels import dedup_records, label_join
 from gatewatch.operators.quality import check_sorted
-from gatewatch.plans.pipeline import clean_labels, parse
+from gatewatch.plans.parsing import clean_labels, parse
 from gatewatch.sources.event_xml import parse_event_xml
 from gatewatch.sources.tables import load_parsed, scan_parsed, write_parsed
 from gatewatch.sources.text import scan_attack_labels, scan_auth_log
@@ -61,6 +61,12 @@ def test_small_splits_are_refused(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_byte_settings():
+    from gatewatch.sources.text import _bytes
+
+    assert [_bytes(t) for t in ("1048576", "1048576b", "1024k", "1MB", "2g")] == [1 << 20] * 4 + [2 << 30]
+
+
 def test_parse_cleans_labels_and_joins(spark, tmp_path):
     (tmp_path / "auth.csv").write_text(
         "1, U1 ,U2\t,C1,C2,NTLM,Network,LogOn, Success\nabc,U1,U2,C1,C2,NTLM,Network,LogOn,Success\n"
