@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -47,9 +48,13 @@ def build_session(app: str = "gatewatch", master: str | None = None, input_bytes
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A fresh folder under ``spark.checkpoint.dir``, which all executors share. Where that is unset, a local master (as in
+    tests) gets a local folder, and any other an error: its executors could not read each other's files.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
