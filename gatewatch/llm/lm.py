@@ -1,6 +1,6 @@
 """Deleted interpolation: n-gram shares mixed by context frequency, with weights fitted on deleted counts.
 
-Documents are packed into blocks of about a million tokens. A block sends each of its distinct n-grams once, as one packed
+Documents are packed into blocks of under a million tokens. A block sends each of its distinct n-grams once, as one packed
 row per range of hashes; a range adds up what all blocks sent and answers each block. A frequent n-gram is therefore as
 many numbers as there are blocks, and no row per token is ever shuffled.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewatch.llm.staging import staged
-from gatewatch.llm.words import WordHashes, lower_words, mix, planes, unplanes
+from gatewatch.llm.words import WordHashes, lower_words, mix, planes, rows_of, unplanes
 
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
@@ -40,7 +40,7 @@ def _pack(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.R
 
     def block():
         vocab, words = np.unique(np.concatenate(found), return_inverse=True)
-        row = [(part << 24) + made, docs, lengths, roles, vocab.tobytes(), planes(words.astype(np.uint32)), sum(n for n, r in zip(lengths, roles) if r), size]
+        row = [(part << 24) + made, docs, lengths, roles, vocab.tobytes(), planes(words), sum(n for n, r in zip(lengths, roles) if r), size]
         return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, schema)], schema=schema)
 
     for batch in batches:
@@ -76,31 +76,30 @@ def _send(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterat
     names = ["bucket", "order", "block", "low", "hashes", "total", "deleted"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
-    for batch in batches:
-        for row in batch.to_pylist():
-            lengths, roles = np.array(row["lengths"], np.int64), np.array(row["roles"])
-            tokens = np.frombuffer(row["vocab"], np.uint64)[unplanes(row["words"], np.uint32)]
-            role = np.repeat(roles, lengths)
-            for k, grams in enumerate(_grams(tokens, lengths, order), 1):
-                known, at = np.unique(grams, return_inverse=True)
-                total = np.bincount(at[role != OTHER], minlength=len(known)).astype(np.uint32)
-                deleted = np.bincount(at[role == DELETED], minlength=len(known)).astype(np.uint32)
-                cuts = np.append(np.searchsorted(known, edges), len(known))
-                rows = []
-                for b in range(buckets):
-                    i, j = cuts[b], cuts[b + 1]
-                    if i < j:
-                        steps = np.diff(known[i:j], prepend=known[i])
-                        rows.append((k * buckets + b, k, row["block"], known[i].view(np.int64), planes(steps), planes(total[i:j]), planes(deleted[i:j])))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
+    for row in rows_of(batches):
+        lengths, roles = np.array(row["lengths"], np.int64), np.array(row["roles"])
+        tokens = np.frombuffer(row["vocab"], np.uint64)[unplanes(row["words"])]
+        role = np.repeat(roles, lengths)
+        for k, grams in enumerate(_grams(tokens, lengths, order), 1):
+            known, at = np.unique(grams, return_inverse=True)
+            total = np.bincount(at[role != OTHER], minlength=len(known)).astype(np.uint32)
+            deleted = np.bincount(at[role == DELETED], minlength=len(known)).astype(np.uint32)
+            cuts = np.append(np.searchsorted(known, edges), len(known))
+            rows = []
+            for b in range(buckets):
+                i, j = cuts[b], cuts[b + 1]
+                if i < j:
+                    steps = np.diff(known[i:j], prepend=known[i])
+                    rows.append((k * buckets + b, k, row["block"], known[i].view(np.int64), planes(steps), planes(total[i:j]), planes(deleted[i:j])))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
 
 
 def _add(rows):
     """All blocks' counts of one range of hashes, added up and given back to each block."""
-    hashes = [np.cumsum(np.concatenate([np.array([low], np.int64).view(np.uint64), unplanes(h, np.uint64)[1:]]), dtype=np.uint64)
+    hashes = [np.cumsum(np.concatenate([np.array([low], np.int64).view(np.uint64), unplanes(h)[1:]]), dtype=np.uint64)
               for low, h in zip(rows["low"].to_pylist(), rows["hashes"].to_pylist())]
     known, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    totals, deleted = (np.bincount(at, np.concatenate([unplanes(x, np.uint32) for x in rows[c].to_pylist()]), len(known)).astype(np.uint64) for c in ("total", "deleted"))
+    totals, deleted = (np.bincount(at, np.concatenate([unplanes(x) for x in rows[c].to_pylist()]), len(known)).astype(np.uint64) for c in ("total", "deleted"))
     ends = np.cumsum([len(h) for h in hashes])
     parts = [at[e - len(h):e] for h, e in zip(hashes, ends)]
     return pa.table({
@@ -116,14 +115,14 @@ def _receive(left: pa.Table, right: pa.Table, order: int) -> pa.Table:
     answers = right.to_pylist()
     for row in left.to_pylist():
         lengths, roles = np.array(row["lengths"], np.int64), np.array(row["roles"])
-        tokens = np.frombuffer(row["vocab"], np.uint64)[unplanes(row["words"], np.uint32)]
+        tokens = np.frombuffer(row["vocab"], np.uint64)[unplanes(row["words"])]
         held = np.repeat(roles, lengths) == DELETED
         counts, gone = [], []
         for k, grams in enumerate(_grams(tokens, lengths, order), 1):
             own = sorted((r for r in answers if r["order"] == k), key=lambda r: int(np.array([r["low"]], np.int64).view(np.uint64)[0]))
             _, at = np.unique(grams, return_inverse=True)
-            counts.append(planes(np.concatenate([unplanes(r["total"], np.uint64) for r in own])[at]))
-            gone.append(planes(np.concatenate([unplanes(r["deleted"], np.uint64) for r in own])[at][held]))
+            counts.append(planes(np.concatenate([unplanes(r["total"]) for r in own])[at]))
+            gone.append(planes(np.concatenate([unplanes(r["deleted"]) for r in own])[at][held]))
         for c, v in (("docs", row["docs"]), ("lengths", row["lengths"]), ("roles", row["roles"]), ("counts", counts), ("deleted", gone)):
             out[c].append(v)
     return pa.table({"docs": pa.array(out["docs"], pa.list_(pa.int64())), "lengths": pa.array(out["lengths"], pa.list_(pa.int32())),
@@ -146,23 +145,22 @@ def _shares(counts: list[np.ndarray], first: np.ndarray, tokens: float, docs: fl
 
 
 def _held(batches: Iterator[pa.RecordBatch], tokens: float, docs: float, vocabulary: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            lengths, roles = np.array(row["lengths"], np.int64), np.array(row["roles"])
-            held = np.repeat(roles, lengths) == DELETED
-            if not held.any():
-                continue
-            own = lengths[roles == DELETED]
-            left = [np.maximum(unplanes(c, np.uint64)[held].astype(np.float64) - unplanes(d, np.uint64), 0) for c, d in zip(row["counts"], row["deleted"])]
-            bucket, shares = _shares(left, np.cumsum(own) - own, tokens, docs, vocabulary)
-            packed = np.concatenate([bucket[:, None].astype(np.float32), shares.astype(np.float32)], 1)
-            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(packed.T).tobytes()], pa.binary())], names=["mixed"])
+    for row in rows_of(batches):
+        lengths, roles = np.array(row["lengths"], np.int64), np.array(row["roles"])
+        held = np.repeat(roles, lengths) == DELETED
+        if not held.any():
+            continue
+        own = lengths[roles == DELETED]
+        left = [np.maximum(unplanes(c)[held].astype(np.float64) - unplanes(d), 0) for c, d in zip(row["counts"], row["deleted"])]
+        bucket, shares = _shares(left, np.cumsum(own) - own, tokens, docs, vocabulary)
+        packed = np.concatenate([bucket[:, None].astype(np.float32), shares.astype(np.float32)], 1)
+        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(packed.T).tobytes()], pa.binary())], names=["mixed"])
 
 
 def _expect(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
     sums, fit = np.zeros(weights.shape), 0.0
     for batch in batches:
-        for data in batch.column(0).to_pylist():
+        for data in (x.as_py() for x in batch.column(0)):
             packed = np.frombuffer(data, np.float32).reshape(weights.shape[1] + 1, -1).astype(np.float64)
             bucket = packed[0].astype(np.int64)
             share = weights[bucket].T * packed[1:]
@@ -174,17 +172,16 @@ def _expect(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[
 
 
 def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray, tokens: float, docs: float, vocabulary: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            lengths = np.array(row["lengths"], np.int64)
-            counts = [unplanes(c, np.uint64).astype(np.float64) for c in row["counts"]]
-            first = np.cumsum(lengths) - lengths
-            bucket, shares = _shares(counts, first, tokens, docs, vocabulary)
-            score = np.log10((weights[bucket] * shares).sum(1))
-            base = np.log10((counts[0] + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
-            add = lambda x: np.add.reduceat(x, first)
-            yield pa.RecordBatch.from_arrays([pa.array(row["docs"], pa.int64()), pa.array(lengths), pa.array(add((counts[0] > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(score))],
-                                             names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+    for row in rows_of(batches):
+        lengths = np.array(row["lengths"], np.int64)
+        counts = [unplanes(c).astype(np.float64) for c in row["counts"]]
+        first = np.cumsum(lengths) - lengths
+        bucket, shares = _shares(counts, first, tokens, docs, vocabulary)
+        score = np.log10((weights[bucket] * shares).sum(1))
+        base = np.log10((counts[0] + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
+        add = lambda x: np.add.reduceat(x, first)
+        yield pa.RecordBatch.from_arrays([pa.array(row["docs"], pa.int64()), pa.array(lengths), pa.array(add((counts[0] > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(score))],
+                                         names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
 def _fit(held: DataFrame, order: int, rounds: int, tolerance: float) -> np.ndarray:
@@ -212,7 +209,7 @@ def _fit(held: DataFrame, order: int, rounds: int, tolerance: float) -> np.ndarr
 
 
 def deleted_interpolation(docs: DataFrame, learn, deleted, order: int = 2, rounds: int = 20, tolerance: float = 1e-4,
-                          block_tokens: int = 1 << 20, bucket_grams: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                          block_tokens: int = 3 << 18, bucket_grams: int = 3 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores every text with an interpolated n-gram model learned from the rows where ``learn`` holds.
 
     Tokens are lower-cased words and one end per text. The probability of a token mixes the uniform share 1 / (V + 1), its

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -39,10 +40,20 @@ def mix(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Fixed-width integers with their lowest bytes first, then the next: small numbers then compress well."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    """Unsigned integers in as few bytes as the largest needs, lowest bytes first, then the next: small numbers compress well."""
+    top = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+    return bytes([width]) + np.ascontiguousarray(values.astype(f"u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
 
 
-def unplanes(data: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
+def unplanes(data: bytes) -> np.ndarray:
+    width = data[0]
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T).reshape(-1).view(f"u{width}")
+
+
+def rows_of(batches):
+    """The rows of Arrow batches as dicts, one at a time, so that one large row is held at once."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+        pa.default_memory_pool().release_unused()
