@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewatch.llm.lm import deleted_interpolation
+from gatewatch.llm.quality_rules import quality_rules
 from gatewatch.llm.staging import table
 
 QUERIES = {}
@@ -32,3 +33,14 @@ def op1_lm_scoring(spark, sf_dir):
     scores = deleted_interpolation(docs, learn, F.floor(fold() / 5) % 10 == 0)
     held_out = F.coalesce(fold() % 5 == 1, F.lit(False))
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def trusted_ids(spark, sf_dir):
+    """Documents that the label table calls good and not toxic."""
+    return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+
+
+@query
+def op10_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules(docs, trusted_ids(spark, sf_dir), with_text=False)
