@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewatch.llm.lm import deleted_interpolation
+from gatewatch.llm.quality_classifier import fit_quality, score_quality
 from gatewatch.llm.quality_rules import quality_rules
 from gatewatch.llm.staging import table
 
@@ -44,3 +45,19 @@ def trusted_ids(spark, sf_dir):
 def op10_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs, trusted_ids(spark, sf_dir), with_text=False)
+
+
+QUALITY_CUT = 0.3
+
+
+def quality_model(spark, docs, sf_dir):
+    """Fitted on the labelled rows whose id's checksum is not 0 modulo 5; a quarter of those calibrate."""
+    return fit_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), fold() % 5 != 0, F.floor(fold() / 5) % 4 == 0)
+
+
+@query
+def op6_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = score_quality(docs, quality_model(spark, docs, sf_dir), drop=("text",))
+    held_out = F.coalesce(fold() % 5 == 0, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
