@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewatch.llm.lm import deleted_interpolation
+from gatewatch.llm.near_dups import near_duplicates
 from gatewatch.llm.quality_classifier import fit_quality, score_quality
 from gatewatch.llm.quality_rules import quality_rules
 from gatewatch.llm.staging import table
@@ -61,3 +62,8 @@ def op6_quality_classifier(spark, sf_dir):
     scores = score_quality(docs, quality_model(spark, docs, sf_dir), drop=("text",))
     held_out = F.coalesce(fold() % 5 == 0, F.lit(False))
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
+@query
+def op8_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)

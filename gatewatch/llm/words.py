@@ -57,3 +57,34 @@ def rows_of(batches):
         for i in range(batch.num_rows):
             yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}
         pa.default_memory_pool().release_unused()
+
+
+def groups_of(batches, key: str):
+    """Tables of consecutive rows with an equal integer ``key``, whatever batches they came in."""
+    rest = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        if rest is not None:
+            now = pa.concat_tables([rest, now])
+        if not now.num_rows:
+            continue
+        keys = now[key].to_numpy()
+        starts = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
+        now = now.combine_chunks()
+        for i, j in zip(starts, starts[1:]):
+            yield now.slice(i, j - i)
+        rest = now.slice(starts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def joined_up(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric yes/no matrix, the first row it is connected with, itself included."""
+    label = np.full(len(linked), -1)
+    for i in range(len(linked)):
+        if label[i] < 0:
+            label[i], front = i, [i]
+            while front:
+                new = np.flatnonzero(linked[front].any(0) & (label < 0))
+                label[new], front = i, new.tolist()
+    return label
