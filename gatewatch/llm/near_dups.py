@@ -17,13 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewatch.llm.graph import components
-from gatewatch.llm.staging import staged
+from gatewatch.llm.staging import small, staged
 from gatewatch.llm.words import WordHashes, groups_of, joined_up, lower_words, mix
 
 LEVELS = 6
 NODE_LIMIT = 64  # a node of at most this many texts is compared exhaustively
 CHUNK = 192  # full sets compared in one go
-BROADCAST_ROWS = 1_000_000
 
 
 def shingles(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarray:
@@ -126,31 +125,26 @@ def _candidates(sets: DataFrame, trees: int, least: float) -> DataFrame:
     path = lambda level: F.xxhash64(F.col("tree"), F.substring("path", 1, 4 * (level + 1)))
     rows = sets.select("id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "sketch")
     rows = rows.select("id", "tree", F.expr(f"substring(sketch, tree * {4 * LEVELS} + 1, {4 * LEVELS})").alias("path"))
-    small, links = None, []
+    few, links = None, []
     for level in range(LEVELS):
         rows = rows.withColumn("node", path(level))
         sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
         met = staged(rows.join(sizes, "node"), f"level-{level}")
         done = met.where(F.col("n") <= NODE_LIMIT).select("node", "id")
-        small = done if small is None else small.unionAll(done)
+        few = done if few is None else few.unionAll(done)
         rows = met.where(F.col("n") > NODE_LIMIT)
         if level == LEVELS - 1:
             links.append(rows.select(F.col("id").alias("a"), F.col("least").alias("b")))
         elif rows.isEmpty():
             break
         rows = rows.select("id", "tree", "path")
-    few = small.join(sets.select("id", "sketch"), "id").repartition("node").sortWithinPartitions("node")
+    few = few.join(sets.select("id", "sketch"), "id").repartition("node").sortWithinPartitions("node")
     found = few.mapInArrow(lambda it: _compare_sketches(it, least), "a long, b long")
     for more in links:
         found = found.unionAll(more)
     return staged(found.where("a <> b").distinct(), "candidates")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A hint to send ``df`` to all tasks where it has few rows; else both sides are shuffled."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
     """Links on full sets within candidate clusters(id, cluster), complete for connectivity.
 
@@ -164,7 +158,7 @@ def _confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -
     spread = placed.select("id", "cluster", F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk"))).alias("chunk"))
 
     def compared(places: DataFrame) -> DataFrame:
-        rows = docs.join(_small(places), "id").repartition("part").sortWithinPartitions("part").select("part", "id", "text")
+        rows = docs.join(small(places), "id").repartition("part").sortWithinPartitions("part").select("part", "id", "text")
         return rows.mapInArrow(lambda it: _compare_sets(it, width, percent), "a long, b long").where("a <> b").distinct()
 
     links = staged(compared(spread.select("id", F.xxhash64("cluster", "chunk").alias("part"))), "links")

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewatch.llm.staging import staged
+from gatewatch.llm.staging import small, staged
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-BROADCAST_IDS = 1_000_000
 
 
 def let(value: Column, body) -> Column:
@@ -68,9 +67,7 @@ def _ngrams(docs: DataFrame, buckets: int, outer: bool = False) -> DataFrame:
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per hash bucket of words and word pairs, log of its share in trusted texts over its share in all texts: at most ``buckets`` rows."""
     ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(1))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id", "left")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(small(ids), "_id", "left")
     counts = _ngrams(rows.select("_trusted", words_of(F.col("_text")).alias("_words")), buckets).groupBy("_bucket").agg(
         F.count("_trusted").alias("good"), F.count("*").alias("all"))
     counts = staged(counts, "ratio-counts")
@@ -94,13 +91,14 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.15,
     ratios = log_ratios(docs, trusted, buckets, id_col=id_col, text_col=text_col)
     if trusted.isEmpty():
         ratios = ratios.withColumn("_ratio", F.lit(0.0))
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ratio", "kept"]
-    carried = [c for c in docs.columns if c not in made and (with_text or c != text_col)]
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*carried).alias("_doc"), F.col(text_col).alias("_text"),
-                       words_of(F.col(text_col)).alias("_words"))
-    rows = rows.select("_row", "_doc", F.struct(*[c.alias(n) for n, c in base_counts("_text").items()]).alias("_counts"), "_words")
+    counts = base_counts("_text")
+    carried = [c for c in docs.columns if c not in {*counts, "base_failed", "log_ratio", "kept"} and (with_text or c != text_col)]
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)],
+                       F.col(text_col).alias("_text"), words_of(F.col(text_col)).alias("_words"))
+    rows = rows.select("_row", *[f"_c{i}" for i in range(len(carried))], *[c.alias(n) for n, c in counts.items()], "_words")
     scored = _ngrams(rows, buckets, outer=True).join(F.broadcast(ratios), "_bucket", "left")
-    out = scored.groupBy("_row").agg(F.first("_doc").alias("_doc"), F.first("_counts").alias("_counts"), F.avg("_ratio").alias("log_ratio"))
+    # Plain numbers are summed up by hash; only texts and lists among the carried columns would need a sort.
+    out = scored.groupBy("_row").agg(*[F.first(f"_c{i}").alias(c) for i, c in enumerate(carried)], *[F.first(n).alias(n) for n in counts], F.avg("_ratio").alias("log_ratio"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (out.select("_doc.*", "_counts.*", "log_ratio").withColumn("base_failed", failed)
+    return (out.drop("_row").withColumn("base_failed", failed)
             .withColumn("kept", ~failed & (F.coalesce(F.col("log_ratio"), F.lit(0.0)) >= threshold)))

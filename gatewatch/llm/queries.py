@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewatch.llm.lm import deleted_interpolation
+from gatewatch.llm.mixing import mix_sources
 from gatewatch.llm.near_dups import near_duplicates
+from gatewatch.llm.pieces import encode_pieces
 from gatewatch.llm.quality_classifier import fit_quality, score_quality
 from gatewatch.llm.quality_rules import quality_rules
 from gatewatch.llm.staging import table
@@ -67,3 +71,18 @@ def op6_quality_classifier(spark, sf_dir):
 @query
 def op8_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+MIX_WEIGHTS = (5, 2, 1)
+MIX_SHARE = 1.5
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@query
+def op3_source_mixing(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE)
+
+
+@query
+def op4_sentence_pieces(spark, sf_dir):
+    return encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL, drop=("text",))

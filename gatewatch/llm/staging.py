@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from gatewatch.session import scratch_dir
 
@@ -16,3 +17,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A hint to send a table of a few short columns to all tasks where it has few rows; else both sides of a join are shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """``df`` with each row's place from 1 in the given order. Ranges of rows are numbered apart and then moved by the number
+    of rows before them, so that no task sorts more than its range.
+    """
+    ranged = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    inside = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return inside.join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
