@@ -64,16 +64,20 @@ def _ngrams(docs: DataFrame, buckets: int, outer: bool = False) -> DataFrame:
     return rows.withColumn("_bucket", F.when(F.col("_i").isNotNull(), F.pmod(key, F.lit(buckets)).cast("int"))).drop("_words", "_i")
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per hash bucket of words and word pairs, log of its share in trusted texts over its share in all texts: at most ``buckets`` rows."""
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per hash bucket of words and word pairs, log of its share in trusted texts over its share in all texts: at most ``buckets`` rows.
+
+    The corpus counts are brought to the trusted texts' total and both get the same additive smoothing, so that buckets
+    with few words say little.
+    """
     ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(1))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(small(ids), "_id", "left")
     counts = _ngrams(rows.select("_trusted", words_of(F.col("_text")).alias("_words")), buckets).groupBy("_bucket").agg(
         F.count("_trusted").alias("good"), F.count("*").alias("all"))
     counts = staged(counts, "ratio-counts")
     whole = counts.agg(F.sum("good").alias("good"), F.sum("all").alias("all")).first()
-    good, everything = (whole["good"] or 0) + smoothing * buckets, (whole["all"] or 0) + smoothing * buckets
-    return counts.select("_bucket", (F.log((F.col("good") + smoothing) / good) - F.log((F.col("all") + smoothing) / everything)).alias("_ratio"))
+    scale = (whole["good"] or 0) / (whole["all"] or 1)
+    return counts.select("_bucket", (F.log(F.col("good") + smoothing) - F.log(F.col("all") * scale + smoothing)).alias("_ratio"))
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.15, buckets: int = 1 << 16, with_text: bool = True,
