@@ -42,8 +42,11 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated score reaches the cut; with no labelled document among them all score 0.5 and stay."""
-    return score_quality(docs, quality_model(spark, docs, sf_dir), score_col="_score").where(F.col("_score") >= QUALITY_CUT).select(docs.columns)
+    """Documents whose calibrated score reaches the cut. The model learns from the labelled rows of the whole table, so that it
+    has seen what the rules already rejected; without any, all score 0.5 and stay.
+    """
+    model = quality_model(spark, table(spark, sf_dir, "documents"), sf_dir)
+    return score_quality(docs, model, score_col="_score").where(F.col("_score") >= QUALITY_CUT).select(docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

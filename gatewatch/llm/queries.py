@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gatewatch.llm.lm import deleted_interpolation
 from gatewatch.llm.mixing import mix_sources
 from gatewatch.llm.near_dups import near_duplicates
+from gatewatch.llm.neighbour_links import link_neighbours
 from gatewatch.llm.pieces import encode_pieces
 from gatewatch.llm.quality_classifier import fit_quality, score_quality
 from gatewatch.llm.quality_rules import quality_rules
@@ -86,3 +87,8 @@ def op3_source_mixing(spark, sf_dir):
 @query
 def op4_sentence_pieces(spark, sf_dir):
     return encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL, drop=("text",))
+
+
+@query
+def op2_neighbour_links(spark, sf_dir):
+    return link_neighbours(table(spark, sf_dir, "embeddings"))
