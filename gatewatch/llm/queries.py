@@ -7,14 +7,18 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatewatch.llm.licences import scan_licences
 from gatewatch.llm.lm import deleted_interpolation
 from gatewatch.llm.mixing import mix_sources
 from gatewatch.llm.near_dups import near_duplicates
 from gatewatch.llm.neighbour_links import link_neighbours
 from gatewatch.llm.pieces import encode_pieces
+from gatewatch.llm.preferences import format_preferences
 from gatewatch.llm.quality_classifier import fit_quality, score_quality
 from gatewatch.llm.quality_rules import quality_rules
-from gatewatch.llm.staging import table
+from gatewatch.llm.staging import staged, table
+from gatewatch.llm.warc import assemble, read_warc, write_warc
+from gatewatch.session import scratch_dir
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -92,3 +96,48 @@ def op4_sentence_pieces(spark, sf_dir):
 @query
 def op2_neighbour_links(spark, sf_dir):
     return link_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_warc_captures(spark, sf_dir):
+    path = scratch_dir(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    captures = assemble(staged(read_warc(spark, path, with_payload=False), "records"))
+    rows = captures.select(F.col("metadata.fields")["id"].cast("long").alias("page_id"), F.col("capture.payload_bytes").alias("payload_bytes"),
+                           F.col("capture.payload_digest").alias("payload_digest"), F.col("capture.record_type").alias("record_type"),
+                           F.col("refers_to.fields")["id"].cast("long").alias("refers_to"), F.col("metadata.fields")["copies"].cast("long").alias("copies"))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies", "_copy")
+
+
+ORACLE["op7_warc_captures"] = """
+with p as (select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as n from pages),
+f as (select h, min(page_id) as first_id from p where n >= 100 group by h)
+select p.page_id, cast(p.n as bigint) as payload_bytes, sha256(p.h) as payload_digest,
+  case when first_id <> p.page_id then 'revisit' else 'response' end as record_type,
+  case when first_id <> p.page_id then first_id end as refers_to
+from p left join f using (h)
+"""
+
+
+@query
+def op5_licence_scan(spark, sf_dir):
+    """A directory per source, language and thousand ids; every tenth document is its directory's licence file."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", "lang", (F.expr("doc_id div 1000")).cast("string"), name)
+    return scan_licences(docs.select("doc_id", path.alias("path"), "text"), id_col="doc_id")
+
+
+@query
+def op9_preference_pairs(spark, sf_dir):
+    """Each conversation is chosen over a twin whose last reply is that of the neighbouring conversation (ids 2k and 2k + 1)."""
+    turns = table(spark, sf_dir, "conversations")
+    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last")).select("conv_id", "last.*")
+    chosen = turns.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    ends = last.select(F.col("conv_id").alias("pair_id"), F.col("turn").alias("at"))
+    kept = chosen.join(ends, "pair_id", "left").where("at is null or turn < at").drop("at")
+    partner = F.when(F.col("conv_id") % 2 == 0, F.col("conv_id") + 1).otherwise(F.col("conv_id") - 1)
+    reply = last.select(partner.alias("pair_id"), "text").join(ends, "pair_id").select("pair_id", F.col("at").alias("turn"), F.lit("assistant").alias("role"), "text")
+    pairs = format_preferences(chosen, kept.unionByName(reply))
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",").alias(c)
+    return pairs.select("pair_id", "n_prompt_turns", "prompt", "chosen", "rejected", text("chosen_spans"), text("rejected_spans"))
