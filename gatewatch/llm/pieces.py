@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁"
-CACHED_UNITS = 600_000
-CACHED_PAIRS = 250_000
+CACHED_UNITS = 1_200_000
+CACHED_PAIRS = 400_000
 OUT_ROWS = 500
 
 # Fixed values of the public model format: field numbers, piece types, model types.
@@ -82,6 +83,7 @@ class PieceTransducer:
         if kind not in (UNIGRAM, BPE) or normal[CHARS_MAP] or not normal[ESCAPE]:
             raise ValueError("only unigram and BPE models with an identity character map are supported")
         self.merges, self.prefix, self.squeeze = kind == BPE, bool(normal[DUMMY_PREFIX]), bool(normal[REMOVE_EXTRA])
+        self.characters = {p for p in self.ids if len(p) == 1}
         self.arcs = ahocorasick.Automaton()
         for text in self.ids:
             self.arcs.add_word(text, text)
@@ -132,13 +134,10 @@ class PieceTransducer:
 
     def hold(self, left: str, right: str) -> bool:
         """Whether two pieces can stand side by side."""
-        key = (left, right)
-        known = self.beside.get(key)
-        if known is None:
-            if len(self.beside) >= CACHED_PAIRS:
-                self.beside.clear()
-            known = self.beside[key] = self.merged(left + right) == [left, right]
-        return known
+        if len(self.beside) >= CACHED_PAIRS:
+            self.beside.clear()
+        fits = self.beside[left, right] = self.merged(left + right) == [left, right]
+        return fits
 
     def shortest(self, unit: str) -> list[str]:
         """Arcs of the cheapest path through the lattice of a unit all of whose characters are pieces. The automaton names the
@@ -146,13 +145,15 @@ class PieceTransducer:
         """
         last: list[str | None] = [""] + [None] * len(unit)
         costs = [0.0] * (len(unit) + 1)
+        beside = self.beside
         for end, piece in self.arcs.iter(unit):
             j = end + 1
             before = last[j - len(piece)]
-            if before is None:
+            if before is None or self.merges and last[j] is not None:
                 continue
             if self.merges:
-                if last[j] is None and (not before or self.hold(before, piece)):
+                fits = not before or beside.get((before, piece))
+                if fits if fits is not None else self.hold(before, piece):
                     last[j] = piece
             elif last[j] is None or costs[j - len(piece)] - self.scores[piece] < costs[j]:
                 last[j], costs[j] = piece, costs[j - len(piece)] - self.scores[piece]
@@ -165,16 +166,19 @@ class PieceTransducer:
         return path[::-1]
 
     def _unit(self, unit: str) -> bytes:
-        out: list[int] = []
-        for covered, group in groupby(unit, self.ids.__contains__):
-            part = "".join(group)
-            if covered:
-                out += [self.ids[p] for p in self.shortest(part)]
-            else:
-                out += [self.byte_ids[b] for b in part.encode("utf-8", "replace")] if self.has_bytes else [self.unknown]
+        if self.characters.issuperset(unit):
+            out = [self.ids[p] for p in self.shortest(unit)]
+        else:
+            out = []
+            for covered, group in groupby(unit, self.characters.__contains__):
+                part = "".join(group)
+                if covered:
+                    out += [self.ids[p] for p in self.shortest(part)]
+                else:
+                    out += [self.byte_ids[b] for b in part.encode("utf-8", "replace")] if self.has_bytes else [self.unknown]
         if len(self.seen) >= CACHED_UNITS:
             self.seen.clear()
-        found = self.seen[unit] = np.array(out, np.int32).tobytes()
+        found = self.seen[unit] = array("i", out).tobytes()
         return found
 
     def encode(self, text: str | None) -> np.ndarray:
