@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from gatewatch.llm.quality_rules import words_of
 from gatewatch.llm.staging import numbered, small, staged
 
-SHARD_DOCS = 20_000
+SHARD_DOCS = 2_000
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -37,18 +37,25 @@ def sainte_lague(parties: DataFrame, group: list[str], order: list[Column], vote
     A first share by the even divisor is off by a bounded number of seats; only the quotients within that bound of it are
     ranked. There are a few of them per party, whatever the number of seats. Equal quotients go in the given order.
     """
-    whole = parties.groupBy(*group).agg(F.sum(votes).alias("_v"), F.count("*").alias("_n")).withColumn("_seats", seats.cast("long"))
-    same = [parties[g].eqNullSafe(whole[g]) for g in group]
-    rows = parties.join(small(whole), same).drop(*[whole[g] for g in group])
+    sums = parties.groupBy(*group).agg(F.sum(votes).alias("_v"), F.count("*").alias("_n"))
+    if group:
+        rows = parties.join(small(sums), [parties[g].eqNullSafe(sums[g]) for g in group]).drop(*[sums[g] for g in group])
+    else:
+        whole = sums.first()
+        rows = parties.withColumn("_v", F.lit(whole["_v"])).withColumn("_n", F.lit(whole["_n"]))
+    rows = rows.withColumn("_seats", seats.cast("long"))
     even = F.when(F.col("_v") > 0, F.floor(F.col(votes) * F.col("_seats") / F.col("_v") + 0.5)).otherwise(0)
     width = F.ceil((even + 1) * F.col("_n") / (2 * F.greatest(F.col("_seats"), F.lit(1)))) + 2
     rows = staged(rows.withColumn("_low", F.greatest(F.lit(0).cast("long"), even - width)).withColumn("_high", F.when(F.col(votes) > 0, even + width).otherwise(F.col("_low"))), "parties")
     tries = rows.where("_high > _low").withColumn("_k", F.explode(F.sequence(F.col("_low") + 1, F.col("_high")))).withColumn("_q", F.col(votes) / (2 * F.col("_k") - 1))
     ranked = numbered(tries, *[F.col(g).asc_nulls_last() for g in group], F.col("_q").desc(), *order, name="_rank")
-    base = rows.groupBy(*group).agg((F.max("_seats") - F.sum("_low")).alias("_left"))
-    first = ranked.groupBy(*group).agg(F.min("_rank").alias("_first"))
-    limits = base.join(first, [base[g].eqNullSafe(first[g]) for g in group]).select(*[base[g] for g in group], "_left", "_first")
-    won = ranked.join(small(limits), [ranked[g].eqNullSafe(limits[g]) for g in group]).drop(*[limits[g] for g in group]).where("_rank - _first < _left")
+    left = rows.groupBy(*group).agg((F.max("_seats") - F.sum("_low")).alias("_left"))
+    if group:
+        first = ranked.groupBy(*group).agg(F.min("_rank").alias("_first"))
+        limits = left.join(first, [left[g].eqNullSafe(first[g]) for g in group]).select(*[left[g] for g in group], "_left", "_first")
+        won = ranked.join(small(limits), [ranked[g].eqNullSafe(limits[g]) for g in group]).drop(*[limits[g] for g in group]).where("_rank - _first < _left")
+    else:
+        won = ranked.where(F.col("_rank") <= F.lit(left.first()["_left"]))
     keys = [c for c in parties.columns if c not in (votes,)]
     more = won.groupBy(*keys).agg(F.count("*").alias("_won"))
     out = rows.join(more, [rows[c].eqNullSafe(more[c]) for c in keys], "left").drop(*[more[c] for c in keys])
@@ -89,8 +96,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     cut = staged(cut, "shards")
     wanted = cut.groupBy("source").agg(F.sum("blocks").alias("_blocks"))
     wanted = sources.join(wanted, sources["source"].eqNullSafe(wanted["source"])).select(
-        sources["source"], F.lit(0).alias("all"), F.when(F.col("source_size") > 0, F.col("target") * F.col("_blocks") / F.col("source_size")).otherwise(0.0).alias("votes"))
-    given = sainte_lague(wanted, ["all"], [F.col("source").asc_nulls_last()], "votes", F.round(F.col("_v")))
+        sources["source"], F.when(F.col("source_size") > 0, F.col("target") * F.col("_blocks") / F.col("source_size")).otherwise(0.0).alias("votes"))
+    given = sainte_lague(wanted, [], [F.col("source").asc_nulls_last()], "votes", F.round(F.col("_v")))
     given = given.select("source", F.col("quota").alias("seats"))
     parts = cut.join(small(given), cut["source"].eqNullSafe(given["source"])).drop(given["source"])
     quotas = sainte_lague(parts.select("source", "shard", "seats", "shard_size", "blocks", F.col("blocks").alias("votes")), ["source", "seats"], [F.col("shard")], "votes", F.col("seats"))
