@@ -238,6 +238,6 @@ def deleted_interpolation(docs: DataFrame, learn, deleted, order: int = 2, round
     tokens, n_docs = float(size["learn"] or 0), float(size["docs"] or 0)
     kept_tokens, kept_docs = tokens - (size["gone_tokens"] or 0), n_docs - (size["gone"] or 0)
     held = staged(counts.mapInArrow(lambda it: _held(it, kept_tokens, kept_docs, vocabulary), _HELD), "lm-held")
-    weights = _fit(held, order, rounds, tolerance)
+    weights = _fit(held, order, rounds, tolerance) if tokens else np.tile(np.eye(order + 1)[0], (CONTEXT_BUCKETS, 1))
     scores = counts.select("docs", "lengths", "counts").mapInArrow(lambda it: _score(it, weights, tokens, n_docs, vocabulary), _SCORES)
     return scores.withColumn("train_tokens", F.lit(int(tokens)).cast("long"))

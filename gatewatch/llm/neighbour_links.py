@@ -147,13 +147,13 @@ def _audit(batches: Iterator[pa.RecordBatch], nodes: np.ndarray, labels: np.ndar
 def _count(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Per block of a pocket: every vector's exact number of links in it, and the links that connect its parts."""
     for rows in groups_of(batches, "g"):
-        nodes, own, copies = rows["node"].to_numpy(), rows["own"].to_numpy(), rows["copies"].to_numpy()
+        nodes, own, copies, across = (rows[c].to_numpy() for c in ("node", "own", "copies", "across"))
         units = _matrix(rows["unit"], np.float64)
         linked = units @ units.T >= least
         np.fill_diagonal(linked, False)
         label = joined_up(linked)
         # Inside one chunk all pairs count, between two chunks only pairs across.
-        if len(np.unique(own)) > 1:
+        if across[0]:
             linked &= own[:, None] != own[None]
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array((linked @ copies).astype(np.int64)), pa.array(nodes[label], pa.int64())], names=["node", "links", "other"])
 
@@ -163,7 +163,7 @@ def _counted(vectors: DataFrame, pockets: DataFrame, least: float) -> DataFrame:
     sizes = pockets.groupBy("pocket").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
     rows = pockets.join(sizes, "pocket").withColumn("own", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    rows = rows.select("node", "own", F.xxhash64("pocket", F.least("own", "with"), F.greatest("own", "with")).alias("g"))
+    rows = rows.select("node", "own", (F.col("own") != F.col("with")).alias("across"), F.xxhash64("pocket", F.least("own", "with"), F.greatest("own", "with")).alias("g"))
     rows = rows.join(vectors.select("node", "copies", "unit"), "node").repartition("g").sortWithinPartitions("g")
     return staged(rows.mapInArrow(lambda it: _count(it, least), "node long, links long, other long"), "counted")
 
