@@ -35,9 +35,15 @@ def normalize_text(c: Column | str) -> Column:
     return F.when(~stripped.isin(NULL_TEXTS), stripped)
 
 
+def decimal_text(c: Column | str) -> Column:
+    """The stripped text of a decimal number, else null: ``10d`` or ``0x1p3``, which a cast would take, are no numbers."""
+    text = strip(_col(c).cast("string"))
+    return F.when(text.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), text)
+
+
 def clean_time(c: Column | str) -> Column:
     """Text to whole seconds; a fraction is cut off; anything non-numeric becomes null."""
-    text = strip(c)
+    text = decimal_text(c)
     return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
 
 
@@ -69,7 +75,7 @@ def is_network_logon(c: Column | str) -> Column:
 
 def is_success(c: Column | str) -> Column:
     """1 where the event number equals the success code, also when given as text; else 0."""
-    return F.coalesce(_col(c).try_cast("double") == SUCCESS_EVENT_ID, F.lit(False)).cast("int")
+    return F.coalesce(decimal_text(c).try_cast("double") == SUCCESS_EVENT_ID, F.lit(False)).cast("int")
 
 
 def valid_key_sql(*names: str) -> str:
@@ -87,7 +93,7 @@ def valid_key(*names: str) -> Column:
 
 def coerce_label(c: Column | str) -> Column:
     """Null or unreadable labels count as 0."""
-    return F.coalesce(_col(c).try_cast("double").try_cast("tinyint"), F.lit(0).cast("tinyint"))
+    return F.coalesce(decimal_text(c).try_cast("double").try_cast("tinyint"), F.lit(0).cast("tinyint"))
 
 
 def apply_threshold(probability: Column | str, threshold: float | Column) -> Column:

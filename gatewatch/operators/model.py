@@ -70,11 +70,12 @@ def _probability(column: str = "probability"):
 
 
 def score_batch(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Append ``probability`` of the positive class. Features are rounded to float first, as in training."""
+    """Append ``probability`` of the positive class. The model sees features rounded to float, as in training; the columns
+    themselves come back as they were.
+    """
     names = model.stages[0].getInputCols()
-    exact = {n: df.schema[n].dataType for n in names}
-    scored = model.transform(df.withColumns({n: F.col(n).cast("float") for n in names}))
-    back = {n: F.col(n).cast(t) for n, t in exact.items()}
+    scored = model.transform(df.withColumn("_exact", F.struct(*names)).withColumns({n: F.col(n).cast("float") for n in names}))
+    back = {n: F.col("_exact")[n] for n in names}
     return scored.withColumn("probability", _probability()).withColumns(back).select(*df.columns, "probability")
 
 

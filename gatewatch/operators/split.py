@@ -22,22 +22,21 @@ def assign_split(df: DataFrame, ts: str = "timestamp") -> DataFrame:
 def chronological_split(features: DataFrame) -> DataFrame:
     """Check the feature table, then assign the splits. Raises unless it spans exactly three non-empty days.
 
-    One pass over two columns gives the rows and bad labels of each day; the split itself is then a projection. Give it
+    One row of sums over two columns tells the first and last day and the bad labels; the split itself is then a projection. Give it
     a stored table, not an unfinished plan. Time order is a property of the rows' ``seq``: check it where that is known,
     with ``require_sorted``.
     """
     require_columns(features, OUTPUT_COLUMNS, exact=True)
     day = F.floor(F.col("timestamp") / SECONDS_PER_DAY)
     bad = F.sum((F.col("label").isNull() | ~F.col("label").isin(0, 1)).cast("bigint"))
-    found = features.groupBy(day.alias("day")).agg(bad.alias("bad")).orderBy("day").collect()
-    if not found:
+    found = features.agg(F.min(day).alias("first"), F.max(day).alias("last"), F.count("*").alias("n"), bad.alias("bad")).first()
+    if not found["n"]:
         raise ValueError("the feature table has no rows")
-    if any(row["bad"] for row in found):
+    if found["bad"]:
         raise ValueError("labels must be 0 or 1")
-    first = found[0]["day"]
-    relative = [row["day"] - first for row in found]
-    if relative != list(range(len(SPLIT_NAMES))):
-        raise ValueError(f"expected exactly three consecutive days; found relative days {relative[:64]}")
+    first = found["first"]
+    if first is None or found["last"] - first != len(SPLIT_NAMES) - 1 or features.filter(day == first + 1).isEmpty():
+        raise ValueError(f"expected exactly three consecutive days; found days {first} to {found['last']}")
     return features.withColumn("split", _named(day - F.lit(first)))
 
 
@@ -52,13 +51,17 @@ def split_stats(split: DataFrame) -> DataFrame:
 
 
 def split_report(split: DataFrame) -> DataFrame:
-    """One row: totals, and the statistics of every split as a map."""
-    stats = split_stats(split.filter(F.col("split").isNotNull()))
+    """One row: totals and the statistics of every split as a map. ``valid`` says whether all rows lie in one of three splits
+    that each have rows, and all labels are 0 or 1; rows outside the splits are in no total.
+    """
+    stats = split_stats(split)
+    inside = F.col("split").isNotNull()
+    whole = (F.count("split") == len(SPLIT_NAMES)) & (F.count_if(~inside) == 0) & (F.sum("n_rows") == F.sum(F.col("benign") + F.col("anomaly")))
     entry = F.struct(F.col("split"), F.struct("n_rows", "benign", "anomaly", "min_timestamp", "max_timestamp"))
     return stats.agg(
-        F.lit(True).alias("valid"),
+        F.coalesce(whole, F.lit(False)).alias("valid"),
         F.lit(FEATURE_SCHEMA_VERSION).alias("feature_schema_version"),
-        F.sum("n_rows").alias("total_rows"),
-        F.sum("anomaly").alias("total_anomaly"),
-        F.floor(F.min("min_timestamp") / SECONDS_PER_DAY).alias("first_day_index"),
-        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("splits"))
+        F.sum(F.when(inside, F.col("n_rows"))).alias("total_rows"),
+        F.sum(F.when(inside, F.col("anomaly"))).alias("total_anomaly"),
+        F.floor(F.min(F.when(inside, F.col("min_timestamp"))) / SECONDS_PER_DAY).alias("first_day_index"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(inside, entry)))).alias("splits"))

@@ -36,7 +36,6 @@ from gatewatch.schemas import (
 )
 
 MAX_GROUP_ROWS = 5_000_000
-MAX_HOT_KEYS = 4096
 
 FAMILIES = (
     Family(
@@ -70,20 +69,18 @@ FAMILIES = (
 )
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS,
-             max_keys: int = MAX_HOT_KEYS) -> dict[str, DataFrame]:
+def hot_keys(df: DataFrame, keys: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> dict[str, DataFrame]:
     """Keys with more rows than one task should sort, per key column.
 
-    A key is hot above ``max(max_group_rows, rows / max_keys)`` rows, so no column can have more than ``max_keys`` of
-    them: the lists returned are safe to broadcast.
+    A key is hot above ``max_group_rows`` rows, whatever the size of the table, so that no task ever sorts more. A column
+    has at most ``rows / max_group_rows`` hot keys: two thousand in ten billion rows.
     """
     total = df.count()
     if total <= max_group_rows:
         return {}
-    limit = max(max_group_rows, total // max_keys)
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("column"), F.col(k).cast("string").alias("key")) for k in keys]))
     found = (df.select(pairs.alias("p")).select("p.*").filter(F.col("key").isNotNull())
-             .groupBy("column", "key").count().filter(F.col("count") > limit).collect())
+             .groupBy("column", "key").count().filter(F.col("count") > max_group_rows).collect())
     out = {}
     for k in keys:
         values = [(row["key"],) for row in found if row["column"] == k]

@@ -590,7 +590,7 @@ def score_batch_(spark, sf):
 @query("feature_importance")
 def feature_importance_(spark, sf):
     train, _, _ = _days(spark, sf)
-    return feature_importance(spark, train_baseline(train, maxIter=BASELINE_TREES)).limit(10)
+    return feature_importance(spark, train_baseline(train, maxIter=BASELINE_TREES))
 
 
 # Streaming

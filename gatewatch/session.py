@@ -11,15 +11,14 @@ from pyspark.sql import SparkSession
 
 
 PARTITION_BYTES = 256 << 20
-MAX_SHUFFLE_PARTITIONS = 50_000
 
 
 def sized_for(input_bytes: int) -> dict[str, str]:
-    """Shuffle settings for an input of this size: about 256 MiB per partition, at most 50,000 of them.
+    """Shuffle settings for an input of this size: about 256 MiB per partition.
 
     The number is where adaptive execution starts from; it merges small neighbours down to the advisory size.
     """
-    wanted = min(MAX_SHUFFLE_PARTITIONS, max(200, -(-input_bytes // PARTITION_BYTES)))
+    wanted = max(200, -(-input_bytes // PARTITION_BYTES))
     return {
         "spark.sql.shuffle.partitions": str(wanted),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),

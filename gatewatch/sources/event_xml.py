@@ -39,7 +39,7 @@ def parse_event_xml(df: DataFrame, xml: str = "xml") -> DataFrame:
         _data("SubjectUserName").alias("src_username"),
         _data("TargetUserName").alias("username"),
         F.when(workstation == "-", _data("IpAddress")).otherwise(workstation).alias("src_host"),
-        F.coalesce(system["Computer"], F.lit("-")).alias("destination_host"),
+        F.when(system["Computer"].isNull(), "-").when(system["Computer"] != "", system["Computer"]).alias("destination_host"),
         _data("LogonType").alias("logon_type"),
         (record.isNotNull() & F.trim(record).try_cast("bigint").isNull()).alias("_bad"))
     return keep_sign_ins(events.filter(~F.col("_bad")).drop("_bad"))
