@@ -145,9 +145,9 @@ def op9_preference_pairs(spark, sf_dir):
 
 ORACLE["op9_preference_pairs"] = """
 with t as (select conv_id as pair_id, turn, role, text from conversations),
-last as (select conv_id, max(turn) as at, arg_max(text, turn) as text from conversations where role = 'assistant' group by 1),
-rej as (select t.pair_id, turn, role, t.text from t left join last on conv_id = pair_id where at is null or turn < at
-  union all select o.conv_id, o.at, 'assistant', p.text from last o join last p on p.conv_id = case when o.conv_id % 2 = 0 then o.conv_id + 1 else o.conv_id - 1 end),
+last as (select conv_id, max(turn) as place, arg_max(text, turn) as text from conversations where role = 'assistant' group by 1),
+rej as (select t.pair_id, turn, role, t.text from t left join last on conv_id = pair_id where place is null or turn < place
+  union all select o.conv_id, o.place, 'assistant', p.text from last o join last p on p.conv_id = case when o.conv_id % 2 = 0 then o.conv_id + 1 else o.conv_id - 1 end),
 both_sides as (select 'c' as side, * from t union all select 'r', * from rej),
 n as (select *, row_number() over (partition by side, pair_id order by turn nulls first, role nulls first, text nulls first) as i from both_sides),
 cnt as (select pair_id, count(*) filter (where side = 'c') as c, count(*) filter (where side = 'r') as r from n group by 1),
@@ -155,12 +155,12 @@ mis as (select a.pair_id, min(a.i) as i from n a join n b on a.pair_id = b.pair_
   where a.role is distinct from b.role or a.text is distinct from b.text group by 1),
 k as (select cnt.pair_id, coalesce(mis.i - 1, least(c, r)) as k from cnt left join mis on cnt.pair_id = mis.pair_id),
 m as (select n.*, k, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) as o, coalesce(text, '') || '<|end|>' || chr(10) as b from n join k on n.pair_id = k.pair_id),
-p as (select *, coalesce(sum(length(o) + length(b)) over (partition by side, pair_id, i > k order by i rows between unbounded preceding and 1 preceding), 0) as at from m)
+p as (select *, coalesce(sum(length(o) + length(b)) over (partition by side, pair_id, i > k order by i rows between unbounded preceding and 1 preceding), 0) as place from m)
 select pair_id, cast(k as integer) as n_prompt_turns,
   coalesce(string_agg(o || b, '' order by i) filter (where side = 'c' and i <= k), '') as prompt,
   coalesce(string_agg(o || b, '' order by i) filter (where side = 'c' and i > k), '') as chosen,
   coalesce(string_agg(o || b, '' order by i) filter (where side = 'r' and i > k), '') as rejected,
-  coalesce(string_agg((at + length(o)) || '-' || (at + length(o) + length(b)), ',' order by i) filter (where side = 'c' and i > k and role = 'assistant'), '') as chosen_spans,
-  coalesce(string_agg((at + length(o)) || '-' || (at + length(o) + length(b)), ',' order by i) filter (where side = 'r' and i > k and role = 'assistant'), '') as rejected_spans
+  coalesce(string_agg((place + length(o)) || '-' || (place + length(o) + length(b)), ',' order by i) filter (where side = 'c' and i > k and role = 'assistant'), '') as chosen_spans,
+  coalesce(string_agg((place + length(o)) || '-' || (place + length(o) + length(b)), ',' order by i) filter (where side = 'r' and i > k and role = 'assistant'), '') as rejected_spans
 from p group by pair_id, k
 """
