@@ -39,11 +39,13 @@ def scale_z(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return scaled.withColumns({c: (F.col(c) - F.col(f"_m.mean_{c}")) / F.col(f"_m.std_{c}") for c in columns}).drop("_m")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared scratch folder and read back: later jobs start from files, not from the whole lineage."""
+def stage(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write to the shared scratch folder and read back: later jobs start from files, not from the whole lineage. The columns
+    in ``folders`` become folder names, by which later reads skip files.
+    """
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:

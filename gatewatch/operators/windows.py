@@ -84,13 +84,16 @@ def _ends(ts: str, following: str, window: int) -> str:
 
 
 def rolling(df: DataFrame, keys: Sequence[str], features: Sequence[Count | Distinct], ts: str = "timestamp",
-            seq: str = "seq", cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Append every feature in ``features`` over ``keys``; safe for keys of any size. ``seq`` is a unique bigint."""
+            seq: str = "seq", cell_rows: int = CELL_ROWS, source: DataFrame | None = None) -> DataFrame:
+    """Append every feature in ``features`` over ``keys``; safe for keys of any size. ``seq`` is a unique bigint.
+
+    ``source`` is a stored table of the same rows, if there is one: the sums are then read from it, and ``df`` once.
+    """
     keys, columns = list(keys), df.columns
     by = _names(keys)
     sub = f"`{seq}` div {int(cell_rows)} as _sub"
     names = [f.name for f in features]
-    known = df.filter(" and ".join(f"`{k}` is not null" for k in keys))
+    known = (df if source is None else source).filter(" and ".join(f"`{k}` is not null" for k in keys))
     flags = {f.name: f"coalesce(cast(`{f.when}` as bigint), 0L)" if f.when else "1L" for f in features if isinstance(f, Count)}
 
     # One row per cell: how many rows of it each count takes in. Summed on the map side before the exchange.
@@ -141,10 +144,13 @@ def rolling_distinct(df: DataFrame, keys: Sequence[str], value: str, window: int
     return rolling(df, keys, [Distinct(name, value, window)], **kw)
 
 
-def previous_time(df: DataFrame, keys: Sequence[str], name: str, ts: str = "timestamp", seq: str = "seq") -> DataFrame:
-    """Append the time of the previous row with the same (valid) keys, or null. Safe for keys of any size."""
+def previous_time(df: DataFrame, keys: Sequence[str], name: str, ts: str = "timestamp", seq: str = "seq",
+                  source: DataFrame | None = None) -> DataFrame:
+    """Append the time of the previous row with the same (valid) keys, or null. Safe for keys of any size; ``source`` as in
+    :func:`rolling`.
+    """
     keys = list(keys)
-    seconds = (df.filter(valid_key(*keys)).groupBy(*keys, ts).agg(F.min(seq).alias("_first"))
+    seconds = ((df if source is None else source).filter(valid_key(*keys)).groupBy(*keys, ts).agg(F.min(seq).alias("_first"))
                .withColumn("_prev", F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts))))
     out = df.join(seconds, [*keys, ts], "left")
     return out.select(*df.columns, F.when(F.col(seq) > F.col("_first"), F.col(ts)).otherwise(F.col("_prev")).alias(name))
@@ -162,18 +168,14 @@ def seconds_since_last(df: DataFrame, keys: Sequence[str], name: str, ts: str =
     return out.withColumn(name, F.coalesce(F.col(ts) - F.col("_seen"), F.lit(MISSING_TIME_DELTA)).cast("bigint")).drop("_seen")
 
 
-def with_family(df: DataFrame, family: Family, skip: DataFrame | None = None, ts: str = "timestamp",
-                seq: str = "seq") -> DataFrame:
+def with_family(df: DataFrame, family: Family, ts: str = "timestamp", seq: str = "seq") -> DataFrame:
     """Append all features of ``family`` with one exchange on its key.
 
-    Rows with a null key, and rows of the keys in ``skip`` (one column named like the key), get the neutral value.
-    They are spread over many partitions, so they cost no task more than its share.
+    Rows with a null key get the neutral value. They are spread over many partitions, so they cost no task more than its
+    share.
     """
     key, columns = family.key, df.columns
     live = f"`{key}` is not null"
-    if skip is not None:
-        df = df.join(F.broadcast(skip.selectExpr(f"`{key}`", "true as _skip")), key, "left")
-        live += " and _skip is null"
     df = df.selectExpr(*[f"`{c}`" for c in columns], f"{live} as _live",
                        f"if({live}, 0, cast(pmod(xxhash64(`{seq}`), {SALTS}) + 1 as int)) as _salt").repartition(key, "_salt")
 

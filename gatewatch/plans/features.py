@@ -16,6 +16,7 @@ from gatewatch.functions.scalar import (
     is_success,
     valid_key,
 )
+from gatewatch.operators.neighbours import stage
 from gatewatch.operators.windows import (
     CELL_ROWS,
     Count,
@@ -100,50 +101,43 @@ def with_context(df: DataFrame) -> DataFrame:
 
 
 def family_by_cells(rows: DataFrame, family: Family, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``timestamp, seq`` and the features of ``family``, by the operators that hold for keys of any size."""
-    ids = ["timestamp", "seq"]
-    key = family.key
-    parts = []
+    """Append the features of ``family`` by the operators that hold for keys of any size. ``rows`` is a stored table: each
+    operator reads its sums from it, by the columns it needs, and appends to the same rows.
+    """
+    key, out = family.key, rows
     if family.rolling:
-        parts.append(rolling(rows, [key], family.rolling, cell_rows=cell_rows).select(*ids, *[f.name for f in family.rolling]))
+        out = rolling(out, [key], family.rolling, cell_rows=cell_rows, source=rows)
     for name, other, window in family.pair_counts:
-        gated = rows.withColumn("_valid", valid_key(key, other).cast("int"))
-        parts.append(rolling(gated, [key, other], [Count(name, window, "_valid")], cell_rows=cell_rows).select(*ids, name))
+        valid = valid_key(key, other).cast("int")
+        out = rolling(out.withColumn("_valid", valid), [key, other], [Count(name, window, "_valid")], cell_rows=cell_rows,
+                      source=rows.withColumn("_valid", valid)).drop("_valid")
     for name, other in family.first_seen:
-        parts.append(first_seen(rows, [key, other], name).select(*ids, name))
+        out = first_seen(out, [key, other], name, source=rows)
     for name, other in family.recency:
-        parts.append(seconds_since_last(rows, [key, other] if other else [key], name).select(*ids, name))
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part, allowMissingColumns=True)
-    return merged
+        out = seconds_since_last(out, [key, other] if other else [key], name, source=rows)
+    return out
 
 
 def add_families(events: DataFrame, families: Sequence[Family], max_group_rows: int = MAX_GROUP_ROWS,
                  cell_rows: int = CELL_ROWS, hot: dict[str, DataFrame] | None = None) -> DataFrame:
     """Append all features of ``families``; one exchange per family.
 
-    Keys over ``max_group_rows`` are found first, by one narrow pass. Only their rows take the second path, and only
-    when there are any does the plan contain it.
+    Where keys exceed ``max_group_rows``, the rows are written apart, those of such keys in a folder of their own; either
+    part gets its features in its own way and their union goes on to the next family. No other row is read or joined again.
     """
     if hot is None:
         hot = hot_keys(events, [f.key for f in families], max_group_rows)
     out = events
     for family in families:
-        out = with_family(out, family, hot.get(family.key))
-
-    names = [n for f in families if f.key in hot for n in f.names()]
-    if not names:
-        return out
-    found = None
-    for family in families:
-        if family.key in hot:
-            rows = events.join(F.broadcast(hot[family.key]), family.key, "left_semi")
-            part = family_by_cells(rows, family, cell_rows)
-            found = part if found is None else found.unionByName(part, allowMissingColumns=True)
-    found = found.groupBy("timestamp", "seq").agg(*[F.max(n).alias(f"_hot_{n}") for n in names])
-    out = out.join(found, ["timestamp", "seq"], "left")
-    return out.withColumns({n: F.coalesce(F.col(f"_hot_{n}"), F.col(n)) for n in names}).drop(*[f"_hot_{n}" for n in names])
+        key = family.key
+        if key not in hot:
+            out = with_family(out, family)
+            continue
+        marked = out.join(F.broadcast(hot[key].withColumn("_hot", F.lit(True))), key, "left").select(*out.columns, F.col("_hot").isNotNull().alias("_hot"))
+        parts = stage(marked, f"by-{key}", "_hot")
+        cold, oversized = (parts.filter(F.col("_hot") == which).select(*out.columns) for which in (False, True))
+        out = with_family(cold, family).unionByName(family_by_cells(oversized, family, cell_rows))
+    return out
 
 
 def build_features(df: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, cell_rows: int = CELL_ROWS,
