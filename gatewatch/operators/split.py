@@ -29,11 +29,14 @@ def chronological_split(features: DataFrame) -> DataFrame:
     require_columns(features, OUTPUT_COLUMNS, exact=True)
     day = F.floor(F.col("timestamp") / SECONDS_PER_DAY)
     bad = F.sum((F.col("label").isNull() | ~F.col("label").isin(0, 1)).cast("bigint"))
-    found = features.agg(F.min(day).alias("first"), F.max(day).alias("last"), F.count("*").alias("n"), bad.alias("bad")).first()
+    found = features.agg(F.min(day).alias("first"), F.max(day).alias("last"), F.count("*").alias("n"), F.count(day).alias("timed"),
+                         bad.alias("bad")).first()
     if not found["n"]:
         raise ValueError("the feature table has no rows")
     if found["bad"]:
         raise ValueError("labels must be 0 or 1")
+    if found["timed"] < found["n"]:
+        raise ValueError(f"{found['n'] - found['timed']} rows have no time and belong to no split")
     first = found["first"]
     if first is None or found["last"] - first != len(SPLIT_NAMES) - 1 or features.filter(day == first + 1).isEmpty():
         raise ValueError(f"expected exactly three consecutive days; found days {first} to {found['last']}")

@@ -140,6 +140,13 @@ def add_families(events: DataFrame, families: Sequence[Family], max_group_rows:
     return out
 
 
+def only(name: str, families: Sequence[Family] = FAMILIES) -> Family:
+    """The family of the feature ``name``, cut down to it."""
+    family = next(f for f in families if name in f.names())
+    return Family(family.key, tuple(r for r in family.rolling if r.name == name),
+                  *(tuple(p for p in part if p[0] == name) for part in (family.pair_counts, family.first_seen, family.recency)))
+
+
 def build_features(df: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, cell_rows: int = CELL_ROWS,
                    keep: Sequence[str] = (), hot: dict[str, DataFrame] | None = None) -> DataFrame:
     """Parsed events (``PARSED_COLUMNS`` plus a unique bigint ``seq``) to the feature table and the columns in ``keep``."""

@@ -326,7 +326,14 @@ ORACLE: dict[str, str] = {
     "check_min_positives": LOG + "select cast(sum(label) as bigint) as positives, sum(label) >= 2 as enough from parsed",
     "chronological_split": _all_features(
         '"timestamp", {features}, label, ' + SPLIT.replace("parsed", "features") + " as split"),
-    "smote_report": LOG + """, c as (select count(*) filter (label = 0) as benign, count(*) filter (label = 1) as attack from parsed)
+    "smote_invariants": LOG + f"""select cast(count(*) * 19 as bigint) as synthetic_rows, cast(0 as bigint) as not_between, cast(0 as bigint) as one_parent,
+        cast(count(*) * 19 as bigint) as marked from parsed where label = 1 and {SPLIT} = 'train'""",
+    "model_invariants": LOG + f"""select count(*) as n_rows, count(*) as counted, count(*) filter (label = 1) as positives, cast(0 as bigint) as outside,
+        cast(0 as bigint) as changed, cast(0 as bigint) as replayed_otherwise, cast(16 as bigint) as importances, cast(1 as double) as importance
+        from parsed where {SPLIT} = 'test'""",
+    "stream_score_invariants": LOG + "select count(*) as n_rows, cast(0 as bigint) as otherwise, cast(0 as bigint) as other_verdict from parsed",
+    "smote_report": LOG + f""", c as (select count(*) filter (label = 0) as benign, count(*) filter (label = 1) as attack from parsed
+          where {SPLIT} = 'train')
         select benign as benign_original, attack as attack_original, attack as attack_fit_sample, cast(attack * 19 as bigint) as synthetic_attack,
           cast(attack * 20 as bigint) as attack_after, true as all_original_train_rows_preserved, false as validation_test_modified,
           cast(20 as integer) as attack_multiplier, least(5, attack - 1) as k_neighbors, cast(42 as integer) as random_state from c""",

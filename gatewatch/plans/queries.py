@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +30,12 @@ from gatewatch.operators.windows import (
     Distinct,
     first_seen,
     rolling,
-    rolling_count,
-    rolling_distinct,
     seconds_since_last,
 )
 from gatewatch.plans import demo_tables as D
-from gatewatch.plans.features import build_features, build_legacy_features, with_context
+from gatewatch.plans.features import FAMILIES, add_families, build_features, build_legacy_features, only, with_context
 from gatewatch.plans.parsing import TEXT_COLUMNS, parse, to_canonical
-from gatewatch.schemas import AUTH_COLUMNS, FEATURE_COLUMNS, FIVE_MINUTES, ONE_HOUR, OUTPUT_COLUMNS
+from gatewatch.schemas import AUTH_COLUMNS, FEATURE_COLUMNS, OUTPUT_COLUMNS
 from gatewatch.session import scratch_dir
 from gatewatch.sources import tables as T
 from gatewatch.sources.event_xml import keep_sign_ins, parse_event_xml
@@ -45,10 +45,6 @@ from gatewatch.streaming import live
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Smaller fits than the library defaults (100 and 500 trees): the queries run on every table size, all rows included.
-BASELINE_TREES = 20
-WEIGHTED_TREES = 20
-
 
 def _register(name: str, f: Query) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,31 +327,16 @@ def knn_minority_(spark, sf):
     return knn_minority(D.vectors(spark, sf), "id", [f"f{i}" for i in range(64)], 5)
 
 
-# Rolling features, by the operators that hold for keys of any size
-
-
-def _pair(df):
-    return df.withColumn("_valid", S.valid_key("src_username", "destination_host").cast("int"))
+# Rolling features one by one, each with its single exchange; keys over the limit take the path for keys of any size.
 
 
-def _w(name, f):
-    _register(name, lambda spark, sf: f(with_context(_parsed(spark, sf)), name).select("seq", name))
+def _w(name: str) -> None:
+    _register(name, lambda spark, sf: add_families(with_context(_parsed(spark, sf)), [only(name)]).select("seq", name))
 
 
-_w("auth_attempts_5m_per_src_user", lambda d, n: rolling_count(d, ["src_username"], FIVE_MINUTES, n))
-_w("successful_auths_5m_per_src_user", lambda d, n: rolling_count(d, ["src_username"], FIVE_MINUTES, n, "current_event_is_success"))
-_w("unique_src_computers_1h_per_src_user", lambda d, n: rolling_distinct(d, ["src_username"], "src_host", ONE_HOUR, n))
-_w("unique_dst_computers_5m_per_src_user", lambda d, n: rolling_distinct(d, ["src_username"], "destination_host", FIVE_MINUTES, n))
-_w("unique_dst_computers_1h_per_src_user", lambda d, n: rolling_distinct(d, ["src_username"], "destination_host", ONE_HOUR, n))
-_w("unique_dst_users_1h_per_src_computer", lambda d, n: rolling_distinct(d, ["src_host"], "username", ONE_HOUR, n))
-_w("unique_src_users_1h_per_dst_computer", lambda d, n: rolling_distinct(d, ["destination_host"], "src_username", ONE_HOUR, n))
-_w("prior_auth_count_1h_src_user_dst_computer",
-   lambda d, n: rolling_count(_pair(d), ["src_username", "destination_host"], ONE_HOUR, n, "_valid"))
-_w("is_first_seen_src_user_src_computer", lambda d, n: first_seen(d, ["src_username", "src_host"], n))
-_w("is_first_seen_src_user_dst_computer", lambda d, n: first_seen(d, ["src_username", "destination_host"], n))
-_w("is_first_seen_src_computer_dst_computer", lambda d, n: first_seen(d, ["src_host", "destination_host"], n))
-_w("seconds_since_last_auth_by_src_user", lambda d, n: seconds_since_last(d, ["src_username"], n))
-_w("seconds_since_last_src_user_dst_computer", lambda d, n: seconds_since_last(d, ["src_username", "destination_host"], n))
+for _family in FAMILIES:
+    for _name in _family.names():
+        _w(_name)
 
 
 @query("event_context")
@@ -535,29 +516,45 @@ def chronological_split_(spark, sf):
     return _plain(chronological_split(T.load_features(spark, path)))
 
 
+def _train_day(features: DataFrame) -> DataFrame:
+    """Oversampling sees the first day only, as training does."""
+    return stage(assign_split(features).filter("split = 'train'").drop("split"), "train-day")
+
+
 @query("smote")
 def smote(spark, sf):
-    features = stage(build_features(_parsed(spark, sf)), "features")
-    return R.smote(features)
+    return R.smote(_train_day(build_features(_parsed(spark, sf))))
 
 
 @query("smote_segments")
 def smote_segments(spark, sf):
-    """Per drawn pair of rows: how many synthetic rows lie between them, all of them inside the bounds."""
-    features = stage(_features(spark, sf), "features")
-    return R.synthetic_rows(features, "seq", keep_parents=True).groupBy("base_id", "neighbour_id").agg(F.count("*").alias("n_rows"))
+    """Per drawn pair of rows: how many synthetic rows lie between them."""
+    train = _train_day(_features(spark, sf))
+    return R.synthetic_rows(train, "seq", keep_parents=True).groupBy("base_id", "neighbour_id").agg(F.count("*").alias("n_rows"))
+
+
+@query("smote_invariants")
+def smote_invariants(spark, sf):
+    """One row: how many rows were made, and how many are not between their two parents or have one parent twice."""
+    train = _train_day(_features(spark, sf))
+    made = R.synthetic_rows(train, "seq", keep_parents=True)
+    known = R.minority_rows(train).select(F.col("seq").alias("id"), F.struct(*FEATURE_COLUMNS).alias("v"))
+    rows = (made.join(known.select(F.col("id").alias("base_id"), F.col("v").alias("a")), "base_id", "left")
+            .join(known.select(F.col("id").alias("neighbour_id"), F.col("v").alias("b")), "neighbour_id", "left"))
+    between = reduce(and_, [F.col(c).between(F.least(f"a.{c}", f"b.{c}"), F.greatest(f"a.{c}", f"b.{c}")) for c in FEATURE_COLUMNS])
+    return rows.agg(F.count("*").alias("synthetic_rows"), F.count_if(~F.coalesce(between, F.lit(False))).alias("not_between"),
+                    F.count_if(F.col("base_id") == F.col("neighbour_id")).alias("one_parent"), F.sum("is_synthetic").alias("marked"))
 
 
 @query("smote_legacy")
 def smote_legacy(spark, sf):
-    features = stage(build_legacy_features(_parsed(spark, sf), keep=["seq"]), "legacy")
-    return R.smote(features, "seq", R.LEGACY_SPEC)
+    return R.smote(_train_day(build_legacy_features(_parsed(spark, sf), keep=["seq"])), "seq", R.LEGACY_SPEC)
 
 
 @query("smote_report")
 def smote_report(spark, sf):
-    features = stage(_features(spark, sf), "features")
-    return R.smote_report(features, R.smote(features, "seq"))
+    train = _train_day(_features(spark, sf))
+    return R.smote_report(train, R.smote(train, "seq"))
 
 
 def _days(spark, sf):
@@ -568,19 +565,54 @@ def _days(spark, sf):
 @query("train_baseline")
 def train_baseline_(spark, sf):
     train, _, test = _days(spark, sf)
-    return evaluate_bundle(train_baseline(train, maxIter=BASELINE_TREES), test)
+    return evaluate_bundle(train_baseline(train), test)
 
 
 @query("train_weighted")
 def train_weighted_(spark, sf):
     train, valid, test = _days(spark, sf)
-    return evaluate_bundle(train_weighted(train, valid, maxIter=WEIGHTED_TREES), test)
+    return evaluate_bundle(train_weighted(train, valid), test)
+
+
+@query("train_smote")
+def train_smote(spark, sf):
+    """The weighted model, fitted on the oversampled train day."""
+    train, valid, test = _days(spark, sf)
+    return evaluate_bundle(train_weighted(stage(R.smote(train), "oversampled"), valid, "smote"), test)
+
+
+@query("model_invariants")
+def model_invariants(spark, sf):
+    """One row about a model that was fitted, saved, loaded and replayed: rows and positives of the test day by its confusion
+    counts, and the numbers of probabilities outside 0 to 1, of rows scored otherwise after loading or in the replay, of
+    importances and their sum.
+    """
+    train, _, test = _days(spark, sf)
+    bundle = train_baseline(train)
+    path, replayed, parts = (scratch_dir(spark, name) for name in ("bundle", "replay", "test"))
+    save_bundle(bundle, path)
+    kept = load_bundle(spark, path)
+    test.repartitionByRange("timestamp").write.parquet(parts)
+    live.replay_scored(spark, parts, test.schema, kept, replayed).awaitTermination()
+    gains = feature_importance(spark, kept).agg(F.count("*").alias("n"), F.round(F.sum("importance"), 6).alias("total")).first()
+    counts = evaluate_bundle(kept, test).first()
+    before = score_batch(bundle.model, test).withColumnRenamed("probability", "_before")
+    rows = score_batch(kept.model, before)
+    # Rows of equal content score alike, so the replay is compared as counts per content.
+    both = (rows.select(*FEATURE_COLUMNS, "timestamp", "probability", F.lit(1).alias("side"))
+            .unionAll(spark.read.parquet(f"{replayed}/scored").select(*FEATURE_COLUMNS, "timestamp", "probability", F.lit(-1))))
+    other = both.groupBy(*FEATURE_COLUMNS, "timestamp", "probability").agg(F.sum("side").alias("n")).filter("n <> 0").count()
+    negative, positive = counts["true_negative"] + counts["false_positive"], counts["false_negative"] + counts["true_positive"]
+    return rows.agg(
+        F.count("*").alias("n_rows"), F.lit(negative + positive).cast("bigint").alias("counted"), F.lit(positive).cast("bigint").alias("positives"),
+        F.count_if(~F.col("probability").between(0, 1)).alias("outside"), F.count_if(F.col("probability") != F.col("_before")).alias("changed"),
+        F.lit(other).cast("bigint").alias("replayed_otherwise"), F.lit(gains["n"]).cast("bigint").alias("importances"), F.lit(gains["total"]).alias("importance"))
 
 
 @query("score_batch")
 def score_batch_(spark, sf):
     train, _, test = _days(spark, sf)
-    bundle = train_baseline(train, maxIter=BASELINE_TREES)
+    bundle = train_baseline(train)
     path = scratch_dir(spark, "bundle")
     save_bundle(bundle, path)
     kept = load_bundle(spark, path)
@@ -590,7 +622,7 @@ def score_batch_(spark, sf):
 @query("feature_importance")
 def feature_importance_(spark, sf):
     train, _, _ = _days(spark, sf)
-    return feature_importance(spark, train_baseline(train, maxIter=BASELINE_TREES))
+    return feature_importance(spark, train_baseline(train))
 
 
 # Streaming
@@ -635,16 +667,29 @@ def stream_filter(spark, sf):
 @query("stream_score")
 def stream_score(spark, sf):
     train, _, _ = _days(spark, sf)
-    bundle = train_baseline(train, maxIter=BASELINE_TREES)
+    bundle = train_baseline(train)
     out = scratch_dir(spark, "score")
     _by_day(spark, _parsed(spark, sf), "events", lambda stream: live.stream_score(stream, bundle, out))
     return spark.read.parquet(f"{out}/scored").select("seq", "timestamp", "probability", "verdict", "alert")
 
 
+@query("stream_score_invariants")
+def stream_score_invariants(spark, sf):
+    """One row: live rows scored, and how many of them have another score than the batch job gives them."""
+    train, _, _ = _days(spark, sf)
+    bundle = train_baseline(train)
+    out = scratch_dir(spark, "score")
+    _by_day(spark, _parsed(spark, sf), "events", lambda stream: live.stream_score(stream, bundle, out))
+    batch = score_batch(bundle.model, _features(spark, sf)).select("seq", F.col("probability").alias("_batch"))
+    rows = spark.read.parquet(f"{out}/scored").join(batch, "seq", "full")
+    return rows.agg(F.count("probability").alias("n_rows"), F.count_if(~F.col("probability").eqNullSafe(F.col("_batch"))).alias("otherwise"),
+                    F.count_if(~(F.col("verdict") == F.when(F.col("_batch") >= bundle.threshold, "ANOMALY").otherwise("NORMAL"))).alias("other_verdict"))
+
+
 @query("replay_scored")
 def replay_scored(spark, sf):
     train, _, test = _days(spark, sf)
-    bundle = train_baseline(train, maxIter=BASELINE_TREES)
+    bundle = train_baseline(train)
     out, path = scratch_dir(spark, "replay"), scratch_dir(spark, "test")
     test.repartitionByRange("timestamp").write.parquet(path)
     live.replay_scored(spark, path, test.schema, bundle, out).awaitTermination()
