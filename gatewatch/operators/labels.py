@@ -27,13 +27,15 @@ def label_join(log: DataFrame, labels: DataFrame, keys: Sequence[str] = tuple(LA
     return joined.select(*log.columns, F.coalesce("_hit", F.lit(0)).cast("tinyint").alias("label"))
 
 
-def dedup_records(df: DataFrame, record_id: str = "record_id", order: Sequence[str] = ("timestamp", "seq")) -> DataFrame:
-    """Keep the first row per record id; rows without an id are all kept.
+def dedup_records(df: DataFrame, keys: str | Sequence[str] = "record_id", order: Sequence[str] = ("timestamp", "seq")) -> DataFrame:
+    """Keep the first row per record; rows that lack one of the ``keys`` are all kept. Record numbers are those of one machine:
+    name its column too where events come from several.
 
     ``row_number() = 1`` is cut down inside each input partition before the exchange, so a repeated id sends one row
     per task. Rows without an id skip the exchange.
     """
-    ids = df.filter(F.col(record_id).isNotNull())
-    first = Window.partitionBy(record_id).orderBy(*order)
-    kept = ids.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
-    return kept.unionByName(df.filter(F.col(record_id).isNull()))
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    first = Window.partitionBy(*keys).orderBy(*order)
+    kept = df.filter(whole).withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
+    return kept.unionByName(df.filter(~whole))

@@ -338,6 +338,7 @@ ORACLE: dict[str, str] = {
           cast(attack * 20 as bigint) as attack_after, true as all_original_train_rows_preserved, false as validation_test_modified,
           cast(20 as integer) as attack_multiplier, least(5, attack - 1) as k_neighbors, cast(42 as integer) as random_state from c""",
     "stream_features": _all_features(),
+    "stream_features_out_of_order": _all_features(),
     "stream_dedup": LOG + """select record_id, case when record_id is null then n else 1 end as n_rows from
         (select case when seq % 10 = 0 then null else seq // 3 end as record_id, count(*) as n from log group by 1)""",
     "stream_sign_ins": EVENTS + """, g as (select record_id is null as unnumbered, "timestamp" is null as untimed, count(*) as n, count(distinct record_id) as d

@@ -35,7 +35,7 @@ from gatewatch.operators.windows import (
 from gatewatch.plans import demo_tables as D
 from gatewatch.plans.features import FAMILIES, add_families, build_features, build_legacy_features, only, with_context
 from gatewatch.plans.parsing import TEXT_COLUMNS, parse, to_canonical
-from gatewatch.schemas import AUTH_COLUMNS, FEATURE_COLUMNS, OUTPUT_COLUMNS
+from gatewatch.schemas import AUTH_COLUMNS, FEATURE_COLUMNS, ONE_HOUR, OUTPUT_COLUMNS
 from gatewatch.session import scratch_dir
 from gatewatch.sources import tables as T
 from gatewatch.sources.event_xml import keep_sign_ins, parse_event_xml
@@ -628,11 +628,11 @@ def feature_importance_(spark, sf):
 # Streaming
 
 
-def _by_day(spark, df: DataFrame, name: str, run) -> None:
+def _by_day(spark, df: DataFrame, name: str, run, day=None) -> None:
     """Let the days of a table arrive one after the other in a folder, and ``run`` the stream over it for each."""
     path = scratch_dir(spark, name)
     whole = stage(df, f"{name}-whole")
-    day = F.floor(F.col("timestamp") / 86_400)
+    day = F.floor(F.col("timestamp") / 86_400) if day is None else day
     for d in sorted(r["d"] for r in whole.select(day.alias("d")).distinct().collect()):
         whole.filter(day == d).write.mode("append").parquet(path)
         run(spark.readStream.schema(whole.schema).parquet(path)).awaitTermination()
@@ -649,6 +649,18 @@ def stream_features(spark, sf):
     return _plain(spark.read.parquet(f"{out}/features").select(*OUTPUT_COLUMNS, "seq"))
 
 
+@query("stream_features_out_of_order")
+def stream_features_out_of_order(spark, sf):
+    """Rows arrive up to an hour after others that are newer; an hour and a second of allowed lateness puts them in order."""
+    out = scratch_dir(spark, "stream")
+    delay = F.pmod(F.xxhash64("seq"), F.lit(ONE_HOUR))
+    rows = _parsed(spark, sf).withColumn("_at", F.floor((F.col("timestamp") + delay) / 86_400))
+    _by_day(spark, rows, "events", lambda stream: live.stream_features(stream, out, lateness=ONE_HOUR + 1), F.col("_at"))
+    last = spark.read.parquet(f"{out}/features").agg(F.max("batch")).first()[0]
+    rest, late = live.advance(rows.limit(0), last + 1, f"{out}/state")
+    return _plain(spark.read.parquet(f"{out}/features").select(*OUTPUT_COLUMNS, "seq").unionByName(rest.select(*OUTPUT_COLUMNS, "seq")))
+
+
 @query("stream_dedup")
 def stream_dedup(spark, sf):
     rows = _records(spark, sf).withColumn("event_time", F.timestamp_seconds("timestamp"))

@@ -7,13 +7,18 @@ and reads only those of earlier batches:
 * ``last``: per user, pair and host pair seen in the batch, its last row. Every ``SNAPSHOT_EVERY`` batches they are merged
   into a snapshot, so a batch reads one snapshot and a bounded number of small tables.
 
-Rows not after the last row of earlier batches, in ``(timestamp, seq)`` order, are late: their features would depend on what
-was already given out. They go to the ``late`` output with rows that have no readable time.
+With an allowed ``lateness``, rows less than so many seconds behind the newest one seen wait in ``pending`` for those that may
+still come before them, so batches may overlap in time by as much. Rows not after the last row worked on, in
+``(timestamp, seq)`` order, are late: their features would depend on what was already given out. They go to the ``late`` output
+with rows that have no readable time. Rows without a record number have no order inside a second but their hash: allow at
+least a second for them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -44,11 +49,13 @@ def stream_filter(events: DataFrame) -> DataFrame:
     return keep_sign_ins(events)
 
 
-def stream_dedup(events: DataFrame, event_time: str = "event_time", keep_for: str = "1 hour") -> DataFrame:
-    """Drop repeated record ids that arrive within ``keep_for``; rows without an id all pass."""
+def stream_dedup(events: DataFrame, event_time: str = "event_time", keep_for: str = "1 hour", keys: Sequence[str] = ("record_id",)) -> DataFrame:
+    """Drop rows that repeat ``keys`` and arrive within ``keep_for``; rows that lack one of them all pass. Record numbers are
+    those of one machine: name its column too where events come from several.
+    """
     timed = events.withWatermark(event_time, keep_for)
-    once = timed.filter(F.col("record_id").isNotNull()).dropDuplicatesWithinWatermark(["record_id"])
-    return once.unionByName(timed.filter(F.col("record_id").isNull()))
+    whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    return timed.filter(whole).dropDuplicatesWithinWatermark(list(keys)).unionByName(timed.filter(~whole))
 
 
 def stream_parse(xml: DataFrame) -> DataFrame:
@@ -75,6 +82,10 @@ def _read(spark: SparkSession, schema: str, paths: list[str], base: str | None =
     return out
 
 
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+
+
 def _last_rows(rows: DataFrame) -> DataFrame:
     """Newest ``(timestamp, seq)`` per chain key of ``rows``, and of all rows under the chain ``all``."""
     at = F.struct("timestamp", "seq")
@@ -101,14 +112,22 @@ def _merge(last: DataFrame) -> DataFrame:
 
 
 def advance(batch: DataFrame, batch_id: int, state_dir: str, max_group_rows: int = MAX_GROUP_ROWS,
-            keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+            keep: Sequence[str] = (), lateness: int = 0) -> tuple[DataFrame, DataFrame]:
     """Features of one micro-batch (with ``seq`` and the parsed columns in ``keep``) and its late rows; writes the state
-    for the next one.
+    for the next one. An empty batch with a ``lateness`` of 0 releases all rows that still wait.
 
-    Nothing but the newest row, the batch's first time and its hours comes to the driver.
+    Nothing but the newest row, the newest and the batch's first time and its hours comes to the driver.
     """
     spark = batch.sparkSession
     rows = batch.select(*COLUMNS)
+    if batch_id > 0:
+        waiting = _read(spark, _ddl(rows), [f"{state_dir}/pending/{batch_id - 1}"])
+        rows = rows.unionByName(waiting)
+    if lateness:
+        seen = rows.agg(F.max("timestamp")).first()[0]
+        waits = F.coalesce(F.col("timestamp") > F.lit(seen) - lateness, F.lit(False))
+        rows.filter(waits).write.mode("overwrite").parquet(f"{state_dir}/pending/{batch_id}")
+        rows = rows.filter(~waits)
     known = _remembered(spark, state_dir, batch_id)
     newest = known.filter("chain = 'all'").agg(F.max("at").alias("at")).first()["at"]
     late = F.col("timestamp").isNull()
@@ -124,8 +143,7 @@ def advance(batch: DataFrame, batch_id: int, state_dir: str, max_group_rows: int
         hours = range((first - ONE_HOUR) // ONE_HOUR, first // ONE_HOUR + 1)
         if newest is not None:
             hours = [h for h in hours if h <= newest["timestamp"] // ONE_HOUR]
-        schema = rows.schema.simpleString()[len("struct<"):-1].replace(":", " ")
-        history = _read(spark, f"{schema}, hour bigint, batch bigint",
+        history = _read(spark, f"{_ddl(rows)}, hour bigint, batch bigint",
                         [f"{state_dir}/history/hour={h}" for h in hours] if newest is not None else [], f"{state_dir}/history")
         history = history.filter((F.col("batch") < batch_id) & (F.col("timestamp") >= first - ONE_HOUR)).select(*COLUMNS)
         # Older last rows stand in for all history before the windows: too old to be counted, but still "seen before".
@@ -172,22 +190,23 @@ def start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoin
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def stream_features(stream: DataFrame, out_dir: str, max_group_rows: int = MAX_GROUP_ROWS, **trigger) -> StreamingQuery:
-    """Parsed events in, ``out_dir/features/batch=*`` and ``out_dir/late/batch=*`` out."""
+def stream_features(stream: DataFrame, out_dir: str, max_group_rows: int = MAX_GROUP_ROWS, lateness: int = 0, **trigger) -> StreamingQuery:
+    """Parsed events in, ``out_dir/features/batch=*`` and ``out_dir/late/batch=*`` out; ``lateness`` as for :func:`advance`."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        features, late = advance(batch, batch_id, f"{out_dir}/state", max_group_rows)
+        features, late = advance(batch, batch_id, f"{out_dir}/state", max_group_rows, lateness=lateness)
         features.write.mode("overwrite").parquet(f"{out_dir}/features/batch={batch_id}")
         late.write.mode("overwrite").parquet(f"{out_dir}/late/batch={batch_id}")
 
     return start(stream, handle, f"{out_dir}/checkpoint", **trigger)
 
 
-def stream_score(stream: DataFrame, bundle: Bundle, out_dir: str, max_group_rows: int = MAX_GROUP_ROWS, **trigger) -> StreamingQuery:
+def stream_score(stream: DataFrame, bundle: Bundle, out_dir: str, max_group_rows: int = MAX_GROUP_ROWS, lateness: int = 0,
+                 **trigger) -> StreamingQuery:
     """As :func:`stream_features`, then probability, verdict and alert line per event, to ``out_dir/scored/batch=*``."""
     event_columns = ["src_username", "username", "src_host", "destination_host", "event_id"]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        features, late = advance(batch, batch_id, f"{out_dir}/state", max_group_rows, event_columns)
+        features, late = advance(batch, batch_id, f"{out_dir}/state", max_group_rows, event_columns, lateness)
         with_alerts(score_batch(bundle.model, features), bundle.threshold).write.mode("overwrite").parquet(f"{out_dir}/scored/batch={batch_id}")
         late.write.mode("overwrite").parquet(f"{out_dir}/late/batch={batch_id}")
 

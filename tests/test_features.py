@@ -77,6 +77,15 @@ def test_one_exchange_per_family(spark, tmp_path):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_oversized_keys_cost_bounded_scans_and_exchanges(spark, tmp_path):
+    """What is left to run after the rows were written apart: the last family alone, by either way."""
+    frame(spark, random_rows(random.Random(0), 120)).write.parquet(str(tmp_path / "p"))
+    out = build_features(spark.read.parquet(str(tmp_path / "p")), max_group_rows=12, cell_rows=4)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Final Plan" in final and final.count("FileScan parquet") <= 4 and final.count("Exchange hashpartitioning") <= 15
+
+
 def test_hot_keys_are_bounded(spark):
     rows = [row(i, i, user="big" if i % 3 == 0 else f"u{i}") for i in range(60)]
     found = hot_keys(frame(spark, rows), ["src_username", "src_host"], max_group_rows=10)

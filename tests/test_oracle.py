@@ -3,8 +3,8 @@ from compare import connect, difference
 
 from __spark_entry__ import entry, oracle_sql, queries
 
-# Whole streaming runs take a minute each; test_stream.py covers their parts, compare.py runs them all.
-SLOW = {"stream_features"}
+# Whole streaming runs and full fits take a minute each; other tests cover their parts, compare.py runs them all.
+SLOW = {"stream_features", "stream_features_out_of_order", "stream_score_invariants", "model_invariants"}
 
 
 @pytest.fixture(scope="module")

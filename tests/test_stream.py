@@ -3,6 +3,7 @@ import random
 from contract import PARSED_SCHEMA, by_seq, expected_features, frame, random_rows
 from pyspark.sql import functions as F
 
+from gatewatch.operators.labels import dedup_records
 from gatewatch.streaming import live
 
 
@@ -35,6 +36,29 @@ def test_late_and_untimed_rows_are_set_apart(spark, tmp_path):
     assert sorted(r["seq"] for r in late.collect()) == [0, 1]
 
 
+def test_rows_out_of_order_wait_within_the_lateness(spark, tmp_path):
+    rng = random.Random(8)
+    rows = random_rows(rng, 160, start=5000)
+    want, state, got, late = expected_features(rows), str(tmp_path / "s"), {}, 0
+    arrival = sorted(rows, key=lambda r: r["timestamp"] + rng.randrange(1800))
+    parts = [arrival[i:i + 40] for i in range(0, 160, 40)] + [[]]
+    for number, part in enumerate(parts):
+        for _ in range(2 if number == 2 else 1):
+            batch = frame(spark, part) if part else frame(spark, rows[:1]).limit(0)
+            features, behind = live.advance(batch, number, state, lateness=1801 if part else 0)
+            found = by_seq(features)
+            late += behind.count()
+        assert not got.keys() & found.keys()
+        got.update(found)
+    assert got == want and late == 0
+
+
+def test_records_of_several_machines(spark):
+    rows = spark.createDataFrame([(7, "a", 1, 1), (7, "b", 2, 2), (7, "a", 3, 3), (None, "a", 4, 4), (7, None, 5, 5)], "record_id long, host string, timestamp long, seq long")
+    assert sorted(r.seq for r in dedup_records(rows, ["record_id", "host"]).collect()) == [1, 2, 4, 5]
+    assert sorted(r.seq for r in dedup_records(rows).collect()) == [1, 4]
+
+
 def test_an_empty_batch_changes_nothing(spark, tmp_path):
     rows = [dict(r, timestamp=1000 + i) for i, r in enumerate(random_rows(random.Random(3), 4))]
     live.advance(frame(spark, rows[:2]), 0, str(tmp_path / "s"))[0].collect()
