@@ -9,6 +9,7 @@ from gatewatch.llm.staging import small, staged
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+UNITS = 1 << 32  # log ratios are added up as whole numbers of this part of one, so that no order of adding changes a verdict
 
 
 def let(value: Column, body) -> Column:
@@ -65,7 +66,8 @@ def _ngrams(docs: DataFrame, buckets: int, outer: bool = False) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per hash bucket of words and word pairs, log of its share in trusted texts over its share in all texts: at most ``buckets`` rows.
+    """Per hash bucket of words and word pairs, log of its share in trusted texts over its share in all texts, in ``UNITS``: at most
+    ``buckets`` rows.
 
     The corpus counts are brought to the trusted texts' total and both get the same additive smoothing, so that buckets
     with few words say little.
@@ -77,7 +79,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: flo
     counts = staged(counts, "ratio-counts")
     whole = counts.agg(F.sum("good").alias("good"), F.sum("all").alias("all")).first()
     scale = (whole["good"] or 0) / (whole["all"] or 1)
-    return counts.select("_bucket", (F.log(F.col("good") + smoothing) - F.log(F.col("all") * scale + smoothing)).alias("_ratio"))
+    ratio = F.log(F.col("good") + smoothing) - F.log(F.col("all") * scale + smoothing)
+    return counts.select("_bucket", F.round(ratio * UNITS).cast("long").alias("_ratio"))
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.15, buckets: int = 1 << 16, with_text: bool = True,
@@ -94,7 +97,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.15,
     """
     ratios = log_ratios(docs, trusted, buckets, id_col=id_col, text_col=text_col)
     if trusted.isEmpty():
-        ratios = ratios.withColumn("_ratio", F.lit(0.0))
+        ratios = ratios.withColumn("_ratio", F.lit(0).cast("long"))
     counts = base_counts("_text")
     carried = [c for c in docs.columns if c not in {*counts, "base_failed", "log_ratio", "kept"} and (with_text or c != text_col)]
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)],
@@ -102,7 +105,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.15,
     rows = rows.select("_row", *[f"_c{i}" for i in range(len(carried))], *[c.alias(n) for n, c in counts.items()], "_words")
     scored = _ngrams(rows, buckets, outer=True).join(F.broadcast(ratios), "_bucket", "left")
     # Plain numbers are summed up by hash; only texts and lists among the carried columns would need a sort.
-    out = scored.groupBy("_row").agg(*[F.first(f"_c{i}").alias(c) for i, c in enumerate(carried)], *[F.first(n).alias(n) for n in counts], F.avg("_ratio").alias("log_ratio"))
+    out = scored.groupBy("_row").agg(*[F.first(f"_c{i}").alias(c) for i, c in enumerate(carried)], *[F.first(n).alias(n) for n in counts], (F.sum("_ratio") / F.nullif(F.count("_ratio"), F.lit(0)) / UNITS).alias("log_ratio"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (out.drop("_row").withColumn("base_failed", failed)
             .withColumn("kept", ~failed & (F.coalesce(F.col("log_ratio"), F.lit(0.0)) >= threshold)))
