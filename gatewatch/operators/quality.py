@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from gatewatch.functions.scalar import with_relative_day
 from gatewatch.schemas import SPLIT_NAMES
 
 CHUNK_ROWS = 1_000_000
+SPLIT_BITS = 33  # row numbers of a scan start anew, in these low bits, at every input split
 
 
 def check_sorted(df: DataFrame, ts: str = "timestamp", seq: str = "seq", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -28,8 +31,48 @@ def check_sorted(df: DataFrame, ts: str = "timestamp", seq: str = "seq", chunk_r
             .filter(F.col(ts) < F.col("previous")).select(seq, ts, "previous"))
 
 
-def require_sorted(df: DataFrame, **kw) -> DataFrame:
-    bad = check_sorted(df, **kw).limit(1).collect()
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch and run of growing numbers inside one input split: the split, first and last number and time, and whether the
+    time steps back in between. Stretches that follow each other in one task are joined up.
+    """
+    def row(run: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(("split", "first_seq", "last_seq", "first_ts", "last_ts", "back"), run, strict=True))],
+                                          pa.schema([(n, pa.int64()) for n in ("split", "first_seq", "last_seq", "first_ts", "last_ts")] + [("back", pa.bool_())]))
+
+    run = None
+    for batch in batches:
+        seq, ts = (np.asarray(batch.column(i)) for i in (0, 1))
+        split = seq >> SPLIT_BITS
+        cuts = np.flatnonzero((np.diff(split) != 0) | (np.diff(seq) < 0)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(seq)], strict=True):
+            if i == j:
+                continue
+            found = [int(split[i]), int(seq[i]), int(seq[j - 1]), int(ts[i]), int(ts[j - 1]), bool((np.diff(ts[i:j]) < 0).any())]
+            if run and run[0] == found[0] and run[2] <= found[1]:
+                run = [run[0], run[1], found[2], run[3], found[4], run[5] or found[5] or run[4] > found[3]]
+            else:
+                if run:
+                    yield row(run)
+                run = found
+    if run:
+        yield row(run)
+
+
+def in_file_order(df: DataFrame, ts: str = "timestamp", seq: str = "seq") -> bool:
+    """Whether rows that come straight from a scan, numbered by it, have growing times. One pass over two columns without a
+    shuffle of rows: each task reports one row per input split. False also where rows were dealt anew since the scan, which says
+    nothing about their order: see ``check_sorted``. Rows without a time are left out.
+    """
+    rows = df.select(F.col(seq).cast("bigint"), F.col(ts).cast("bigint")).where(F.col(seq).isNotNull() & F.col(ts).isNotNull())
+    fields = "split bigint, first_seq bigint, last_seq bigint, first_ts bigint, last_ts bigint, back boolean"
+    splits = rows.mapInArrow(_stretches, fields).groupBy("split").agg(
+        F.count("*").alias("n"), F.max("back").alias("back"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    stepped = F.coalesce(F.col("first_ts") < F.lag("last_ts").over(Window.orderBy("split")), F.lit(False))
+    return splits.select(((F.col("n") > 1) | F.col("back") | stepped).alias("bad")).where("bad").isEmpty()
+
+
+def require_sorted(df: DataFrame, ts: str = "timestamp", seq: str = "seq", **kw) -> DataFrame:
+    bad = [] if in_file_order(df, ts, seq) else check_sorted(df, ts, seq, **kw).limit(1).collect()
     if bad:
         raise ValueError(f"rows must be in time order; first found out of order: {bad[0].asDict()}")
     return df
@@ -93,6 +136,13 @@ def check_conservation(whole: DataFrame, parts: DataFrame, label: str = "label")
     return sums.withColumn("conserved", same)
 
 
+def require_conservation(whole: DataFrame, parts: DataFrame, label: str = "label") -> DataFrame:
+    found = check_conservation(whole, parts, label).first()
+    if not found["conserved"]:
+        raise ValueError(f"rows or positive labels were lost or added: {found.asDict()}")
+    return parts
+
+
 def check_min_positives(df: DataFrame, least: int, label: str = "label") -> DataFrame:
     """The number of positive rows and whether it reaches ``least``."""
     return (df.agg(F.coalesce(F.sum((F.col(label) == 1).cast("bigint")), F.lit(0)).alias("positives"))

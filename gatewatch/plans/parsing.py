@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gatewatch.functions.scalar import clean_time, map_event_id, normalize_text
 from gatewatch.operators.labels import label_join
+from gatewatch.operators.quality import require_sorted
 
 TEXT_COLUMNS = ["src_user", "dst_user", "src_computer", "dst_computer", "logon_type", "result"]
 
@@ -32,6 +33,11 @@ def to_canonical(df: DataFrame, *extra: str) -> DataFrame:
         "label", *extra)
 
 
-def parse(raw_log: DataFrame, raw_labels: DataFrame) -> DataFrame:
-    """Raw tables to the parsed log; keeps the ``seq`` that the scan attached."""
-    return to_canonical(label_join(clean_log(raw_log), clean_labels(raw_labels)), "seq")
+def parse(raw_log: DataFrame, raw_labels: DataFrame, check_order: bool = True) -> DataFrame:
+    """Raw tables to the parsed log; keeps the ``seq`` that the scan attached. Raises if the log is not in time order, which one
+    pass over its times finds out; ``check_order=False`` leaves that to the caller.
+    """
+    log = clean_log(raw_log)
+    if check_order:
+        require_sorted(log, "time")
+    return to_canonical(label_join(log, clean_labels(raw_labels)), "seq")

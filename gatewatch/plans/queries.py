@@ -133,7 +133,8 @@ def _splits(spark, sf) -> str:
     features = scratch_dir(spark, "features")
     T.write_features(_features(spark, sf), features)
     path = scratch_dir(spark, "splits")
-    T.write_splits(chronological_split(T.load_features(spark, features)), path)
+    stored = T.load_features(spark, features)
+    T.write_splits(chronological_split(stored), path, stored)
     return path
 
 

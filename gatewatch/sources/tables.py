@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewatch.operators.quality import require_columns
-from gatewatch.schemas import FEATURE_COLUMNS, OUTPUT_COLUMNS, PARSED_COLUMNS, SECONDS_PER_DAY
+from gatewatch.operators.quality import require_columns, require_conservation
+from gatewatch.schemas import FEATURE_COLUMNS, OUTPUT_COLUMNS, PARSED_COLUMNS, SECONDS_PER_DAY, SPLIT_NAMES
 
 
 def write_parsed(df: DataFrame, path: str) -> None:
@@ -37,9 +37,13 @@ def load_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*OUTPUT_COLUMNS)
 
 
-def write_splits(df: DataFrame, path: str) -> None:
-    """Table with a ``split`` column, one folder per split. The commit protocol publishes all or nothing."""
+def write_splits(df: DataFrame, path: str, whole: DataFrame | None = None) -> None:
+    """Table with a ``split`` column, one folder per split. The commit protocol publishes all or nothing. With ``whole``, the stored
+    table that was split, what was written is read back and must have its rows and positive labels.
+    """
     df.write.mode("overwrite").partitionBy("split").parquet(path)
+    if whole is not None:
+        require_conservation(whole, df.sparkSession.read.parquet(path).where(F.col("split").isin(SPLIT_NAMES)))
 
 
 def load_split(spark: SparkSession, path: str, split: str) -> DataFrame:

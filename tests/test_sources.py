@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from gatewatch.functions import scalar as S
 from gatewatch.operators.labels import dedup_records, label_join
-from gatewatch.operators.quality import check_sorted
+from gatewatch.operators.quality import check_sorted, in_file_order, require_sorted
 from gatewatch.plans.parsing import clean_labels, parse
-from gatewatch.sources.event_xml import parse_event_xml
-from gatewatch.sources.tables import load_parsed, scan_parsed, write_parsed
-from gatewatch.sources.text import scan_attack_labels, scan_auth_log
+from gatewatch.sources.event_xml import parse_event_xml, rejected_event_xml
+from gatewatch.sources.tables import load_parsed, scan_parsed, write_parsed, write_splits
+from gatewatch.sources.text import scan_attack_labels, scan_auth_log, scan_event_xml
 
 NAMESPACE = 'xmlns="http://schemas.microsoft.com/win/2004/08/events/event"'
 
@@ -35,14 +35,15 @@ def test_file_order_over_files_and_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_many_files_use_the_sorted_form(spark, tmp_path, monkeypatch):
+def test_many_files_get_the_same_numbers(spark, tmp_path, monkeypatch):
     from gatewatch.sources import text
 
-    monkeypatch.setattr(text, "MAX_BROADCAST_FILES", 1)
     for part in range(4):
         (tmp_path / f"{part}.csv").write_text("".join(line(part * 10 + i) for i in range(10)))
-    out = scan_auth_log(spark, str(tmp_path)).orderBy("seq").select("time").collect()
-    assert [int(r[0]) for r in out] == list(range(40))
+    few = scan_auth_log(spark, str(tmp_path)).orderBy("seq").select("time", "seq").collect()
+    monkeypatch.setattr(text, "MAX_BROADCAST_FILES", 1)
+    many = scan_auth_log(spark, str(tmp_path)).orderBy("seq").select("time", "seq").collect()
+    assert [int(r[0]) for r in many] == list(range(40)) and few == many
 
 
 def test_gzip_is_read_as_it_is(spark, tmp_path):
@@ -51,6 +52,59 @@ def test_gzip_is_read_as_it_is(spark, tmp_path):
     assert scan_auth_log(spark, str(tmp_path / "auth.txt.gz")).count() == 20
 
 
+def test_rows_of_a_compressed_file_are_spread(spark, tmp_path, monkeypatch):
+    from gatewatch.sources import text
+
+    monkeypatch.setattr(text, "SPREAD_ROWS", 100)
+    with gzip.open(tmp_path / "auth.txt.gz", "wt") as f:
+        f.writelines(line(i) for i in range(5000))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = scan_auth_log(spark, str(tmp_path / "auth.txt.gz")).withColumn("p", F.spark_partition_id()).orderBy("seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [int(r["time"]) for r in rows] == list(range(5000)) and len({r["p"] for r in rows}) > 1
+    assert parse(scan_auth_log(spark, str(tmp_path / "auth.txt.gz")), scan_attack_labels(spark, str(tmp_path / "absent"))).count() == 5000
+
+
+def test_parse_refuses_an_unsorted_log(spark, tmp_path):
+    labels = scan_attack_labels(spark, str(tmp_path / "absent"))
+    for name, times in {"one": [[1, 3, 2]], "two": [[5, 6], [1, 2]]}.items():
+        (tmp_path / name).mkdir()
+        for i, part in enumerate(times):
+            (tmp_path / name / f"{i}.csv").write_text("".join(line(t) for t in part))
+        log = scan_auth_log(spark, str(tmp_path / name))
+        with pytest.raises(ValueError, match="time order"):
+            parse(log, labels)
+        assert parse(log, labels, check_order=False).count() == sum(map(len, times))
+
+
+def test_file_order_needs_no_shuffle_of_rows(spark, tmp_path):
+    rows = 40_000
+    for part in range(3):
+        (tmp_path / f"part-{part}.csv").write_text("".join(line(part * rows + i, f"U{'x' * 30}{i}") for i in range(rows)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    try:
+        df = scan_auth_log(spark, str(tmp_path)).select(F.col("time").cast("bigint").alias("timestamp"), "seq")
+        assert in_file_order(df)
+        # One wrong time anywhere is found, whether inside a split or at its start.
+        first = df.groupBy(F.expr("seq >> 33")).agg(F.min("seq").alias("s")).orderBy("s").collect()[3]["s"]
+        for at in (first, first + 7):
+            assert not in_file_order(df.withColumn("timestamp", F.when(F.col("seq") == at, 0).otherwise(F.col("timestamp"))))
+        # Rows dealt anew say nothing by themselves; the exact check still accepts them.
+        assert require_sorted(df.repartition(4)) is not None
+        assert in_file_order(df.where("false"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_written_splits_hold_all_rows(spark, tmp_path):
+    whole = spark.createDataFrame([(1, 0, "train"), (2, 1, "valid"), (3, 0, None)], "timestamp bigint, label int, split string")
+    with pytest.raises(ValueError, match="lost"):
+        write_splits(whole, str(tmp_path / "a"), whole)
+    write_splits(whole.where("split is not null"), str(tmp_path / "b"), whole.where("split is not null"))
+
+
 def test_small_splits_are_refused(spark, tmp_path):
     (tmp_path / "a.csv").write_text(line(1))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
@@ -139,3 +193,22 @@ def test_event_xml(spark):
     assert got[6]["record_id"] is None and got[8]["timestamp"] is None
     plan = parse_event_xml(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_xml") + plan.count("xmltostructs") <= 2
+
+
+def test_event_xml_prefixes_and_rejected(spark):
+    spelled = xml().replace("<", "<e:").replace("<e:/", "</e:").replace("xmlns=", "xmlns:e=")
+    cases = [spelled, '<?xml version="1.0"?>\n' + spelled, xml(event_id="4634"), xml()[:-9], xml(namespace='xmlns="other"'),
+             xml(record="<EventRecordID>x</EventRecordID>"), xml(event_id="none"), None, "", xml(), xml(event_id="&#52;624")]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, xml string")
+    got = {r["i"]: r for r in parse_event_xml(df).collect()}
+    assert sorted(got) == [0, 1, 9, 10]
+    assert [tuple(got[i])[1:] for i in (0, 1, 10)] == [tuple(got[9])[1:]] * 3
+    assert {r["i"]: r["reason"] for r in rejected_event_xml(df).collect()} == {
+        3: "not readable", 4: "other name space", 5: "record number", 6: "event number", 7: "not readable", 8: "not readable"}
+
+
+def test_event_xml_over_many_lines(spark, tmp_path):
+    wide = [xml(record=f"<EventRecordID>{i}</EventRecordID>").replace("><", ">\n  <") for i in range(50)]
+    (tmp_path / "a.xml").write_text('<?xml version="1.0"?>\n<Events>\n' + "\n".join(wide) + "\n</Events>\n")
+    df = scan_event_xml(spark, str(tmp_path), end="</Event>")
+    assert sorted(r["record_id"] for r in parse_event_xml(df).collect()) == list(range(50)) and rejected_event_xml(df).isEmpty()
