@@ -4,7 +4,9 @@ Rows with equal values form one *point*, so a large group of copies costs as muc
 the nearest of a few pivots (Voronoi cells). From the distances between pivots and their closest points follows, for each
 point, a radius that surely holds enough neighbours; the triangle inequality then rules out every cell that lies farther
 away. What is left is a join of points with the blocks of candidate cells; each task holds one block and one share of
-the points, and emits only its best ``k + 1`` points per point. The result equals the all-pairs search, ties included.
+the points that ask for its cell, and emits only its best ``k + 1`` points per point. The result equals the all-pairs search,
+ties included. The number of pivots grows with the points, so that a cell stays about half a block, and a cell's points are
+copied only as often as the number of points that ask for it demands.
 
 (Lu, Shen, Chen, Ooi: "Efficient processing of k nearest neighbor joins using MapReduce", VLDB 2012.)
 """
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gatewatch.session import scratch_dir
 
-MAX_PIVOTS = 128
+MANY_PIVOTS, MAX_PIVOTS = 128, 8192  # the driver and every task hold them: some megabytes at most
 BLOCK_POINTS = 4096
 SHARE_POINTS = 50_000
 _SLACK = 1e-9
@@ -59,8 +61,10 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pick_pivots(points: DataFrame, n_points: int) -> np.ndarray:
-    """Up to ``MAX_PIVOTS`` points, the ones with the smallest hashes: bounded, repeatable and spread like the data."""
-    wanted = max(1, min(MAX_PIVOTS, int(np.sqrt(n_points))))
+    """The points with the smallest hashes: bounded, repeatable and spread like the data. Few points get the root of their number,
+    many two for each block.
+    """
+    wanted = max(1, min(MANY_PIVOTS, int(np.sqrt(n_points))), min(MAX_PIVOTS, 2 * n_points // BLOCK_POINTS))
     rows = points.orderBy(F.xxhash64("cid"), "cid").limit(wanted).select("z").collect()
     return np.array([r["z"] for r in rows], dtype=float)
 
@@ -68,11 +72,12 @@ def _pick_pivots(points: DataFrame, n_points: int) -> np.ndarray:
 def _with_cell(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                d = _distances(np.stack(pdf["z"].to_numpy()), pivots)
-                pdf["cell"] = d.argmin(axis=1).astype("int32")
-                pdf["pd"] = np.sqrt(d.min(axis=1))
-                yield pdf
+            for start in range(0, len(pdf), 1024):
+                part = pdf.iloc[start:start + 1024].copy()
+                d = _distances(np.stack(part["z"].to_numpy()), pivots)
+                part["cell"] = d.argmin(axis=1).astype("int32")
+                part["pd"] = np.sqrt(d.min(axis=1))
+                yield part
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
     return points.mapInPandas(assign, f"{fields}, cell int, pd double")
@@ -127,13 +132,13 @@ def nearest(df: DataFrame, row_id: str, columns: Sequence[str], k: int, scale: b
         reach += spread
         reach_cell += [i] * len(spread)
     reach, reach_cell, centres = np.array(reach), np.array(reach_cell), pivots[numbers]
-    shares = max(1, -(-n_points // share_points))
     need = k + 1
+    rows_at_once = max(1, int(2e7 // max(1, len(reach), centres.size)))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for start in range(0, len(pdf), 2048):
-                part = pdf.iloc[start:start + 2048]
+            for start in range(0, len(pdf), rows_at_once):
+                part = pdf.iloc[start:start + rows_at_once]
                 d = np.sqrt(_distances(np.stack(part["z"].to_numpy()), centres))
                 bound = d[:, reach_cell] + reach
                 radius = np.full(len(part), np.inf)
@@ -141,10 +146,7 @@ def nearest(df: DataFrame, row_id: str, columns: Sequence[str], k: int, scale: b
                     radius = np.partition(bound, need - 1, axis=1)[:, need - 1]
                 gap = np.maximum(np.maximum(d - hi, lo - d), 0.0)
                 q, c = np.nonzero(gap <= (radius * (1 + _SLACK) + _SLACK)[:, None])
-                repeat = n_blocks[c]
-                q, cell = np.repeat(q, repeat), np.repeat(numbers[c], repeat)
-                block = np.concatenate([np.arange(r) for r in repeat]) if len(repeat) else repeat
-                yield pd.DataFrame({"cid": part["cid"].to_numpy()[q], "z": part["z"].to_numpy()[q], "cell": cell.astype("int32"), "block": block.astype("int32")})
+                yield pd.DataFrame({"cid": part["cid"].to_numpy()[q], "z": part["z"].to_numpy()[q], "cell": numbers[c].astype("int32")})
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -160,11 +162,20 @@ def nearest(df: DataFrame, row_id: str, columns: Sequence[str], k: int, scale: b
                                        "distance2": np.take_along_axis(d, best, 1).ravel()}))
         return pd.concat(found)
 
-    share = F.pmod(F.xxhash64("cid"), F.lit(shares)).cast("int")
-    asked = placed.select("cid", "z").mapInPandas(route, "cid bigint, z array<double>, cell int, block int").withColumn("share", share)
-    blocks_of = F.create_map(*[x for n, b in zip(numbers, n_blocks) for x in (F.lit(int(n)), F.lit(int(b)))])
-    held = placed.select("cid", "z", "cell", F.pmod(F.xxhash64("cid", F.lit(1)), blocks_of[F.col("cell")]).cast("int").alias("block"))
-    held = held.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    asked = stage(placed.select("cid", "z").mapInPandas(route, "cid bigint, z array<double>, cell int"), "knn-asked")
+    # One short row per cell, at most MAX_PIVOTS: blocks by its own points, shares by the points that ask for it.
+    blocks_of = spark.createDataFrame([(int(c), int(b)) for c, b in zip(numbers, n_blocks)], "cell int, blocks int")
+    plan = asked.groupBy("cell").agg(F.ceil(F.count("*") / share_points).cast("int").alias("shares")).join(F.broadcast(blocks_of), "cell")
+    plan = F.broadcast(stage(plan, "knn-plan"))
+
+    def dealt(salt: int, count: str) -> Column:
+        return F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(count)).cast("int")
+
+    def each(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    asked = asked.join(plan, "cell").select("cid", "z", "cell", dealt(0, "shares").alias("share"), each("blocks").alias("block"))
+    held = placed.join(plan, "cell").select("cid", "z", "cell", dealt(1, "blocks").alias("block"), each("shares").alias("share"))
     keys = ["cell", "block", "share"]
     partial = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(compare, "cid bigint, other bigint, distance2 double")
 

@@ -225,6 +225,8 @@ ORACLE: dict[str, str] = {
     "write_metrics": SCORED + "," + MATRIX + "," + RANKING + f"""select 'demo' as model, true_positive, false_positive, {M['accuracy']} as accuracy,
         round(roc_auc, 9) as roc_auc, round(pr_auc, 9) as pr_auc, cast(0.3 as double) as threshold from m, r""",
     "scan_event_xml": EVENTS + f"select {LIVE} from xml",
+    "scan_event_xml_lines": EVENTS + f"select {LIVE} from xml",
+    "rejected_event_xml": LOG + "select seq, case when seq % 17 = 0 then 'not readable' else 'other name space' end as reason from log where seq % 17 = 0 or seq % 19 = 0",
     "clean_time": RAW + f"select seq, {_clean_time()} as time from raw where {_clean_time()} is not null",
     "normalize_text": RAW + "select seq, " + ", ".join(f"{_clean(c)} as {c}" for c in ("src_user", "dst_user", "src_computer", "dst_computer", "logon_type", "result")) + " from raw",
     "map_event_id": LOG + "select seq, event_id from log",

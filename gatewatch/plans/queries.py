@@ -38,7 +38,7 @@ from gatewatch.plans.parsing import TEXT_COLUMNS, parse, to_canonical
 from gatewatch.schemas import AUTH_COLUMNS, FEATURE_COLUMNS, ONE_HOUR, OUTPUT_COLUMNS
 from gatewatch.session import scratch_dir
 from gatewatch.sources import tables as T
-from gatewatch.sources.event_xml import keep_sign_ins, parse_event_xml
+from gatewatch.sources.event_xml import keep_sign_ins, parse_event_xml, rejected_event_xml
 from gatewatch.sources.text import scan_attack_labels, scan_auth_log, scan_event_xml
 from gatewatch.streaming import live
 
@@ -177,6 +177,24 @@ def scan_event_xml_(spark, sf):
     return parse_event_xml(scan_event_xml(spark, path))
 
 
+@query("scan_event_xml_lines")
+def scan_event_xml_lines(spark, sf):
+    """The same documents, each over many lines."""
+    path = scratch_dir(spark, "xml")
+    D.event_xml(spark, sf).select(F.regexp_replace("xml", "><", ">\n  <").alias("xml")).write.text(path)
+    return parse_event_xml(scan_event_xml(spark, path, end="</Event>"))
+
+
+@query("rejected_event_xml")
+def rejected_event_xml_(spark, sf):
+    """Some documents are cut off, some have another name space, some a prefix (which is no reason to reject them)."""
+    seq, xml = F.col("seq"), F.col("xml")
+    prefixed = F.regexp_replace(F.regexp_replace(xml, "<(/?)", "<$1e:"), "xmlns=", "xmlns:e=")
+    spoilt = (F.when(seq % 17 == 0, F.expr("left(xml, length(xml) - 9)")).when(seq % 19 == 0, F.replace(xml, F.lit("xmlns="), F.lit("xmlns:x=")))
+              .when(seq % 23 == 0, prefixed).otherwise(xml))
+    return rejected_event_xml(D.event_xml(spark, sf).withColumn("xml", spoilt)).select("seq", "reason")
+
+
 # Projections, filters, scalar functions
 
 

@@ -58,6 +58,25 @@ def test_neighbours_equal_brute_force(spark, name):
         np.testing.assert_allclose([((z[place[e["id"]]] - z[place[i]]) ** 2).sum() for e in entries], want[i], atol=1e-9)
 
 
+def test_points_are_copied_no_more_often_when_there_are_more(spark, monkeypatch):
+    from gatewatch.operators import neighbours
+
+    sizes = {}
+
+    def counted(df, name, *folders, plain=neighbours.stage):
+        out = plain(df, name, *folders)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neighbours, "stage", counted)
+    copies = []
+    for n in (5_000, 50_000):
+        df = spark.range(n).select("id", *[F.rand(i).alias(f"c{i}") for i in range(3)])
+        assert nearest(df, "id", ["c0", "c1", "c2"], 5, share_points=2_000, block_points=2_000).where(F.size("neighbours") == 5).count() == n
+        copies.append(sizes["knn-asked"] / n)
+    assert copies[1] < 1.3 * copies[0], copies
+
+
 def sample_frame(spark, n=300, attacks=5, legacy=False, seed=0):
     rng = random.Random(seed)
     columns = LEGACY_FEATURE_COLUMNS if legacy else FEATURE_COLUMNS
