@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 SPACE = "▁"
 CACHED_UNITS = 1_200_000
 CACHED_PAIRS = 400_000
+CACHED_CHARS = 64  # longer units are not remembered, so that the memory is bounded in bytes too
 OUT_ROWS = 500
 
 # Fixed values of the public model format: field numbers, piece types, model types.
@@ -176,9 +177,11 @@ class PieceTransducer:
                     out += [self.ids[p] for p in self.shortest(part)]
                 else:
                     out += [self.byte_ids[b] for b in part.encode("utf-8", "replace")] if self.has_bytes else [self.unknown]
-        if len(self.seen) >= CACHED_UNITS:
-            self.seen.clear()
-        found = self.seen[unit] = array("i", out).tobytes()
+        found = array("i", out).tobytes()
+        if len(unit) <= CACHED_CHARS:
+            if len(self.seen) >= CACHED_UNITS:
+                self.seen.clear()
+            self.seen[unit] = found
         return found
 
     def encode(self, text: str | None) -> np.ndarray:

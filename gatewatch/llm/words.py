@@ -8,6 +8,7 @@ import xxhash
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 CACHED_WORDS = 300_000
+CACHED_BYTES = 64  # longer words are rare and could be of any size: their hashes are not remembered
 
 
 def lower_words(text: str | None) -> list[bytes]:
@@ -19,9 +20,11 @@ class WordHashes(dict):
     """64-bit hashes of words, the same in every process; the memory of them is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
     def of(self, words: list[bytes]) -> np.ndarray:

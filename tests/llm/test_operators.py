@@ -403,3 +403,19 @@ def test_components_of_long_paths_and_hubs(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
     assert components(spark.createDataFrame([], T.StructType.fromDDL("a long, b long"))).count() == 0
+
+
+def test_memories_of_words_and_units_hold_no_long_ones():
+    from gatewatch.llm.pieces import CACHED_CHARS, PieceTransducer
+    from gatewatch.llm.queries import PIECE_MODEL
+    from gatewatch.llm.words import CACHED_BYTES, WordHashes
+
+    hashes = WordHashes()
+    short, long = b"x" * CACHED_BYTES, b"x" * (CACHED_BYTES + 1)
+    assert hashes.of([short, long, long]).tolist() == WordHashes().of([short, long, long]).tolist() and list(hashes) == [short]
+    with open(PIECE_MODEL, "rb") as file:
+        machine = PieceTransducer(file.read())
+    text = "ab " + "xyz" * CACHED_CHARS + " ab"
+    ids = machine.encode(text)
+    assert machine.decode(ids) == text and machine.encode(text).tolist() == ids.tolist()
+    assert max(map(len, machine.seen)) <= CACHED_CHARS
