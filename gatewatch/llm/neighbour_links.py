@@ -1,9 +1,11 @@
 """Links between embeddings by NN-descent (Dong, Moses and Li, 2011).
 
 Every vector keeps a short list of its nearest known neighbours. Lists start from random-hyperplane buckets and are refined
-by comparing the neighbours of each vector with each other; a list that is full of links is enlarged. A bounded sample of
-vectors is compared with all others to measure recall, and the search goes on with new buckets until it is reached. Links
-are finally counted exactly, in double precision, block by block within each connected pocket.
+by comparing the neighbours of each vector with each other; a list that is full of links is enlarged. Vectors whose lists
+stay full of links, which may hide links to other pockets, are compared exactly across pockets by leaders and a radius
+bound. A bounded sample of vectors is compared with all others to measure recall; links it finds missing are added, and the
+search goes on with new buckets until recall is reached, or else fails. Links are finally counted exactly, in double
+precision, block by block within each connected pocket.
 """
 
 from __future__ import annotations
@@ -144,6 +146,15 @@ def _audit(batches: Iterator[pa.RecordBatch], nodes: np.ndarray, labels: np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _asked(classes: DataFrame, pockets: DataFrame, least: float, every: int, search: int) -> DataFrame:
+    """a, b, found: all true links of one vector in ``every``, another sample for each search."""
+    sample = classes.where(F.pmod(F.xxhash64("node", F.lit(f"audit{search}")), F.lit(every)) == 0).select("node", "label", "unit").limit(4 * AUDIT).collect()
+    asked = (np.array([r["node"] for r in sample], np.int64), np.array([r["label"] for r in sample]), [np.frombuffer(bytes(r["unit"])) for r in sample])
+    truth = classes.select("node", "label", "unit").mapInArrow(lambda it: _audit(it, *asked, least), "a long, b long")
+    one, two = pockets.select(F.col("node").alias("a"), F.col("pocket").alias("p")), pockets.select(F.col("node").alias("b"), F.col("pocket").alias("q"))
+    return truth.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce(F.col("p") == F.col("q"), F.lit(False)).alias("found"))
+
+
 def _count(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Per block of a pocket: every vector's exact number of links in it, and the links that connect its parts."""
     for rows in groups_of(batches, "g"):
@@ -168,7 +179,81 @@ def _counted(vectors: DataFrame, pockets: DataFrame, least: float) -> DataFrame:
     return staged(rows.mapInArrow(lambda it: _count(it, least), "node long, links long, other long"), "counted")
 
 
-def link_neighbours(rows: DataFrame, least: float = 0.98, length: int = 8, longest: int = 64, recall: float = 0.995, rounds: int = 3, searches: int = 4,
+def _leaders(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Every vector's leader, one of its own group that it is linked with, and the largest angle of that leader's followers."""
+    for rows in groups_of(batches, "g"):
+        units, nodes = _matrix(rows["unit"], np.float64), rows["node"].to_numpy()
+        lead, radius = np.full(len(nodes), -1), np.zeros(len(nodes))
+        for i in range(len(nodes)):
+            if lead[i] < 0:
+                sims = units @ units[i]
+                near = (lead < 0) & (sims >= least)
+                near[i] = True
+                lead[near], radius[near] = i, np.arccos(np.clip(sims[near].min(), -1, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[lead], pa.int64()), pa.array(radius)], names=["node", "leader", "radius"])
+
+
+def _facing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of leaders of different pockets whose followers may be linked; of linked leaders one pair for two pockets."""
+    for rows in groups_of(batches, "g"):
+        nodes, own, pocket, across, radius = (rows[c].to_numpy() for c in ("leader", "own", "pocket", "across", "radius"))
+        units = _matrix(rows["unit"], np.float64)
+        sims = units @ units.T
+        reach = np.minimum(np.arccos(least) + radius[:, None] + radius[None] + 1e-6, np.pi)
+        # Inside one chunk all pairs count, between two chunks only pairs across.
+        able = (sims >= np.cos(reach)) & (pocket[:, None] < pocket[None]) & (~across[0] | (own[:, None] != own[None]))
+        i, j = np.nonzero(able)
+        sure = sims[i, j] >= least
+        _, pair = np.unique(np.stack([pocket[i], pocket[j]], 1), axis=0, return_inverse=True)
+        pair = pair.reshape(-1)
+        settled = np.zeros(pair.max(initial=-1) + 1, bool)
+        settled[pair[sure]] = True
+        at = np.flatnonzero(sure)
+        at = np.concatenate([at[np.unique(pair[at], return_index=True)[1]], np.flatnonzero(~settled[pair])]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i[at]], pa.int64()), pa.array(nodes[j[at]], pa.int64()), pa.array(sure[at])], names=["a", "b", "sure"])
+
+
+def _crossing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """One link between the two sides of each group, where there is any."""
+    for rows in groups_of(batches, "g"):
+        nodes, first, units = rows["node"].to_numpy(), rows["first"].to_numpy(), _matrix(rows["unit"], np.float64)
+        i, j = np.nonzero(units[first] @ units[~first].T >= least)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[first][i[:1]], pa.int64()), pa.array(nodes[~first][j[:1]], pa.int64())], names=["a", "b"])
+
+
+def _bridged(classes: DataFrame, pockets: DataFrame, full: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """Pockets(node, pocket) united wherever two vectors of ``full``, whose lists hold nothing but links, are linked across them.
+
+    A list with room left holds a vector's nearest known neighbours, so only a link between two full lists can stay unseen.
+    """
+    many = pockets.join(full, "node").join(classes.select("node", "label", "size", "unit"), "node")
+    chunks = many.groupBy("pocket").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+    rows = many.join(chunks, "pocket").withColumn("g", F.xxhash64("pocket", F.pmod(F.xxhash64("node", F.lit("leader")), F.col("chunks"))))
+    led = rows.select("g", "node", "unit").repartition("g").sortWithinPartitions("g").mapInArrow(lambda it: _leaders(it, least), "node long, leader long, radius double")
+    led = staged(led, "leaders")
+    heads = led.where("node = leader").select("leader", "node", "radius").join(many, "node").drop("node")
+    chunks = heads.groupBy("label", "size").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"), F.countDistinct("pocket").alias("pockets")).where("pockets > 1").drop("pockets")
+    if chunks.isEmpty():
+        return pockets
+    rows = heads.join(chunks, ["label", "size"]).withColumn("own", F.pmod(F.xxhash64("leader", F.lit("chunk")), F.col("chunks")))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    rows = rows.select("leader", "own", "pocket", "radius", "unit", (F.col("own") != F.col("with")).alias("across"), F.xxhash64("label", "size", F.least("own", "with"), F.greatest("own", "with")).alias("g"))
+    pairs = staged(rows.repartition("g").sortWithinPartitions("g").mapInArrow(lambda it: _facing(it, least), "a long, b long, sure boolean"), "facing").distinct()
+    if pairs.isEmpty():
+        return pockets
+    links = links.select("a", "b").unionAll(pairs.where("sure").select("a", "b"))
+    united = staged(components(links).withColumnRenamed("component", "pocket"), "pockets")
+    one, two = united.select(F.col("node").alias("a"), F.col("pocket").alias("p")), united.select(F.col("node").alias("b"), F.col("pocket").alias("q"))
+    open_ = staged(pairs.where("not sure").join(one, "a").join(two, "b").where("p <> q").select("a", "b", F.xxhash64("a", "b").alias("g")), "undecided")
+    if open_.isEmpty():
+        return united
+    sides = open_.select("g", F.col("a").alias("leader"), F.lit(True).alias("first")).unionAll(open_.select("g", F.col("b").alias("leader"), F.lit(False).alias("first")))
+    rows = sides.join(led.select("leader", "node"), "leader").join(classes.select("node", "unit"), "node").select("g", "node", "first", "unit")
+    found = staged(rows.repartition("g").sortWithinPartitions("g").mapInArrow(lambda it: _crossing(it, least), "a long, b long"), "crossing")
+    return united if found.isEmpty() else staged(components(links.unionAll(found)).withColumnRenamed("component", "pocket"), "pockets")
+
+
+def link_neighbours(rows: DataFrame, least: float = 0.98, length: int = 8, longest: int = 64, recall: float = 0.995, rounds: int = 3, searches: int = 32,
                     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links vectors of one label whose cosine is at least ``least`` (in double precision), and their connected groups.
 
@@ -177,6 +262,9 @@ def link_neighbours(rows: DataFrame, least: float = 0.98, length: int = 8, longe
     also of one id, count as vectors of their own. A null id keeps its links, but is never a group's smallest id; a group of
     null ids has a null component_id, and such rows count as kept. An empty table gives no rows.
 
+    Every search asks a new sample of vectors for the recall reached. Where that is below ``recall`` after all ``searches``,
+    a RuntimeError gives the measured figure instead of rows.
+
     Returns one row per row: the id, n_links (other rows linked directly), component_id, kept.
     """
     units = staged(rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v")).mapInArrow(
@@ -188,10 +276,7 @@ def link_neighbours(rows: DataFrame, least: float = 0.98, length: int = 8, longe
     vectors = staged(classes.select("node", "label", "size", "unit").mapInArrow(_single, f"node long, label {classes.schema['label'].dataType.simpleString()}, size int, vector binary"), "vectors")
     n = classes.count()
     bound = least - SLACK
-    sample = classes.where(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(max(1, n // AUDIT))) == 0).select("node", "label", "unit").limit(4 * AUDIT).collect()
-    asked = (np.array([r["node"] for r in sample], np.int64), np.array([r["label"] for r in sample]), [np.frombuffer(bytes(r["unit"])) for r in sample])
-    truth = staged(classes.select("node", "label", "unit").mapInArrow(lambda it: _audit(it, *asked, least), "a long, b long"), "audit")
-    lists, lengths, pockets = None, classes.select("node", F.lit(0).alias("most")).limit(0), None
+    lists, lengths, missed = None, classes.select("node", F.lit(0).alias("most")).limit(0), None
     for search in range(searches):
         started = _started(vectors, list(range(4 * search, 4 * search + 4)), length)
         if lists is not None:
@@ -207,12 +292,25 @@ def link_neighbours(rows: DataFrame, least: float = 0.98, length: int = 8, longe
             before, links = links, lists.where(F.col("sim") >= bound).count()
             if links <= before * 1.001:
                 break
-        pockets = staged(components(lists.where(F.col("sim") >= bound).select("a", "b")).withColumnRenamed("component", "pocket"), "pockets")
+        links = lists.where(F.col("sim") >= bound).select("a", "b")
+        links = links if missed is None else links.unionAll(missed)
+        pockets = staged(components(links).withColumnRenamed("component", "pocket"), "pockets")
+        full = lists.groupBy("a").agg(F.min("sim").alias("low"), F.count("*").alias("n"), F.max("most").alias("most")).where((F.col("low") >= bound) & (F.col("n") >= F.col("most")))
+        full = staged(full.select(F.col("a").alias("node")), "full")
+        pockets = pockets if full.isEmpty() else _bridged(classes, pockets, full, links, least)
         # A true link is found when both ends are in one pocket, within which all pairs are compared.
-        one, two = pockets.select(F.col("node").alias("a"), F.col("pocket").alias("p")), pockets.select(F.col("node").alias("b"), F.col("pocket").alias("q"))
-        seen = truth.join(one, "a", "left").join(two, "b", "left").agg(F.count("*").alias("n"), F.sum((F.col("p") == F.col("q")).cast("long")).alias("hit")).first()
-        if (seen["hit"] or 0) >= recall * seen["n"]:
+        seen = staged(_asked(classes, pockets, least, max(1, n // AUDIT), search), "audit")
+        reached = seen.agg(F.count("*").alias("n"), F.sum(F.col("found").cast("long")).alias("hit")).first()
+        reached = (reached["hit"] or 0) / reached["n"] if reached["n"] else 1.0
+        # Links that the sample misses join their pockets, but count for nothing in the next search's new sample.
+        new = seen.where("not found").select("a", "b")
+        missed = new if missed is None else missed.unionAll(new)
+        if reached >= recall:
             break
+    else:
+        raise RuntimeError(f"recall {reached:.4f} after {searches} searches, {recall} asked for")
+    if not new.isEmpty():
+        pockets = staged(components(pockets.select(F.col("node").alias("a"), F.col("pocket").alias("b")).unionAll(new)).withColumnRenamed("component", "pocket"), "pockets")
     counted = _counted(classes, pockets, least)
     groups = components(counted.select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = counted.groupBy("node").agg(F.sum("links").alias("links"))

@@ -169,6 +169,37 @@ def test_neighbour_links(spark, block, monkeypatch):
         assert neighbour_links.link_neighbours(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("angles", [(0.0, 0.195), (0.0, 0.206, 0.412)])
+def test_dense_groups_linked_only_across_full_lists(spark, angles):
+    """Each list is full of its own group's vectors; the links to the next group show only in an exact comparison of groups."""
+    from gatewatch.llm.neighbour_links import link_neighbours
+
+    draw, units = np.random.default_rng(6), []
+    for angle in angles:
+        for _ in range(90):
+            v = np.r_[math.cos(angle), math.sin(angle), np.zeros(14)] + draw.normal(size=16) * 0.004
+            units.append(v / np.linalg.norm(v))
+    units = np.stack(units)
+    linked = units @ units.T >= 0.98
+    np.fill_diagonal(linked, False)
+    group = np.arange(len(units)) // 90
+    assert linked[group[:, None] == group].sum() == len(angles) * 90 * 89 and linked[group[:, None] != group].any()
+    got = link_neighbours(spark.createDataFrame([(i, u.tolist(), 1) for i, u in enumerate(units)], "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(linked.sum(1).tolist()))
+    assert {r.component_id for r in got} == {0}
+
+
+def test_missed_recall_is_raised(spark, monkeypatch):
+    """Vectors that no bucket and no list ever brings together fail the search instead of being returned apart."""
+    from gatewatch.llm import neighbour_links as N
+
+    near = N._near
+    monkeypatch.setattr(N, "_near", lambda batches: (b.slice(0, 0) for b in near(batches)))
+    df = spark.createDataFrame([(i, [1.0, 1e-3 * i], 1) for i in range(8)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(RuntimeError, match="recall 0.0000 after 1 searches"):
+        N.link_neighbours(df, searches=1)
+
+
 def test_search_finds_a_sample_of_true_neighbours(spark):
     """The lists alone, before the exact count: recall against brute force."""
     from gatewatch.llm import neighbour_links as N
