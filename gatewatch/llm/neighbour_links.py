@@ -3,13 +3,16 @@
 Every vector keeps a short list of its nearest known neighbours. Lists start from random-hyperplane buckets and are refined
 by comparing the neighbours of each vector with each other; a list that is full of links is enlarged. Vectors whose lists
 stay full of links, which may hide links to other pockets, are compared exactly across pockets by leaders and a radius
-bound. A bounded sample of vectors is compared with all others to measure recall; links it finds missing are added, and the
-search goes on with new buckets until recall is reached, or else fails. Links are finally counted exactly, in double
-precision, block by block within each connected pocket.
+bound. Buckets are as fine as the size of their own label asks for, and there are as many of them as it takes for two vectors
+at the threshold to meet with the chance asked for. A bounded sample of vectors, one half of it outside large pockets, is
+compared with all others to measure the share of links found per vector; missing ones are added, and the search goes on with
+new buckets until recall is reached, or else fails. Links are finally counted exactly, in double precision, block by block
+within each connected pocket.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -26,7 +29,13 @@ SLACK = 1e-4  # single-precision similarities may be off by less
 BUCKET = 48
 PART = 64  # neighbours of one vector compared in one go
 BLOCK = 512  # vectors per side in the exact count
-AUDIT = 1024  # vectors compared with all others to measure recall
+AUDIT = 1024  # vectors compared with all others to measure recall, from large pockets and from the rest each
+AUDITS = 8  # as many samples of the rest, as long as fewer than LINKED vectors in them have links
+LINKED = 64
+EXTRA = 16  # hyperplanes more for a bucket that holds many vectors
+TRIALS = 4  # buckets per vector in one go
+
+log = logging.getLogger(__name__)
 
 _SIMS = "a long, b long, sim float"
 
@@ -95,20 +104,49 @@ def _compared(groups: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_near, _SIMS)
 
 
-def _started(vectors: DataFrame, trials: list[int], length: int) -> DataFrame:
-    """Neighbours inside random-hyperplane buckets; a bucket with many vectors is cut into parts at random."""
-    largest = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    bits = max(0, math.ceil(math.log2(max(1, largest / BUCKET))))
-    codes = vectors.select("node", "vector").mapInArrow(lambda it: _signs(it, bits, trials), "node long, codes array<long>")
-    rows = codes.join(vectors.select("node", "label", "size"), "node").select("node", "label", "size", F.posexplode("codes").alias("trial", "code"))
-    rows = staged(rows, "buckets")
-    counts = rows.groupBy("label", "size", "trial", "code").agg(F.ceil(F.count("*") / (2 * BUCKET)).alias("parts")).where("parts > 1")
-    rows = rows.join(small(counts), ["label", "size", "trial", "code"], "left")
-    part = F.pmod(F.xxhash64("node", "trial"), F.coalesce("parts", F.lit(1)))
-    groups = rows.select(F.xxhash64("label", "size", "trial", "code", part).alias("g"), "node", F.lit(-1.5).cast("float").alias("worst"), F.lit(length).alias("most"))
+def _buckets(vectors: DataFrame, trials: list[int]) -> DataFrame:
+    """node, label, size, trial, code, depth, parts: as many hyperplanes as a label's own size asks for, and more for a bucket
+    with many vectors; what stays together even then is cut into parts at random.
+    """
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BUCKET))).cast("int").alias("bits")
+    labels = staged(vectors.groupBy("label", "size").agg(bits), "label-bits")
+    most = min(62, (labels.agg(F.max("bits")).first()[0] or 0) + EXTRA)
+    codes = vectors.select("node", "vector").mapInArrow(lambda it: _signs(it, most, trials), "node long, codes array<long>")
+    rows = codes.join(vectors.select("node", "label", "size"), "node").join(small(labels), ["label", "size"])
+    rows = rows.select("node", "label", "size", "bits", F.posexplode("codes").alias("trial", "sides"))
+    first = lambda n: F.expr(f"sides & (shiftleft(1L, {n}) - 1L)")
+    rows = staged(rows.withColumn("code", first("bits")), "buckets")
+    keys = ["label", "size", "trial", "code"]
+    extra = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 2 * BUCKET).select(*keys, F.ceil(F.log2(F.col("n") / BUCKET)).cast("int").alias("extra"))
+    rows = rows.join(small(extra), keys, "left").withColumn("depth", F.least(F.lit(most), F.col("bits") + F.coalesce("extra", F.lit(0)))).withColumn("code", first("depth"))
+    rows = rows.select("node", *keys, "depth")
+    keys.append("depth")
+    parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / (2 * BUCKET)).alias("parts")).where("parts > 1")
+    return rows.join(small(parts), keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
+def _started(vectors: DataFrame, trials: list[int], length: int, buckets: DataFrame | None = None) -> DataFrame:
+    """Neighbours inside random-hyperplane buckets."""
+    rows = _buckets(vectors, trials) if buckets is None else buckets
+    part = F.pmod(F.xxhash64("node", "trial"), "parts")
+    groups = rows.select(F.xxhash64("label", "size", "trial", "code", "depth", part).alias("g"), "node", F.lit(-1.5).cast("float").alias("worst"), F.lit(length).alias("most"))
     return _compared(groups, vectors)
 
 
+def _same_side(least: float) -> float:
+    """The chance that a random hyperplane leaves two vectors at the threshold on one side."""
+    return 1 - math.acos(max(-1.0, min(1.0, least))) / math.pi
+
+
+def _unmet(chances: DataFrame, full: DataFrame) -> float:
+    """The largest label mean of the chance that a vector met none of its links at the threshold in any bucket.
+
+    Vectors with lists full of links are left out: what they miss is found by comparing pockets.
+    """
+    rows = chances.join(full, "node", "left_anti").groupBy("node").agg(F.first("label").alias("label"), F.exp(F.sum("unmet")).alias("unmet"))
+    return rows.groupBy("label").agg(F.avg("unmet").alias("unmet")).agg(F.max("unmet")).first()[0] or 0.0
+
+
 def _trimmed(pairs: DataFrame, lengths: DataFrame, length: int) -> DataFrame:
     """The best entries of every list: ``length``, or what ``lengths`` gives an enlarged one."""
     once = pairs.groupBy("a", "b").agg(F.max("sim").alias("sim"))
@@ -146,13 +184,39 @@ def _audit(batches: Iterator[pa.RecordBatch], nodes: np.ndarray, labels: np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _asked(classes: DataFrame, pockets: DataFrame, least: float, every: int, search: int) -> DataFrame:
-    """a, b, found: all true links of one vector in ``every``, another sample for each search."""
-    sample = classes.where(F.pmod(F.xxhash64("node", F.lit(f"audit{search}")), F.lit(every)) == 0).select("node", "label", "unit").limit(4 * AUDIT).collect()
-    asked = (np.array([r["node"] for r in sample], np.int64), np.array([r["label"] for r in sample]), [np.frombuffer(bytes(r["unit"])) for r in sample])
-    truth = classes.select("node", "label", "unit").mapInArrow(lambda it: _audit(it, *asked, least), "a long, b long")
+def _asked(classes: DataFrame, pockets: DataFrame, least: float, longest: int, search: int) -> DataFrame:
+    """a, b, large, found: all true links of a sample of vectors from pockets of more than ``longest``, and of another from the rest.
+
+    A link is found when both ends are in one pocket, within which all pairs are compared. The rest is asked for further
+    samples until enough vectors in them have links. Every search draws its own samples.
+    """
+    large = pockets.join(pockets.groupBy("pocket").agg(F.count("*").alias("n")).where(F.col("n") > longest), "pocket").select("node", F.lit(True).alias("large"))
+    rows = classes.select("node", "label", "unit").join(large, "node", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    every = {r["large"]: max(1, r["n"] // AUDIT) for r in rows.groupBy("large").agg(F.count("*").alias("n")).collect()}
+    draw = F.xxhash64("node", F.lit(f"audit{search}"))
     one, two = pockets.select(F.col("node").alias("a"), F.col("pocket").alias("p")), pockets.select(F.col("node").alias("b"), F.col("pocket").alias("q"))
-    return truth.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce(F.col("p") == F.col("q"), F.lit(False)).alias("found"))
+    seen = None
+    for turn in range(min(AUDITS, every.get(False, 1))):
+        picked = ~F.col("large") & (F.pmod(draw, F.lit(every.get(False, 1))) == turn)
+        if not turn:
+            picked = picked | F.col("large") & (F.pmod(draw, F.lit(every.get(True, 1))) == 0)
+        sample = rows.where(picked).limit(4 * AUDIT).collect()
+        asked = (np.array([r["node"] for r in sample], np.int64), np.array([r["label"] for r in sample]), [np.frombuffer(bytes(r["unit"])) for r in sample])
+        truth = classes.select("node", "label", "unit").mapInArrow(lambda it, asked=asked: _audit(it, *asked, least), "a long, b long")
+        now = truth.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce(F.col("p") == F.col("q"), F.lit(False)).alias("found"))
+        now = staged(now.join(large.withColumnRenamed("node", "a"), "a", "left").withColumn("large", F.coalesce("large", F.lit(False))), "audit")
+        seen = now if seen is None else seen.unionAll(now)
+        if seen.where("not large").select("a").distinct().count() >= LINKED:
+            break
+    return seen
+
+
+def _recall(seen: DataFrame) -> float:
+    """The mean share of links found per vector that has links, in large pockets or in the rest, whichever is lower."""
+    shares = seen.groupBy("large", "a").agg(F.avg(F.col("found").cast("int")).alias("share")).groupBy("large").agg(F.avg("share").alias("share"), F.count("*").alias("n")).collect()
+    for r in shares:
+        log.info("recall %.5f of %d vectors with links %s large pockets", r["share"], r["n"], "in" if r["large"] else "outside")
+    return min((r["share"] for r in shares), default=1.0)
 
 
 def _count(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -262,8 +326,9 @@ def link_neighbours(rows: DataFrame, least: float = 0.98, length: int = 8, longe
     also of one id, count as vectors of their own. A null id keeps its links, but is never a group's smallest id; a group of
     null ids has a null component_id, and such rows count as kept. An empty table gives no rows.
 
-    Every search asks a new sample of vectors for the recall reached. Where that is below ``recall`` after all ``searches``,
-    a RuntimeError gives the measured figure instead of rows.
+    A search ends the work when new samples of vectors, in large pockets and outside, show a mean recall per vector of at
+    least ``recall``, and in every label two vectors at the threshold have met in a bucket with that chance. Where that is
+    not so after all ``searches``, a RuntimeError gives the figures instead of rows.
 
     Returns one row per row: the id, n_links (other rows linked directly), component_id, kept.
     """
@@ -274,14 +339,26 @@ def link_neighbours(rows: DataFrame, least: float = 0.98, length: int = 8, longe
     classes = nodes.groupBy("node").agg(F.first("label").alias("label"), F.first("unit").alias("unit"), F.count("*").alias("copies"), F.min("id").alias("least"))
     classes = staged(classes.withColumn("size", F.length("unit")), "classes")
     vectors = staged(classes.select("node", "label", "size", "unit").mapInArrow(_single, f"node long, label {classes.schema['label'].dataType.simpleString()}, size int, vector binary"), "vectors")
-    n = classes.count()
-    bound = least - SLACK
+    bound, side = least - SLACK, _same_side(least)
+    largest = vectors.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 1
+    met = side ** max(0, math.ceil(math.log2(largest / BUCKET)))
+    wanted = 1 if met >= 1 else max(1, math.ceil(math.log(max(1e-9, 1 - recall)) / math.log(1 - met)))
     lists, lengths, missed = None, classes.select("node", F.lit(0).alias("most")).limit(0), None
+    trials, chances = 0, None
     for search in range(searches):
-        started = _started(vectors, list(range(4 * search, 4 * search + 4)), length)
-        if lists is not None:
-            started = started.unionAll(lists.select("a", "b", "sim"))
-        lists, links = staged(_trimmed(started, lengths, length), "lists"), -1
+        until = trials + (max(TRIALS, wanted) if not search else TRIALS)
+        while trials < until:
+            now = list(range(trials, min(until, trials + TRIALS)))
+            trials = now[-1] + 1
+            buckets = staged(_buckets(vectors, now), "buckets")
+            unmet = F.log(F.greatest(F.lit(1e-12), 1 - F.pow(F.lit(side), "depth") / F.col("parts")))
+            unmet = staged(buckets.groupBy("node").agg(F.first("label").alias("label"), F.sum(unmet).alias("unmet")), "chances")
+            chances = unmet if chances is None else chances.unionAll(unmet)
+            started = _started(vectors, now, length, buckets)
+            if lists is not None:
+                started = started.unionAll(lists.select("a", "b", "sim"))
+            lists = staged(_trimmed(started, lengths, length), "lists")
+        links = -1
         for turn in range(rounds):
             full = lists.groupBy("a").agg(F.min("sim").alias("low"), F.count("*").alias("n"), F.max("most").alias("most"))
             more = full.where((F.col("low") >= bound) & (F.col("n") >= F.col("most")) & (F.col("most") < longest))
@@ -298,17 +375,15 @@ def link_neighbours(rows: DataFrame, least: float = 0.98, length: int = 8, longe
         full = lists.groupBy("a").agg(F.min("sim").alias("low"), F.count("*").alias("n"), F.max("most").alias("most")).where((F.col("low") >= bound) & (F.col("n") >= F.col("most")))
         full = staged(full.select(F.col("a").alias("node")), "full")
         pockets = pockets if full.isEmpty() else _bridged(classes, pockets, full, links, least)
-        # A true link is found when both ends are in one pocket, within which all pairs are compared.
-        seen = staged(_asked(classes, pockets, least, max(1, n // AUDIT), search), "audit")
-        reached = seen.agg(F.count("*").alias("n"), F.sum(F.col("found").cast("long")).alias("hit")).first()
-        reached = (reached["hit"] or 0) / reached["n"] if reached["n"] else 1.0
+        seen = _asked(classes, pockets, least, longest, search)
+        reached, unmet = _recall(seen), _unmet(chances, full)
         # Links that the sample misses join their pockets, but count for nothing in the next search's new sample.
         new = seen.where("not found").select("a", "b")
         missed = new if missed is None else missed.unionAll(new)
-        if reached >= recall:
+        if reached >= recall and unmet <= 1 - recall:
             break
     else:
-        raise RuntimeError(f"recall {reached:.4f} after {searches} searches, {recall} asked for")
+        raise RuntimeError(f"recall {reached:.4f} after {searches} searches, {recall} asked for; pairs at the threshold met with chance {1 - unmet:.4f}")
     if not new.isEmpty():
         pockets = staged(components(pockets.select(F.col("node").alias("a"), F.col("pocket").alias("b")).unionAll(new)).withColumnRenamed("component", "pocket"), "pockets")
     counted = _counted(classes, pockets, least)

@@ -189,6 +189,40 @@ def test_dense_groups_linked_only_across_full_lists(spark, angles):
     assert {r.component_id for r in got} == {0}
 
 
+def test_small_label_beside_a_hot_one_is_searched_whole(spark):
+    """A label of few vectors needs no hyperplanes: a single trial brings all of its pairs at the threshold together."""
+    from gatewatch.llm import neighbour_links as N
+
+    draw = np.random.default_rng(9)
+    rows = [(i, 0, draw.normal(size=24)) for i in range(4000)]
+    for i in range(20):
+        u, v = draw.normal(size=(2, 24))
+        u /= np.linalg.norm(u)
+        v -= (v @ u) * u
+        rows += [(5000 + 2 * i, 1, u), (5001 + 2 * i, 1, 0.9801 * u + math.sqrt(1 - 0.9801**2) * v / np.linalg.norm(v))]
+    rows = [(n, l, 24 * 8, (v / np.linalg.norm(v)).astype(np.float32).tobytes()) for n, l, v in rows]
+    vectors = spark.createDataFrame(rows, "node long, label int, size int, vector binary")
+    found = {(r.a, r.b) for r in N._started(vectors, [0], 8).collect()}
+    assert all((5000 + 2 * i, 5001 + 2 * i) in found and (5001 + 2 * i, 5000 + 2 * i) in found for i in range(20))
+
+
+def test_links_of_large_pockets_do_not_hide_missed_pairs(spark):
+    """Recall is a mean per vector, of large pockets and of the rest apart: all links of 200 vectors found, all of ten pairs missed."""
+    from gatewatch.llm import neighbour_links as N
+
+    draw = np.random.default_rng(2)
+    units = [np.r_[1.0, 0.001 * i, np.zeros(14)] for i in range(200)]
+    for i in range(10):
+        v = draw.normal(size=16)
+        units += [v, v + 1e-3 * draw.normal(size=16)]
+    units = [u / np.linalg.norm(u) for u in units]
+    classes = spark.createDataFrame([(i, 1, u.tobytes()) for i, u in enumerate(units)], "node long, label int, unit binary")
+    pockets = spark.createDataFrame([(i, 0) for i in range(200)], "node long, pocket long")
+    seen = N._asked(classes, pockets, 0.98, 64, 0)
+    assert N._recall(seen) == 0 and N._recall(seen.where("large")) == 1
+    assert seen.where("not found").count() == 20
+
+
 def test_missed_recall_is_raised(spark, monkeypatch):
     """Vectors that no bucket and no list ever brings together fail the search instead of being returned apart."""
     from gatewatch.llm import neighbour_links as N
