@@ -399,6 +399,58 @@ def test_licences(spark, empty):
     assert scan_licences(df.limit(0)).count() == 0
 
 
+MIT_TEXT = """Copyright (c) 2020 A Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_real_headers_and_licence_files(spark):
+    from gatewatch.llm.licences import scan_licences
+
+    gpl = """ *  This program is free software: you can redistribute it and/or modify
+ *  it under the terms of the GNU General Public License as published by
+ *  the Free Software Foundation, either version 3 of the License, or
+ *  (at your option) any later version."""
+    texts = [("// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+             ("MIT License", "MIT"), ("Copyright 2020 A Person. Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+             ("This file is part of the project and is Released under the MIT License.", "MIT"), ("released under\n# the MIT\n# License", "MIT"), ("GNU GENERAL PUBLIC LICENSE", "GPL"),
+             ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy\n" + "more " * 5000, "GPL-3.0"),
+             (gpl, "GPL-3.0"), (MIT_TEXT, "MIT"), (BSD_TEXT.format(""), "BSD-2-Clause"), (BSD_TEXT.format(BSD_THIRD), "BSD-3-Clause"),
+             ("Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n" + "text " * 3000, "MPL-2.0"),
+             ("                                 Apache License\n                           Version 2.0, January 2004\n" + "text " * 2000, "Apache-2.0"),
+             ("SPDX-License-Identifier: Unheard-Of-1.0", None), ("we hereby redistribute our warranty cards", None)]
+    rows = [(i, f"d{i}/LICENSE" if i % 2 else f"d{i}/x.c", t) for i, (t, _) in enumerate(texts)]
+    got = {r.file_id: r.own_licence for r in scan_licences(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert {t: got[i] for i, (t, _) in enumerate(texts)} == dict(texts)
+
+
 def test_licence_cosines(spark):
     from gatewatch.llm.licences import TEMPLATES, matched
 
