@@ -41,7 +41,7 @@ def fold(column: str = "doc_id"):
 def op1_lm_scoring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     learn = fold() % 5 != 1
-    scores = deleted_interpolation(docs, learn, F.floor(fold() / 5) % 10 == 0)
+    scores = deleted_interpolation(docs, learn, F.floor(fold() / 5) % 10 == 0, order=3)
     held_out = F.coalesce(fold() % 5 == 1, F.lit(False))
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

@@ -69,6 +69,18 @@ def test_language_model(docs, empty):
     assert {r.score for r in deleted_interpolation(docs.where("doc_id = 303"), F.lit(False), F.lit(False)).collect()} == {0.0}
 
 
+def test_registered_scores_use_word_triples(spark, sf_dir):
+    from gatewatch.llm.lm import deleted_interpolation
+    from gatewatch.llm.queries import QUERIES, fold
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    have = {r.doc_id: r.score for r in QUERIES["op1_lm_scoring"](spark, sf_dir).collect()}
+    want, pairs = ({r.doc_id: r.score for r in deleted_interpolation(docs, fold() % 5 != 1, F.floor(fold() / 5) % 10 == 0, order=k).collect()} for k in (3, 2))
+    assert have.keys() == want.keys() and all(math.isclose(have[d], want[d], rel_tol=1e-9) for d in want)
+    held = [d for d in want if zlib.crc32(str(d).encode()) % 5 == 1]
+    assert held and sum(have[d] for d in held) > sum(pairs[d] for d in held)
+
+
 def test_language_model_is_a_distribution(spark):
     """After every context the probabilities of all known words, the end and one unknown word sum to one."""
     from gatewatch.llm.lm import CONTEXT_BUCKETS, _shares
