@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, recall:
     rows. Other columns are ignored.
     """
     at = percent / 100
-    trees = max(1, math.ceil(math.log(1 - recall) / math.log(1 - at ** (LEVELS - 1))))
+    trees = max(1, math.ceil(math.log(1 - recall) / math.log(1 - at ** LEVELS)))
     factors = _factors(trees * LEVELS, seed)
     least = at - 4 * math.sqrt(at * (1 - at) / len(factors))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

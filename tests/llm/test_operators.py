@@ -141,6 +141,16 @@ def test_near_duplicates(docs, empty, chunk, monkeypatch):
         assert near_dups.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_trees_reach_the_recall_of_a_pair_that_descends_every_level(docs, percent, monkeypatch):
+    from gatewatch.llm import near_dups
+
+    used, own = [], near_dups._candidates
+    monkeypatch.setattr(near_dups, "_candidates", lambda sets, trees, least: used.append(trees) or own(sets, trees, least))
+    near_dups.near_duplicates(docs.limit(3), percent=percent, recall=0.999)
+    assert (1 - (percent / 100) ** near_dups.LEVELS) ** used[0] <= 0.001
+
+
 def test_rows_of_one_id_join_their_classes(spark):
     from gatewatch.llm.near_dups import near_duplicates
 
