@@ -7,15 +7,18 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatewatch.llm.filter_audit import audit_filters
 from gatewatch.llm.licences import scan_licences
 from gatewatch.llm.lm import deleted_interpolation
 from gatewatch.llm.mixing import mix_sources
 from gatewatch.llm.near_dups import near_duplicates
 from gatewatch.llm.neighbour_links import link_neighbours
+from gatewatch.llm.periodic import periodic_runs
 from gatewatch.llm.pieces import encode_pieces
 from gatewatch.llm.preferences import format_preferences
 from gatewatch.llm.quality_classifier import fit_quality, score_quality
-from gatewatch.llm.quality_rules import quality_rules
+from gatewatch.llm.quality_rules import let, quality_rules, words_of
+from gatewatch.llm.secret_scan import scan_secrets
 from gatewatch.llm.staging import staged, table
 from gatewatch.llm.warc import assemble, read_warc, write_warc
 from gatewatch.session import scratch_dir
@@ -164,3 +167,72 @@ select pair_id, cast(k as integer) as n_prompt_turns,
   coalesce(string_agg((place + length(o)) || '-' || (place + length(o) + length(b)), ',' order by i) filter (where side = 'r' and i > k and role = 'assistant'), '') as rejected_spans
 from p group by pair_id, k
 """
+
+
+def _with_planted_run(docs):
+    """The contract's input: the text of every tenth id, by checksum, repeats itself from some word on."""
+    h = fold()
+    g = F.floor(h / 10)
+
+    def changed(words):
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: words[place(i)]), " ")
+
+    words = words_of(F.col("text"))
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words, lambda w: F.when(F.size(w) > 0, changed(w)))).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    found = periodic_runs(_with_planted_run(table(spark, sf_dir, "documents")), drop=("text",))
+    # Largest length, then smallest start, then smallest period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    rows = found.withColumn("_best", best).withColumn("_lines", F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")))
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.start")).alias("start"), F.col("_best.length").alias("length"),
+                       (-F.col("_best.period")).alias("period"), F.expr("1000 * _best.length div -_best.period").alias("exponent_milli"),
+                       F.sha2("_lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_secret_scan(spark, sf_dir):
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query
+def op13_filter_audit(spark, sf_dir):
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op13_filter_audit"] = r"""
+with letters as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(letter, bit)),
+orders as (select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order from letters a, letters b, letters c, letters d, letters e
+  where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+steps as (select filter_order, step, letter, bit, coalesce((select sum(x.bit) from letters x where instr(filter_order, x.letter) < step), 0) as earlier
+  from orders, range(1, 6) r(step), letters where substr(filter_order, step, 1) = letter),
+l as (select doc_id, max(coalesce((quality = 1)::int, 0)) as good, max(coalesce((toxic = 1)::int, 0)) as toxic from labels where doc_id is not null group by 1),
+d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+f as (select doc_id, part, case when len(w) < 200 then 1 else 0 end + case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end
+  + case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) then 4 else 0 end + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end
+  + case when doc_id > min(doc_id) over (partition by t) then 16 else 0 end as mask from d),
+c as (select part, mask, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, count(*) as n from f left join l using (doc_id) group by all),
+s as (select part, filter_order, step, letter,
+  sum(case when mask & (earlier + bit) = 0 then n else 0 end) as kept,
+  sum(case when mask & earlier = 0 and mask & bit > 0 then n else 0 end) as removed,
+  sum(case when mask & earlier > 0 and mask & bit > 0 then n else 0 end) as redundant,
+  sum(case when mask = bit then n else 0 end) as unique_fails,
+  sum(case when mask & earlier = 0 and mask & bit > 0 then n * good else 0 end) as good_lost,
+  sum(case when mask & earlier = 0 and mask & bit > 0 then n * toxic else 0 end) as toxic_lost
+  from c, steps group by all)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+  cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+  cast(sum(removed) over (partition by part, letter) as bigint) as shapley
+from s
+"""
