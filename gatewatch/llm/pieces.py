@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -19,14 +18,15 @@ from itertools import groupby
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁"
-CACHED_UNITS = 1_200_000
-CACHED_PAIRS = 400_000
-CACHED_CHARS = 64  # longer units are not remembered, so that the memory is bounded in bytes too
-OUT_ROWS = 500
+CACHED_BYTES = 16 << 20  # of either generation of remembered units, in each Python worker
+BLOCK_BYTES = 1 << 20  # texts encoded at once
+CACHED_PAIRS = 100_000  # of pieces, which are short
+KEPT_IDS = 64  # units with more are not remembered, so that any text fits
 
 # Fixed values of the public model format: field numbers, piece types, model types.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -64,6 +64,38 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
         yield key >> 3, value
 
 
+class Memory:
+    """Ids of units by the hash that Python gives a string in this process, in flat arrays: some 26 bytes a unit."""
+
+    def __init__(self) -> None:
+        self.keys, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.sizes, self.ids = np.zeros(0, np.int16), np.zeros(0, np.int32)
+
+    @property
+    def bytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.starts, self.sizes, self.ids))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Units with new keys, in ascending order."""
+        at = np.searchsorted(self.keys, keys)
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        self.keys, self.starts = np.insert(self.keys, at, keys), np.insert(self.starts, at, starts)
+        self.sizes, self.ids = np.insert(self.sizes, at, sizes), np.append(self.ids, ids)
+
+
+def _slices(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices of ``flat``, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class PieceTransducer:
     """The compiled machine of one model file. ``encode`` and ``decode`` are exact inverses on texts without U+2581."""
 
@@ -96,7 +128,8 @@ class PieceTransducer:
         cut = f"[{re.escape(self.alone)}]|" if self.alone else ""
         words = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.units = None if words else re.compile(f"{cut}{SPACE}*[^{SPACE}{re.escape(self.alone)}]+|{SPACE}+")
-        self.seen: dict[str, bytes] = {}
+        self.newer, self.older = Memory(), Memory()
+        self.grown: dict[str, tuple | None] = {}
         self.beside: dict[tuple[str, str], bool] = {}
 
     def _add(self, piece: dict) -> None:
@@ -133,40 +166,101 @@ class PieceTransducer:
                 pairs[i - 1] = score(i - 1)
         return parts
 
+    def growth(self, piece: str) -> tuple[tuple, tuple, bool] | None:
+        """How merging builds a piece: its last parts from the last character up to all of it, its first parts likewise, each with
+        the score of the merge that made it, and whether merges came in order of their scores. None if merging does not end with it.
+        """
+        if piece in self.grown:
+            return self.grown[piece]
+        parts, scores, none = list(piece), [], -np.inf
+        last, first = [(parts[-1], np.inf)], [(parts[0], np.inf)]
+        score = lambda i: self.scores.get(parts[i] + parts[i + 1], none)
+        while len(parts) > 1 and (best := max(range(len(parts) - 1), key=score)) is not None and score(best) > none:
+            scores.append(score(best))
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            if best == len(parts) - 1:
+                last.append((parts[-1], scores[-1]))
+            if best == 0:
+                first.append((parts[0], scores[-1]))
+        ordered = all(a >= b for a, b in zip(scores, scores[1:]))
+        found = self.grown[piece] = (tuple(last), tuple(first), ordered) if len(parts) == 1 else None
+        return found
+
     def hold(self, left: str, right: str) -> bool:
-        """Whether two pieces can stand side by side."""
+        """As :meth:`holds`, and remembered."""
         if len(self.beside) >= CACHED_PAIRS:
             self.beside.clear()
-        fits = self.beside[left, right] = self.merged(left + right) == [left, right]
+        fits = self.beside[left, right] = self.holds(left, right)
         return fits
 
+    def holds(self, left: str, right: str) -> bool:
+        """Whether two pieces can stand side by side: at no time does a merge across their border come before the next ones inside.
+
+        Merges come by score, the leftmost first among equals, so it is enough to follow the two parts at the border as they grow.
+        """
+        one, two = self.growth(left), self.growth(right)
+        if one is None or two is None:
+            return False
+        if not (one[2] and two[2]):
+            return self.merged(left + right) == [left, right]
+        lasts, firsts, scores = one[0], two[1], self.scores
+        i = j = 0
+        while True:
+            next_left = lasts[i + 1][1] if i + 1 < len(lasts) else -np.inf
+            next_right = firsts[j + 1][1] if j + 1 < len(firsts) else -np.inf
+            across = scores.get(lasts[i][0] + firsts[j][0])
+            if across is not None and across > next_left and across >= next_right:
+                return False
+            if next_left == next_right == -np.inf:
+                return True
+            if next_left >= next_right:
+                i += 1
+            else:
+                j += 1
+
     def shortest(self, unit: str) -> list[str]:
         """Arcs of the cheapest path through the lattice of a unit all of whose characters are pieces. The automaton names the
         arcs that end at each place, longest first.
+
+        With merges, arcs cost nothing or are ruled out by the piece that follows, and one path is left: it is sought from the
+        end, longest arcs first, and no arc is gone through twice. Otherwise the least sum of costs is taken place by place.
         """
-        last: list[str | None] = [""] + [None] * len(unit)
-        costs = [0.0] * (len(unit) + 1)
-        beside = self.beside
+        if not self.merges:
+            last, costs = [""] * (len(unit) + 1), [0.0] + [np.inf] * len(unit)
+            for end, piece in self.arcs.iter(unit):
+                cost = costs[end + 1 - len(piece)] - self.scores[piece]
+                if cost < costs[end + 1]:
+                    last[end + 1], costs[end + 1] = piece, cost
+            path, j = [], len(unit)
+            while j:
+                path.append(last[j])
+                j -= len(path[-1])
+            return path[::-1]
+        ends: list[list[str]] = [[] for _ in range(len(unit) + 1)]
         for end, piece in self.arcs.iter(unit):
-            j = end + 1
-            before = last[j - len(piece)]
-            if before is None or self.merges and last[j] is not None:
+            ends[end + 1].append(piece)
+        beside, tried = self.beside, set()
+        front = [(p, len(unit), None) for p in reversed(ends[-1])]
+        while True:
+            piece, end, after = front.pop()
+            if (piece, end) in tried:
                 continue
-            if self.merges:
-                fits = not before or beside.get((before, piece))
-                if fits if fits is not None else self.hold(before, piece):
-                    last[j] = piece
-            elif last[j] is None or costs[j - len(piece)] - self.scores[piece] < costs[j]:
-                last[j], costs[j] = piece, costs[j - len(piece)] - self.scores[piece]
-        if last[-1] is None:
-            return self.merged(unit)
-        path, j = [], len(unit)
-        while j:
-            path.append(last[j])
-            j -= len(path[-1])
-        return path[::-1]
-
-    def _unit(self, unit: str) -> bytes:
+            if after:
+                fits = beside.get((piece, after[0]))
+                if not (fits if fits is not None else self.hold(piece, after[0])):
+                    continue
+            tried.add((piece, end))
+            after, start = (piece, after), end - len(piece)
+            if not start:
+                break
+            front += [(p, start, after) for p in reversed(ends[start])]
+        path = []
+        while after:
+            path.append(after[0])
+            after = after[1]
+        return path
+
+    def _unit(self, unit: str) -> list[int]:
         if self.characters.issuperset(unit):
             out = [self.ids[p] for p in self.shortest(unit)]
         else:
@@ -177,18 +271,46 @@ class PieceTransducer:
                     out += [self.ids[p] for p in self.shortest(part)]
                 else:
                     out += [self.byte_ids[b] for b in part.encode("utf-8", "replace")] if self.has_bytes else [self.unknown]
-        found = array("i", out).tobytes()
-        if len(unit) <= CACHED_CHARS:
-            if len(self.seen) >= CACHED_UNITS:
-                self.seen.clear()
-            self.seen[unit] = found
-        return found
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and their number for each text.
+
+        Units are remembered in two generations: when the newer is full, it takes the place of the older, so that units in use
+        since then stay.
+        """
+        units, counts = [], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            whole = self.normalise(text or "")
+            found = self.units.findall(whole) if self.units else [whole] if whole else []
+            counts[i] = len(found)
+            units += found
+        keys, first, which = np.unique(np.fromiter(map(hash, units), np.int64, len(units)), return_index=True, return_inverse=True)
+        old, new = self.older.find(keys), self.newer.find(keys)
+        missing = np.flatnonzero((old < 0) & (new < 0))
+        made = [self._unit(units[i]) for i in first[missing].tolist()]
+        # One flat array of this block's own units, in the order of their keys.
+        sizes = np.zeros(len(keys), np.int64)
+        sizes[missing] = [len(x) for x in made]
+        for memory, at in ((self.older, old), (self.newer, new)):
+            sizes[at >= 0] = memory.sizes[at[at >= 0]]
+        starts = np.cumsum(sizes) - sizes
+        flat = np.zeros(int(sizes.sum()), np.int32)
+        place = lambda rows: _slices(np.arange(len(flat)), starts[rows], sizes[rows])
+        flat[place(missing)] = np.fromiter((i for x in made for i in x), np.int32, int(sizes[missing].sum()))
+        for memory, at in ((self.older, old), (self.newer, new)):
+            rows = np.flatnonzero(at >= 0)
+            flat[place(rows)] = _slices(memory.ids, memory.starts[at[rows]].astype(np.int64), sizes[rows])
+        fresh = np.flatnonzero((new < 0) & (sizes <= KEPT_IDS))
+        self.newer.add(keys[fresh], sizes[fresh], flat[place(fresh)])
+        if self.newer.bytes > CACHED_BYTES:
+            self.older, self.newer = self.newer, Memory()
+        lengths = sizes[which]
+        ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(counts))]
+        return _slices(flat, starts[which], lengths), np.diff(ends)
 
     def encode(self, text: str | None) -> np.ndarray:
-        whole = self.normalise(text or "")
-        get, made = self.seen.get, self._unit
-        units = self.units.findall(whole) if self.units else [whole] if whole else []
-        return np.frombuffer(b"".join([get(u) or made(u) for u in units]), np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         out = b"".join(map(self.bytes_out.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -221,17 +343,17 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", ids_
         is_byte = np.zeros(len(machine.bytes_out), bool)
         is_byte[machine.byte_ids] = machine.has_bytes
         for whole in batches:
-            for k in range(0, whole.num_rows, OUT_ROWS):
-                batch = whole.slice(k, OUT_ROWS)
+            sums, i = np.cumsum(pc.fill_null(pc.binary_length(whole.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+            while i < whole.num_rows:
+                j = max(i + 1, int(np.searchsorted(sums, (sums[i - 1] if i else 0) + BLOCK_BYTES, side="right")))
+                batch, i = whole.slice(i, j - i), j
                 texts = batch.column(at).to_pylist()
-                ids = [machine.encode(t) for t in texts]
-                sizes = np.array([len(x) for x in ids], np.int32)
-                offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                back = [machine.decode(x) == (t or "") for x, t in zip(ids, texts)]
-                n_bytes = [int(is_byte[x].sum()) for x in ids]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())),
-                                                  pa.array(sizes), pa.array(n_bytes, pa.int32()), pa.array(back, pa.bool_())], names=schema.names)
+                flat, sizes = machine.encode_all(texts)
+                offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+                back = [machine.decode(flat[a:b]) == (t or "") for a, b, t in zip(offsets, offsets[1:], texts)]
+                n_bytes = np.diff(np.append(0, np.cumsum(is_byte[flat]))[offsets])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())),
+                                                  pa.array(sizes, pa.int32()), pa.array(n_bytes, pa.int32()), pa.array(back, pa.bool_())], names=schema.names)
 
     return docs.select(*kept).mapInArrow(encode, schema)
 

@@ -544,8 +544,8 @@ def test_components_of_long_paths_and_hubs(spark):
     assert components(spark.createDataFrame([], T.StructType.fromDDL("a long, b long"))).count() == 0
 
 
-def test_memories_of_words_and_units_hold_no_long_ones():
-    from gatewatch.llm.pieces import CACHED_CHARS, PieceTransducer
+def test_memories_of_words_and_units_are_bounded(monkeypatch):
+    from gatewatch.llm import pieces
     from gatewatch.llm.queries import PIECE_MODEL
     from gatewatch.llm.words import CACHED_BYTES, WordHashes
 
@@ -553,8 +553,32 @@ def test_memories_of_words_and_units_hold_no_long_ones():
     short, long = b"x" * CACHED_BYTES, b"x" * (CACHED_BYTES + 1)
     assert hashes.of([short, long, long]).tolist() == WordHashes().of([short, long, long]).tolist() and list(hashes) == [short]
     with open(PIECE_MODEL, "rb") as file:
-        machine = PieceTransducer(file.read())
-    text = "ab " + "xyz" * CACHED_CHARS + " ab"
+        machine = pieces.PieceTransducer(file.read())
+    text = "ab " + "xyz" * 400 + " ab"
     ids = machine.encode(text)
     assert machine.decode(ids) == text and machine.encode(text).tolist() == ids.tolist()
-    assert max(map(len, machine.seen)) <= CACHED_CHARS
+    assert len(machine.newer.keys) == 1 and machine.newer.sizes.max() <= pieces.KEPT_IDS
+    monkeypatch.setattr(pieces, "CACHED_BYTES", 4000)
+    draw = random.Random(2)
+    texts = [" ".join(f"w{draw.randrange(3000)}é" for _ in range(60)) for _ in range(60)]
+    one_by_one = [machine.encode(t).tolist() for t in texts]
+    flat, sizes = machine.encode_all([*texts, None, "", texts[0]])
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [*one_by_one, [], [], one_by_one[0]]
+    assert machine.older.bytes < 40_000 and machine.newer.bytes < 120_000
+
+
+def test_pieces_side_by_side_follow_the_merges():
+    """The walk along the border agrees with merging the joined text, for random pairs of pieces."""
+    from gatewatch.llm.pieces import PieceTransducer
+    from gatewatch.llm.queries import PIECE_MODEL
+
+    with open(PIECE_MODEL, "rb") as file:
+        machine = PieceTransducer(file.read())
+    draw, found = random.Random(7), Counter()
+    pieces = sorted(machine.ids)
+    short = [p for p in pieces if len(p) < 3]
+    for _ in range(4000):
+        left, right = draw.choice(pieces), draw.choice(short if draw.random() < 0.5 else pieces)
+        found[machine.holds(left, right)] += 1
+        assert machine.holds(left, right) == (machine.merged(left + right) == [left, right])
+    assert min(found.values()) > 200
