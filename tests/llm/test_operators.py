@@ -562,9 +562,9 @@ def test_memories_of_words_and_units_are_bounded(monkeypatch):
     draw = random.Random(2)
     texts = [" ".join(f"w{draw.randrange(3000)}é" for _ in range(60)) for _ in range(60)]
     one_by_one = [machine.encode(t).tolist() for t in texts]
+    assert max(machine.older.bytes, machine.newer.bytes) < 4000 + 60 * 60
     flat, sizes = machine.encode_all([*texts, None, "", texts[0]])
     assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [*one_by_one, [], [], one_by_one[0]]
-    assert machine.older.bytes < 40_000 and machine.newer.bytes < 120_000
 
 
 def test_pieces_side_by_side_follow_the_merges():
