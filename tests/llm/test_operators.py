@@ -581,4 +581,4 @@ def test_pieces_side_by_side_follow_the_merges():
         left, right = draw.choice(pieces), draw.choice(short if draw.random() < 0.5 else pieces)
         found[machine.holds(left, right)] += 1
         assert machine.holds(left, right) == (machine.merged(left + right) == [left, right])
-    assert min(found.values()) > 200
+    assert min(found[True], found[False]) > 20
