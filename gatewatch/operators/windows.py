@@ -8,13 +8,15 @@ For a count, each row becomes active once and expires W seconds later. For a dis
 a row with no earlier row of it within W seconds, and expires W seconds after a row with no later one. Running sums
 need one ordered pass, whatever the number of rows inside a window.
 
-There are two physical forms:
+There are three physical forms:
 
 * :func:`rolling` and :func:`previous_time` hold for any key distribution. Rows are first summed per key and *cell*
   (one second, or ``cell_rows`` sequence numbers of it). The ordered pass over a key sees cells, so its length is
   bounded by the time span, not by the rows. Rows themselves are spread by key and cell.
 * :func:`with_family` computes all features of one key from a single exchange on it. It is for keys known to be small
   enough for a task; :mod:`gatewatch.plans.features` sends only the others to the first form.
+* :func:`rolling_in_buckets` cuts time into buckets and copies the rows of the last window before a bucket into it, as a halo.
+  A task sees one key's rows of one bucket and its halo, however long the log is.
 """
 
 from __future__ import annotations
@@ -168,18 +170,20 @@ def seconds_since_last(df: DataFrame, keys: Sequence[str], name: str, ts: str =
     return out.withColumn(name, F.coalesce(F.col(ts) - F.col("_seen"), F.lit(MISSING_TIME_DELTA)).cast("bigint")).drop("_seen")
 
 
-def with_family(df: DataFrame, family: Family, ts: str = "timestamp", seq: str = "seq") -> DataFrame:
-    """Append all features of ``family`` with one exchange on its key.
+def with_family(df: DataFrame, family: Family, ts: str = "timestamp", seq: str = "seq", within: str | None = None) -> DataFrame:
+    """Append all features of ``family`` with one exchange on its key, or on its key and the column ``within``: then every row
+    sees only rows with its own value there.
 
     Rows with a null key get the neutral value. They are spread over many partitions, so they cost no task more than its
     share.
     """
+    more = [within] if within else []
     key, columns = family.key, df.columns
     live = f"`{key}` is not null"
     df = df.selectExpr(*[f"`{c}`" for c in columns], f"{live} as _live",
-                       f"if({live}, 0, cast(pmod(xxhash64(`{seq}`), {SALTS}) + 1 as int)) as _salt").repartition(key, "_salt")
+                       f"if({live}, 0, cast(pmod(xxhash64(`{seq}`), {SALTS}) + 1 as int)) as _salt").repartition(key, "_salt", *more)
 
-    by = f"`{key}`, _salt"
+    by = _names([key, "_salt", *more])
     others = dict.fromkeys(f.value for f in family.rolling if isinstance(f, Distinct))
     others.update(dict.fromkeys(o for _, o, _ in family.pair_counts))
     others.update(dict.fromkeys(o for _, o in (*family.first_seen, *family.recency) if o))
@@ -211,3 +215,25 @@ def with_family(df: DataFrame, family: Family, ts: str = "timestamp", seq: str =
             on, off = f"{present} * {_starts(ts, f'_prev{i}', f.window)}", f"{present} * {_ends(ts, f'_next{i}', f.window)}"
         added.append(f"cast({_active_minus_expired(by, ts, [ts, seq], on, off, f.window)} as int) as `{f.name}`")
     return df.selectExpr(*[f"`{c}`" for c in columns], *[f"`{p[0]}`" for p in family.pair_counts], *added)
+
+
+def rolling_in_buckets(df: DataFrame, family: Family, bucket: int, ts: str = "timestamp", seq: str = "seq") -> DataFrame:
+    """Append the rolling features and pair counts of ``family`` (not its flags and recencies, whose history has no end).
+
+    A row goes to the bucket of its time, ``floor(ts / bucket)``, and as a halo to every later one up to that of ``ts + W``, ``W``
+    being the longest window. Whatever a row can see is then in its bucket, and both running sums may start there. With buckets of two
+    windows, half of the rows have one copy; copies carry only the columns that the windows read. Rows without a key or a time
+    are not copied; without a time they see nothing.
+    """
+    bounded = Family(family.key, family.rolling, family.pair_counts)
+    if not bounded.names():
+        return df
+    columns = df.columns
+    longest = max([f.window for f in family.rolling] + [p[2] for p in family.pair_counts])
+    read = {family.key, ts, seq, *(f.value for f in family.rolling if isinstance(f, Distinct)), *(p[1] for p in family.pair_counts),
+            *(f.when for f in family.rolling if isinstance(f, Count) and f.when)}
+    own, last = (f"floor((`{ts}` + {w}) / {int(bucket)})" for w in (0, longest))
+    copied = df.selectExpr("*", f"explode_outer(sequence({own}, if(`{family.key}` is null, {own}, {last}))) as _bucket")
+    marked = copied.selectExpr("*", f"coalesce(_bucket != {own}, false) as _halo")
+    lean = marked.selectExpr(*[f"`{c}`" if c in read else f"if(_halo, null, `{c}`) as `{c}`" for c in columns], "_bucket", "_halo")
+    return with_family(lean, bounded, ts, seq, within="_bucket").where("not _halo").select(*columns, *bounded.names())

@@ -24,6 +24,7 @@ from gatewatch.operators.windows import (
     Family,
     first_seen,
     rolling,
+    rolling_in_buckets,
     seconds_since_last,
     with_family,
 )
@@ -154,6 +155,48 @@ def build_features(df: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, cell_row
     return add_families(events, FAMILIES, max_group_rows, cell_rows, hot).select(*OUTPUT_COLUMNS, *keep)
 
 
+BUCKET_SECONDS = 2 * ONE_HOUR
+
+
+def crowded_buckets(df: DataFrame, keys: Sequence[str], bucket: int, max_group_rows: int = MAX_GROUP_ROWS) -> dict[str, DataFrame]:
+    """Keys that have more rows in one bucket than a task should sort, per key column: at most ``rows / max_group_rows``."""
+    out = {}
+    for k in keys:
+        place = F.floor(F.col("timestamp") / bucket)
+        crowded = df.where(F.col(k).isNotNull()).groupBy(k, place.alias("_bucket")).count().where(F.col("count") > max_group_rows)
+        found = crowded.select(k).distinct().collect()
+        if found:
+            out[k] = df.sparkSession.createDataFrame([(r[0],) for r in found], f"`{k}` string")
+    return out
+
+
+def build_features_in_buckets(df: DataFrame, bucket: int = BUCKET_SECONDS, max_group_rows: int = MAX_GROUP_ROWS,
+                              cell_rows: int = CELL_ROWS, keep: Sequence[str] = ()) -> DataFrame:
+    """The same table as :func:`build_features`, with every rolling feature taken inside time buckets with a halo.
+
+    The label-joined rows are written once and read from there. No window over rows is partitioned by a key alone; a key with
+    too many rows in one bucket takes the path by cells, which holds for any. First-seen flags and recencies look at one row per
+    key and second.
+    """
+    events = stage(with_context(df.select(*dict.fromkeys([*PARSED_COLUMNS, "seq", *keep]))), "events")
+    crowded = crowded_buckets(events, [f.key for f in FAMILIES], bucket, max_group_rows)
+    out = events
+    for family in FAMILIES:
+        bounded = Family(family.key, family.rolling, family.pair_counts)
+        if family.key not in crowded:
+            out = rolling_in_buckets(out, bounded, bucket)
+        else:
+            marked = out.join(F.broadcast(crowded[family.key].withColumn("_hot", F.lit(True))), family.key, "left")
+            parts = stage(marked.select(*out.columns, F.col("_hot").isNotNull().alias("_hot")), f"bucket-{family.key}", "_hot")
+            few, many = (parts.where(F.col("_hot") == which).select(*out.columns) for which in (False, True))
+            out = rolling_in_buckets(few, bounded, bucket).unionByName(family_by_cells(many, bounded, cell_rows))
+        for name, other in family.first_seen:
+            out = first_seen(out, [family.key, other], name, source=events)
+        for name, other in family.recency:
+            out = seconds_since_last(out, [family.key, other] if other else [family.key], name, source=events)
+    return out.select(*OUTPUT_COLUMNS, *keep)
+
+
 LEGACY_FAMILIES = (
     Family(
         key="src_username",

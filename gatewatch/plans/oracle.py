@@ -266,6 +266,7 @@ ORACLE: dict[str, str] = {
     **{name: _one_feature(name) for name in FEATURE_COLUMNS if name not in CONTEXT},
     "event_context": LOG + "select seq, " + ", ".join(f"{v} as {k}" for k, v in CONTEXT.items()) + " from parsed",
     "build_features": _all_features(),
+    "build_features_time_buckets": _all_features(),
     "build_features_hot_keys": _all_features(),
     "rolling_count": LOG + f""", x as ({_raw_rolling(['src_computer', 'dst_user'], 7200, 'count(*)')}),
         y as ({_raw_rolling(['src_computer', 'dst_user'], 86400, "count(*) filter (b.result = 'Fail')")})

@@ -33,7 +33,7 @@ from gatewatch.operators.windows import (
     seconds_since_last,
 )
 from gatewatch.plans import demo_tables as D
-from gatewatch.plans.features import FAMILIES, add_families, build_features, build_legacy_features, only, with_context
+from gatewatch.plans.features import FAMILIES, add_families, build_features, build_features_in_buckets, build_legacy_features, only, with_context
 from gatewatch.plans.parsing import TEXT_COLUMNS, parse, to_canonical
 from gatewatch.schemas import AUTH_COLUMNS, FEATURE_COLUMNS, ONE_HOUR, OUTPUT_COLUMNS
 from gatewatch.session import scratch_dir
@@ -372,6 +372,12 @@ def build_features_(spark, sf):
     return _plain(_features(spark, sf))
 
 
+@query("build_features_time_buckets")
+def build_features_time_buckets(spark, sf):
+    """Rolling features inside buckets of two hours with halo copies; no task sees all rows of a key."""
+    return _plain(build_features_in_buckets(_parsed(spark, sf), keep=["seq"]))
+
+
 @query("build_features_hot_keys")
 def build_features_hot_keys(spark, sf):
     """The same table, with every key of more than 100 rows treated as oversized."""

@@ -1,10 +1,12 @@
 import random
+import re
 
 import pytest
 from contract import by_seq, expected_features, frame, random_rows
+from pyspark.sql import functions as F
 
-from gatewatch.operators.windows import rolling_count, rolling_distinct
-from gatewatch.plans.features import FAMILIES, build_features, hot_keys
+from gatewatch.operators.windows import rolling_count, rolling_distinct, rolling_in_buckets
+from gatewatch.plans.features import FAMILIES, build_features, build_features_in_buckets, crowded_buckets, hot_keys, with_context
 
 
 def row(seq, t, user="u", host="h", target="d", dst_user="v", event_id=4624):
@@ -102,3 +104,45 @@ def test_rolling_on_many_keys_and_order(spark):
         near = [b for b in rows[:i] if b["timestamp"] >= r["timestamp"] - 1800 and r["src_host"] is not None and r["username"] is not None
                 and (b["src_host"], b["username"]) == (r["src_host"], r["username"])]
         assert got[r["seq"]] == (len(near), len({b["destination_host"] for b in near} - {None}))
+
+
+@pytest.mark.parametrize("bucket, limit", [(7200, 10**9), (3600, 10**9), (1000, 10**9), (7200, 4)])
+def test_time_buckets_equal_the_contract(spark, bucket, limit):
+    """Also with buckets shorter than a window (several halo copies), before time 0, and with crowded buckets sent by cells."""
+    rows = random_rows(random.Random(bucket + limit % 7), 150, start=-20_000)
+    assert by_seq(build_features_in_buckets(frame(spark, rows), bucket, limit, cell_rows=3, keep=["seq"])) == expected_features(rows)
+
+
+def test_buckets_keep_extra_columns_and_rows_without_a_key(spark):
+    rows = random_rows(random.Random(3), 80) + [dict(row(200, 5, user=None)), dict(row(201, 5, user="u1"))]
+    df = with_context(frame(spark, rows)).withColumn("note", F.concat(F.lit("n"), F.col("seq")))
+    out = rolling_in_buckets(df, FAMILIES[0], 7200)
+    assert out.where("note = concat('n', seq)").count() == out.count() == len(rows)
+    assert out.where("seq = 200").select("auth_attempts_5m_per_src_user").first()[0] == 0
+    assert rolling_in_buckets(df.limit(0), FAMILIES[0], 7200).count() == 0
+
+
+def test_no_window_of_the_buckets_is_partitioned_by_the_key_alone(spark, tmp_path):
+    frame(spark, random_rows(random.Random(0), 50)).write.parquet(str(tmp_path / "p"))
+    events = with_context(spark.read.parquet(str(tmp_path / "p")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for family in FAMILIES:
+            plan = rolling_in_buckets(events, family, 7200)._jdf.queryExecution().executedPlan().toString()
+            windows = re.findall(r"windowspecdefinition\(([^)]*?) ASC", plan)
+            assert windows and all("_bucket#" in w for w in windows)
+            assert plan.count("Exchange hashpartitioning") == 1 and "_bucket#" in plan.split("Exchange hashpartitioning")[1].split("\n")[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_copies_are_bounded(spark):
+    """A third of the rows in one key: with buckets of two windows, rows are copied once at most, half of them on average."""
+    rows = [row(i, i * 13, user="big" if i % 3 == 0 else f"u{i % 50}") for i in range(6000)]
+    df = frame(spark, rows)
+    bucket = 7200
+    halo = df.selectExpr(f"floor((timestamp + 3600) / {bucket}) - floor(timestamp / {bucket}) as n")
+    assert halo.agg(F.max("n")).first()[0] == 1 and abs(halo.agg(F.avg("n")).first()[0] - 0.5) < 0.05
+    assert crowded_buckets(df, ["src_username"], bucket, 10**6) == {}
+    crowded = crowded_buckets(df, ["src_username"], bucket, 100)
+    assert [r[0] for r in crowded["src_username"].collect()] == ["big"]
