@@ -342,8 +342,18 @@ ORACLE: dict[str, str] = {
           cast(20 as integer) as attack_multiplier, least(5, attack - 1) as k_neighbors, cast(42 as integer) as random_state from c""",
     "stream_features": _all_features(),
     "stream_features_out_of_order": _all_features(),
+    "stream_features_keyed_state": _all_features(),
     "stream_dedup": LOG + """select record_id, case when record_id is null then n else 1 end as n_rows from
         (select case when seq % 10 = 0 then null else seq // 3 end as record_id, count(*) as n from log group by 1)""",
+    "stream_dedup_marked": LOG + """, r as (select case when seq % 10 = 0 then null else seq // 3 end as record_id, "time" // 86400 + case when seq % 11 = 0 then 1 else 0 end as arrival,
+        "time" + case when seq % 11 = 0 then -7200 when seq % 7 = 0 then 7200 else 0 end as t from log),
+        g as (select record_id, list(t order by arrival, t) as a from r where record_id is not null group by 1),
+        two as (select *, case when a[2] > a[1] + 3600 then 'kept' when a[2] < a[1] - 3600 then 'late' when a[2] is not null then 'repeated' end as s2 from g),
+        three as (select *, case when s2 = 'kept' then a[2] else a[1] end as held from two),
+        m as (select record_id, 'kept' as status from g union all select record_id, s2 from three
+        union all select record_id, case when a[3] > held + 3600 then 'kept' when a[3] < held - 3600 then 'late' when a[3] is not null then 'repeated' end from three
+        union all select null, 'kept' from r where record_id is null)
+        select record_id, status, count(*) as n_rows from m where status is not null group by all""",
     "stream_sign_ins": EVENTS + """, g as (select record_id is null as unnumbered, "timestamp" is null as untimed, count(*) as n, count(distinct record_id) as d
         from xml group by 1, 2)
         select unnumbered, untimed, case when unnumbered or untimed then n else d end as n_rows from g""",

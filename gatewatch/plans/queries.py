@@ -40,7 +40,7 @@ from gatewatch.session import scratch_dir
 from gatewatch.sources import tables as T
 from gatewatch.sources.event_xml import keep_sign_ins, parse_event_xml, rejected_event_xml
 from gatewatch.sources.text import scan_attack_labels, scan_auth_log, scan_event_xml
-from gatewatch.streaming import live
+from gatewatch.streaming import keyed, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -686,6 +686,19 @@ def stream_features_out_of_order(spark, sf):
     return _plain(spark.read.parquet(f"{out}/features").select(*OUTPUT_COLUMNS, "seq").unionByName(rest.select(*OUTPUT_COLUMNS, "seq")))
 
 
+@query("stream_features_keyed_state")
+def stream_features_keyed_state(spark, sf):
+    """The feature table from keyed state, one operator per family; the queries end and start again with every day."""
+    source, out = scratch_dir(spark, "events"), scratch_dir(spark, "keyed")
+    whole = stage(_parsed(spark, sf), "events-whole")
+    day = F.floor(F.col("timestamp") / 86_400)
+    for d in sorted(r["d"] for r in whole.select(day.alias("d")).distinct().collect()):
+        whole.filter(day == d).write.mode("append").parquet(source)
+        for running in keyed.start_families(spark.readStream.schema(whole.schema).parquet(source), out):
+            running.awaitTermination()
+    return _plain(keyed.read_families(spark, out).where("not late").drop("late"))
+
+
 @query("stream_dedup")
 def stream_dedup(spark, sf):
     rows = _records(spark, sf).withColumn("event_time", F.timestamp_seconds("timestamp"))
@@ -694,6 +707,24 @@ def stream_dedup(spark, sf):
     return spark.read.parquet(f"{out}/rows").groupBy("record_id").agg(F.count("*").alias("n_rows"))
 
 
+@query("stream_dedup_marked")
+def stream_dedup_marked(spark, sf):
+    """By record and status: rows of the record stream that were kept, repeated or late. They add up to the input. Every seventh
+    row carries a time two hours ahead; every eleventh one two hours back, and arrives a day later.
+    """
+    shift = F.when(F.col("seq") % 11 == 0, -7200).when(F.col("seq") % 7 == 0, 7200).otherwise(0)
+    rows = _records(spark, sf).withColumn("event_time", F.timestamp_seconds(F.col("timestamp") + shift))
+    out = scratch_dir(spark, "marked")
+
+    def run(stream):
+        with keyed.state_store(spark):
+            marked = keyed.dedup_marked(stream)
+            return marked.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+
+    _by_day(spark, rows, "records", run, F.floor(F.col("timestamp") / 86_400) + F.when(F.col("seq") % 11 == 0, 1).otherwise(0))
+    return spark.read.parquet(f"{out}/rows").groupBy("record_id", "status").agg(F.count("*").alias("n_rows"))
+
+
 @query("stream_filter")
 def stream_filter(spark, sf):
     out = scratch_dir(spark, "filter")
