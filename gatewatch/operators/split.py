@@ -10,6 +10,9 @@ from gatewatch.operators.quality import require_columns
 from gatewatch.schemas import FEATURE_SCHEMA_VERSION, OUTPUT_COLUMNS, SECONDS_PER_DAY, SPLIT_NAMES
 
 
+DAY_BITS = 62  # stored figures tell by a bit for each day, in turn, whether it has rows
+
+
 def _named(day: Column) -> Column:
     return F.when(day == 0, SPLIT_NAMES[0]).when(day == 1, SPLIT_NAMES[1]).when(day == 2, SPLIT_NAMES[2])
 
@@ -19,30 +22,37 @@ def assign_split(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     return with_relative_day(df, ts, "_day").withColumn("split", _named(F.col("_day"))).drop("_day")
 
 
-def chronological_split(features: DataFrame) -> DataFrame:
+def chronological_split(features: DataFrame, figures: dict | None = None) -> DataFrame:
     """Check the feature table, then assign the splits. Raises unless it spans exactly three non-empty days.
 
-    One row of sums over two columns tells the first and last day and the bad labels; the split itself is then a projection. Give it
-    a stored table, not an unfinished plan. Time order is a property of the rows' ``seq``: check it where that is known,
-    with ``require_sorted``.
+    With the ``figures`` that were stored when the table was written no row is read for it. Without them, one row of sums over two
+    columns tells the first and last day and the bad labels: give it a stored table then, not an unfinished plan. Time order is a
+    property of the rows' ``seq``: check it where that is known, with ``require_sorted``.
     """
     require_columns(features, OUTPUT_COLUMNS, exact=True)
     day = F.floor(F.col("timestamp") / SECONDS_PER_DAY)
-    bad = F.sum((F.col("label").isNull() | ~F.col("label").isin(0, 1)).cast("bigint"))
-    found = features.agg(F.min(day).alias("first"), F.max(day).alias("last"), F.count("*").alias("n"), F.count(day).alias("timed"),
-                         bad.alias("bad")).first()
-    if not found["n"]:
+    if figures is None:
+        bad = F.count_if(F.col("label").isNull() | ~F.col("label").isin(0, 1))
+        found = features.agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count("*").alias("rows"),
+                             F.count_if(day.isNull()).alias("untimed"), bad.alias("bad_labels")).first().asDict()
+    else:
+        found = figures
+    if not found["rows"]:
         raise ValueError("the feature table has no rows")
-    if found["bad"]:
+    if found["bad_labels"]:
         raise ValueError("labels must be 0 or 1")
-    if found["timed"] < found["n"]:
-        raise ValueError(f"{found['n'] - found['timed']} rows have no time and belong to no split")
-    first = found["first"]
-    if first is None or found["last"] - first != len(SPLIT_NAMES) - 1 or features.filter(day == first + 1).isEmpty():
-        raise ValueError(f"expected exactly three consecutive days; found days {first} to {found['last']}")
+    if found["untimed"]:
+        raise ValueError(f"{found['untimed']} rows have no time and belong to no split")
+    first, last = found["first_day"], found["last_day"]
+    if last - first != len(SPLIT_NAMES) - 1 or _no_rows(features, day, first + 1, found.get("days")):
+        raise ValueError(f"expected exactly three consecutive days; found days {first} to {last}")
     return features.withColumn("split", _named(day - F.lit(first)))
 
 
+def _no_rows(features: DataFrame, day: Column, which: int, days: int | None) -> bool:
+    return features.filter(day == which).isEmpty() if days is None else not days >> which % DAY_BITS & 1
+
+
 def split_stats(split: DataFrame) -> DataFrame:
     """Rows, benign and anomalous rows and the time range of each split."""
     return split.groupBy("split").agg(

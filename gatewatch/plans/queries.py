@@ -131,10 +131,9 @@ def write_features(spark, sf):
 
 def _splits(spark, sf) -> str:
     features = scratch_dir(spark, "features")
-    T.write_features(_features(spark, sf), features)
+    figures = T.write_features(_features(spark, sf), features)
     path = scratch_dir(spark, "splits")
-    stored = T.load_features(spark, features)
-    T.write_splits(chronological_split(stored), path, stored)
+    T.write_splits(chronological_split(T.load_features(spark, features), figures), path, figures)
     return path
 
 

@@ -102,7 +102,8 @@ def test_written_splits_hold_all_rows(spark, tmp_path):
     whole = spark.createDataFrame([(1, 0, "train"), (2, 1, "valid"), (3, 0, None)], "timestamp bigint, label int, split string")
     with pytest.raises(ValueError, match="lost"):
         write_splits(whole, str(tmp_path / "a"), whole)
-    write_splits(whole.where("split is not null"), str(tmp_path / "b"), whole.where("split is not null"))
+    fine = whole.fillna("test", ["split"])
+    assert write_splits(fine, str(tmp_path / "b"), fine)["part_rows"] == 3
 
 
 def test_small_splits_are_refused(spark, tmp_path):
