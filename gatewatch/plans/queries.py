@@ -23,6 +23,15 @@ from gatewatch.operators.model import (
     train_baseline,
     train_weighted,
 )
+from gatewatch.operators.boosting import (
+    PATIENCE,
+    boosted_importance,
+    evaluate_boosted,
+    load_boosted,
+    save_boosted,
+    score_boosted,
+    train_boosted,
+)
 from gatewatch.operators.neighbours import knn_minority, scale_z, stage
 from gatewatch.operators.split import assign_split, chronological_split, split_report, split_stats
 from gatewatch.operators.windows import (
@@ -605,6 +614,47 @@ def train_smote(spark, sf):
     return evaluate_bundle(train_weighted(stage(R.smote(train), "oversampled"), valid, "smote"), test)
 
 
+@query("train_boosted")
+def train_boosted_(spark, sf):
+    """The weighted model with leaf penalties, fitted tree by tree from the margin."""
+    train, valid, test = _days(spark, sf)
+    return evaluate_boosted(train_boosted(train, valid), test)
+
+
+def _boosted_invariants(spark, train, valid, test, source: str = "original"):
+    """One row about a model that was fitted, saved and loaded: rows and positives of the test day by its confusion counts, rows
+    and positives it learned from, the numbers of probabilities outside 0 to 1 and of rows scored otherwise after loading,
+    importances and their sum, and whether it reached its recall on the validation day and stopped no later than it had to.
+    """
+    model, path = train_boosted(train, valid, source), scratch_dir(spark, "boosted")
+    save_boosted(model, path)
+    kept = load_boosted(spark, path)
+    counts = evaluate_boosted(kept, test).first()
+    positive = counts["true_positive"] + counts["false_negative"]
+    gains = boosted_importance(spark, kept).agg(F.count("*").alias("n"), F.round(F.sum("importance"), 6).alias("total")).first()
+    held = score_boosted(kept, valid)
+    recall = held.agg(F.count_if((F.col("probability") >= kept.threshold) & (F.col("label") == 1)) / F.count_if(F.col("label") == 1)).first()[0]
+    late = kept.info["fitted_trees"] - (kept.info["best_iteration"] + 1)
+    scored = score_boosted(model, score_boosted(kept, test).withColumnRenamed("probability", "_kept"))
+    return scored.agg(
+        F.count("*").alias("n_rows"), F.lit(positive + counts["true_negative"] + counts["false_positive"]).cast("bigint").alias("counted"), F.lit(positive).cast("bigint").alias("positives"),
+        F.lit(kept.info["normal_train_rows"]).cast("bigint").alias("learned_normal"), F.lit(kept.info["anomaly_train_rows"]).cast("bigint").alias("learned_positive"),
+        F.count_if(~F.col("probability").between(0, 1)).alias("outside"), F.count_if(F.col("probability") != F.col("_kept")).alias("changed"),
+        F.lit(gains["n"]).cast("bigint").alias("importances"), F.lit(gains["total"]).alias("importance"),
+        F.lit(recall >= kept.info["min_recall_target"]).alias("recall_reached"), F.lit(late < PATIENCE + 10 and kept.info["best_iteration"] < 500).alias("stopped"))
+
+
+@query("train_weighted_invariants")
+def train_weighted_invariants(spark, sf):
+    return _boosted_invariants(spark, *_days(spark, sf))
+
+
+@query("train_smote_invariants")
+def train_smote_invariants(spark, sf):
+    train, valid, test = _days(spark, sf)
+    return _boosted_invariants(spark, stage(R.smote(train), "oversampled"), valid, test, "smote")
+
+
 @query("model_invariants")
 def model_invariants(spark, sf):
     """One row about a model that was fitted, saved, loaded and replayed: rows and positives of the test day by its confusion

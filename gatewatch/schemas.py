@@ -91,13 +91,3 @@ EVENT_XML_SCHEMA = T.StructType([
         ]))),
     ])),
 ])
-LIVE_EVENT_SCHEMA = T.StructType([
-    T.StructField("record_id", T.LongType()),
-    T.StructField("timestamp", T.LongType()),
-    T.StructField("event_id", T.LongType()),
-    T.StructField("src_username", T.StringType()),
-    T.StructField("username", T.StringType()),
-    T.StructField("src_host", T.StringType()),
-    T.StructField("destination_host", T.StringType()),
-    T.StructField("logon_type", T.StringType()),
-])
