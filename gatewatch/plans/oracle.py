@@ -205,14 +205,6 @@ STATS = """select {split} as split, count(*) as n_rows, count(*) filter (label =
   min("timestamp") as min_timestamp, max("timestamp") as max_timestamp from parsed group by 1"""
 
 
-def _fitted(copies: int) -> str:
-    """What must hold for a model fitted on the train day with every positive row ``copies`` times."""
-    return LOG + f"""select count(*) filter ({SPLIT} = 'test') as n_rows, count(*) filter ({SPLIT} = 'test') as counted,
-        count(*) filter ({SPLIT} = 'test' and label = 1) as positives, count(*) filter ({SPLIT} = 'train' and label = 0) as learned_normal,
-        cast({copies} * count(*) filter ({SPLIT} = 'train' and label = 1) as bigint) as learned_positive, cast(0 as bigint) as outside, cast(0 as bigint) as changed,
-        cast(16 as bigint) as importances, cast(1 as double) as importance, true as recall_reached, true as stopped from parsed"""
-
-
 ORACLE: dict[str, str] = {
     "scan_auth_log": RAW + "select time, src_user, dst_user, src_computer, dst_computer, auth_type, logon_type, auth_orientation, result from raw",
     "scan_attack_labels": LOG + "select *, cast(1 as integer) as label from attacks",
@@ -343,8 +335,10 @@ ORACLE: dict[str, str] = {
     "model_invariants": LOG + f"""select count(*) as n_rows, count(*) as counted, count(*) filter (label = 1) as positives, cast(0 as bigint) as outside,
         cast(0 as bigint) as changed, cast(0 as bigint) as replayed_otherwise, cast(16 as bigint) as importances, cast(1 as double) as importance
         from parsed where {SPLIT} = 'test'""",
-    "train_weighted_invariants": _fitted(1),
-    "train_smote_invariants": _fitted(20),
+    "train_weighted_invariants": LOG + f"""select count(*) filter ({SPLIT} = 'test') as n_rows, count(*) filter ({SPLIT} = 'test') as counted,
+        count(*) filter ({SPLIT} = 'test' and label = 1) as positives, count(*) filter ({SPLIT} = 'train' and label = 0) as learned_normal,
+        count(*) filter ({SPLIT} = 'train' and label = 1) as learned_positive, cast(0 as bigint) as outside, cast(0 as bigint) as changed,
+        cast(16 as bigint) as importances, cast(1 as double) as importance, true as recall_reached, true as stopped from parsed""",
     "stream_score_invariants": LOG + "select count(*) as n_rows, cast(0 as bigint) as otherwise, cast(0 as bigint) as other_verdict from parsed",
     "smote_report": LOG + f""", c as (select count(*) filter (label = 0) as benign, count(*) filter (label = 1) as attack from parsed
           where {SPLIT} = 'train')

@@ -614,13 +614,6 @@ def train_smote(spark, sf):
     return evaluate_bundle(train_weighted(stage(R.smote(train), "oversampled"), valid, "smote"), test)
 
 
-@query("train_boosted")
-def train_boosted_(spark, sf):
-    """The weighted model with leaf penalties, fitted tree by tree from the margin."""
-    train, valid, test = _days(spark, sf)
-    return evaluate_boosted(train_boosted(train, valid), test)
-
-
 def _boosted_invariants(spark, train, valid, test, source: str = "original"):
     """One row about a model that was fitted, saved and loaded: rows and positives of the test day by its confusion counts, rows
     and positives it learned from, the numbers of probabilities outside 0 to 1 and of rows scored otherwise after loading,
@@ -649,12 +642,6 @@ def train_weighted_invariants(spark, sf):
     return _boosted_invariants(spark, *_days(spark, sf))
 
 
-@query("train_smote_invariants")
-def train_smote_invariants(spark, sf):
-    train, valid, test = _days(spark, sf)
-    return _boosted_invariants(spark, stage(R.smote(train), "oversampled"), valid, test, "smote")
-
-
 @query("model_invariants")
 def model_invariants(spark, sf):
     """One row about a model that was fitted, saved, loaded and replayed: rows and positives of the test day by its confusion
