@@ -6,7 +6,9 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from gatewatch.llm.staging import small, staged
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
-RECORDS_PER_FILE = 30_000
+ARCHIVE_BYTES = 64 << 20  # of records, before compression
+PIECE_BYTES = 1 << 20
 # Fixed values of the format.
 VERSION = "WARC/1.1"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -43,7 +46,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 100, id_col: str
     Of the pages whose payloads (the html in UTF-8; null: empty) are equal and at least ``least_bytes`` long, that with the
     smallest id keeps its payload; the others become revisit records that refer to it. Only ids, digests and sizes are
     grouped for that; payloads are shuffled once at most. Repeated rows share one transaction, whose metadata tell how many
-    there were. Pages without an id, or several urls under the smallest id, are defined: null ids never are the smallest, and
+    there were. An archive holds at most 64 MB of records and one more, before compression. Pages without an id, or several urls under the smallest id, are defined: null ids never are the smallest, and
     every row of the smallest id is a response. Line ends in a url are percent-encoded. Spark's committer makes the files.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
@@ -77,18 +80,43 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 100, id_col: str
     notes = F.concat(F.coalesce(F.concat(F.lit("id: "), F.col("id").cast("string"), F.lit("\r\n")), F.lit("")), F.lit("copies: "), F.col("copies").cast("string"), F.lit("\r\n"))
     metadata = _record("metadata", key("metadata"), notes, to, ("Content-Type", F.lit("application/warc-fields")))
     records = rows.select(F.explode(F.array(request, F.when(again, revisit).otherwise(response), metadata)).alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = done + np.cumsum(sizes) - sizes
+            done += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((starts // ARCHIVE_BYTES).astype(np.int32))], names=["value", "archive"])
+
+    records = records.mapInArrow(numbered, "value string, archive int")
+    records.write.partitionBy("archive").option("lineSep", END).option("compression", "gzip").text(path)
 
-def _inflated(data: bytes) -> bytes:
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """The bytes of an archive, gzip (of one or many members) or plain, a bounded number at once; up to a damaged place."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data) + member.flush())
-        data = member.unused_data
-    return b"".join(out)
+        yield from (data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES))
+        return
+    at, member = 0, zlib.decompressobj(31)
+    while at < len(data):
+        chunk = data[at : at + PIECE_BYTES]
+        at += len(chunk)
+        while True:
+            try:
+                piece = member.decompress(chunk, PIECE_BYTES)
+            except zlib.error:
+                return
+            if piece:
+                yield piece
+            if member.eof:
+                chunk, member = member.unused_data, zlib.decompressobj(31)
+                if not chunk:
+                    break
+            else:
+                chunk = member.unconsumed_tail
+                if not chunk and len(piece) < PIECE_BYTES:
+                    break
 
 
 def _fields(block: bytes) -> dict[str, str]:
@@ -96,16 +124,51 @@ def _fields(block: bytes) -> dict[str, str]:
     return {k.decode("utf-8", "replace").strip().lower(): v.decode("utf-8", "replace").strip() for k, _, v in lines}
 
 
-def parse_records(data: bytes, with_payload: bool) -> Iterator[tuple]:
-    """Records of one archive, told apart by their stated lengths, so that payloads may hold anything."""
-    at = 0
-    while at < len(data):
-        cut = data.find(b"\r\n\r\n", at)
+def _blocks(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each whole record, told apart by their stated lengths, so that blocks may hold anything. A record that
+    does not start as one or states no length is skipped up to the next that does; one that the archive's end cuts off is left out.
+    """
+    pieces, held, end = _pieces(data), bytearray(), END.encode()
+
+    def fill(n: int) -> bool:
+        while len(held) < n:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    def find(what: bytes, start: int) -> int:
+        while (at := held.find(what, start)) < 0:
+            start = max(start, len(held) - len(what) + 1)
+            if not fill(len(held) + 1):
+                return -1
+        return at
+
+    while True:
+        while fill(2) and held[:2] == b"\r\n":
+            del held[:2]
+        cut = find(end, 0)
         if cut < 0:
             return
-        head = _fields(data[at:cut])
-        block = data[cut + 4 : cut + 4 + int(head.get("content-length", "0"))]
-        at = cut + 4 + len(block) + 4
+        head = _fields(bytes(held[:cut]))
+        stated = head.get("content-length", "")
+        if held[:5] != b"WARC/" or not (stated.isascii() and stated.isdigit()):
+            following = find(end + b"WARC/", cut)
+            if following < 0:
+                return
+            del held[: following + 4]
+            continue
+        size = int(stated)
+        if not fill(cut + 4 + size):
+            return
+        yield head, bytes(held[cut + 4 : cut + 4 + size])
+        del held[: cut + 4 + size]
+
+
+def parse_records(data: bytes, with_payload: bool) -> Iterator[tuple]:
+    """The rows of one archive, one at a time."""
+    for head, block in _blocks(data):
         kind, digest, size, fields, payload = head.get("warc-type"), head.get("warc-payload-digest"), None, {}, None
         if kind in ("response", "revisit"):
             http, _, body = block.partition(b"\r\n\r\n")
@@ -122,19 +185,30 @@ def parse_records(data: bytes, with_payload: bool) -> Iterator[tuple]:
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """One row per record of the archives under ``path``, gzip or plain. Sizes and digests of responses come from the bytes
-    themselves, those of revisits from their headers. An archive that ends inside a record gives the records before it.
+    themselves, those of revisits from their headers. An archive that ends inside a record, or whose compression breaks, gives the whole records
+    before that; a record without a readable length is skipped. Plain archives end in ``.warc``. An archive is one value while its
+    task reads it (at most 2 GB, compressed); it is inflated and parsed piece by piece.
     """
     types = [pa.string()] * 6 + [pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
     names = [x.split()[0] for x in RECORDS.replace("map<string,string>", "map").split(", ")]
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = list(parse_records(_inflated(content.as_py()), with_payload))
+                rows, size = [], 0
+                for row in parse_records(content.as_py(), with_payload):
+                    rows.append(row)
+                    size += len(row[-1] or b"") + 500
+                    if size > PIECE_BYTES:
+                        yield made(rows)
+                        rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
+                    yield made(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(parse, RECORDS)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(parse, RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:

@@ -515,6 +515,51 @@ def test_warc(spark, tmp_path):
     assert all(r.request is not None for r in out) and by["7"].capture.payload_bytes == 120_000
     assert list(parse_records(b"WARC/1.1\r\nbroken", True)) == []
     write_warc(df.limit(0), str(tmp_path / "none"))
+    assert assemble(read_warc(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_damaged_and_plain_archives(spark, tmp_path):
+    import gzip
+
+    from gatewatch.llm.warc import parse_records, read_warc
+
+    def record(number, payload, length=None):
+        http = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+        stated = str(len(http)) if length is None else length
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{number}>\r\nContent-Length: {stated}\r\n\r\n".encode() + http + b"\r\n\r\n"
+
+    draw = random.Random(3)
+    payloads = [b"", b"x" * 100, draw.randbytes(3_000_000), b"WARC/1.1\r\n\r\nWARC/1.1\r\n\r\n" * 3, b"z" * 5_000_000, "é".encode() * 70]
+    parts = [record(i, p) for i, p in enumerate(payloads)]
+    whole, want = b"".join(parts), [(f"<{i}>", p) for i, p in enumerate(payloads)]
+    got = lambda data: [(r[0], r[-1]) for r in parse_records(data, True)]
+    assert got(whole) == got(gzip.compress(whole)) == got(b"".join(map(gzip.compress, parts))) == want
+    for cut in (1, 40, 150, len(parts[0]) + 5, len(parts[0]) + len(parts[1]) - 60, len(whole) - 5, len(whole) - 1):
+        ends = np.cumsum([len(p) for p in parts]) - 4
+        assert got(whole[:cut]) == want[: int((ends <= cut).sum())]
+    damaged = gzip.compress(whole)
+    assert got(damaged[:-9]) in (want, want[:5]) and got(damaged[: len(damaged) // 2]) == want[:2]
+    for bad in (record(9, b"q" * 50, "many"), record(9, b"q" * 50, "-3"), b"noise\r\n\r\n", b"WARC/1.1\r\nWARC-Type: response\r\n\r\n\r\n\r\n"):
+        assert got(parts[1] + bad + parts[3] + parts[5]) == [want[1], want[3], want[5]]
+    assert got(parts[1] + record(9, b"q", "9" * 30)) == [want[1]] and got(b"") == got(b"\r\n" * 9) == []
+    (tmp_path / "a.warc").write_bytes(whole)
+    (tmp_path / "b.warc.gz").write_bytes(damaged)
+    (tmp_path / "c.txt").write_bytes(whole)
+    assert sorted((r.record_id, r.payload_bytes) for r in read_warc(spark, str(tmp_path)).collect()) == sorted(2 * [(i, len(p)) for i, p in want])
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    import gzip
+
+    from gatewatch.llm import warc
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 20)
+    pages = spark.range(60).selectExpr("id as page_id", "concat('http://h/', id) as url", "repeat(concat('page ', id, ' '), 22000) as html").coalesce(2)
+    warc.write_warc(pages, str(tmp_path / "w"))
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "w").rglob("*.gz")]
+    assert len(sizes) >= 10 and max(sizes) < (1 << 20) + 300_000
+    records = warc.read_warc(spark, str(tmp_path / "w"), with_payload=False)
+    assert records.groupBy("record_type").count().collect() and records.where("record_type = 'response'").count() == 60
 
 
 def test_preferences(spark):
