@@ -82,7 +82,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("sentence pieces", pieces_stage),
 ]
 
-# Learned scores, sketches and a tokenizer have no SQL form; tests hold the stages against brute-force versions.
+# Learned scores, sketches and a tokenizer have no SQL form; tests hold the rules and near-duplicate stages against brute-force
+# versions, whole rows, and check what the other stages return against what they were given.
 ORACLE_SQL: str | None = None
 
 
