@@ -1,12 +1,14 @@
 """Deleted interpolation: n-gram shares mixed by context frequency, with weights fitted on deleted counts.
 
-Documents are packed into blocks of under a million tokens. A block sends each of its distinct n-grams once, as one packed
-row per range of hashes; a range adds up what all blocks sent and answers each block. A frequent n-gram is therefore as
-many numbers as there are blocks, and no row per token is ever shuffled.
+Documents are packed into blocks of under a million tokens. One order after the other, a block sends each of its distinct
+n-grams once, as one packed row per range of hashes that it has n-grams in; a range adds up what all blocks sent and answers
+each block. A frequent n-gram is therefore as many numbers as there are blocks, and no row per token is ever shuffled. An
+n-gram that holds a shorter one found once in all texts occurs once itself: its block knows its count and sends nothing.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -16,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewatch.llm.staging import staged
+from gatewatch.llm.staging import bucketed, discard, shuffles_removed, staged
 from gatewatch.llm.words import WordHashes, lower_words, mix, planes, rows_of, unplanes
 
 END = np.uint64(0x5851F42D4C957F2D)
@@ -25,8 +27,8 @@ OTHER, LEARN, DELETED = 0, 1, 2
 CONTEXT_BUCKETS = 40  # by powers of two of the context's count
 
 _BLOCKS = "block long, docs array<long>, lengths array<int>, roles array<int>, vocab binary, words binary, learn_tokens long, tokens long"
-_GRAMS = "bucket long, order int, block long, low long, hashes binary, total binary, deleted binary"
-_SUMS = "order int, block long, low long, total binary, deleted binary, distinct long"
+_GRAMS = "bucket long, block long, low long, hashes binary, total binary, deleted binary, other binary"
+_SUMS = "order int, block long, low long, total binary, deleted binary, alone binary, distinct long"
 _COUNTS = "docs array<long>, lengths array<int>, roles array<int>, counts array<binary>, deleted array<binary>"
 _HELD = "mixed binary"
 _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -72,40 +74,97 @@ def _grams(tokens: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarr
     return out
 
 
+def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's token hashes, the lengths of its documents, and each token's role."""
+    lengths = np.array(row["lengths"], np.int64)
+    return np.frombuffer(row["vocab"], np.uint64)[unplanes(row["words"])], lengths, np.repeat(np.array(row["roles"]), lengths)
+
+
+def _answered(grams: np.ndarray, asked: np.ndarray, role: np.ndarray, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token's n-gram its count in learned texts, in deleted ones, and whether it occurs once in all texts."""
+    total, deleted, alone = (role != OTHER).astype(np.uint64), (role == DELETED).astype(np.uint64), np.ones(len(grams), bool)
+    if asked.any():
+        own = sorted(answers, key=lambda r: r["low"] % 2**64)
+        at = np.unique(grams[asked], return_inverse=True)[1]
+        totals = [unplanes(r["total"]) for r in own]
+        total[asked] = np.concatenate(totals)[at]
+        deleted[asked] = np.concatenate([unplanes(r["deleted"]) for r in own])[at]
+        alone[asked] = np.concatenate([np.unpackbits(np.frombuffer(r["alone"], np.uint8), count=len(t)) for r, t in zip(own, totals)])[at].astype(bool)
+    return total, deleted, alone
+
+
+def _asked(alone: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Tokens whose n-gram holds no shorter one, at its end or start, that occurs once in all texts."""
+    first = np.cumsum(lengths) - lengths
+    before = np.append(False, alone[:-1])
+    before[first] = False  # what lies before a document is no n-gram of a token
+    return ~(alone | before)
+
+
+def _walk(row: dict, answers: list[dict], orders: int):
+    """Order by order up to ``orders``: n-grams, which of them are asked for, their counts. The last one's are not looked up
+    where there are no answers to it yet.
+    """
+    tokens, lengths, role = _tokens(row)
+    alone = np.zeros(len(tokens), bool)
+    for k, grams in enumerate(_grams(tokens, lengths, orders), 1):
+        # Words and pairs are all asked for; so a block's first two orders need no answers before they are sent.
+        asked = _asked(alone, lengths) if k > 2 else np.ones(len(tokens), bool)
+        own = [r for r in answers if r["order"] == k]
+        if own or not asked.any():
+            total, deleted, alone = _answered(grams, asked, role, own)
+        else:
+            total = deleted = None
+        yield k, grams, asked, role, total, deleted
+
+
+def _sent(row: dict, answers: list[dict], order: int, buckets: int) -> pa.Table:
+    """A block's distinct n-grams of one order with their counts, a row per range of hashes that has any of them."""
+    for k, grams, asked, role, _, _ in _walk(row, answers, order):
+        if k == order:
+            break
+    known, at = np.unique(grams[asked], return_inverse=True)
+    role = role[asked]
+    total, deleted, other = (np.bincount(at[role == r], minlength=len(known)).astype(np.uint32) for r in (LEARN, DELETED, OTHER))
+    total, other = total + deleted, np.minimum(other, 2)
+    ranges = (known >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    starts = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])) if len(known) else np.array([], np.int64)
+    ends = np.append(starts[1:], len(known)).astype(np.int64)
+    cut = lambda values: pa.array([planes(values[i:j]) for i, j in zip(starts, ends)], pa.binary())
+    steps = np.diff(known, prepend=known[:1])
+    steps[starts] = 0
+    return pa.table({"bucket": pa.array(ranges[starts].astype(np.int64)), "block": pa.array([row["block"]] * len(starts), pa.int64()),
+                     "low": pa.array(known[starts].view(np.int64)), "hashes": cut(steps), "total": cut(total), "deleted": cut(deleted), "other": cut(other)})
+
+
 def _send(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    names = ["bucket", "order", "block", "low", "hashes", "total", "deleted"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
     for row in rows_of(batches):
-        lengths, roles = np.array(row["lengths"], np.int64), np.array(row["roles"])
-        tokens = np.frombuffer(row["vocab"], np.uint64)[unplanes(row["words"])]
-        role = np.repeat(roles, lengths)
-        for k, grams in enumerate(_grams(tokens, lengths, order), 1):
-            known, at = np.unique(grams, return_inverse=True)
-            total = np.bincount(at[role != OTHER], minlength=len(known)).astype(np.uint32)
-            deleted = np.bincount(at[role == DELETED], minlength=len(known)).astype(np.uint32)
-            cuts = np.append(np.searchsorted(known, edges), len(known))
-            rows = []
-            for b in range(buckets):
-                i, j = cuts[b], cuts[b + 1]
-                if i < j:
-                    steps = np.diff(known[i:j], prepend=known[i])
-                    rows.append((k * buckets + b, k, row["block"], known[i].view(np.int64), planes(steps), planes(total[i:j]), planes(deleted[i:j])))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
-
-
-def _add(rows):
+        yield from _sent(row, [], order, buckets).to_batches()
+
+
+def _send_more(left: pa.Table, right: pa.Table, order: int, buckets: int) -> pa.Table:
+    answers = right.to_pylist()
+    return pa.concat_tables([_sent(row, answers, order, buckets) for row in left.to_pylist()] or [_sent_none()])
+
+
+def _sent_none() -> pa.Table:
+    return pa.table({c: pa.array([], pa.int64() if c in ("bucket", "block", "low") else pa.binary()) for c in ("bucket", "block", "low", "hashes", "total", "deleted", "other")})
+
+
+def _add(rows: pa.Table, order: int) -> pa.Table:
     """All blocks' counts of one range of hashes, added up and given back to each block."""
     hashes = [np.cumsum(np.concatenate([np.array([low], np.int64).view(np.uint64), unplanes(h)[1:]]), dtype=np.uint64)
               for low, h in zip(rows["low"].to_pylist(), rows["hashes"].to_pylist())]
     known, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    totals, deleted = (np.bincount(at, np.concatenate([unplanes(x) for x in rows[c].to_pylist()]), len(known)).astype(np.uint64) for c in ("total", "deleted"))
+    totals, deleted, other = (np.bincount(at, np.concatenate([unplanes(x) for x in rows[c].to_pylist()]), len(known)).astype(np.uint64) for c in ("total", "deleted", "other"))
+    alone = totals + other == 1
     ends = np.cumsum([len(h) for h in hashes])
     parts = [at[e - len(h):e] for h, e in zip(hashes, ends)]
     return pa.table({
-        "order": rows["order"].cast(pa.int32()), "block": rows["block"], "low": rows["low"],
+        "order": pa.array([order] * len(parts), pa.int32()), "block": rows["block"], "low": rows["low"],
         "total": pa.array([planes(totals[p]) for p in parts], pa.binary()),
         "deleted": pa.array([planes(deleted[p]) for p in parts], pa.binary()),
+        "alone": pa.array([np.packbits(alone[p]).tobytes() for p in parts], pa.binary()),
         "distinct": pa.array([int((totals > 0).sum())] + [0] * (len(parts) - 1), pa.int64())})
 
 
@@ -114,15 +173,10 @@ def _receive(left: pa.Table, right: pa.Table, order: int) -> pa.Table:
     out = {"docs": [], "lengths": [], "roles": [], "counts": [], "deleted": []}
     answers = right.to_pylist()
     for row in left.to_pylist():
-        lengths, roles = np.array(row["lengths"], np.int64), np.array(row["roles"])
-        tokens = np.frombuffer(row["vocab"], np.uint64)[unplanes(row["words"])]
-        held = np.repeat(roles, lengths) == DELETED
         counts, gone = [], []
-        for k, grams in enumerate(_grams(tokens, lengths, order), 1):
-            own = sorted((r for r in answers if r["order"] == k), key=lambda r: int(np.array([r["low"]], np.int64).view(np.uint64)[0]))
-            _, at = np.unique(grams, return_inverse=True)
-            counts.append(planes(np.concatenate([unplanes(r["total"]) for r in own])[at]))
-            gone.append(planes(np.concatenate([unplanes(r["deleted"]) for r in own])[at][held]))
+        for _, _, _, role, total, deleted in _walk(row, answers, order):
+            counts.append(planes(total))
+            gone.append(planes(deleted[role == DELETED]))
         for c, v in (("docs", row["docs"]), ("lengths", row["lengths"]), ("roles", row["roles"]), ("counts", counts), ("deleted", gone)):
             out[c].append(v)
     return pa.table({"docs": pa.array(out["docs"], pa.list_(pa.int64())), "lengths": pa.array(out["lengths"], pa.list_(pa.int32())),
@@ -208,6 +262,20 @@ def _fit(held: DataFrame, order: int, rounds: int, tolerance: float) -> np.ndarr
     return weights
 
 
+def _together(sums: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, [s.drop("distinct") for s in sums])
+
+
+def _sums(blocks: DataFrame, sums: list[DataFrame], order: int, buckets: int) -> DataFrame:
+    """The counts of one order, given back to the blocks, from the sums of the shorter ones."""
+    if order <= 2:
+        sent = blocks.mapInArrow(lambda it: _send(it, order, buckets), _GRAMS)
+    else:
+        known = blocks.groupBy("block").cogroup(_together(sums[1:]).groupBy("block"))
+        sent = known.applyInArrow(lambda a, b: _send_more(a, b, order, buckets), _GRAMS)
+    return staged(sent.groupBy("bucket").applyInArrow(lambda rows: _add(rows, order), _SUMS), f"lm-sums-{order}")
+
+
 def deleted_interpolation(docs: DataFrame, learn, deleted, order: int = 2, rounds: int = 20, tolerance: float = 1e-4,
                           block_tokens: int = 3 << 18, bucket_grams: int = 3 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores every text with an interpolated n-gram model learned from the rows where ``learn`` holds.
@@ -225,16 +293,20 @@ def deleted_interpolation(docs: DataFrame, learn, deleted, order: int = 2, round
     """
     role = F.when(F.coalesce(learn, F.lit(False)), F.when(F.coalesce(deleted, F.lit(False)), DELETED).otherwise(LEARN)).otherwise(OTHER)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), role.alias("role"))
-    blocks = staged(rows.mapInArrow(lambda it: _pack(it, block_tokens), _BLOCKS), "lm-blocks")
-    size = blocks.agg(F.sum("tokens").alias("all"), F.sum("learn_tokens").alias("learn"),
-                      F.sum(F.expr("size(filter(roles, r -> r > 0))")).alias("docs"), F.sum(F.expr("size(filter(roles, r -> r = 2))")).alias("gone"),
-                      F.sum(F.expr("aggregate(arrays_zip(roles, lengths), 0L, (a, x) -> a + if(x.roles = 2, x.lengths, 0))")).alias("gone_tokens")).first()
-    buckets = max(1, -(-(size["all"] or 0) // bucket_grams))
-    sent = blocks.select("block", "lengths", "roles", "vocab", "words").mapInArrow(lambda it: _send(it, order, buckets), _GRAMS)
-    sums = staged(sent.groupBy("bucket").applyInArrow(_add, _SUMS), "lm-sums")
-    vocabulary = sums.where("order = 1").agg(F.sum("distinct")).first()[0] or 0
-    joined = blocks.groupBy("block").cogroup(sums.drop("distinct").groupBy("block"))
-    counts = staged(joined.applyInArrow(lambda a, b: _receive(a, b, order), _COUNTS), "lm-counts")
+    spark = docs.sparkSession
+    with shuffles_removed(spark):
+        blocks = bucketed(rows.mapInArrow(lambda it: _pack(it, block_tokens), _BLOCKS), "lm_blocks", "block")
+        size = blocks.agg(F.sum("tokens").alias("all"), F.sum("learn_tokens").alias("learn"),
+                          F.sum(F.expr("size(filter(roles, r -> r > 0))")).alias("docs"), F.sum(F.expr("size(filter(roles, r -> r = 2))")).alias("gone"),
+                          F.sum(F.expr("aggregate(arrays_zip(roles, lengths), 0L, (a, x) -> a + if(x.roles = 2, x.lengths, 0))")).alias("gone_tokens")).first()
+        buckets = max(1, -(-(size["all"] or 0) // bucket_grams))
+        grams, sums = blocks.select("block", "lengths", "roles", "vocab", "words"), []
+        for k in range(1, order + 1):
+            sums.append(_sums(grams, sums, k, buckets))
+        vocabulary = sums[0].agg(F.sum("distinct")).first()[0] or 0
+        joined = blocks.groupBy("block").cogroup(_together(sums).groupBy("block"))
+        counts = staged(joined.applyInArrow(lambda a, b: _receive(a, b, order), _COUNTS), "lm-counts")
+    discard(blocks, *sums)
     tokens, n_docs = float(size["learn"] or 0), float(size["docs"] or 0)
     kept_tokens, kept_docs = tokens - (size["gone_tokens"] or 0), n_docs - (size["gone"] or 0)
     held = staged(counts.mapInArrow(lambda it: _held(it, kept_tokens, kept_docs, vocabulary), _HELD), "lm-held")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,38 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` written once in buckets of ``key``, as a table in the shared folder: grouping it by the key moves no row of it again."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    known = f"{name}_{os.path.basename(path)[-32:]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(known)
+    return spark.table(known)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables made by ``staged`` or ``bucketed`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            spark.sql(f"DROP TABLE IF EXISTS {os.path.basename(folder).replace('-', '_')}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Inside, the shuffle files of a query are removed when it ends: for jobs whose every step is written to the shared folder."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

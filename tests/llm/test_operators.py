@@ -69,6 +69,95 @@ def test_language_model(docs, empty):
     assert {r.score for r in deleted_interpolation(docs.where("doc_id = 303"), F.lit(False), F.lit(False)).collect()} == {0.0}
 
 
+def brute_scores(rows, learns, deletes, order, rounds=20, tolerance=1e-4):
+    """Counts by plain dictionaries, expectation-maximisation token by token; rows of (id, text)."""
+    from gatewatch.llm.lm import CONTEXT_BUCKETS
+
+    texts = [(d, ["<s>"] * (order - 1) + WORDS.findall((t or "").translate(LOWER)) + ["</s>"]) for d, t in rows]
+
+    def counted(chosen):
+        out = Counter()
+        for d, ws in texts:
+            if chosen(d):
+                for i in range(order - 1, len(ws)):
+                    for k in range(1, order + 1):
+                        out[tuple(ws[i - k + 1 : i + 1])] += 1
+                for k in range(1, order):
+                    out["start", k] += 1
+        return out
+
+    full = counted(learns)
+    left = full - counted(lambda d: learns(d) and deletes(d))
+    vocabulary = sum(1 for g in full if len(g) == 1)
+
+    def shares(counts, ws, i):
+        tokens = sum(n for g, n in counts.items() if len(g) == 1)
+        context = tokens
+        out = [1 / (vocabulary + 1), counts[(ws[i],)] / tokens if tokens else 0.0]
+        for k in range(2, order + 1):
+            before = tuple(ws[i - k + 1 : i])
+            context = counts["start", 1] if before[-1] == "<s>" else counts[before]
+            out.append(counts[tuple(ws[i - k + 1 : i + 1])] / context if context else 0.0)
+        return (min(int(math.log2(context)) + 1, CONTEXT_BUCKETS - 1) if context else 0), np.array(out)
+
+    held = [shares(left, ws, i) for d, ws in texts if learns(d) and deletes(d) for i in range(order - 1, len(ws))]
+    weights, last = np.full((CONTEXT_BUCKETS, order + 1), 1 / (order + 1)), -math.inf
+    for _ in range(rounds):
+        sums, fit = np.zeros(weights.shape), 0.0
+        for b, s in held:
+            part = weights[b] * s
+            sums[b] += part / part.sum()
+            fit += math.log(part.sum())
+        pooled = sums.sum(0) + 1e-9
+        sums += pooled / pooled.sum() + 1e-6
+        weights = sums / sums.sum(1, keepdims=True)
+        if abs(fit - last) <= tolerance * abs(fit):
+            break
+        last = fit
+    out = []
+    for d, ws in texts:
+        found = [shares(full, ws, i) for i in range(order - 1, len(ws))]
+        out.append((d, sum(math.log10(float(weights[b] @ s)) for b, s in found)))
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_scores_equal_brute_force(spark, order):
+    from gatewatch.llm.lm import deleted_interpolation
+
+    draw = np.random.default_rng(order)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(draw.choice(words, int(draw.integers(0, 60)), p=np.arange(40, 0, -1) / 820))) for i in range(60)]
+    rows += [(60, None), (61, "only here"), (62, "only here too"), (63, rows[5][1]), (64, rows[5][1].upper()), (65, "once")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = deleted_interpolation(df, F.col("doc_id") % 5 != 1, F.col("doc_id") % 3 == 0, order=order, block_tokens=300, bucket_grams=200).collect()
+    want = brute_scores(rows, lambda d: d % 5 != 1, lambda d: d % 3 == 0, order)
+    have = sorted((r.doc_id, r.score) for r in got)
+    assert [d for d, _ in have] == [d for d, _ in want]
+    for (_, x), (_, y) in zip(have, want):
+        assert math.isclose(x, y, rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_language_model_sends_ranges_that_occur_and_no_known_single(spark):
+    from gatewatch.llm import lm
+    from gatewatch.llm.words import planes, unplanes
+
+    draw = np.random.default_rng(4)
+    vocab = np.unique(draw.integers(1, 2**63, 500).astype(np.uint64))
+    row = {"block": 1, "lengths": [3000], "roles": [lm.LEARN], "vocab": vocab.tobytes(), "words": planes(draw.integers(0, len(vocab), 3000).astype(np.uint64))}
+    pairs = lm._sent(row, [], 2, 1 << 40)
+    distinct = sum(len(unplanes(h)) for h in pairs["hashes"].to_pylist())
+    assert pairs.num_rows <= distinct <= 3000  # however many ranges there are
+    few = lm._sent(row, [], 2, 3)
+    assert few.num_rows == 3 and sum(len(unplanes(h)) for h in few["hashes"].to_pylist()) == distinct
+    answers = [a for b in range(3) for a in lm._add(few.slice(b, 1), 2).to_pylist()]
+    triples = lm._sent(row, answers, 3, 3)
+    single = Counter(lm._grams(*lm._tokens(row)[:2], 2)[1].tolist())
+    grams = lm._grams(*lm._tokens(row)[:2], 3)
+    sent = {g for i, g in enumerate(grams[2].tolist()) if single[grams[1][i].item()] > 1 and (i == 0 or single[grams[1][i - 1].item()] > 1)}
+    assert sum(len(unplanes(h)) for h in triples["hashes"].to_pylist()) == len(sent) < len(set(grams[2].tolist()))
+
+
 def test_registered_scores_use_word_triples(spark, sf_dir):
     from gatewatch.llm.lm import deleted_interpolation
     from gatewatch.llm.queries import QUERIES, fold
