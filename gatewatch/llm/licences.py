@@ -67,6 +67,9 @@ FAMILIES: list[tuple[str, str]] = [("AGPL", "GNU Affero General Public License")
                                    ("GPL", "GNU General Public License"), ("LGPL", "GNU Lesser General Public License"), ("MPL", "Mozilla Public License")]
 
 
+PIECE = 512  # words of a text looked through at a time
+
+
 def _words(text: str) -> list[str]:
     return [w for w in (x.rstrip(".") for x in re.split(TERM, text.lower())) if w]
 
@@ -84,8 +87,10 @@ def _spans(templates: list[tuple[str, str]]) -> dict[str, list[Column]]:
     return out
 
 
-def _windows(words: Column, lists: list[list[tuple[str, str]]], least: float) -> tuple[Column, Column]:
-    """What surrounds each cue word in a list of words, and from that, as texts, the windows that place a template's cue word there.
+def _windows(words: Column, lists: list[list[tuple[str, str]]], least: float) -> tuple[Column, Column, Column]:
+    """A list of words in pieces, what surrounds each cue word of a piece, and from that, as texts, the windows that place a
+    template's cue word there. Pieces overlap by what their first and last cue words need, so that no row and no list of distinct
+    surroundings grows with the text.
 
     A window is as long as its template, whatever lines the words are on. Of a cue word that occurs more than once in a template
     the first place counts. By the Cauchy-Schwarz inequality a cosine is at most the root of the template's squared weights
@@ -96,18 +101,23 @@ def _windows(words: Column, lists: list[list[tuple[str, str]]], least: float) ->
         for w, found in _spans(templates).items():
             places.setdefault(w, []).extend(found)
     if not places:
-        return F.array(F.lit(None)), F.array().cast("array<string>")
+        return F.array(F.lit(None)), F.array(F.lit(None)), F.array().cast("array<string>")
     before, after = max(o for x in places.values() for o, _, _ in x), max(n - o for x in places.values() for o, n, _ in x)
     cues = F.array(*(F.lit(w) for w in sorted(places)))
-    hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(cues, w), i)), lambda i: i.isNotNull())
+    first = lambda c: (c * PIECE).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.size(words) / PIECE).cast("int")), lambda c: F.struct(
+        F.least(first(c), F.lit(before)).alias("from"),
+        F.slice(words, F.greatest(first(c) - before, F.lit(0)) + 1, F.least(first(c), F.lit(before)) + PIECE + after).alias("words")))
+    own, start = F.col("piece.words"), F.col("piece.from")
+    hits = F.filter(F.transform(own, lambda w, i: F.when((i >= start) & (i < start + PIECE) & F.array_contains(cues, w), i)), lambda i: i.isNotNull())
     around = F.array_distinct(F.transform(hits, lambda i: F.struct(
-        F.least(i, F.lit(before)).alias("at"), F.get(words, i).alias("cue"), F.slice(words, F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before)) + after).alias("near"))))
+        F.least(i, F.lit(before)).alias("at"), F.get(own, i).alias("cue"), F.slice(own, F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before)) + after).alias("near"))))
     spans = F.create_map(*(x for w in sorted(places) for x in (F.lit(w), F.array(*(c for _, _, c in places[w])))))
     at, near = F.col("around.at"), F.col("around.near")
     cut = F.transform(F.element_at(spans, F.col("around.cue")), lambda x: F.struct(F.slice(near, F.greatest(at - x["o"], F.lit(0)) + 1, x["n"]).alias("own"), x["shares"].alias("shares")))
     bound = lambda c: F.aggregate(c["shares"], F.lit(0.0), lambda a, x: a + F.when(F.array_contains(c["own"], x["w"]), x["x"]).otherwise(0.0))
     able = F.filter(cut, lambda c: bound(c) >= least * least - 1e-4)
-    return around, F.array_distinct(F.transform(able, lambda c: F.array_join(c["own"], " ")))
+    return pieces, around, F.array_distinct(F.transform(able, lambda c: F.array_join(c["own"], " ")))
 
 
 def _terms(text: Column) -> Column:
@@ -171,8 +181,9 @@ def scan_licences(files: DataFrame, templates: list[tuple[str, str]] | None = No
     lines = F.filter(F.split("text", "\r?\n"), lambda x: x.rlike(CUES))
     whole = F.when(F.col("named"), F.concat(F.array("text"), lines)).otherwise(lines)
     lists = [TEMPLATES, FAMILIES] if templates is None else [templates]
-    around, windows = _windows(F.col("words"), lists, least)
-    near = stating.select("file", _terms(F.col("text")).alias("words")).select("file", F.explode(around).alias("around")).where("around is not null")
+    pieces, around, windows = _windows(F.col("words"), lists, least)
+    near = stating.select("file", _terms(F.col("text")).alias("words")).select("file", F.explode(pieces).alias("piece")).where("piece is not null")
+    near = near.select("file", F.explode(around).alias("around")).where("around is not null")
     segments = stating.select("file", F.explode(whole).alias("segment")).unionAll(near.select("file", F.explode(windows).alias("segment")))
     segments = staged(segments.select("file", F.xxhash64("segment").alias("part"), "segment").dropDuplicates(["file", "part"]), "segments")
     # Equal segments of many files are compared once.

@@ -439,6 +439,36 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules(empty, docs.select("doc_id")).count() == 0
 
 
+def test_quality_verdicts_equal_brute_force(spark, sf_dir):
+    """Log ratios and verdicts of the registered query, from plain dictionaries of hashed words and word pairs."""
+    import xxhash
+
+    from gatewatch.llm.queries import QUERIES
+
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    good = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0").collect()}
+
+    def grams(text):
+        words = [w.encode() for w in WORDS.findall(text)]
+        one = [xxhash.xxh64_intdigest(w, 42) for w in words]
+        return [h % 65536 for h in one] + [xxhash.xxh64_intdigest(w, h) % 65536 for w, h in zip(words[1:], one)]
+
+    own = [(d, grams(t)) for d, t in docs]
+    whole, trusted = Counter(g for _, x in own for g in x), Counter(g for d, x in own if d in good for g in x)
+    scale = sum(trusted.values()) / sum(whole.values())
+    ratio = {g: math.log(trusted[g] + 4) - math.log(n * scale + 4) for g, n in whole.items()}
+    want = {d: sum(ratio[g] for g in x) / len(x) if x else None for d, x in own}
+    got = {r.doc_id: r for r in QUERIES["op10_quality_rules"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and len(docs) == len(got)
+    for d, r in got.items():
+        assert (r.log_ratio is None) == (want[d] is None)
+        if want[d] is not None:
+            assert math.isclose(r.log_ratio, want[d], abs_tol=1e-4)
+            if abs(want[d] + 0.15) > 1e-4:
+                assert r.kept == (not r.base_failed and want[d] >= -0.15)
+    assert {r.kept for r in got.values()} == {True, False}
+
+
 def test_quality_classifier(spark, empty, sf_dir):
     from gatewatch.llm.quality_classifier import fit_quality, isotonic, score_quality
     from gatewatch.llm.queries import fold
@@ -497,6 +527,20 @@ def test_piece_paths_of_a_score_model_are_cheapest():
         assert "".join(path) == word and math.isclose(-sum(machine.scores[p] for p in path), cheapest(word))
 
 
+def test_licences_of_long_texts_of_cue_words(spark):
+    """A notice is found wherever it lies, also across the ends of the pieces that a text is looked through in."""
+    from gatewatch.llm.licences import PIECE, scan_licences
+
+    draw = random.Random(3)
+    some = lambda n: " ".join(draw.choice(["license", "warranty", "copyright", f"w{draw.randrange(10**5)}"]) for _ in range(n))
+    notice = "licensed\nunder the\nApache License,\nVersion 2.0."
+    rows = [(at, f"d{at}/x.py", f"{some(at)} {notice} {some(2 * PIECE)}") for at in (0, 1, PIECE - 6, PIECE - 3, PIECE - 1, PIECE, 2 * PIECE - 2, 5 * PIECE + 1)]
+    rows.append((-1, "e/x.py", some(3 * PIECE)))
+    rows.append((-2, "f/x.py", some(30_000) + " " + notice))
+    got = {r.file_id: r.own_licence for r in scan_licences(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert got.pop(-1) is None and set(got.values()) == {"Apache-2.0"} and len(got) == len(rows) - 1
+
+
 def test_licences(spark, empty):
     from gatewatch.llm.licences import scan_licences
 
