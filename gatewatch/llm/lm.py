@@ -277,7 +277,7 @@ def _sums(blocks: DataFrame, sums: list[DataFrame], order: int, buckets: int) ->
 
 
 def deleted_interpolation(docs: DataFrame, learn, deleted, order: int = 2, rounds: int = 20, tolerance: float = 1e-4,
-                          block_tokens: int = 3 << 18, bucket_grams: int = 3 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                          block_tokens: int = 1 << 19, bucket_grams: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores every text with an interpolated n-gram model learned from the rows where ``learn`` holds.
 
     Tokens are lower-cased words and one end per text. The probability of a token mixes the uniform share 1 / (V + 1), its
