@@ -362,5 +362,9 @@ ORACLE: dict[str, str] = {
     "stream_sign_ins": EVENTS + """, g as (select record_id is null as unnumbered, "timestamp" is null as untimed, count(*) as n, count(distinct record_id) as d
         from xml group by 1, 2)
         select unnumbered, untimed, case when unnumbered or untimed then n else d end as n_rows from g""",
+    "replay_in_time_order": LOG + """select seq, "timestamp", event_id, ("timestamp" - (select min("timestamp") from parsed)) // 28800 as batch from parsed""",
+    "replay_scored_in_time_order": LOG + """, t as (select "timestamp" from parsed where "timestamp" // 86400 = (select min("timestamp") // 86400 + 2 from parsed))
+        select ("timestamp" - (select min("timestamp") from t)) // 28800 as batch, count(*) as n_rows, min("timestamp") as first, max("timestamp") as last,
+          cast(0 as bigint) as otherwise from t group by 1""",
     "stream_filter": LOG + "select event_id, count(*) as n_rows from log where event_id in (4624, 4625) group by 1",
 }

@@ -49,7 +49,7 @@ from gatewatch.session import scratch_dir
 from gatewatch.sources import tables as T
 from gatewatch.sources.event_xml import keep_sign_ins, parse_event_xml, rejected_event_xml
 from gatewatch.sources.text import scan_attack_labels, scan_auth_log, scan_event_xml
-from gatewatch.streaming import keyed, live
+from gatewatch.streaming import keyed, live, replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -800,6 +800,39 @@ def replay_scored(spark, sf):
     return spark.read.parquet(f"{out}/scored").select("timestamp", "probability", "verdict")
 
 
+@query("replay_in_time_order")
+def replay_in_time_order(spark, sf):
+    """The batch number of every row when the log is replayed in slices of eight hours. The table is written in two parts, the later
+    half of each day first, so that the dates of the files run against time.
+    """
+    path, out = scratch_dir(spark, "log"), scratch_dir(spark, "replay")
+    rows = _parsed(spark, sf).withColumn("day", F.floor(F.col("timestamp") / 86_400))
+    for later in (True, False):
+        part = rows.filter((F.pmod("timestamp", F.lit(86_400)) >= 43_200) == later)
+        part.write.mode("append").partitionBy("day").parquet(path)
+    replay.finish(replay.replay(spark.read.parquet(path), _keep(out), f"{out}/checkpoint", step=28_800))
+    return spark.read.parquet(f"{out}/rows").select("seq", "timestamp", "event_id", F.col("batch").cast("bigint").alias("batch"))
+
+
+@query("replay_scored_in_time_order")
+def replay_scored_in_time_order(spark, sf):
+    """One row per slice of eight hours of the test day: rows, its first and last second, and rows scored otherwise than in one batch."""
+    train, _, test = _days(spark, sf)
+    bundle = train_baseline(train)
+    path, out = scratch_dir(spark, "test"), scratch_dir(spark, "replay")
+    test.write.parquet(path)
+    stored = spark.read.parquet(path)
+    replay.finish(replay.replay_scored_in_time_order(stored, bundle, out, 28_800))
+    content = [*FEATURE_COLUMNS, "timestamp", "probability"]
+    # Rows of equal content score alike, so they are compared as counts per content.
+    both = (spark.read.parquet(f"{out}/scored").select(*content, "batch", F.lit(1).alias("side"))
+            .unionAll(score_batch(bundle.model, stored).select(*content, F.lit(None).cast("int"), F.lit(-1))))
+    sums = both.groupBy(*content).agg(F.sum("side").alias("odd"), F.count("batch").alias("n"), F.min("batch").alias("batch"), F.max("batch").alias("to"))
+    other = (F.col("odd") != 0) | ~F.col("batch").eqNullSafe(F.col("to"))
+    return sums.groupBy(F.col("batch").cast("bigint").alias("batch")).agg(
+        F.sum("n").alias("n_rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count_if(other).alias("otherwise"))
+
+
 @query("stream_sign_ins")
 def stream_sign_ins(spark, sf):
     """Event XML as a stream: parsed, filtered and without duplicates."""

@@ -213,14 +213,18 @@ def stream_score(stream: DataFrame, bundle: Bundle, out_dir: str, max_group_rows
     return start(stream, handle, f"{out_dir}/checkpoint", **trigger)
 
 
-def replay_scored(spark: SparkSession, features_path: str, schema, bundle: Bundle, out_dir: str, files_per_batch: int = 1,
-                  **trigger) -> StreamingQuery:
-    """Replay a prepared feature table file by file through scoring, to ``out_dir/scored/batch=*``."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(features_path)
-
+def scored_to(bundle: Bundle, out_dir: str) -> Callable[[DataFrame, int], None]:
+    """A handler that scores a batch of features into ``out_dir/scored/batch=*``."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         scored = score_batch(bundle.model, batch)
         verdict = F.when(F.col("probability") >= bundle.threshold, "ANOMALY").otherwise("NORMAL")
         scored.withColumn("verdict", verdict).write.mode("overwrite").parquet(f"{out_dir}/scored/batch={batch_id}")
 
-    return start(stream, handle, f"{out_dir}/checkpoint", **trigger)
+    return handle
+
+
+def replay_scored(spark: SparkSession, features_path: str, schema, bundle: Bundle, out_dir: str, files_per_batch: int = 1,
+                  **trigger) -> StreamingQuery:
+    """Replay a prepared feature table file by file, by file date, through scoring, to ``out_dir/scored/batch=*``."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(features_path)
+    return start(stream, scored_to(bundle, out_dir), f"{out_dir}/checkpoint", **trigger)

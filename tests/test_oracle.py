@@ -5,7 +5,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 
 # Whole streaming runs and full fits take a minute each; other tests cover their parts, compare.py runs them all.
 SLOW = {"stream_features", "stream_features_out_of_order", "stream_score_invariants", "model_invariants",
-        "train_weighted_invariants", "stream_features_keyed_state"}
+        "train_weighted_invariants", "stream_features_keyed_state", "replay_scored_in_time_order"}
 
 
 @pytest.fixture(scope="module")
