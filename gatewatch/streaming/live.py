@@ -5,7 +5,10 @@ and reads only those of earlier batches:
 
 * ``history``: the rows themselves, by hour. A batch reads back the hours that its windows reach into.
 * ``last``: per user, pair and host pair seen in the batch, its last row. Every ``SNAPSHOT_EVERY`` batches they are merged
-  into a snapshot, so a batch reads one snapshot and a bounded number of small tables.
+  into a snapshot, stored by chain and bucket of the chain's leading key. A batch reads the buckets of its own keys and a
+  bounded number of small tables.
+
+What no later batch can read is removed: hours before the windows of the newest row, and what the snapshot in use has replaced.
 
 With an allowed ``lateness``, rows less than so many seconds behind the newest one seen wait in ``pending`` for those that may
 still come before them, so batches may overlap in time by as much. Rows not after the last row worked on, in
@@ -16,12 +19,13 @@ least a second for them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,6 +36,7 @@ from gatewatch.schemas import ONE_HOUR, PARSED_COLUMNS
 from gatewatch.sources.event_xml import keep_sign_ins, parse_event_xml
 
 SNAPSHOT_EVERY = 50
+SNAPSHOT_BUCKETS = 512  # per chain; the state must be started anew if it is changed
 COLUMNS = [*PARSED_COLUMNS, "seq"]
 # What is remembered: the user alone, the three pairs that have flags or recencies, and the newest row of all.
 CHAINS = (
@@ -42,6 +47,7 @@ CHAINS = (
 )
 LAST_SCHEMA = "chain string, src_username string, src_host string, destination_host string, at struct<timestamp:bigint,seq:bigint>"
 KEYS = ["chain", "src_username", "src_host", "destination_host"]
+HISTORY_PATH = re.compile(r"hour=(-?\d+)")
 
 
 def stream_filter(events: DataFrame) -> DataFrame:
@@ -98,13 +104,55 @@ def _last_rows(rows: DataFrame) -> DataFrame:
     return out.select(*[F.col(c).cast("string").alias(c) if c in KEYS else F.col(c) for c in [*KEYS, "at"]])
 
 
-def _remembered(spark: SparkSession, state_dir: str, batch_id: int) -> DataFrame:
-    """All ``last`` rows of batches before ``batch_id``: one snapshot and the batches since."""
-    snapshot = (batch_id - 1) // SNAPSHOT_EVERY * SNAPSHOT_EVERY if batch_id > 0 else 0
-    paths = [f"{state_dir}/snapshot/{snapshot}"] if snapshot else []
-    first = snapshot + 1 if snapshot else 0
-    paths += [f"{state_dir}/last/{b}" for b in range(first, batch_id)]
-    return _read(spark, LAST_SCHEMA, paths)
+def _bucket() -> Column:
+    """Bucket of a ``last`` row by the leading key of its chain."""
+    leading = F.coalesce(*[F.when(F.col("chain") == chain, F.col(keys[0])) for chain, keys in CHAINS])
+    return F.pmod(F.xxhash64(leading), F.lit(SNAPSHOT_BUCKETS)).cast("int")
+
+
+def _snapshot_before(batch_id: int) -> int:
+    """Number of the snapshot that a batch reads; 0 if there is none yet."""
+    return (batch_id - 1) // SNAPSHOT_EVERY * SNAPSHOT_EVERY if batch_id > 0 else 0
+
+
+def _remembered(spark: SparkSession, state_dir: str, batch_id: int, only: Column | None = None) -> DataFrame:
+    """``last`` rows of batches before ``batch_id``: one snapshot and the batches since. ``only`` is a condition on ``chain`` and
+    ``bucket``; folders of the snapshot that it rules out are not read.
+    """
+    snapshot = _snapshot_before(batch_id)
+    rows = _read(spark, f"{LAST_SCHEMA}, bucket int", [f"{state_dir}/snapshot/{snapshot}"] if snapshot else [])
+    rows = rows.unionByName(_read(spark, LAST_SCHEMA, [f"{state_dir}/last/{b}" for b in range(snapshot + 1 if snapshot else 0, batch_id)])
+                            .withColumn("bucket", _bucket()))
+    return (rows if only is None else rows.filter(only)).drop("bucket")
+
+
+def _buckets_of(keys: DataFrame) -> Column:
+    """The chains and buckets of ``keys`` as a condition; at most ``SNAPSHOT_BUCKETS`` numbers a chain come to the driver."""
+    found: dict[str, list[int]] = {}
+    for row in keys.filter("chain <> 'all'").select("chain", _bucket().alias("bucket")).distinct().collect():
+        found.setdefault(row["chain"], []).append(row["bucket"])
+    return reduce(or_, [(F.col("chain") == c) & F.col("bucket").isin(sorted(b)) for c, b in sorted(found.items())], F.lit(False))
+
+
+def _forget(spark: SparkSession, state_dir: str, batch_id: int, newest: int) -> None:
+    """Remove state that neither ``batch_id``, also when it is repeated, nor a later batch reads: rows of hours before the windows
+    that end at the second ``newest``, and ``last`` and ``pending`` tables and snapshots older than those in use.
+    """
+    hadoop, snapshot = spark._jvm.org.apache.hadoop.fs.Path, _snapshot_before(batch_id)
+    files = hadoop(state_dir).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def numbers(folder: str, name: re.Pattern) -> dict[int, str]:
+        place = hadoop(f"{state_dir}/{folder}")
+        names = [status.getPath().getName() for status in files.listStatus(place)] if files.exists(place) else []
+        return {int(found[1]): f"{state_dir}/{folder}/{n}" for n in names if (found := name.fullmatch(n))}
+
+    plain = re.compile(r"(\d+)")
+    limits = [("history", HISTORY_PATH, (newest - ONE_HOUR) // ONE_HOUR), ("pending", plain, batch_id - 1), ("snapshot", plain, snapshot),
+              ("last", plain, snapshot + 1 if snapshot else 0)]
+    for folder, name, limit in limits:
+        for number, path in numbers(folder, name).items():
+            if number < limit:
+                files.delete(hadoop(path), True)
 
 
 def _merge(last: DataFrame) -> DataFrame:
@@ -128,8 +176,9 @@ def advance(batch: DataFrame, batch_id: int, state_dir: str, max_group_rows: int
         waits = F.coalesce(F.col("timestamp") > F.lit(seen) - lateness, F.lit(False))
         rows.filter(waits).write.mode("overwrite").parquet(f"{state_dir}/pending/{batch_id}")
         rows = rows.filter(~waits)
-    known = _remembered(spark, state_dir, batch_id)
-    newest = known.filter("chain = 'all'").agg(F.max("at").alias("at")).first()["at"]
+    newest = _remembered(spark, state_dir, batch_id, F.col("chain") == "all").agg(F.max("at").alias("at")).first()["at"]
+    if newest is not None:
+        _forget(spark, state_dir, batch_id, newest["timestamp"])
     late = F.col("timestamp").isNull()
     if newest is not None:
         same_second = (F.col("timestamp") == newest["timestamp"]) & (F.col("seq") <= newest["seq"])
@@ -148,6 +197,7 @@ def advance(batch: DataFrame, batch_id: int, state_dir: str, max_group_rows: int
         history = history.filter((F.col("batch") < batch_id) & (F.col("timestamp") >= first - ONE_HOUR)).select(*COLUMNS)
         # Older last rows stand in for all history before the windows: too old to be counted, but still "seen before".
         wanted = _last_rows(on_time).select(*KEYS)
+        known = _remembered(spark, state_dir, batch_id, _buckets_of(wanted))
         same = [known[k].eqNullSafe(wanted[k]) for k in KEYS]
         condition = same[0]
         for c in same[1:]:
@@ -164,8 +214,9 @@ def advance(batch: DataFrame, batch_id: int, state_dir: str, max_group_rows: int
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(f"{state_dir}/history"))
     _last_rows(on_time).write.mode("overwrite").parquet(f"{state_dir}/last/{batch_id}")
     if batch_id > 0 and batch_id % SNAPSHOT_EVERY == 0:
-        everything = known.unionByName(_read(spark, LAST_SCHEMA, [f"{state_dir}/last/{batch_id}"]))
-        _merge(everything).write.mode("overwrite").parquet(f"{state_dir}/snapshot/{batch_id}")
+        everything = _remembered(spark, state_dir, batch_id).unionByName(_read(spark, LAST_SCHEMA, [f"{state_dir}/last/{batch_id}"]))
+        merged = _merge(everything).withColumn("bucket", _bucket()).hint("rebalance", "chain", "bucket")
+        merged.write.mode("overwrite").partitionBy("chain", "bucket").parquet(f"{state_dir}/snapshot/{batch_id}")
     return features, too_late
 
 

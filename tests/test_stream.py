@@ -94,3 +94,44 @@ def test_alert_lines(spark):
     assert [r["verdict"] for r in rows] == ["ANOMALY", "NORMAL"]
     assert rows[0]["alert"] == "[ANOMALY] rec_id=1 | time=1970-01-01 00:00:00 | id=4624 | score=0.75000 (threshold=0.50000) | a@h -> None@d"
     assert rows[1]["alert"].startswith("[NORMAL ] rec_id=2")
+
+
+def files_read(rows):
+    return {r[0] for r in rows.select("_metadata.file_path").distinct().collect()}
+
+
+def test_a_batch_reads_the_buckets_of_its_own_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "SNAPSHOT_EVERY", 1)
+    rng, state = random.Random(6), str(tmp_path / "s")
+    rows = [dict(r, src_username=f"U{i % 2000}", src_host=f"C{i % 900}") for i, r in enumerate(random_rows(rng, 4000, start=5000))]
+    rows.sort(key=lambda r: r["timestamp"])
+    later = [dict(r, seq=10_000 + i, timestamp=rows[-1]["timestamp"] + 9000, src_username=f"U{i}", src_host="C1") for i, r in enumerate(rows[:10])]
+    for number, part in enumerate([rows[:2000], rows[2000:]]):
+        live.advance(frame(spark, part), number, state)[0].count()
+    wanted = live._last_rows(frame(spark, later)).select(*live.KEYS)
+    snapshot = spark.read.parquet(f"{state}/snapshot/1")
+    read = snapshot.filter(live._buckets_of(wanted))
+    per_chain = {r["chain"]: r["n"] for r in read.groupBy("chain").agg(F.count_distinct("bucket").alias("n")).collect()}
+    assert per_chain["user"] <= 10 and per_chain["user_source"] <= 10 and per_chain["user_target"] <= 10 and per_chain["source_target"] == 1
+    assert len(files_read(read)) <= 31 < 1000 < len(files_read(snapshot))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    # The state that is pruned gives the same rows as the whole of it.
+    keys = {tuple(r) for r in wanted.collect()}
+    both = [{tuple(r) for r in live._remembered(spark, state, 2, only).select(*live.KEYS, "at").collect() if tuple(r)[:4] in keys and r["chain"] != "all"}
+            for only in (None, live._buckets_of(wanted))]
+    assert both[0] == both[1] and len(both[0]) > 10
+
+
+def test_state_that_no_batch_can_read_is_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "SNAPSHOT_EVERY", 2)
+    rng, state = random.Random(12), tmp_path / "s"
+    rows = [dict(r, timestamp=7200 * (i // 8) + i) for i, r in enumerate(random_rows(rng, 64, start=0))]
+    want = expected_features(rows)
+    for number in range(8):
+        part = rows[8 * number:8 * number + 8]
+        for _ in range(2 if number in (4, 5) else 1):
+            got = by_seq(live.advance(frame(spark, part), number, str(state), lateness=0)[0])
+            assert got == {r["seq"]: want[r["seq"]] for r in part}
+    names = {f: sorted(p.name for p in (state / f).iterdir() if not p.name.startswith((".", "_"))) for f in ("history", "last", "snapshot")}
+    assert names == {"history": ["hour=12", "hour=14"], "last": ["7"], "snapshot": ["6"]}
