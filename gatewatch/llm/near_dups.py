@@ -23,6 +23,9 @@ from gatewatch.llm.words import WordHashes, groups_of, joined_up, lower_words, m
 LEVELS = 6
 NODE_LIMIT = 64  # a node of at most this many texts is compared exhaustively
 CHUNK = 192  # full sets compared in one go
+BLOCK = 2048  # long sketches compared in one go
+EDGE = 96  # and of these, those whose full sets are compared together
+MARKS = 1024  # bytes of a long sketch
 
 
 def shingles(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarray:
@@ -120,6 +123,36 @@ def _compare_sets(batches: Iterator[pa.RecordBatch], width: int, percent: int) -
     yield from _links(each())
 
 
+def _long_sketches(batches: Iterator[pa.RecordBatch], width: int, factors: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Per text one byte for each hash function: the last bits of the token it chooses."""
+    hashes = WordHashes()
+    for batch in batches:
+        sets = [shingles(lower_words(t.as_py()), width, hashes) for t in batch.column(1)]
+        marks = [_sketch(found, factors).astype(np.uint8).tobytes() if len(found) else None for found in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["id", "marks"])
+
+
+def _promising(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Texts whose full sets have to be compared, by squares of at most ``EDGE`` asking and ``EDGE`` other texts: those that have a
+    partner of another component in the square with as many equal bytes.
+    """
+    for rows in groups_of(batches, "part"):
+        marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        ids, component, part = rows["id"].to_numpy(), rows["component"].to_numpy(), rows["part"][0].as_py()
+        asks = rows["asks"].to_numpy()
+        own, other, square = np.flatnonzero(asks), np.flatnonzero(~asks), 0
+        for i in range(0, len(own), EDGE):
+            a = own[i : i + EDGE]
+            for j in range(0, len(other), EDGE):
+                b, square = other[j : j + EDGE], square + 1
+                apart = component[a][:, None] != component[b][None]
+                near = apart & ((marks[a][:, None] == marks[b][None]).sum(2) >= least * marks.shape[1]) if apart.any() else apart
+                if near.any():
+                    met = np.unique(np.concatenate([ids[a[near.any(1)]], ids[b[near.any(0)]]]))
+                    key = int.from_bytes(xxhash.xxh3_64_digest(f"{part},{square}"), "big", signed=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array([key] * len(met), pa.int64())], names=["id", "part"])
+
+
 def _candidates(sets: DataFrame, trees: int, least: float) -> DataFrame:
     """Links between texts that reach a small node together and have like sketches, or share a node that cannot be split."""
     path = lambda level: F.xxhash64(F.col("tree"), F.substring("path", 1, 4 * (level + 1)))
@@ -145,11 +178,12 @@ def _candidates(sets: DataFrame, trees: int, least: float) -> DataFrame:
     return staged(found.where("a <> b").distinct(), "candidates")
 
 
-def _confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
     """Links on full sets within candidate clusters(id, cluster), complete for connectivity.
 
     A cluster is dealt into chunks, each compared exhaustively together with two texts that all chunks get. Texts that are
-    then not connected with the cluster's largest part are compared with every chunk of the cluster.
+    then not connected with the cluster's largest part are compared with all texts of other components by sketches of
+    ``MARKS`` bytes, five standard deviations below the threshold, and by full sets where these are near.
     """
     mark = F.xxhash64(F.lit("chunk"), F.col("id"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.struct(mark, "id"))["id"].alias("p1"), F.max(F.struct(mark, "id"))["id"].alias("p2"))
@@ -166,18 +200,27 @@ def _confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -
     if several.isEmpty():
         return links
     parts = several.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = staged(parts.select("id", "cluster", "chunk", "chunks", "component"), "parts")
-    counts = parts.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    main = counts.groupBy("cluster").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-    rest = parts.join(main, "cluster").where("component <> main")
-    if rest.isEmpty():
+    parts = staged(parts.select("id", "cluster", "n", "component"), "parts")
+    counts = parts.groupBy("cluster", "component").agg(F.count("*").alias("m"))
+    main = counts.groupBy("cluster").agg(F.max(F.struct("m", "component"))["component"].alias("main"))
+    blocks = F.ceil(F.count_if(F.col("component") != F.col("main")) / BLOCK)
+    asked = parts.join(main, "cluster").groupBy("cluster", "main").agg(blocks.alias("blocks"), F.ceil(F.max("n") / BLOCK).alias("cells")).where("blocks > 0")
+    touched = staged(parts.join(asked, "cluster"), "touched")
+    if touched.isEmpty():
         return links
-    blocks = rest.groupBy("cluster").agg(F.ceil(F.count("*") / CHUNK).alias("blocks"))
-    block = F.pmod(F.xxhash64(F.lit("block"), F.col("id")), F.col("blocks"))
-    far = rest.join(blocks, "cluster").select("id", "cluster", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    near = parts.join(blocks, "cluster").select("id", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "chunk")
-    both = staged(far.unionByName(near).distinct().select("id", F.xxhash64("cluster", "chunk", "block").alias("part")), "rest")
-    return links.unionAll(compared(both))
+    factors = _factors(MARKS, seed)
+    marks = docs.join(small(touched.select("id").distinct()), "id", "left_semi").select("id", "text")
+    marks = staged(marks.mapInArrow(lambda it: _long_sketches(it, width, factors), "id long, marks binary").where("marks is not null"), "marks")
+    at = percent / 100
+    least = at - 5 * math.sqrt(at * (1 - at) / MARKS)
+    spot = lambda name, n: F.pmod(F.xxhash64(F.lit(name), F.col("id")), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asking = touched.where("component <> main").select("id", "cluster", "component", F.lit(True).alias("asks"), spot("block", "blocks").alias("block"), every("cells").alias("cell"))
+    others = touched.select("id", "cluster", "component", F.lit(False).alias("asks"), every("blocks").alias("block"), spot("cell", "cells").alias("cell"))
+    both = asking.unionByName(others).select("id", "component", "asks", F.xxhash64("cluster", "block", "cell").alias("part"))
+    rows = both.join(marks, "id").repartition("part").sortWithinPartitions("part")
+    near = staged(rows.mapInArrow(lambda it: _promising(it, least), "id long, part long"), "promising")
+    return links if near.isEmpty() else links.unionAll(compared(near))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, recall: float = 0.999, seed: int = 11,
@@ -203,7 +246,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, recall:
     classes = staged(known.groupBy("digest").agg(F.min("id").alias("class"), F.first("sketch").alias("sketch"), F.count("*").alias("n")), "classes")
     links = _candidates(classes.select(F.col("class").alias("id"), "sketch"), trees, least)
     clusters = components(links).withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
-    found = _confirmed(texts, clusters, width, percent)
+    found = _confirmed(texts, clusters, width, percent, seed + 1)
     # Ids are the nodes: copies hang on their class, and an id with several texts joins their classes.
     copies = known.join(classes.where("n > 1").select("digest", "class"), "digest").select(F.col("id").alias("a"), F.col("class").alias("b"))
     twice = known.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id")

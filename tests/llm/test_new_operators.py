@@ -248,3 +248,43 @@ def test_audit_equals_brute_force(spark):
     assert {(r.part, r.filter_order, r.step): tuple(r)[3:] for r in rows} == brute_audit(docs, labels) and len(rows) == 3 * 600
     assert audit_filters(frame.limit(0), marks).count() == 0
     assert audit_filters(frame, marks.limit(0)).agg(F.sum("good_lost"), F.sum("toxic_lost")).first()[0] == 0
+
+
+def boilerplate_family(n, rng):
+    """Texts of 200 words, of which the first 164 are the same in all: no two reach 0.8; but some have a near copy."""
+    common, rows = [f"c{i}" for i in range(164)], []
+    for i in range(n):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(36)]
+        rows.append((2 * i, " ".join(common + own)))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, " ".join(common + own[:-1] + ["other"])))
+    return rows
+
+
+def test_families_of_boilerplate_take_no_copies_of_texts(spark, monkeypatch):
+    """Links by brute force, and full sets compared: those of the chunks and of near pairs only, however large the family is."""
+    from gatewatch.llm import near_dups
+
+    monkeypatch.setattr(near_dups, "CHUNK", 24)
+    monkeypatch.setattr(near_dups, "BLOCK", 40)
+    monkeypatch.setattr(near_dups, "EDGE", 16)
+    taken, own = [], near_dups.small
+
+    def noted(df):
+        if set(df.columns) == {"id", "part"}:
+            taken.append(df.count())
+        return own(df)
+
+    monkeypatch.setattr(near_dups, "small", noted)
+    for n in (60, 240):
+        rows = boilerplate_family(n, random.Random(n))
+        sets = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+        linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        assert linked == [(2 * i, 2 * i + 1) for i in range(0, n, 10)]
+        taken.clear()
+        # Everything in one candidate cluster, the worst that a search may bring.
+        docs = spark.createDataFrame(rows, "id long, text string")
+        clusters = docs.select("id", F.lit(0).cast("long").alias("cluster"))
+        found = near_dups._confirmed(docs, clusters, 5, 80, 1).selectExpr("least(a, b)", "greatest(a, b)").distinct().collect()
+        assert sorted(map(tuple, found)) == linked
+        assert sum(taken) <= 1.2 * len(rows) + 2 * len(rows) // 24 + 4 * len(linked)
