@@ -288,3 +288,13 @@ def test_families_of_boilerplate_take_no_copies_of_texts(spark, monkeypatch):
         found = near_dups._confirmed(docs, clusters, 5, 80, 1).selectExpr("least(a, b)", "greatest(a, b)").distinct().collect()
         assert sorted(map(tuple, found)) == linked
         assert sum(taken) <= 1.2 * len(rows) + 2 * len(rows) // 24 + 4 * len(linked)
+
+
+def test_the_row_kept_of_an_id_does_not_depend_on_their_order(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a b", "x"), (1, "c d", "x"), (1, "a b", "y"), (2, None, "x"), (2, "", "x"), (3, "e", None), (3, "e", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [sorted(map(tuple, corpus_pipeline._one_row_each(d).collect())) for d in (df, df.orderBy(F.desc("text")).coalesce(1), df.repartition(7, "text"))]
+    assert kept[0] == kept[1] == kept[2] and [r[0] for r in kept[0]] == [1, 2, 3] and set(kept[0]) <= set(rows)
+    assert corpus_pipeline._one_row_each(df.limit(0)).count() == 0
