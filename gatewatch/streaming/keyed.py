@@ -21,7 +21,7 @@ from functools import reduce
 from operator import and_
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -188,32 +188,57 @@ def read_families(spark: SparkSession, out: str, families: Sequence[Family] = FA
     return rows.select(*OUTPUT_COLUMNS, "seq", F.greatest(*late).alias("late"))
 
 
+RECORD_BUCKETS = 2048  # groups of record keys; the state must be started anew if it is changed
+
+
 class RecordState(StatefulProcessor):
-    """For one record key: the time of the row that was kept last. Input rows hold ``at``, ``tie`` and the columns ``names``."""
+    """For all record keys of one bucket: the time of the row of each that was kept last, one entry a key, of which a batch reads and
+    writes those it meets. Input rows hold ``key``, ``at``, ``tie`` and the columns ``names``.
+    """
 
     def __init__(self, names: Sequence[str], keep_for: int):
         self.names, self.keep_for = list(names), keep_for
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "at bigint")
+        self.kept = handle.getMapState("kept", "key string", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at = self.kept.get()[0] if self.kept.exists() else None
         parts = pd.concat(list(rows)).sort_values(["at", "tie"], kind="stable")
-        status = []
-        for t in parts["at"].tolist():
+        before: dict[str, int | None] = {}
+        for k in parts["key"].unique().tolist():
+            found = self.kept.getValue((k,))
+            before[k] = None if found is None else found[0]
+        now, status = dict(before), []
+        for k, t in zip(parts["key"].tolist(), parts["at"].tolist()):
+            at = now[k]
             if at is None or t > at + self.keep_for:
                 status.append("kept")
-                at = t
+                now[k] = t
             else:
                 status.append("late" if t < at - self.keep_for else "repeated")
-        self.kept.update((at,))
+        for k, t in now.items():
+            if t != before[k]:
+                self.kept.updateValue((k,), (t,))
         yield parts[self.names].assign(status=status)
 
     def close(self) -> None:
         pass
 
 
+def _key_text(events: DataFrame, column: str) -> Column:
+    """A text that is equal where the grouping would hold the values for equal."""
+    kind, c = events.schema[column].dataType.typeName(), F.col(column)
+    if kind in ("float", "double"):
+        c = c + F.lit(0.0)
+    elif kind == "timestamp":
+        c = F.unix_micros(c)
+    elif kind == "binary":
+        c = F.hex(c)
+    elif kind in ("array", "struct"):
+        c = F.to_json(F.struct(c))
+    return c.cast("string")
+
+
 def dedup_marked(events: DataFrame, event_time: str = "event_time", keep_for: int = 3600, keys: Sequence[str] = ("record_id",)) -> DataFrame:
     """Every row of the stream with a ``status``: ``kept``; ``repeated``, within ``keep_for`` seconds of the row of its key that was kept
     last; or ``late``, longer than that before it, so that it may be a reused number and not a copy. Nothing vanishes.
@@ -224,9 +249,14 @@ def dedup_marked(events: DataFrame, event_time: str = "event_time", keep_for: in
     columns = [c for c in events.columns if c != "status"]
     plain = [f"c{i}" for i in range(len(columns))]
     whole = reduce(and_, [F.col(c).isNotNull() for c in (*keys, event_time)])
-    timed = events.where(whole).select(*[F.col(c).alias(p) for c, p in zip(columns, plain)], *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
+    types = [events.schema[c].dataType.simpleString() for c in columns]
+    # As text, a long beside a null keeps all its digits in pandas.
+    passed = ["string" if t == "bigint" else t for t in types]
+    key = F.to_json(F.array(*[_key_text(events, k) for k in keys]))
+    timed = events.where(whole).select(*[F.col(c).cast(t).alias(p) for c, t, p in zip(columns, passed, plain)], key.alias("key"),
                                        F.unix_timestamp(event_time).alias("at"), F.xxhash64(*columns).alias("tie"))
-    schema = ", ".join([*(f"{p} {events.schema[c].dataType.simpleString()}" for c, p in zip(columns, plain)), "status string"])
-    marked = timed.groupBy(*[f"k{i}" for i in range(len(keys))]).transformWithStateInPandas(RecordState(plain, keep_for), schema, "Append", "None")
-    named = marked.select(*[F.col(p).alias(c) for c, p in zip(columns, plain)], "status")
+    schema = ", ".join([*(f"{p} {t}" for p, t in zip(plain, passed)), "status string"])
+    bucket = F.pmod(F.xxhash64("key"), F.lit(RECORD_BUCKETS))
+    marked = timed.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(RecordState(plain, keep_for), schema, "Append", "None")
+    named = marked.select(*[F.col(p).cast(t).alias(c) for c, t, p in zip(columns, types, plain)], "status")
     return named.unionByName(events.where(~whole).select(*columns, F.lit("kept").alias("status")))

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from contract import PARSED_SCHEMA, by_seq, expected_features, frame, random_rows
 from pyspark.sql import functions as F
 
@@ -69,3 +70,45 @@ def test_marked_rows_add_up(spark, tmp_path):
     counts = {r.status: r["count"] for r in rows.groupBy("status").count().collect()}
     assert counts == {"kept": 7, "repeated": 3, "late": 1}
     assert rows.where("status = 'late'").select(F.hour("event_time")).first()[0] == 3
+
+
+def test_many_record_keys_share_one_call():
+    """A call works through all keys of a bucket and touches one state entry a key."""
+    entries, reads, writes = {}, [], []
+
+    class Entries:
+        def getValue(self, key):
+            reads.append(key)
+            return entries.get(key)
+
+        def updateValue(self, key, value):
+            writes.append(key)
+            entries[key] = value
+
+    class Handle:
+        def getMapState(self, *_):
+            return Entries()
+
+    state = keyed.RecordState(["n"], 10)
+    state.init(Handle())
+
+    def call(*rows):
+        (out,) = state.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["key", "at", "tie", "n"])]), None)
+        return dict(zip(out["n"], out["status"]))
+
+    assert call(("a", 100, 1, 0), ("b", 100, 1, 1), ("a", 111, 2, 2), ("b", 110, 2, 3)) == {0: "kept", 1: "kept", 2: "kept", 3: "repeated"}
+    assert call(("a", 100, 1, 0), ("b", 100, 1, 1), ("c", 5, 1, 2)) == {0: "late", 1: "repeated", 2: "kept"}
+    assert entries == {("a",): (111,), ("b",): (100,), ("c",): (5,)} and len(reads) == 5 and len(writes) == 3
+
+
+def test_marked_rows_keep_long_numbers_beside_nulls(spark, tmp_path):
+    big, source, out = 2**53 + 1, str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "record_id bigint, extra bigint, weight double, event_time timestamp"
+    values = f"(1, {big}, 0.0D), (2, null, -0.0D), (3, {-big}, 1.5D)"
+    spark.sql(f"select cast(r as bigint) record_id, cast(e as bigint) extra, w weight, timestamp '2024-01-01' event_time from values {values} as t(r, e, w)").coalesce(1).write.parquet(source)
+    with keyed.state_store(spark):
+        marked = keyed.dedup_marked(spark.readStream.schema(schema).parquet(source), keys=["weight", "event_time"])
+        marked.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert {r.record_id: r.extra for r in rows} == {1: big, 2: None, 3: -big}
+    assert sorted(r.status for r in rows) == ["kept", "kept", "repeated"]
