@@ -138,3 +138,19 @@ def test_days_outside_the_split_have_none(spark):
     assert got == {"train", "valid", None}
     verdicts = {r["relative_day"]: r["verdict"] for r in Q.check_three_days(feature_frame(spark, [0, 1, 4])).collect()}
     assert verdicts == {0: "ok", 1: "ok", 2: "empty", 4: "out of range"}
+
+
+def test_ranking_by_model_reads_its_rows_once(spark):
+    """Cuts and sums start from the same distinct scores: a costly source is not worked out twice."""
+    from gatewatch.operators.evaluate import average_precision
+
+    read = spark.sparkContext.accumulator(0)
+
+    def scores(batches):
+        for part in batches:
+            read.add(len(part))
+            yield part.assign(trees=part["id"] % 2, label=(part["id"] % 5 == 0).astype("int64"), score=(part["id"] % 70) / 70.0)[["trees", "label", "score"]]
+
+    rows = spark.range(2000).mapInPandas(scores, "trees bigint, label bigint, score double")
+    found = average_precision(rows, by="trees", label="label", probability="score").collect()
+    assert len(found) == 2 and read.value == 2000
