@@ -50,15 +50,22 @@ class Tree:
     gain: list[float]
 
     def nodes(self, bins: np.ndarray, levels: int | None = None) -> np.ndarray:
-        """The node each row ends in, or has come to after ``levels``."""
-        column, limit, at = np.array(self.column), np.array(self.bin), np.zeros(len(bins), np.int64)
-        for _ in range((len(column) + 1).bit_length() if levels is None else levels):
-            inner = np.flatnonzero(column[at] >= 0)
-            if not len(inner):
-                break
-            here = at[inner]
-            at[inner] = 2 * here + 1 + (bins[inner, column[here]] > limit[here])
-        return at
+        """The node each row ends in, or has come to after ``levels``. ``bins`` is read by column."""
+        depth = (len(self.column) + 1).bit_length() - 2
+        levels = depth if levels is None else min(levels, depth)
+        # All rows go down ``levels`` steps, past a leaf to the left; the heap is small, so a step is a few passes over short numbers.
+        at = np.zeros(len(bins), np.min_scalar_type(2 ** (levels + 1)))
+        for level in range(levels):
+            right = np.zeros(len(bins), bool)
+            for i in range(2**level - 1, 2 ** (level + 1) - 1):
+                if self.column[i] >= 0:
+                    right |= (at == i) & (bins[:, self.column[i]] > self.bin[i])
+            at = at * at.dtype.type(2) + at.dtype.type(1) + right
+        ends = []
+        for i in range(2 ** (levels + 1) - 1):
+            parent = (i - 1) // 2
+            ends.append(i if i == 0 or (ends[parent] == parent and self.column[parent] >= 0) else ends[parent])
+        return np.array(ends)[at]
 
 
 @dataclass
@@ -71,7 +78,7 @@ class BoostedModel:
 
 
 def _margins(bins: np.ndarray, trees: list[Tree]) -> np.ndarray:
-    out = np.zeros(len(bins))
+    out, bins = np.zeros(len(bins)), np.asfortranarray(bins)
     for tree in trees:
         out += np.array(tree.leaf)[tree.nodes(bins)]
     return out
@@ -102,7 +109,11 @@ def binned_matrix(df: DataFrame, features: list[str], edges: list[list[float]])
 
 
 def _bins_of(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, width)
+    """The bins of a batch as a view of its buffer: all values are ``width`` bytes and none is null."""
+    column = batch.column(1)
+    _, offsets, data = column.buffers()
+    first = int(np.frombuffer(offsets, np.int32)[column.offset]) if len(column) else 0
+    return np.frombuffer(data, np.uint8, len(column) * width, first).reshape(-1, width) if len(column) else np.zeros((0, width), np.uint8)
 
 
 def advanced(matrix: DataFrame, trees: list[Tree], width: int) -> DataFrame:
@@ -135,16 +146,17 @@ def level_sums(matrix: DataFrame, recent: list[Tree], tree: Tree, number: int, l
         total = np.zeros((2, many, len(columns), 256))
         for b in batches:
             chosen = np.flatnonzero(_drawn(b.column(0).to_numpy(zero_copy_only=False), number, seed, share))
-            bins = _bins_of(b, width)[chosen]
+            bins = np.asfortranarray(_bins_of(b, width)[chosen])
             label = b.column(2).to_numpy(zero_copy_only=False)[chosen]
             p = 1 / (1 + np.exp(-(b.column(3).to_numpy(zero_copy_only=False)[chosen] + _margins(bins, recent))))
             w = np.where(label == 1, weight, 1.0)
             node = tree.nodes(bins, level) - first
             here = node >= 0  # other rows ended in a leaf above
-            for k, value in enumerate((w * (p - label), w * p * (1 - p))):
-                for j, c in enumerate(columns):
-                    key = node[here] * 256 + bins[here, c]
-                    total[k, :, j] += np.bincount(key, value[here], many * 256).reshape(many, 256)
+            g, h, node, bins = (w * (p - label))[here], (w * p * (1 - p))[here], node[here] * 256, bins[here]
+            for j, c in enumerate(columns):
+                key = node + bins[:, c]
+                for k, value in enumerate((g, h)):
+                    total[k, :, j] += np.bincount(key, value, many * 256).reshape(many, 256)
         at = np.nonzero(total[1])
         g, h = (np.rint(total[k][at] * UNITS).astype(np.int64) for k in (0, 1))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(i.astype(np.int32) for i in at), g, h)], names=["node", "j", "bin", "g", "h"])
@@ -202,7 +214,7 @@ def prefix_precision(matrix: DataFrame, trees: list[Tree], first: int, width: in
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bins, margin, label = _bins_of(b, width), b.column(3).to_numpy(zero_copy_only=False), b.column(2)
+            bins, margin, label = np.asfortranarray(_bins_of(b, width)), b.column(3).to_numpy(zero_copy_only=False), b.column(2)
             for n, tree in enumerate(trees, first):
                 margin = margin + _margins(bins, [tree])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bins), n, np.int32)), label, pa.array(margin)], names=["trees", "label", "score"])

@@ -110,3 +110,27 @@ def test_training_needs_positives_and_whole_rows(spark, rows):
         B.train_boosted(df.where("label = 0"), df)
     with pytest.raises(ValueError, match="NaN or null"):
         B.train_boosted(df.withColumn(FEATURE_COLUMNS[3], F.lit(None).cast("double")), df)
+
+
+def test_rows_are_binned_by_view_and_walked_by_column():
+    """Bins of a batch are a view of its buffer, also of a slice; rows end in the node that a walk one by one finds."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    bins = np.array([[rng.randrange(256) for _ in range(3)] for _ in range(200)], np.uint8)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([r.tobytes() for r in bins], pa.binary())], names=["row", "bins"])
+    got = B._bins_of(batch.slice(20, 50), 3)
+    assert not got.flags.owndata and (got == bins[20:70]).all() and B._bins_of(batch.slice(0, 0), 3).shape == (0, 3)
+    tree = B.Tree([0, -1, 2, -1, -1, 1, -1], [90, 0, 120, 0, 0, 30, 0], [0.0] * 7, [0.0] * 7)
+    tree = B.Tree(tree.column + [-1] * 8, tree.bin + [0] * 8, [0.0] * 15, [0.0] * 15)
+
+    def walk(row, levels):
+        at = 0
+        for _ in range(levels):
+            if tree.column[at] >= 0:
+                at = 2 * at + 1 + int(row[tree.column[at]] > tree.bin[at])
+        return at
+
+    for levels in (0, 1, 2, 3):
+        assert tree.nodes(bins, levels).tolist() == [walk(r, levels) for r in bins]
+    assert tree.nodes(bins).tolist() == [walk(r, 3) for r in bins]
