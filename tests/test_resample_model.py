@@ -182,3 +182,24 @@ def test_training_needs_positives(spark, learnable):
     with pytest.raises(ValueError, match="positive"):
         train_weighted(learnable.filter("label = 0"), learnable)
     assert evaluate_model(learnable.withColumn("probability", F.lit(0.5)), 0.5).first()["roc_auc"] == 0.5
+
+
+def test_closest_takes_differences_of_near_rows_only(monkeypatch):
+    """The same places and distances, ties included, as by all differences; these are not taken."""
+    import numpy as np
+
+    from gatewatch.operators import neighbours as N
+
+    r = np.random.default_rng(3)
+    for a, b in ((r.normal(size=(50, 64)), r.normal(size=(700, 64))), (np.rint(r.normal(size=(50, 3)) * 9), np.rint(r.normal(size=(700, 3)) * 9)),
+                 (1e6 + r.normal(size=(50, 16)), 1e6 + r.normal(size=(700, 16)))):
+        whole = N._distances(a, b)
+        best = np.argsort(whole, axis=1, kind="stable")[:, :6]
+        with monkeypatch.context() as m:
+            m.setattr(N, "_distances", None)
+            places, distances = N._closest(a, b, 6)
+        assert (places == best).all() and (distances == np.take_along_axis(whole, best, 1)).all()
+    same, few = np.ones((400, 4)), np.arange(8.0).reshape(2, 4)
+    assert (N._closest(same, same, 3)[0] == [0, 1, 2]).all() and N._closest(same, few, 3)[0].shape == (400, 2)
+    gap = np.array([[np.nan, 0.0], [1.0, 1.0]])
+    assert (N._closest(gap, np.arange(20.0).reshape(10, 2), 2)[0] == [[0, 1], [0, 1]]).all()
