@@ -1,5 +1,7 @@
 """Histogram boosting against a plain numpy version, its stopping rule, and what a saved model gives."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
