@@ -7,6 +7,7 @@ and reads only those of earlier batches:
 * ``last``: per user, pair and host pair seen in the batch, its last row. Every ``SNAPSHOT_EVERY`` batches they are merged
   into a snapshot, stored by chain and bucket of the chain's leading key. A batch reads the buckets of its own keys and a
   bounded number of small tables.
+* ``current``: the rows that the features of a batch are worked out from, its own and older ones, until the next batch.
 
 What no later batch can read is removed: hours before the windows of the newest row, and what the snapshot in use has replaced.
 
@@ -136,7 +137,7 @@ def _buckets_of(keys: DataFrame) -> Column:
 
 def _forget(spark: SparkSession, state_dir: str, batch_id: int, newest: int) -> None:
     """Remove state that neither ``batch_id``, also when it is repeated, nor a later batch reads: rows of hours before the windows
-    that end at the second ``newest``, and ``last`` and ``pending`` tables and snapshots older than those in use.
+    that end at the second ``newest``, and ``last``, ``pending`` and ``current`` tables and snapshots older than those in use.
     """
     hadoop, snapshot = spark._jvm.org.apache.hadoop.fs.Path, _snapshot_before(batch_id)
     files = hadoop(state_dir).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -148,7 +149,7 @@ def _forget(spark: SparkSession, state_dir: str, batch_id: int, newest: int) ->
 
     plain = re.compile(r"(\d+)")
     limits = [("history", HISTORY_PATH, (newest - ONE_HOUR) // ONE_HOUR), ("pending", plain, batch_id - 1), ("snapshot", plain, snapshot),
-              ("last", plain, snapshot + 1 if snapshot else 0)]
+              ("last", plain, snapshot + 1 if snapshot else 0), ("current", plain, batch_id)]
     for folder, name, limit in limits:
         for number, path in numbers(folder, name).items():
             if number < limit:
@@ -187,6 +188,7 @@ def advance(batch: DataFrame, batch_id: int, state_dir: str, max_group_rows: int
     span = on_time.agg(F.min("timestamp").alias("first")).first()
     first = span["first"]
 
+    _last_rows(on_time).write.mode("overwrite").parquet(f"{state_dir}/last/{batch_id}")
     current = on_time.withColumn("_own", F.lit(True))
     if first is not None:
         hours = range((first - ONE_HOUR) // ONE_HOUR, first // ONE_HOUR + 1)
@@ -196,7 +198,7 @@ def advance(batch: DataFrame, batch_id: int, state_dir: str, max_group_rows: int
                         [f"{state_dir}/history/hour={h}" for h in hours] if newest is not None else [], f"{state_dir}/history")
         history = history.filter((F.col("batch") < batch_id) & (F.col("timestamp") >= first - ONE_HOUR)).select(*COLUMNS)
         # Older last rows stand in for all history before the windows: too old to be counted, but still "seen before".
-        wanted = _last_rows(on_time).select(*KEYS)
+        wanted = _read(spark, LAST_SCHEMA, [f"{state_dir}/last/{batch_id}"]).select(*KEYS)
         known = _remembered(spark, state_dir, batch_id, _buckets_of(wanted))
         same = [known[k].eqNullSafe(wanted[k]) for k in KEYS]
         condition = same[0]
@@ -207,12 +209,14 @@ def advance(batch: DataFrame, batch_id: int, state_dir: str, max_group_rows: int
         stand_ins = older.select("at.timestamp", "src_username", "src_host", "destination_host", "at.seq")
         past = history.unionByName(stand_ins, allowMissingColumns=True).withColumn("_own", F.lit(False))
         current = past.unionByName(current).select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in COLUMNS], "_own")
+    # Keys are counted before the features are planned: both read the rows from here, not history and last rows once more.
+    current.write.mode("overwrite").parquet(f"{state_dir}/current/{batch_id}")
+    current = _read(spark, _ddl(current), [f"{state_dir}/current/{batch_id}"])
     features = build_features(current, max_group_rows, keep=["seq", *keep, "_own"]).filter("_own").drop("_own")
 
     hour = F.floor(F.col("timestamp") / ONE_HOUR).alias("hour")
     (on_time.select(*COLUMNS, hour, F.lit(batch_id).cast("bigint").alias("batch"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(f"{state_dir}/history"))
-    _last_rows(on_time).write.mode("overwrite").parquet(f"{state_dir}/last/{batch_id}")
     if batch_id > 0 and batch_id % SNAPSHOT_EVERY == 0:
         everything = _remembered(spark, state_dir, batch_id).unionByName(_read(spark, LAST_SCHEMA, [f"{state_dir}/last/{batch_id}"]))
         merged = _merge(everything).withColumn("bucket", _bucket()).hint("rebalance", "chain", "bucket")

@@ -135,3 +135,16 @@ def test_state_that_no_batch_can_read_is_removed(spark, tmp_path, monkeypatch):
             assert got == {r["seq"]: want[r["seq"]] for r in part}
     names = {f: sorted(p.name for p in (state / f).iterdir() if not p.name.startswith((".", "_"))) for f in ("history", "last", "snapshot")}
     assert names == {"history": ["hour=12", "hour=14"], "last": ["7"], "snapshot": ["6"]}
+
+
+def test_features_of_a_batch_read_its_rows_once(spark, tmp_path):
+    """They start from the stored rows of the batch, not from history and last rows again, and only those of the newest batch stay."""
+    state = tmp_path / "s"
+    rows = [dict(r, timestamp=1000 + i) for i, r in enumerate(random_rows(random.Random(3), 30))]
+    want = expected_features(rows)
+    for number in range(3):
+        part = rows[10 * number:10 * number + 10]
+        features, _ = live.advance(frame(spark, part), number, str(state))
+        assert {f.split("/s/")[1].split("/part-")[0] for f in features.inputFiles()} == {f"current/{number}"}
+        assert by_seq(features) == {r["seq"]: want[r["seq"]] for r in part}
+    assert [p.name for p in (state / "current").iterdir()] == ["2"]
