@@ -38,6 +38,7 @@ WEIGHTED = {"maxIter": 500, "maxDepth": 4, "stepSize": 0.03, "maxBins": 256, "se
             "featureSubsetStrategy": "0.7", "minInstancesPerNode": 5}
 PATIENCE = 40
 BASELINE_THRESHOLD = 0.5
+TASK_ROWS = 20_000  # a fit passes over its rows some hundred times: below this a further task costs more than it saves
 
 
 @dataclass
@@ -54,11 +55,24 @@ class Bundle:
 
 
 def model_matrix(df: DataFrame) -> DataFrame:
-    """Feature vector and label, kept on the executors' disks while a fit reads them repeatedly."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Feature vector and label, kept on the executors' disks while a fit reads them repeatedly, and dealt out to all cores where
+    the files behind ``df`` are fewer and the rows enough.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     matrix = scan_model_matrix(df).withColumn("label", coerce_label("label").cast("double"))
     require_no_nan(matrix, FEATURE_COLUMNS)
-    return _assembler().transform(matrix).select("features", "label").persist(StorageLevel.DISK_ONLY)
+    kept = _assembler().transform(matrix).select("features", "label").persist(StorageLevel.DISK_ONLY)
+    sizes = kept.groupBy(F.spark_partition_id()).count().agg(F.sum("count").alias("rows"), F.count("*").alias("parts")).first()
+    wanted = min(spark.sparkContext.defaultParallelism, (sizes["rows"] or 0) // TASK_ROWS)
+    if sizes["parts"] >= wanted:
+        return kept
+    spread = kept.repartition(wanted).persist(StorageLevel.DISK_ONLY)
+    try:
+        spread.count()
+    finally:
+        kept.unpersist()
+    return spread
 
 
 def _assembler() -> VectorAssembler:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gatewatch.operators import model
 from gatewatch.operators import resample as R
 from gatewatch.operators.evaluate import average_precision, evaluate_model
 from gatewatch.operators.model import (
@@ -153,6 +154,18 @@ def test_baseline_bundle(spark, learnable, tmp_path):
     assert len(gains) == 16 and {gains[0]["feature"], gains[1]["feature"]} == {FEATURE_COLUMNS[2], FEATURE_COLUMNS[4]}
 
 
+def test_a_fit_of_few_files_is_dealt_out_to_all_cores(spark, learnable, monkeypatch):
+    whole = learnable.coalesce(1)
+    monkeypatch.setattr(model, "TASK_ROWS", 300)
+    spread = model.model_matrix(whole)
+    assert spread.rdd.getNumPartitions() == 5 and spread.count() == whole.count()
+    spread.unpersist()
+    monkeypatch.setattr(model, "TASK_ROWS", 2000)  # too few rows for a second task
+    kept = model.model_matrix(whole)
+    assert kept.rdd.getNumPartitions() == 1 and kept.storageLevel.useDisk
+    kept.unpersist()
+
+
 def test_weighted_stops_early_and_repeats(spark, learnable):
     a = train_weighted(learnable, learnable, patience=3, block=4, maxIter=12)
     b = train_weighted(learnable, learnable, patience=3, block=4, maxIter=12)
