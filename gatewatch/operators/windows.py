@@ -170,6 +170,20 @@ def seconds_since_last(df: DataFrame, keys: Sequence[str], name: str, ts: str =
     return out.withColumn(name, F.coalesce(F.col(ts) - F.col("_seen"), F.lit(MISSING_TIME_DELTA)).cast("bigint")).drop("_seen")
 
 
+def flags_and_recencies(df: DataFrame, key: str, flags: Sequence[tuple[str, str]], recencies: Sequence[tuple[str, str | None]],
+                        ts: str = "timestamp", **kw) -> DataFrame:
+    """Append :func:`first_seen` flags and :func:`seconds_since_last` of one key, by the names and second columns given; what both
+    ask of a pair is looked up once.
+    """
+    columns, before = df.columns, {}
+    for other in dict.fromkeys(o for _, o in (*flags, *recencies)):
+        before[other] = f"_before{len(before)}"
+        df = previous_time(df, [key, other] if other else [key], before[other], ts=ts, **kw)
+    made = {name: (valid_key(key, o) & F.col(before[o]).isNull()).cast("int") for name, o in flags}
+    made |= {name: F.coalesce(F.col(ts) - F.col(before[o]), F.lit(MISSING_TIME_DELTA)).cast("bigint") for name, o in recencies}
+    return df.select(*columns, *[c.alias(name) for name, c in made.items()])
+
+
 def with_family(df: DataFrame, family: Family, ts: str = "timestamp", seq: str = "seq", within: str | None = None) -> DataFrame:
     """Append all features of ``family`` with one exchange on its key, or on its key and the column ``within``: then every row
     sees only rows with its own value there.

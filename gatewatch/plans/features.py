@@ -22,10 +22,9 @@ from gatewatch.operators.windows import (
     Count,
     Distinct,
     Family,
-    first_seen,
+    flags_and_recencies,
     rolling,
     rolling_in_buckets,
-    seconds_since_last,
     with_family,
 )
 from gatewatch.schemas import (
@@ -112,11 +111,7 @@ def family_by_cells(rows: DataFrame, family: Family, cell_rows: int = CELL_ROWS)
         valid = valid_key(key, other).cast("int")
         out = rolling(out.withColumn("_valid", valid), [key, other], [Count(name, window, "_valid")], cell_rows=cell_rows,
                       source=rows.withColumn("_valid", valid)).drop("_valid")
-    for name, other in family.first_seen:
-        out = first_seen(out, [key, other], name, source=rows)
-    for name, other in family.recency:
-        out = seconds_since_last(out, [key, other] if other else [key], name, source=rows)
-    return out
+    return flags_and_recencies(out, key, family.first_seen, family.recency, source=rows)
 
 
 def add_families(events: DataFrame, families: Sequence[Family], max_group_rows: int = MAX_GROUP_ROWS,
@@ -190,10 +185,7 @@ def build_features_in_buckets(df: DataFrame, bucket: int = BUCKET_SECONDS, max_g
             parts = stage(marked.select(*out.columns, F.col("_hot").isNotNull().alias("_hot")), f"bucket-{family.key}", "_hot")
             few, many = (parts.where(F.col("_hot") == which).select(*out.columns) for which in (False, True))
             out = rolling_in_buckets(few, bounded, bucket).unionByName(family_by_cells(many, bounded, cell_rows))
-        for name, other in family.first_seen:
-            out = first_seen(out, [family.key, other], name, source=events)
-        for name, other in family.recency:
-            out = seconds_since_last(out, [family.key, other] if other else [family.key], name, source=events)
+        out = flags_and_recencies(out, family.key, family.first_seen, family.recency, source=events)
     return out.select(*OUTPUT_COLUMNS, *keep)
 
 

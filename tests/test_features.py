@@ -5,7 +5,7 @@ import pytest
 from contract import by_seq, expected_features, frame, random_rows
 from pyspark.sql import functions as F
 
-from gatewatch.operators.windows import rolling_count, rolling_distinct, rolling_in_buckets
+from gatewatch.operators.windows import first_seen, flags_and_recencies, rolling_count, rolling_distinct, rolling_in_buckets, seconds_since_last
 from gatewatch.plans.features import FAMILIES, build_features, build_features_in_buckets, crowded_buckets, hot_keys, with_context
 
 
@@ -88,6 +88,20 @@ def test_oversized_keys_cost_bounded_scans_and_exchanges(spark, tmp_path):
     assert "Final Plan" in final and final.count("FileScan parquet") <= 4 and final.count("Exchange hashpartitioning") <= 15
 
 
+def test_flags_and_recencies_look_a_pair_up_once(spark, tmp_path):
+    frame(spark, random_rows(random.Random(4), 120)).write.parquet(str(tmp_path / "p"))
+    rows, family = spark.read.parquet(str(tmp_path / "p")), FAMILIES[0]
+    out = flags_and_recencies(rows, family.key, family.first_seen, family.recency)
+    # The user, and the user with either host.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
+    one_by_one = rows
+    for name, other in family.first_seen:
+        one_by_one = first_seen(one_by_one, [family.key, other], name)
+    for name, other in family.recency:
+        one_by_one = seconds_since_last(one_by_one, [family.key, other] if other else [family.key], name)
+    assert out.schema == one_by_one.schema and out.exceptAll(one_by_one).count() == 0 == one_by_one.exceptAll(out).count()
+
+
 def test_hot_keys_are_bounded(spark):
     rows = [row(i, i, user="big" if i % 3 == 0 else f"u{i}") for i in range(60)]
     found = hot_keys(frame(spark, rows), ["src_username", "src_host"], max_group_rows=10)
