@@ -10,17 +10,22 @@ A row's features depend on earlier rows of its own keys alone, so only the order
 order between keys. A row that arrives behind its key's newest one is late: it is returned with ``late`` set and without
 features, and changes no state. Rows without a key need no state and pass beside the operator. The state is the store's: it
 is kept with the checkpoint and found again after a restart or the loss of an executor.
+
+Rows of a key that are read together travel as one row of lists, and a key's rows of a batch are worked through as whole columns:
+Python handles lists and keys one by one, not rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter, deque
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
+from itertools import batched
 from operator import and_
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -30,6 +35,10 @@ from gatewatch.operators.windows import Count, Distinct, Family
 from gatewatch.plans.features import FAMILIES, with_context
 from gatewatch.schemas import MISSING_TIME_DELTA, OUTPUT_COLUMNS, PARSED_COLUMNS
 
+PACKED_BATCHES = 16  # Arrow batches whose rows are packed together
+OUT_ROWS = 50_000  # rows handed back at once
+NO_SEQ = -2**63  # in place of a null, so that lists of numbers stay whole numbers
+
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -45,25 +54,38 @@ def state_store(spark: SparkSession):
         spark.conf.set(PROVIDER, before)
 
 
-class _Window:
-    """Rows of one window in order of time, with a sum or with how often each value occurs."""
+class _Chains:
+    """Rows in their order, chained by the values of one column where ``live``; -1 is the place of a row that is not there."""
+
+    def __init__(self, values: np.ndarray, live: np.ndarray):
+        self.size, self.codes = len(values), np.where(live, pd.factorize(values)[0], -1)
+        self.order = np.argsort(self.codes, kind="stable")
+        self.order = self.order[np.count_nonzero(self.codes < 0):]
+        linked = self.codes[self.order][1:] == self.codes[self.order][:-1]
+        self.before, self.after = np.full(self.size, -1), np.full(self.size, -1)
+        self.before[self.order[1:][linked]] = self.order[:-1][linked]
+        self.after[self.order[:-1][linked]] = self.order[1:][linked]
 
-    def __init__(self, width: int):
-        self.width, self.rows, self.total, self.counts = width, deque(), 0, Counter()
+    def distinct(self, times: np.ndarray, window: int, first: np.ndarray) -> np.ndarray:
+        """Per row, the values among the rows from ``first`` to the one before it: those that became active before this row, less
+        those that ended before ``first``.
+        """
+        live = self.codes >= 0
+        starts = live & ((self.before < 0) | (times - times[self.before] > window))
+        ends = live & ((self.after < 0) | (times[self.after] - times > window))
+        return _sums(starts)[:-1] - _sums(ends)[first]
 
-    def upto(self, t: int) -> None:
-        while self.rows and self.rows[0][0] < t - self.width:
-            _, value, amount = self.rows.popleft()
-            self.total -= amount
-            self.counts[value] -= amount
-            if not self.counts[value]:
-                del self.counts[value]
+    def earlier(self, first: np.ndarray) -> np.ndarray:
+        """Per row, the rows with its value from ``first`` to the one before it; 0 for rows outside the chains."""
+        out, step = np.zeros(self.size, dtype=np.int64), self.size + 1
+        places = self.codes[self.order] * step + self.order
+        out[self.order] = np.arange(len(places)) - np.searchsorted(places, self.codes[self.order] * step + first[self.order])
+        return out
 
-    def add(self, t: int, value: str | None, amount: int) -> None:
-        if amount:
-            self.rows.append((t, value, amount))
-            self.total += amount
-            self.counts[value] += amount
+
+def _sums(amounts: np.ndarray) -> np.ndarray:
+    """Sums of the amounts before each place, and of all at the end."""
+    return np.concatenate([[0], np.cumsum(amounts, dtype=np.int64)])
 
 
 def _others(family: Family) -> list[str]:
@@ -72,8 +94,8 @@ def _others(family: Family) -> list[str]:
 
 
 class FamilyState(StatefulProcessor):
-    """All features of one family for one key. Input rows hold ``timestamp``, ``seq``, the paired values as ``v0``, ``v1``, ..., whether
-    each pair is valid as ``ok0``, ..., whether the key is as ``ok``, and counted flags as ``w0``, ...
+    """All features of one family for one key. An input row holds rows of the key as lists: ``timestamp``, ``seq``, the paired values as
+    ``v0``, ``v1``, ..., whether each pair is valid as ``ok0``, ..., whether the key is as ``ok``, and counted flags as ``w0``, ...
     """
 
     def __init__(self, family: Family):
@@ -89,78 +111,111 @@ class FamilyState(StatefulProcessor):
         self.newest = handle.getValueState("newest", "timestamp bigint, seq bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns = ["timestamp", "seq", "ok", *self.kept]
-        arrived = sorted((tuple(r) for part in rows for r in part[columns].astype(object).where(part[columns].notna(), None).itertuples(index=False)), key=lambda r: (r[0], r[1]))
+        parts = pd.concat(list(rows), ignore_index=True)
+        arrived = {c: np.concatenate(parts[c].tolist()) for c in ("timestamp", "seq", "ok", *self.kept)}
+        if arrived["timestamp"].dtype != np.int64:
+            raise ValueError("a row has no time")
+        order = np.lexsort((arrived["seq"], arrived["timestamp"]))
+        arrived = {c: v[order] for c, v in arrived.items()}
         newest = tuple(self.newest.get()) if self.newest.exists() else None
-        family, n, m = self.family, len(self.others), len(self.flags)
-        place = {o: i for i, o in enumerate(self.others)}
-        windows = [_Window(f.window) for f in family.rolling] + [_Window(w) for _, _, w in family.pair_counts]
-        history: list[tuple] = [tuple(r) for r in self.recent.get()] if newest else []
-        last: dict[tuple[int, str], int | None] = {}
-
-        def take(t: int, kept: tuple) -> None:
-            for f, window in zip(family.rolling, windows):
-                if isinstance(f, Distinct):
-                    value = kept[place[f.value]]
-                    window.add(t, value, int(value is not None))
-                else:
-                    window.add(t, None, int(kept[2 * n + self.flags.index(f.when)] or 0) if f.when else 1)
-            for (_, other, _), window in zip(family.pair_counts, windows[len(family.rolling):]):
-                window.add(t, kept[place[other]], int(bool(kept[n + place[other]])))
-
-        def time_before(slot: int, value: str) -> int | None:
-            if (slot, value) not in last:
-                last[slot, value] = self.seen.getValue((slot, value))[0] if self.seen.containsKey((slot, value)) else None
-            return last[slot, value]
-
-        for row in history:
-            take(row[0], row[1:])
-        out = []
-        for t, seq, ok, *kept in arrived:
-            if newest and (t, seq) <= newest:
-                out.append((seq, True, *[None] * len(family.names())))
-                continue
-            for window in windows:
-                window.upto(t)
-            rolled = [len(w.counts) if isinstance(f, Distinct) else w.total for f, w in zip(family.rolling, windows)]
-            pairs = [w.counts[kept[place[o]]] if kept[n + place[o]] else 0 for (_, o, _), w in zip(family.pair_counts, windows[len(family.rolling):])]
-            new = [int(bool(kept[n + place[o]]) and time_before(place[o], kept[place[o]]) is None) for _, o in family.first_seen]
-            since = []
-            for _, o in family.recency:
-                before = (time_before(place[o], kept[place[o]]) if kept[n + place[o]] else None) if o else (time_before(-1, "") if ok else None)
-                since.append(MISSING_TIME_DELTA if before is None else t - before)
-            out.append((seq, False, *rolled, *pairs, *new, *since))
-            take(t, tuple(kept))
-            history.append((t, *kept))
-            newest = (t, seq)
-            for i in {place[o] for _, o in (*family.first_seen, *family.recency) if o}:
-                if kept[n + i]:
-                    last[i, kept[i]] = t
-            if ok:
-                last[-1, ""] = t
+        t, seq = arrived["timestamp"], arrived["seq"]
+        late = np.zeros(len(t), dtype=bool)
+        late[1:] = (t[1:] == t[:-1]) & (seq[1:] == seq[:-1])
         if newest:
-            self.newest.update(newest)
-            self.recent.put([r for r in history if r[0] >= newest[0] - self.longest] or [history[-1]])
-        own = any(not o for _, o in family.recency)
-        for (slot, value), t in last.items():
-            if t is not None and (slot >= 0 or own):
-                self.seen.updateValue((slot, value), (t,))
-        made = pd.DataFrame(out, columns=["seq", "late", *family.names()])
-        yield made.astype({c: "Int64" for c in family.names()})
+            newest = newest[0], NO_SEQ if newest[1] is None else newest[1]
+            late |= (t < newest[0]) | ((t == newest[0]) & (seq <= newest[1]))
+        taken = {c: v[~late] for c, v in arrived.items()}
+        made = self._features(taken, newest is not None) if len(taken["seq"]) else {}
+        whole = {}
+        for name in self.family.names():
+            values = np.zeros(len(t), dtype=np.int64)
+            values[~late] = made.get(name, 0)
+            whole[name] = pd.arrays.IntegerArray(values, late.copy())
+        out = pd.DataFrame({"seq": seq, "late": late, **whole})
+        for i in range(0, len(out), OUT_ROWS):
+            yield out[i:i + OUT_ROWS]
+
+    def _features(self, taken: dict[str, np.ndarray], known: bool) -> dict[str, np.ndarray]:
+        """All features of rows in their order, none older than the key's newest one (``known``); puts them into the state."""
+        family, place = self.family, {o: i for i, o in enumerate(self.others)}
+        kinds = {c: np.int64 if c[0] == "w" else bool if c[0] == "o" else object for c in self.kept}
+        history = [tuple(r) for r in self.recent.get()] if known else []
+        past = dict(zip(["timestamp", *self.kept], zip(*history))) if history else {}
+        rows = {"timestamp": np.concatenate([np.array(past.get("timestamp", ()), dtype=np.int64), taken["timestamp"]])}
+        for c, kind in kinds.items():
+            held = np.empty(len(history), dtype=kind)
+            held[:] = [v if kind is object else kind(v or 0) for v in past.get(c, ())]
+            rows[c] = np.concatenate([held, taken[c].astype(kind)])
+        t, n = rows["timestamp"], len(history)
+        first = {w: np.searchsorted(t, t - w) for w in {f.window for f in family.rolling} | {p[2] for p in family.pair_counts}}
+        made: dict[str, np.ndarray] = {}
+
+        chains = {o: _Chains(rows[f"v{place[o]}"], ~pd.isna(rows[f"v{place[o]}"])) for o in dict.fromkeys(f.value for f in family.rolling if isinstance(f, Distinct))}
+        for f in family.rolling:
+            if isinstance(f, Distinct):
+                made[f.name] = chains[f.value].distinct(t, f.window, first[f.window])
+            elif f.when:
+                sums = _sums(rows[f"w{self.flags.index(f.when)}"])
+                made[f.name] = sums[:-1] - sums[first[f.window]]
+            else:
+                made[f.name] = np.arange(len(t)) - first[f.window]
+        for name, other, window in family.pair_counts:
+            made[name] = _Chains(rows[f"v{place[other]}"], rows[f"ok{place[other]}"]).earlier(first[window])
+        made = {name: values[n:] for name, values in made.items()}
+
+        asked = dict.fromkeys(o for _, o in (*family.first_seen, *family.recency))
+        before = {o: self._times_before(place[o] if o else -1, taken[f"v{place[o]}"] if o else np.full(len(taken["ok"]), "", dtype=object),
+                                        taken[f"ok{place[o]}" if o else "ok"].astype(bool), taken["timestamp"]) for o in asked}
+        for name, o in family.first_seen:
+            made[name] = (taken[f"ok{place[o]}"].astype(bool) & ~before[o][1]).astype(np.int64)
+        for name, o in family.recency:
+            made[name] = np.where(before[o][1], taken["timestamp"] - before[o][0], MISSING_TIME_DELTA)
+
+        self.newest.update((int(t[-1]), None if taken["seq"][-1] == NO_SEQ else int(taken["seq"][-1])))
+        start = int(np.searchsorted(t, t[-1] - self.longest))
+        self.recent.put(list(zip(*(rows[c][start:].tolist() for c in ("timestamp", *self.kept)))))
+        return made
+
+    def _times_before(self, slot: int, values: np.ndarray, ok: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per row, the time of the row before it with its value, and whether there is one; the state then holds the times of the last rows."""
+        chains, times, found = _Chains(values, ok), np.zeros(len(t), dtype=np.int64), np.zeros(len(t), dtype=bool)
+        inside = chains.before >= 0
+        times[inside], found[inside] = t[chains.before[inside]], True
+        for i in np.flatnonzero((chains.codes >= 0) & ~inside):
+            seen = self.seen.getValue((slot, values[i]))
+            if seen is not None:
+                times[i], found[i] = seen[0], True
+        for i in np.flatnonzero((chains.codes >= 0) & (chains.after < 0)):
+            self.seen.updateValue((slot, values[i]), (int(t[i]),))
+        return times, found
 
     def close(self) -> None:
         pass
 
 
+def key_lists(rows: DataFrame) -> DataFrame:
+    """One row for the rows with the same ``k`` that a task reads together: ``k``, and all other columns as lists. No row is lost."""
+    listed = [c for c in rows.columns if c != "k"]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batched(batches, PACKED_BATCHES):
+            groups = pa.Table.from_batches(some).group_by("k", use_threads=False).aggregate([(c, "list") for c in listed])
+            yield from groups.rename_columns([c.removesuffix("_list") for c in groups.column_names]).select(["k", *listed]).to_batches()
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in rows.columns}
+    return rows.mapInArrow(packed, ", ".join([f"k {kinds['k']}", *(f"{c} array<{kinds[c]}>" for c in listed)]))
+
+
 def family_stream(events: DataFrame, family: Family) -> DataFrame:
     """seq, late and the features of ``family`` for every row of a stream of events with context columns."""
     others = _others(family)
     flags = list(dict.fromkeys(f.when for f in family.rolling if isinstance(f, Count) and f.when))
     keyed = events.where(F.col(family.key).isNotNull()).select(
-        F.col(family.key).alias("k"), "timestamp", "seq", valid_key(family.key).alias("ok"), *[F.col(o).alias(f"v{i}") for i, o in enumerate(others)],
-        *[valid_key(family.key, o).alias(f"ok{i}") for i, o in enumerate(others)], *[F.col(w).cast("bigint").alias(f"w{i}") for i, w in enumerate(flags)])
+        F.col(family.key).alias("k"), "timestamp", F.coalesce("seq", F.lit(NO_SEQ)).alias("seq"), valid_key(family.key).alias("ok"), *[F.col(o).alias(f"v{i}") for i, o in enumerate(others)],
+        *[valid_key(family.key, o).alias(f"ok{i}") for i, o in enumerate(others)], *[F.coalesce(F.col(w).cast("bigint"), F.lit(0)).alias(f"w{i}") for i, w in enumerate(flags)])
     schema = ", ".join(["seq bigint", "late boolean", *(f"`{c}` bigint" for c in family.names())])
-    found = keyed.groupBy("k").transformWithStateInPandas(FamilyState(family), schema, "Append", "None")
+    found = key_lists(keyed).groupBy("k").transformWithStateInPandas(FamilyState(family), schema, "Append", "None")
+    found = found.withColumn("seq", F.nullif("seq", F.lit(NO_SEQ)))
     neutral = {name: MISSING_TIME_DELTA for name, _ in family.recency}
     bare = events.where(F.col(family.key).isNull()).select("seq", F.lit(False).alias("late"), *[F.lit(neutral.get(c, 0)).cast("bigint").alias(c) for c in family.names()])
     whole = {name for name, _ in family.recency}

@@ -1,11 +1,14 @@
 """Features and de-duplication by keyed state: equal to the contract, also over a restart; late rows are marked, none vanish."""
 
 import random
+import sys
 
+import numpy as np
 import pandas as pd
 from contract import PARSED_SCHEMA, by_seq, expected_features, frame, random_rows
 from pyspark.sql import functions as F
 
+from gatewatch.plans.features import FAMILIES
 from gatewatch.streaming import keyed
 
 
@@ -112,3 +115,71 @@ def test_marked_rows_keep_long_numbers_beside_nulls(spark, tmp_path):
     rows = spark.read.parquet(out).collect()
     assert {r.record_id: r.extra for r in rows} == {1: big, 2: None, 3: -big}
     assert sorted(r.status for r in rows) == ["kept", "kept", "repeated"]
+
+
+class Store:
+    """State of one key, as the operators of a family use it."""
+
+    def __init__(self):
+        self.one, self.many, self.entries = None, [], {}
+
+    def getListState(self, *_):
+        return type("", (), {"get": lambda _: iter(self.many), "put": lambda _, rows: setattr(self, "many", rows)})()
+
+    def getMapState(self, *_):
+        return type("", (), {"getValue": lambda _, k: self.entries.get(k), "updateValue": lambda _, k, v: self.entries.__setitem__(k, v)})()
+
+    def getValueState(self, *_):
+        return type("", (), {"exists": lambda _: self.one is not None, "get": lambda _: self.one, "update": lambda _, v: setattr(self, "one", v)})()
+
+
+def lists(family, n, start=0):
+    """``n`` rows of one key, ten a second, as one row of lists."""
+    others, place = keyed._others(family), np.arange(n)
+    columns = {"timestamp": start + place // 10, "seq": start * 10 + place, "ok": np.ones(n, dtype=bool), "w0": place % 2}
+    columns |= {f"v{i}": np.array([f"h{j % 7}" for j in range(n)], dtype=object) for i in range(len(others))} | {f"ok{i}": np.ones(n, dtype=bool) for i in range(len(others))}
+    return pd.DataFrame({c: [v] for c, v in columns.items()})
+
+
+def test_python_work_does_not_grow_with_the_rows_of_a_key():
+    """Calls of Python functions for a key's batch: as many for 40,000 rows as for 2,000."""
+    for family in FAMILIES:
+        calls = []
+        for n in (2_000, 2_000, 40_000):
+            state, count = keyed.FamilyState(family), [0]
+            state.init(Store())
+            rows = iter([lists(family, n)])
+            sys.setprofile(lambda _, event, __, count=count: count.__setitem__(0, count[0] + (event == "call")))
+            try:
+                out = list(state.handleInputRows(("k",), rows, None))
+            finally:
+                sys.setprofile(None)
+            assert sum(map(len, out)) == n and not any(part["late"].any() for part in out)
+            calls.append(count[0])
+        assert calls[2] < calls[1] + 500
+
+
+def test_rows_twice_and_old_rows_are_late_and_change_no_state():
+    family, store = FAMILIES[0], Store()
+
+    def call(rows):
+        state = keyed.FamilyState(family)
+        state.init(store)
+        return pd.concat(list(state.handleInputRows(("k",), iter([rows]), None)))
+
+    first = call(pd.concat([lists(family, 30, 100), lists(family, 30, 100)]))
+    assert sorted(first["late"]) == [False] * 30 + [True] * 30 and first.loc[first["late"], family.names()].isna().all(axis=None)
+    held = store.one, list(store.many), dict(store.entries)
+    assert held[0] == (102, 1029) and len(held[1]) == 30
+    assert call(lists(family, 30, 100))["late"].all() and held == (store.one, store.many, store.entries)
+    later = call(lists(family, 10, 103)).sort_values("seq").iloc[-1]
+    assert later["auth_attempts_5m_per_src_user"] == 39 and later["unique_dst_computers_1h_per_src_user"] == 7 and later["prior_auth_count_1h_src_user_dst_computer"] == 5
+    assert later["seconds_since_last_auth_by_src_user"] == 0 and later["is_first_seen_src_user_dst_computer"] == 0
+
+
+def test_rows_of_a_key_travel_as_lists(spark):
+    rows = spark.range(0, 5000, 1, 1).selectExpr("concat('k', id % 3) as k", "id as seq", "if(id % 5 = 0, null, concat('v', id)) as v0", "id % 2 = 0 as ok0")
+    got = keyed.key_lists(rows)
+    assert got.count() == 3
+    back = got.selectExpr("k", "explode(arrays_zip(seq, v0, ok0)) as r").select("k", "r.*")
+    assert back.exceptAll(rows).count() == 0 and rows.exceptAll(back).count() == 0
