@@ -1,10 +1,11 @@
 """Boosted trees with leaf penalties: second-order histogram boosting as Spark jobs.
 
-The matrix is binned once and stored as 16 bytes a row with a row number, the label and the margin so far. For every level of a tree one
-job sums gradient and hessian by node, column and bin: inside a task with numpy, across tasks as whole numbers on the JVM, so
-that no order of adding changes a split. The driver sees at most ``2 ** depth * columns * bins`` sums and picks the best split of each
-node. A tree is fitted once; the next one goes on from the margin. Every ``block`` trees the margins are written anew, the trees are
-scored on the validation day in one job, and fitting stops after ``patience`` trees without a better average precision.
+The matrix is binned once and stored as 16 bytes a row with a row number and the label. From there its rows are kept by the block, as
+numpy columns with the margin so far, in the executors' memory or on their disks; what is lost is made again from the stored rows. For
+every level of a tree one job sums gradient and hessian by node, column and bin: inside a task with numpy, across tasks as whole numbers, so
+that no order of adding changes a split. The driver sees at most ``2 ** depth * columns * bins`` sums from each of ``DIRECT`` tasks and picks
+the best split of each node. A tree is fitted once; the next one goes on from the margin. Every ``block`` trees the margins are worked out
+anew, the trees are scored on the validation day in one job, and fitting stops after ``patience`` trees without a better average precision.
 
 Leaves take an L1 and an L2 penalty, a child needs ``min_child_weight`` of hessian, each tree sees a share of the rows (by a hash of
 row number and tree) and of the columns (drawn from the seed).
@@ -13,6 +14,7 @@ row number and tree) and of the columns (drawn from the seed).
 from __future__ import annotations
 
 import json
+import pickle
 import random
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
@@ -20,11 +22,12 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewatch.functions.scalar import coerce_label
-from gatewatch.operators.evaluate import DEFAULT_BINS, DEFAULT_RECALL, average_precision, class_weight, evaluate_model, select_threshold
+from gatewatch.operators.evaluate import DEFAULT_BINS, DEFAULT_RECALL, average_precision_of_sums, class_weight, evaluate_model, select_threshold
 from gatewatch.operators.neighbours import stage
 from gatewatch.operators.quality import require_min_positives, require_no_nan
 from gatewatch.schemas import FEATURE_COLUMNS
@@ -35,7 +38,9 @@ SETTINGS = {"n_estimators": 500, "max_depth": 4, "learning_rate": 0.03, "subsamp
             "min_child_weight": 5.0, "reg_alpha": 1.0, "reg_lambda": 2.0, "max_bin": 256, "seed": 42}
 PATIENCE = 40
 UNITS = 1 << 20  # sums are rounded to this part of one in each task
-MATRIX = "row bigint, bins binary, label tinyint, margin double"
+MATRIX = "row bigint, bins binary, label tinyint"
+DIRECT = 64  # the sums of more tasks than these are added up on the executors first
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # row numbers, bins by column, labels, margins
 
 
 @dataclass
@@ -95,17 +100,38 @@ def bin_edges(df: DataFrame, features: list[str], max_bin: int) -> list[list[flo
     return [sorted(set(e)) for e in df.approxQuantile(features, steps, 0.25 / max_bin)]
 
 
-def binned_matrix(df: DataFrame, features: list[str], edges: list[list[float]]) -> DataFrame:
-    """``MATRIX``, stored; a row's number is a hash of its features and place, so that repeated rows are drawn apart."""
+def binned_matrix(df: DataFrame, features: list[str], edges: list[list[float]]) -> RDD[Block]:
+    """The rows in blocks, with margins of 0. A row's number is a hash of its features and place, so that repeated rows are drawn apart."""
     plain = df.select(F.xxhash64(F.monotonically_increasing_id(), *features).alias("row"), F.col("label").cast("tinyint").alias("label"), *[F.col(c).cast("double").alias(c) for c in features])
+    width = len(features)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bins = _binned(np.stack([b.column(i + 2).to_numpy(zero_copy_only=False) for i in range(len(features))], axis=1), edges)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in bins], pa.binary()), b.column(1), pa.array(np.zeros(len(bins)))],
-                                             names=["row", "bins", "label", "margin"])
+            bins = _binned(np.stack([b.column(i + 2).to_numpy(zero_copy_only=False) for i in range(width)], axis=1), edges)
+            ends = np.arange(len(bins) + 1, dtype=np.int32) * np.int32(width)
+            packed = pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(bins))])
+            yield pa.RecordBatch.from_arrays([b.column(0), packed, b.column(1)], names=["row", "bins", "label"])
 
-    return stage(plain.mapInArrow(encode, MATRIX), "binned")
+    return _blocks(stage(plain.mapInArrow(encode, MATRIX), "binned"), width)
+
+
+def _blocks(stored: DataFrame, width: int) -> RDD[Block]:
+    """A block for each batch of stored rows, dealt out to all cores where the files are fewer."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block = b.column(0).to_numpy(zero_copy_only=False), np.asfortranarray(_bins_of(b, width)), b.column(2).to_numpy(zero_copy_only=False), np.zeros(len(b))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block, 5)], pa.binary())], names=["block"])
+
+    blocks = stored.mapInArrow(pack, "block binary").rdd.map(lambda r: pickle.loads(r[0]))
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    return _kept(blocks.repartition(cores) if blocks.getNumPartitions() < cores else blocks)
+
+
+def _kept(blocks: RDD[Block]) -> RDD[Block]:
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    blocks.count()
+    return blocks
 
 
 def _bins_of(batch: pa.RecordBatch, width: int) -> np.ndarray:
@@ -116,15 +142,9 @@ def _bins_of(batch: pa.RecordBatch, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8, len(column) * width, first).reshape(-1, width) if len(column) else np.zeros((0, width), np.uint8)
 
 
-def advanced(matrix: DataFrame, trees: list[Tree], width: int) -> DataFrame:
-    """The matrix with the trees added to its margins, stored."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            margin = b.column(3).to_numpy(zero_copy_only=False) + _margins(_bins_of(b, width), trees)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(margin)], names=b.schema.names)
-
-    return stage(matrix.mapInArrow(add, MATRIX), "margins")
+def advanced(matrix: RDD[Block], trees: list[Tree], width: int) -> RDD[Block]:
+    """The matrix with the trees added to its margins."""
+    return _kept(matrix.map(lambda b: (*b[:3], b[3] + _margins(b[1], trees))))
 
 
 def _drawn(rows: np.ndarray, tree: int, seed: int, share: float) -> np.ndarray:
@@ -137,58 +157,69 @@ def _drawn(rows: np.ndarray, tree: int, seed: int, share: float) -> np.ndarray:
     return x < np.uint64(min(2**64 - 1, int(share * 2**64)))
 
 
-def level_sums(matrix: DataFrame, recent: list[Tree], tree: Tree, number: int, level: int, columns: list[int], weight: float, width: int, settings: dict) -> pd.DataFrame:
-    """Gradient and hessian by node of this level, column and bin, as whole numbers of ``1 / UNITS``: a bounded number of rows."""
+def level_sums(matrix: RDD[Block], recent: list[Tree], tree: Tree, number: int, level: int, columns: list[int], weight: float, width: int, settings: dict) -> np.ndarray:
+    """Gradient and hessian by node of this level, column and bin, as whole numbers of ``1 / UNITS``."""
     first, many = 2**level - 1, 2**level
     share, seed = settings["subsample"], settings["seed"]
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(blocks: Iterator[Block]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         total = np.zeros((2, many, len(columns), 256))
-        for b in batches:
-            chosen = np.flatnonzero(_drawn(b.column(0).to_numpy(zero_copy_only=False), number, seed, share))
-            bins = np.asfortranarray(_bins_of(b, width)[chosen])
-            label = b.column(2).to_numpy(zero_copy_only=False)[chosen]
-            p = 1 / (1 + np.exp(-(b.column(3).to_numpy(zero_copy_only=False)[chosen] + _margins(bins, recent))))
+        for rows, bins, label, margin in blocks:
+            chosen = np.flatnonzero(_drawn(rows, number, seed, share))
+            bins, label = np.stack([bins[:, c].take(chosen) for c in range(width)], axis=1, out=np.empty((len(chosen), width), np.uint8, "F")), label[chosen]
+            p = 1 / (1 + np.exp(-(margin[chosen] + _margins(bins, recent))))
             w = np.where(label == 1, weight, 1.0)
             node = tree.nodes(bins, level) - first
             here = node >= 0  # other rows ended in a leaf above
-            g, h, node, bins = (w * (p - label))[here], (w * p * (1 - p))[here], node[here] * 256, bins[here]
+            g, h, node = w * (p - label), w * p * (1 - p), node * 256
+            if not here.all():
+                g, h, node, bins = g[here], h[here], node[here], np.asfortranarray(bins[here])
             for j, c in enumerate(columns):
                 key = node + bins[:, c]
                 for k, value in enumerate((g, h)):
                     total[k, :, j] += np.bincount(key, value, many * 256).reshape(many, 256)
-        at = np.nonzero(total[1])
-        g, h = (np.rint(total[k][at] * UNITS).astype(np.int64) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(i.astype(np.int32) for i in at), g, h)], names=["node", "j", "bin", "g", "h"])
+        total = total.reshape(2, -1)
+        at = np.flatnonzero(total[1])
+        yield at, np.rint(total[:, at] * UNITS).astype(np.int64)
 
-    found = matrix.mapInArrow(sums, "node int, j int, bin int, g bigint, h bigint")
-    return found.groupBy("node", "j", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
+    def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        out = np.zeros((2, many * len(columns) * 256), np.int64)
+        for at, values in parts:
+            out[:, at] += values
+        return out
+
+    def both(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        out = added([a, b])
+        at = np.union1d(a[0], b[0])
+        return at, out[:, at]
+
+    found = matrix.mapPartitions(sums)
+    parts = found.collect() if found.getNumPartitions() <= DIRECT else [found.treeReduce(both)]
+    return added(parts).reshape(2, many, len(columns), 256)
 
 
 def _weighed(g: np.ndarray, alpha: float) -> np.ndarray:
     return np.sign(g) * np.maximum(np.abs(g) - alpha, 0)
 
 
-def best_splits(sums: pd.DataFrame, many: int, n_columns: int, settings: dict) -> dict[int, tuple]:
+def best_splits(sums: np.ndarray, settings: dict) -> dict[int, tuple]:
     """Per node: gain, place of the column, bin, and gradient and hessian of both sides. Ties go to the first column and lowest bin."""
     alpha, lam, least = settings["reg_alpha"], settings["reg_lambda"], settings["min_child_weight"]
-    dense = np.zeros((2, many, n_columns, 256))
-    at = tuple(sums[c].to_numpy() for c in ("node", "j", "bin"))
-    dense[0][at], dense[1][at] = sums["g"].to_numpy() / UNITS, sums["h"].to_numpy() / UNITS
+    dense = sums / UNITS
     score = lambda g, h: _weighed(g, alpha) ** 2 / (h + lam)
     left_g, left_h = np.cumsum(dense[0], axis=2), np.cumsum(dense[1], axis=2)
     all_g, all_h = left_g[:, :, -1:], left_h[:, :, -1:]
     right_g, right_h = all_g - left_g, all_h - left_h
     gain = np.where((left_h >= least) & (right_h >= least), (score(left_g, left_h) + score(right_g, right_h) - score(all_g, all_h)) / 2, 0)
     out = {}
-    for node in range(many):
+    for node in range(len(gain)):
         j, b = np.unravel_index(int(gain[node].argmax()), gain[node].shape)
         if gain[node, j, b] > 1e-9:
             out[node] = (float(gain[node, j, b]), int(j), int(b), float(left_g[node, j, b]), float(left_h[node, j, b]), float(right_g[node, j, b]), float(right_h[node, j, b]))
     return out
 
 
-def fit_tree(matrix: DataFrame, recent: list[Tree], number: int, weight: float, width: int, settings: dict) -> Tree:
+def fit_tree(matrix: RDD[Block], recent: list[Tree], number: int, weight: float, width: int, settings: dict) -> Tree:
     depth, rate = settings["max_depth"], settings["learning_rate"]
     size = 2 ** (depth + 1) - 1
     tree = Tree([-1] * size, [0] * size, [0.0] * size, [0.0] * size)
@@ -199,28 +230,37 @@ def fit_tree(matrix: DataFrame, recent: list[Tree], number: int, weight: float,
         if level and not any(tree.column[(first + n - 1) // 2] >= 0 for n in range(many)):
             break
         sums = level_sums(matrix, recent, tree, number, level, columns, weight, width, settings)
-        if level == 0 and len(sums):
-            one = sums[sums["j"] == 0]
-            tree.leaf[0] = value(one["g"].sum() / UNITS, one["h"].sum() / UNITS)
-        for node, (gain, j, b, lg, lh, rg, rh) in best_splits(sums, many, len(columns), settings).items():
+        if level == 0 and sums[1].any():
+            tree.leaf[0] = value(*(sums[:, 0, 0].sum(axis=1) / UNITS))
+        for node, (gain, j, b, lg, lh, rg, rh) in best_splits(sums, settings).items():
             i = first + node
             tree.column[i], tree.bin[i], tree.gain[i] = columns[j], b, gain
             tree.leaf[2 * i + 1], tree.leaf[2 * i + 2] = value(lg, lh), value(rg, rh)
     return tree
 
 
-def prefix_precision(matrix: DataFrame, trees: list[Tree], first: int, width: int) -> dict[int, float]:
-    """Average precision after each further tree, by the number of trees, in one job."""
+def prefix_precision(matrix: RDD[Block], trees: list[Tree], first: int, width: int) -> dict[int, float]:
+    """Average precision after each further tree, by the number of trees, in one job. Each block sends a row per distinct score."""
+
+    def scores(block: Block) -> list[bytes]:
+        _, bins, label, margin = block
+        out = []
+        for n, tree in enumerate(trees, first):
+            margin = margin + _margins(bins, [tree])
+            score, at = np.unique(margin, return_inverse=True)
+            every, hits = np.bincount(at, minlength=len(score)), np.bincount(at, label == 1, len(score)).astype(np.int64)
+            sums = pa.RecordBatch.from_arrays([pa.array(np.full(len(score), n, np.int32)), pa.array(score), pa.array(hits), pa.array(every - hits)], names=names)
+            out.append(pickle.dumps(sums, 5))
+        return out
 
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bins, margin, label = np.asfortranarray(_bins_of(b, width)), b.column(3).to_numpy(zero_copy_only=False), b.column(2)
-            for n, tree in enumerate(trees, first):
-                margin = margin + _margins(bins, [tree])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bins), n, np.int32)), label, pa.array(margin)], names=["trees", "label", "score"])
+            yield from (pickle.loads(x.as_py()) for x in b.column(0))
 
-    long = matrix.mapInArrow(scores, "trees int, label tinyint, score double")
-    found = {r["trees"]: r["pr_auc"] or 0.0 for r in average_precision(long, by="trees", label="label", probability="score").collect()}
+    names = ["trees", "score", "positives", "negatives"]
+    packed = SparkSession.active().createDataFrame(matrix.flatMap(scores).map(lambda x: (x,)), "sums binary")
+    sums = packed.mapInArrow(unpacked, "trees int, score double, positives bigint, negatives bigint")
+    found = {r["trees"]: r["pr_auc"] or 0.0 for r in average_precision_of_sums(sums, "trees").collect()}
     return {n: found.get(n, 0.0) for n in range(first, first + len(trees))}
 
 
@@ -251,7 +291,12 @@ def train_boosted(train: DataFrame, valid: DataFrame, train_source: str = "origi
             done = done or n - best >= patience
         trees += recent
         if not done:
-            matrix, held = advanced(matrix, recent, width), advanced(held, recent, width)
+            before = matrix, held
+            matrix, held = (advanced(m, recent, width) for m in before)
+            for m in before:
+                m.unpersist()
+    for m in (matrix, held):
+        m.unpersist()
     model = BoostedModel(list(features), edges, trees[:best])
     chosen = select_threshold(score_boosted(model, valid).select(coerce_label("label").alias("label"), "probability"), bins, min_recall_target).first().asDict()
     model.threshold = chosen["threshold"]

@@ -15,6 +15,7 @@ DEFAULT_BINS = 10_000
 DEFAULT_RECALL = 0.8
 TIE = 1e-12
 RANGES = 4096
+GROUP_RANGES = 256  # per value of ``by``: several values share the tasks
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -119,7 +120,7 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
     return confusion_matrix(df, label, prediction).select(F.inline(lines))
 
 
-def ranking_points(df: DataFrame, label: str = "label", probability: str = "probability", ranges: int = RANGES,
+def ranking_points(df: DataFrame, label: str = "label", probability: str = "probability", ranges: int | None = None,
                    by: str | None = None) -> DataFrame:
     """Per distinct score: its positives and negatives, and how many of both score at least as high.
 
@@ -127,13 +128,19 @@ def ranking_points(df: DataFrame, label: str = "label", probability: str = "prob
     taken inside each range in parallel, and the totals of the higher ranges (at most ``ranges`` rows) are added. With
     ``by``, all of this per value of a column with few values, such as the number of a model.
     """
+    group = [by] if by else []
+    rows = df.select(*group, F.col(probability).cast("double").alias("score"), F.col(label).cast("bigint").alias("y"))
+    return _ranked(rows.groupBy(*group, "score").agg(F.sum("y").alias("positives"), F.sum(1 - F.col("y")).alias("negatives")), ranges, by)
+
+
+def _ranked(sums: DataFrame, ranges: int | None, by: str | None) -> DataFrame:
+    """``ranking_points`` from one row of ``positives`` and ``negatives`` per distinct score."""
+    ranges = ranges or (GROUP_RANGES if by else RANGES)
     steps = max(1, (ranges - 1).bit_length())
     ranges = 1 << steps
     group = [by] if by else []
-    rows = df.select(*group, F.col(probability).cast("double").alias("score"), F.col(label).cast("bigint").alias("y"))
     # The cuts come from the distinct scores too, with their sums: both branches start from the same exchange, so rows are read once.
     quantiles = F.percentile_approx(F.when(F.col("positives") + F.col("negatives") > 0, F.col("score")), [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts")
-    sums = rows.groupBy(*group, "score").agg(F.sum("y").alias("positives"), F.sum(1 - F.col("y")).alias("negatives"))
     if by:
         placed = sums.join(F.broadcast(sums.groupBy(by).agg(quantiles)), by)
     else:
@@ -176,6 +183,12 @@ def average_precision(df: DataFrame, by: str | None = None, **kw) -> DataFrame:
     return sums.select(*group, _ranking_figures()["pr_auc"].alias("pr_auc"))
 
 
+def average_precision_of_sums(sums: DataFrame, by: str, ranges: int | None = None) -> DataFrame:
+    """``average_precision`` by group of rows that were counted in parts: ``positives`` and ``negatives`` of a ``score``, which may come often."""
+    whole = sums.groupBy(by, "score").agg(F.sum("positives").alias("positives"), F.sum("negatives").alias("negatives"))
+    return _ranked(whole, ranges, by).groupBy(by).agg(*_ranking_sums()).select(by, _ranking_figures()["pr_auc"].alias("pr_auc"))
+
+
 def evaluate_model(df: DataFrame, threshold: float | Column, name: str = "model", label: str = "label",
                    probability: str = "probability") -> DataFrame:
     """One row with the confusion counts, rates and ranking figures, all from one pass over distinct scores."""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatewatch.operators import boosting as B
-from gatewatch.operators.evaluate import average_precision
+from gatewatch.operators.evaluate import average_precision, average_precision_of_sums
 from gatewatch.schemas import FEATURE_COLUMNS
 
 
@@ -136,3 +136,38 @@ def test_rows_are_binned_by_view_and_walked_by_column():
     for levels in (0, 1, 2, 3):
         assert tree.nodes(bins, levels).tolist() == [walk(r, levels) for r in bins]
     assert tree.nodes(bins).tolist() == [walk(r, 3) for r in bins]
+
+
+def test_rows_are_kept_in_blocks_and_sums_are_whole_numbers(spark, rows, monkeypatch):
+    """A matrix of few files is dealt out to all cores; sums are the same added up on the driver or on the executors first; a new
+    matrix of margins is kept too.
+    """
+    df = rows[0]
+    edges = B.bin_edges(df, FEATURE_COLUMNS, 256)
+    matrix = B.binned_matrix(df, FEATURE_COLUMNS, edges)
+    assert matrix.getNumPartitions() == spark.sparkContext.defaultParallelism and matrix.is_cached
+    assert matrix.map(lambda b: len(b[0])).sum() == 2000
+    tree = B.fit_tree(matrix, [], 0, 3.0, 16, B.SETTINGS)
+    sums = lambda: B.level_sums(matrix, [], tree, 0, 2, [1, 4, 9], 3.0, 16, B.SETTINGS)
+    direct = sums()
+    monkeypatch.setattr(B, "DIRECT", 1)
+    assert direct.dtype == np.int64 and direct.shape == (2, 4, 3, 256) and (sums() == direct).all() and direct[1].any()
+    later = B.advanced(matrix, [tree], 16)
+    assert later.is_cached and later.map(lambda b: bool((b[3] == B._margins(b[1], [tree])).all())).collect() == matrix.map(lambda b: True).collect()
+
+
+def test_blocks_send_a_row_per_distinct_score(spark, rows):
+    """The precision after each tree is that over all rows."""
+    df, x, _ = rows
+    edges = B.bin_edges(df, FEATURE_COLUMNS, 256)
+    matrix = B.binned_matrix(df, FEATURE_COLUMNS, edges)
+    trees = []
+    for number in range(3):
+        trees.append(B.fit_tree(matrix, trees, number, 3.0, 16, {**B.SETTINGS, "learning_rate": 0.3}))
+    got = B.prefix_precision(matrix, trees, 1, 16)
+    for n in (1, 2, 3):
+        want = average_precision(B.score_boosted(B.BoostedModel(FEATURE_COLUMNS, edges, trees[:n]), df)).first()[0]
+        assert abs(got[n] - want) < 1e-9
+    counted = spark.createDataFrame([(1, 0.5, 1, 1), (1, 0.5, 0, 2), (1, 0.2, 1, 0), (2, 0.1, 0, 4)], "trees int, score double, positives bigint, negatives bigint")
+    figures = {r["trees"]: r["pr_auc"] for r in average_precision_of_sums(counted, "trees").collect()}
+    assert figures == {1: pytest.approx((1 / 4 + 2 / 5) / 2), 2: None}
