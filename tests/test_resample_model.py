@@ -216,3 +216,55 @@ def test_closest_takes_differences_of_near_rows_only(monkeypatch):
     assert (N._closest(same, same, 3)[0] == [0, 1, 2]).all() and N._closest(same, few, 3)[0].shape == (400, 2)
     gap = np.array([[np.nan, 0.0], [1.0, 1.0]])
     assert (N._closest(gap, np.arange(20.0).reshape(10, 2), 2)[0] == [[0, 1], [0, 1]]).all()
+
+
+def test_points_that_ask_for_all_cells_are_not_copied(spark, monkeypatch):
+    """In many columns no cell can be ruled out: blocks are then taken past each other, with the same neighbours, ties included, and
+    no stored copies of points.
+    """
+    from gatewatch.operators import neighbours
+
+    sizes = {}
+
+    def counted(df, name, *folders, plain=neighbours.stage):
+        out = plain(df, name, *folders)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neighbours, "stage", counted)
+    rng = np.random.default_rng(5)
+    points = np.rint(rng.normal(0, 1, (600, 24)) * 1.2)
+    points[50:90] = points[0]
+    df = spark.createDataFrame([(7 * i, *map(float, p)) for i, p in enumerate(points)], "id bigint, " + ", ".join(f"c{j} double" for j in range(24)))
+    find = lambda f=nearest, **kw: f(df, "id", [f"c{j}" for j in range(24)], 5, scale=False, block_points=40, **kw)
+    got = {r["id"]: r["neighbours"] for r in find().collect()}
+    assert "knn-asked" not in sizes and sizes["knn-best"] <= 6 * len(points) * neighbours.PASSES
+    d = ((points[:, None] - points[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    for i, entries in got.items():
+        order = np.lexsort((np.arange(600), d[i // 7]))[:5]
+        assert [e["id"] for e in entries] == (7 * order).tolist() and [e["distance2"] for e in entries] == d[i // 7][order].tolist()
+        assert [e["values"] for e in entries] == points[order].tolist()
+    short = find(neighbours.knn_minority).collect()
+    assert sorted(map(tuple, short)) == sorted((i, n, e["id"]) for i, es in got.items() for n, e in enumerate(es, 1))
+    monkeypatch.setattr(neighbours, "_too_many", lambda *a: False)
+    assert {r["id"]: r["neighbours"] for r in find().collect()} == got and "knn-asked" in sizes
+
+
+def test_best_of_blocks_equals_one_search():
+    """Blocks taken one after the other, with copies, ties, a gap and fewer points than needed."""
+    from gatewatch.operators import neighbours as N
+
+    r = np.random.default_rng(8)
+    for z in (np.rint(r.normal(size=(900, 3)) * 4), r.normal(size=(900, 20)), np.vstack([r.normal(size=(60, 4)), np.full((1, 4), np.nan)]), np.ones((3, 2))):
+        ids, best = r.permutation(len(z)) * 3, N._Best(z, 6)
+        for at in np.array_split(r.permutation(len(z)), 5):
+            at = at[np.argsort(ids[at])]  # as in a block
+            if len(at):
+                best.take(np.arange(len(z)), ids[at], z[at])
+        d = N._distances(z, z)
+        for i in range(len(z)):
+            order = np.lexsort((ids, d[i]))[:6]
+            assert best.other[i][: len(order)].tolist() == ids[order].tolist()
+            np.testing.assert_array_equal(best.distance[i][: len(order)], d[i][order])
+            assert (best.other[i][len(order):] == N.LAST_ID).all()
