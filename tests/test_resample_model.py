@@ -10,6 +10,7 @@ from gatewatch.operators.evaluate import average_precision, evaluate_model
 from gatewatch.operators.model import (
     evaluate_bundle,
     feature_importance,
+    first_trees,
     load_bundle,
     model_matrix,
     prefix_scores,
@@ -268,3 +269,20 @@ def test_best_of_blocks_equals_one_search():
             assert best.other[i][: len(order)].tolist() == ids[order].tolist()
             np.testing.assert_array_equal(best.distance[i][: len(order)], d[i][order])
             assert (best.other[i][len(order):] == N.LAST_ID).all()
+
+
+def test_first_trees_are_the_model_of_a_shorter_fit(spark, learnable, tmp_path, monkeypatch):
+    """The weighted model is cut from its last fit: scores, importances and what is saved are those of a shorter fit."""
+    long, short = (train_baseline(learnable, maxIter=n) for n in (6, 2))
+    cut = model.Bundle(model.PipelineModel([long.model.stages[0], first_trees(long.model.stages[-1], 2)]), 0.5, long.info)
+    assert first_trees(long.model.stages[-1], 6) is long.model.stages[-1] and len(long.model.stages[-1].trees) == 6
+    assert cut.model.stages[-1].getMaxIter() == 2 and cut.model.stages[-1].treeWeights == short.model.stages[-1].treeWeights
+    save_bundle(cut, str(tmp_path / "cut"))
+    kept = load_bundle(spark, str(tmp_path / "cut"))
+    assert kept.model.stages[-1].getMaxIter() == 2 and kept.model.stages[-1].toDebugString.split("\n", 1)[1] == short.model.stages[-1].toDebugString.split("\n", 1)[1]
+    want, *got = ([r[0] for r in score_batch(b.model, learnable).select("probability").collect()] for b in (short, cut, kept))
+    assert got == [want, want] and feature_importance(spark, cut).collect() == feature_importance(spark, short).collect()
+    fits, plain = [], model.GBTClassifier.fit
+    monkeypatch.setattr(model.GBTClassifier, "fit", lambda self, df: fits.append(self.getMaxIter()) or plain(self, df))
+    bundle = train_weighted(learnable, learnable, patience=2, block=2, maxIter=8)
+    assert fits == sorted(set(fits)) and len(bundle.model.stages[-1].trees) == bundle.info["best_iteration"] + 1
