@@ -154,3 +154,14 @@ def test_ranking_by_model_reads_its_rows_once(spark):
     rows = spark.range(2000).mapInPandas(scores, "trees bigint, label bigint, score double")
     found = average_precision(rows, by="trees", label="label", probability="score").collect()
     assert len(found) == 2 and read.value == 2000
+
+
+def test_groups_are_cut_into_fewer_ranges(spark):
+    """The cuts are part of the plan, which the driver keeps for each block of trees: by group they are few, with the same figures."""
+    from gatewatch.operators import evaluate as E
+
+    df = spark.range(400).selectExpr("cast(id % 3 as int) as trees", "(id * 37 % 100) / 100 as score", "cast(id % 7 = 0 as int) as label")
+    grouped = E.average_precision(df, by="trees", label="label", probability="score")
+    assert len(grouped._jdf.queryExecution().toString()) < 60_000
+    for r in grouped.collect():
+        assert abs(r["pr_auc"] - E.average_precision(df.where(f"trees = {r['trees']}"), label="label", probability="score").first()[0]) < 1e-12
